@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +31,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    pass
+    """Import the modules that register queries."""
+    for module in ("lookups", "measurements"):
+        importlib.import_module(f"sillage.plans.{module}")
 
 
 def queries() -> dict[str, Query]:
@@ -41,3 +44,9 @@ def queries() -> dict[str, Query]:
 def oracles() -> dict[str, str]:
     _load()
     return dict(_ORACLES)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sillage.plans import measurements
+
+    return measurements.flagship(spark, sf_dir)
