@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Output rows are handed over once they hold about this many bytes.
 FLUSH_BYTES = 8_000_000
@@ -29,3 +31,15 @@ def map_rows(columns: list[str], types: list[pa.DataType], row: Callable[..., tu
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], schema=schema)
 
     return run
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """Fewer rows an Arrow batch while the block's jobs run, as whole texts are wide; the session's setting comes back after."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)

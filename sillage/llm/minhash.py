@@ -26,12 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sillage.llm.arrow import small_batches
 from sillage.llm.components import connected_components
 from sillage.llm.scratch import Scratch, small
 from sillage.llm.shingles import WordHashes, band_keys, shingle_set, superminhash
 
 #: Texts hashed together, by count and by characters.
-_CHUNK_ROWS, _CHUNK_CHARS = 128, 1_000_000
+_CHUNK_ROWS, _CHUNK_CHARS = 128, 200_000
 
 
 def _chunks(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, list[str | None]]]:
@@ -54,6 +55,7 @@ def signatures(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", w
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             for start, texts in _chunks(batch, 1):
                 sets = [shingle_set(t, memo, width) for t in texts]
                 keys = band_keys(superminhash(sets, bands * rows), rows)
@@ -84,6 +86,7 @@ def verified(pairs: DataFrame, texts: DataFrame, *, width: int, percent: int) ->
         memo = WordHashes()
         last: tuple[int | None, np.ndarray] = (None, np.empty(0, np.uint64))
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             a_ids, b_ids, keep = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
             for i, a in enumerate(a_ids):
                 if last[0] != a:
@@ -154,8 +157,12 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     are equal sets; rows that share a doc_id share its group.  An empty table gives an
     empty result.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, text, doc_id, width, percent, bands, rows)
+
+
+def _near_duplicates(docs: DataFrame, text: str, doc_id: str, width: int, percent: int, bands: int, rows: int) -> DataFrame:
+    scratch = Scratch(docs.sparkSession, "minhash")
     signed = scratch.save(signatures(docs, text=text, doc_id=doc_id, width=width, bands=bands, rows=rows))
     classes = scratch.save(signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
     keys = classes.select("rep", F.explode("bands").alias("key"))
