@@ -63,12 +63,8 @@ def c10(spark: SparkSession, d: str) -> DataFrame:
     return rows.filter(peak_filter(F.col("p_size"), " 20-5 ")).unionAll(rows.filter(peak_filter(F.col("p_size"), "7")))
 
 
-_RULES = [
-    ("element", F.col("l_returnflag") == "R"),
-    ("quantity", F.col("l_quantity") < 5),
-    ("discount", F.col("l_discount") >= 0.09),
-    ("area", F.col("l_extendedprice") > 90000),
-]
+def _rules() -> list[tuple[str, F.Column]]:
+    return [("element", F.col("l_returnflag") == "R"), ("quantity", F.col("l_quantity") < 5), ("discount", F.col("l_discount") >= 0.09), ("area", F.col("l_extendedprice") > 90000)]
 
 
 @query(
@@ -79,7 +75,7 @@ SELECT coalesce(reason, 'kept') AS reason, count(*) AS n, (SELECT count(*) FROM
 """,
 )
 def c12(spark: SparkSession, d: str) -> DataFrame:
-    screened = replicates.screen(table(spark, d, "lineitem"), _RULES)
+    screened = replicates.screen(table(spark, d, "lineitem"), _rules())
     total = replicates.reconciled(screened).select("n_input")
     counts = screened.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
     return counts.join(F.broadcast(total))  # one row
