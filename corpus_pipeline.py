@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sillage.llm import bpe, minhash, mixing, pii, quality
+from sillage.llm.arrow import whole_texts
 from sillage.llm.queries import PII_KEY, TOKEN_PATTERN, TOKENIZER, WEIGHTS, table
 from sillage.llm.scratch import Scratch
 
@@ -34,6 +35,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (packed little-endian 32-bit) and the digest of the text decoded from them."""
+    whole_texts(spark)
     out = bpe.encode(docs, bpe.Vocabulary(bpe.load_ranks(TOKENIZER)), TOKEN_PATTERN, key="doc_id", decoded=True)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -20,6 +20,7 @@ def map_rows(columns: list[str], types: list[pa.DataType], row: Callable[..., tu
         held: list[tuple] = []
         size = 0
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             for i in range(batch.num_rows):
                 out = row(*(c[i].as_py() for c in batch.columns))
                 held.append(out)
@@ -33,13 +34,23 @@ def map_rows(columns: list[str], types: list[pa.DataType], row: Callable[..., tu
     return run
 
 
+#: The session's setting for the rows of an Arrow batch.
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def whole_texts(spark: SparkSession, rows: int = 500) -> SparkSession:
+    """Set the session up for rows that hold whole texts: fewer of them an Arrow batch than the default of 10,000."""
+    if int(spark.conf.get(_ROWS)) <= 0 or int(spark.conf.get(_ROWS)) > rows:
+        spark.conf.set(_ROWS, str(rows))
+    return spark
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
     """Fewer rows an Arrow batch while the block's jobs run, as whole texts are wide; the session's setting comes back after."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    old = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(name, old)
+        spark.conf.set(_ROWS, old)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from sillage.llm.arrow import map_rows
 
 #: Pieces and token pairs that a worker remembers before it starts anew.
-PIECES, PAIRS = 400_000, 1_000_000
+PIECES, PAIRS = 150_000, 200_000
 #: Characters of a text that are split into pieces at a time.
 BLOCK = 65_536
 
@@ -180,17 +180,6 @@ class Encoder:
         return b"".join([b"".join([table[i] for i in array[k : k + BLOCK].tolist()]) for k in range(0, len(array), BLOCK)])
 
 
-_encoders: dict[tuple[int, str], Encoder] = {}
-
-
-def _encoder(vocabulary: Vocabulary, pattern: str) -> Encoder:
-    key = (len(vocabulary.ranks), pattern)
-    if key not in _encoders or _encoders[key].ranks != vocabulary.ranks:
-        _encoders.clear()
-        _encoders[key] = Encoder(vocabulary, pattern)
-    return _encoders[key]
-
-
 def encode(df: DataFrame, vocabulary: Vocabulary, pattern: str, *, key: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """(key, ids) of every row: the ids of the whole text, packed as little-endian unsigned 32-bit integers.
 
@@ -203,7 +192,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, pattern: str, *, key: str, tex
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value, pattern)
+        encoder = Encoder(shared.value, pattern)
 
         def row(k, t):
             ids = encoder.encode(t)
@@ -224,7 +213,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, pattern: str, *, key: str, ids
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value, pattern)
+        encoder = Encoder(shared.value, pattern)
         yield from map_rows(["key", "decoded"], [kind, pa.binary()], lambda k, x: (k, encoder.decode(x)), lambda out: len(out[1]))(batches)
 
     source = df.select(F.col(key).alias("key"), F.col(ids).alias("ids"))

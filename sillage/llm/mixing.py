@@ -40,14 +40,14 @@ def _word_bucket(word: bytes) -> int:
 
 
 class _Features(dict):
-    """Raw word -> feature, remembered for up to 400,000 words; words without a feature share the last one."""
+    """Raw word -> feature, remembered for up to 100,000 words; words without a feature share the last one."""
 
     def __init__(self, chosen: np.ndarray | None):
         super().__init__()
         self.place = None if chosen is None else {int(b): i for i, b in enumerate(chosen)}
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+        if len(self) >= 100_000:
             self.clear()
         bucket = _word_bucket(word)
         value = self[word] = bucket if self.place is None else self.place.get(bucket, len(self.place))
@@ -150,8 +150,9 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, *, text: str = "text", do
 def _posterior_batches(batches: Iterator[pa.RecordBatch], text: int, model: Classifier) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     memo = _Features(model.chosen)
     for batch in batches:
-        for start in range(0, batch.num_rows, 512):
-            part = batch.slice(start, 512)
+        pa.default_memory_pool().release_unused()
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
             counted = [memo.counts(t.as_py()) for t in part.column(text)]
             yield part, np.array([n for n, _ in counted], np.int64), model.posteriors(np.stack([c for _, c in counted]))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sillage.llm import bpe, chat, langid, minhash, mixing, pii, quality, sketch, urls, warc
+from sillage.llm.arrow import whole_texts
 from sillage.llm.scratch import Scratch
 
 #: Parameters of the production runs.
@@ -27,7 +28,8 @@ EXTRA_CONVERSATION = r"\### Assistant: </turn> ok"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the corpus, in a session set up for whole texts."""
+    return whole_texts(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
