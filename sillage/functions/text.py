@@ -82,7 +82,7 @@ def registry_numbers(text: Column) -> Column:
 
 
 def split_terms(text: Column, separators: str = r"[,;|]") -> Column:
-    return F.filter(F.transform(F.split(text, separators), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(text, separators), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def useful_term(term: Column) -> Column:

@@ -74,6 +74,6 @@ def header_rows(rows, required: list[str]):
     """For each sheet the number of the first row that holds all required headers."""
     from pyspark.sql import functions as F
 
-    trimmed = F.transform("cells", F.trim)
+    trimmed = F.transform("cells", lambda c: F.trim(c))
     there = F.size(F.array_except(F.array(*map(F.lit, required)), trimmed)) == 0
     return rows.filter(there).groupBy("sheet").agg(F.min("source_row").alias("header_row"))
