@@ -39,3 +39,8 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def popular(events: DataFrame, key: str, limit: int) -> DataFrame:
+    """The keys with most events, for ``complete`` mode."""
+    return events.groupBy(key).count().orderBy(F.desc("count"), key).limit(limit)
