@@ -118,3 +118,19 @@ def as_mgf(title: Column, precursor: Column, peaks: Column) -> Column:
     """A spectrum as an MGF block."""
     rows = F.array_join(F.transform(peaks, lambda p: F.concat_ws(" ", p["mz"].cast("string"), p["intensity"].cast("string"))), "\n")
     return F.concat_ws("\n", F.lit("BEGIN IONS"), F.concat(F.lit("TITLE="), title), F.concat(F.lit("PEPMASS="), precursor.cast("string")), rows, F.lit("END IONS"))
+
+
+def as_csv(peaks: Column) -> Column:
+    """Peaks as CSV with a header."""
+    rows = F.transform(peaks, lambda p: F.concat_ws(",", p["mz"].cast("string"), p["intensity"].cast("string")))
+    return F.concat_ws("\n", F.lit("mz,intensity"), F.array_join(rows, "\n"))
+
+
+def exported(licensed: Column, text: Column) -> Column:
+    """The text if the licence allows a download; asking for another is an error."""
+    return F.when(licensed["download"], text).otherwise(F.raise_error(F.lit("the licence does not allow a download")).cast("string"))
+
+
+def comparison_json(compared: Column, tolerance: float, ppm: bool, a: Column, b: Column) -> Column:
+    """A comparison as JSON: metrics, matches, tolerance, and where both spectra came from."""
+    return F.to_json(F.struct(F.struct(F.lit(tolerance).alias("value"), F.lit("ppm" if ppm else "Da").alias("mode")).alias("tolerance"), compared.alias("result"), a.alias("a"), b.alias("b")))

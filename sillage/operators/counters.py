@@ -48,3 +48,17 @@ def fresh(cache: DataFrame, lifetimes: dict[str, int], now: Column, *, source: s
         days = F.when(F.col(source) == name, n).otherwise(days)
     age = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col(ts).cast("timestamp"))
     return cache.filter(F.col("status").isin(*persisted) & (age >= 0) & (age <= days * 86400))
+
+
+def served(cache: DataFrame, now: Column, *, key: str = "key", ts: str = "stored_at", hours: Column | int = 24, allowed: str = "download_allowed") -> DataFrame:
+    """The latest row of each key that may be kept (its licence allows it) and is not older than its hours."""
+    hours = hours if isinstance(hours, Column) else F.lit(hours)
+    age = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col(ts).cast("timestamp"))
+    good = cache.filter(F.col(allowed) & (age >= 0) & (age <= hours * 3600))
+    rest = [c for c in cache.columns if c != key]
+    return good.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(ts, *[c for c in rest if c != ts])).alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in rest))
+
+
+def to_fetch(requests: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """Distinct requested keys that are not kept: each is fetched once however often it is asked for."""
+    return requests.select(key).filter(F.col(key).isNotNull()).distinct().join(kept.select(key), key, "left_anti")

@@ -141,3 +141,13 @@ def semiquantitate(area: Column, standard_area: Column, concentration: Column) -
     value = F.try_divide(area, standard_area) * concentration
     status = F.when(area.isNull(), "missing_area").when(area == 0, "zero_area_not_quantifiable").when(standard_area.isNull() | (standard_area <= 0), "missing_standard").otherwise("quantified")
     return F.struct(F.when(status == "quantified", value).alias("value"), status.alias("status"))
+
+
+def imputed_concentration(concentrations: Column) -> Column:
+    """Aggregate: the mean of a standard's concentrations in the other replicates, if there are exactly two."""
+    return F.when(F.count(concentrations) == 2, F.avg(concentrations))
+
+
+def back_calculated(area: Column, standard_area: Column, concentration: Column, reported: Column, tolerance: float = 0.001) -> Column:
+    """Whether a reported amount follows from its areas within the tolerance; null if it can't be worked out."""
+    return relative_error(F.try_divide(area, standard_area) * concentration, reported) <= tolerance

@@ -98,3 +98,27 @@ def statuses(answers: DataFrame, service: str, *, key: str = "key", payload: str
         .otherwise("no_data")
     )
     return joined.select("key", status.alias("status"), "records")
+
+
+def combined(statuses_: dict[str, DataFrame]) -> DataFrame:
+    """(key, one column a source, status): all sources' statuses and what they come to.
+
+    ok if one has records and none failed, partial if one has and one failed, no_data if
+    none has and none failed, else upstream_unavailable.
+    """
+    out = None
+    for name, df in statuses_.items():
+        side = df.select("key", F.col("status").alias(name))
+        out = side if out is None else out.join(side, "key", "full_outer")
+    columns = [F.coalesce(F.col(n), F.lit("no_data")) for n in statuses_]
+    some, failed = (F.array_contains(F.array(*(test(c) for c in columns)), True) for test in (lambda c: c == "ok", lambda c: ~c.isin("ok", "no_data")))
+    status = F.when(some & ~failed, "ok").when(some, "partial").when(~failed, "no_data").otherwise("upstream_unavailable")
+    return out.select("key", *(c.alias(n) for c, n in zip(columns, statuses_, strict=True)), status.alias("status"))
+
+
+def by_reference(info: DataFrame, *, key: str, reference: str, name: str, value: str, wanted: list[str], needed: list[str], limit: int = 6) -> DataFrame:
+    """Named values of each reference number side by side; those that lack a needed one are left out, and the first ``limit`` of a key stay."""
+    rows = info.groupBy(key, reference).agg(*(F.first(F.when(F.col(name) == w, F.col(value)), ignorenulls=True).alias(w) for w in wanted))
+    usable = rows.filter(" and ".join(f"`{n}` is not null" for n in needed)) if needed else rows
+    ranked = usable.select(F.col(key).alias("key"), F.col(reference).alias("pos"), *wanted)
+    return _first(ranked, limit).select(F.col("key").alias(key), F.col("pos").alias(reference), *wanted)

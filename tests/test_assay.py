@@ -5,8 +5,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from sillage.functions import names
-from sillage.operators import assay, dossier
+from sillage.functions import names, spectra, vocabulary
+from sillage.operators import assay, counters, dossier, replicates
+from sillage.sources import services
 
 
 def one(spark, column):
@@ -111,3 +112,45 @@ def test_dossiers(spark):
     matches = spark.createDataFrame([(1, 1, 0)], "k int, a int, b int")
     assert sorted((r["side"], r["index"], r["partner"]) for r in dossier.decorate(peaks, matches, ["k"]).collect() if r["partner"] is not None) == [("a", 1, 0), ("b", 0, 1)]
     assert dossier.visible(spark.createDataFrame([("u",), ("v",)], "user_id string"), "u", False).count() == 1
+
+
+def test_vocabulary(spark):
+    terms = F.array(F.lit("Sweet apple"), F.lit("GREEN"))
+    assert one(spark, vocabulary.categories(terms, {"fruity": ["apple", "pear"], "fresh": ["green"], "other": ["smoke"]})) == ["fresh", "fruity"]
+    assert one(spark, vocabulary.translate_terms(terms, {"green": "青"})) == ["Sweet apple", "青"] and one(spark, vocabulary.translate_terms(terms, {})) == ["Sweet apple", "GREEN"]
+    assert one(spark, vocabulary.replace_words(F.lit("wine, beer"), [("wine", "葡萄酒")])) == "葡萄酒, beer"
+    assert one(spark, vocabulary.labels(F.lit("odor threshold in wine"), [("threshold", "threshold"), ("odor", "odor"), ("taste", "taste")])) == ["threshold", "odor"]
+    grade = lambda a, n, b, m: one(spark, vocabulary.conflict(F.lit(a), F.array(*map(F.lit, n)) if n else F.array().cast("array<string>"), F.lit(b), F.lit(m), [("已", "己")]))
+    assert grade("已醛", ["hexanal"], "己醛", "Hexanal") == "likely_scan_error" and grade("乙醇", [], "甲醇", "Methanol") == "insufficient"
+    assert grade("异丁醇", ["x"], "丁醇", "y") == "name_variant" and grade("叶醇", ["cis-3-hexenol"], "别名", "3-Hexenol") == "name_variant" and grade("乙醇", ["ethanol"], "丙酮", "Acetone") == "identity_conflict"
+
+
+def test_quality_control(spark):
+    assert one(spark, replicates.back_calculated(F.lit(50.0), F.lit(100.0), F.lit(2.0), F.lit(1.0005))) and not one(spark, replicates.back_calculated(F.lit(50.0), F.lit(100.0), F.lit(2.0), F.lit(1.1)))
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 1.0)], "k string, c double")
+    assert {r["k"]: r["x"] for r in df.groupBy("k").agg(replicates.imputed_concentration(F.col("c")).alias("x")).collect()} == {"a": 2.0, "b": None}
+
+
+def test_caches_and_sources(spark):
+    rows = [("a", "2024-01-02 00:00:00", True, 1), ("a", "2024-01-02 06:00:00", True, 2), ("b", "2024-01-01 00:00:00", True, 3), ("c", "2024-01-02 06:00:00", False, 4), ("d", "2024-01-03 00:00:00", True, 5)]
+    cache = spark.createDataFrame(rows, "key string, stored_at string, download_allowed boolean, v int").withColumn("stored_at", F.to_timestamp("stored_at"))
+    kept = counters.served(cache, F.lit("2024-01-02 12:00:00").cast("timestamp"))
+    assert {r["key"]: r["v"] for r in kept.collect()} == {"a": 2}
+    asked = spark.createDataFrame([("a",), ("c",), ("c",), (None,)], "key string")
+    assert [r["key"] for r in counters.to_fetch(asked, kept, "key").collect()] == ["c"]
+    side = lambda *x: spark.createDataFrame(x, "key string, status string")
+    got = {r["key"]: r["status"] for r in services.combined({"x": side(("1", "ok"), ("2", "ok"), ("3", "no_data")), "y": side(("1", "no_data"), ("2", "invalid_response"), ("4", "upstream_unavailable"))}).collect()}
+    assert got == {"1": "ok", "2": "partial", "3": "no_data", "4": "upstream_unavailable"}
+    info = spark.createDataFrame([(1, 7, "CCDC", "a"), (1, 7, "link", "u"), (1, 8, "CCDC", "b"), (1, 9, "link", "w")], "cid int, ref int, name string, value string")
+    assert [tuple(r) for r in services.by_reference(info, key="cid", reference="ref", name="name", value="value", wanted=["CCDC", "link"], needed=["link"]).orderBy("ref").collect()] == [(1, 7, "a", "u"), (1, 9, None, "w")]
+
+
+def test_spectrum_exports(spark):
+    peaks = F.array(F.struct(F.lit(43.0).alias("mz"), F.lit(100.0).alias("intensity")))
+    assert one(spark, spectra.as_csv(peaks)) == "mz,intensity\n43.0,100.0"
+    allowed = spectra.licence(F.lit("CC0"), F.lit("ok"))
+    assert one(spark, spectra.exported(allowed, spectra.as_mgf(F.lit("t"), F.lit(50.5), peaks))).startswith("BEGIN IONS\nTITLE=t\nPEPMASS=50.5\n43.0 100.0")
+    with pytest.raises(Exception, match="does not allow"):
+        one(spark, spectra.exported(spectra.licence(F.lit("closed"), F.lit("ok")), F.lit("x")))
+    text = one(spark, spectra.comparison_json(spectra.compare(peaks, peaks, tolerance=0.1), 0.1, False, F.lit("a"), F.lit("b")))
+    assert '"similarity":1.0' in text and '"mode":"Da"' in text
