@@ -70,8 +70,9 @@ class Classifier:
     bias: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, domains: list[str], chosen: np.ndarray, steps: int = 300, ridge: float = 1e-4) -> Classifier:
-        x = x.astype(np.float32)
+    def fit(cls, x: np.ndarray, y: np.ndarray, domains: list[str], chosen: np.ndarray, steps: int = 300, ridge: float = 1e-3) -> Classifier:
+        scale = x.std(axis=0, dtype=np.float64).astype(np.float32) + np.float32(1e-3)
+        x = x.astype(np.float32) / scale
         goal = np.eye(len(domains), dtype=np.float32)[y]
         weights, bias = np.zeros((x.shape[1], len(domains)), np.float32), np.log(goal.mean(axis=0) + 1e-9)
         rate = 4.0 / max(1.0, float((x**2).sum(axis=1).mean()))
@@ -81,7 +82,7 @@ class Classifier:
             speed_w = 0.9 * speed_w - rate * (x.T @ error / len(x) + ridge * weights)
             speed_b = 0.9 * speed_b - rate * error.mean(axis=0)
             weights, bias = weights + speed_w, bias + speed_b
-        return cls(domains, chosen, weights, bias)
+        return cls(domains, chosen, weights / scale[:, None], bias)
 
     def posteriors(self, counts: np.ndarray) -> np.ndarray:
         return _softmax(np.log1p(counts[:, :-1].astype(np.float32)) @ self.weights + self.bias).astype(np.float64)
@@ -93,8 +94,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def default_domain() -> Column:
-    """The domain of a label row: toxic, low (quality 0) or clean; null if it is unlabelled."""
-    return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when((F.col("quality") == 1) & (F.col("toxic") == 0), "clean")
+    """The domain of a label row: low (quality 0), toxic or clean; null if that can't be told."""
+    return F.when(F.col("quality") == 0, "low").when(F.col("toxic") == 1, "toxic").when((F.col("quality") == 1) & (F.col("toxic") == 0), "clean")
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", domain: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> Classifier | None:
@@ -178,11 +179,14 @@ class Rates:
     totals: np.ndarray
     targets: np.ndarray
     tokens: np.ndarray
+    keep: int | None = None
 
     def of(self, p: np.ndarray) -> np.ndarray:
+        """Rates of documents by their posteriors; at least 1 for those that are rather of the domain ``keep`` than not."""
+        least = np.zeros(len(p)) if self.keep is None else (p[:, self.keep] > 0.5).astype(float)
         w = np.ones(len(p))
         for step in self.steps:
-            w = np.maximum(0.0, w - p @ step)
+            w = np.maximum(least, w - p @ step)
         return w
 
 
@@ -190,7 +194,8 @@ def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], *
     """Rates for a written table (n_tokens, posterior), whose expected domain tokens match ``weights``.
 
     The token budget is ``budget``, or what gives the domain ``keep`` its present
-    tokens and ``surplus`` more, or else the present total.  A domain without any
+    tokens and ``surplus`` more, or else the present total.  No document that is rather
+    of the domain ``keep`` than not gets a rate under 1.  A domain without any
     tokens is left alone; if targets can't all be met, the result is the least-squares
     compromise.
     """
@@ -210,16 +215,16 @@ def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], *
         parts = table.select("n_tokens", "posterior").mapInArrow(run, "total binary").collect()
         return sum((np.frombuffer(r["total"]) for r in parts), np.zeros(k + squares * k * k))
 
+    at = domains.index(keep) if keep in domains else None
     start = sums(Rates([], *np.zeros((3, k))), True)
     mass, square = start[:k], start[k:].reshape(k, k)
     share = np.array([weights.get(d, 0.0) for d in domains])
     share = share / share.sum() if share.sum() else np.full(k, 1.0 / max(k, 1))
     if budget is None:
-        at = domains.index(keep) if keep in domains else -1
-        budget = mass[at] * (1 + surplus) / share[at] if at >= 0 and share[at] > 0 else mass.sum()
+        budget = mass[at] * (1 + surplus) / share[at] if at is not None and share[at] > 0 else mass.sum()
     targets, scale = share * budget, np.maximum(mass, 1e-9)
     live = mass > 0
-    rates = Rates([], mass, targets, mass)
+    rates = Rates([], mass, targets, mass, at)
     if not live.any():
         return rates
     root = 1 / np.sqrt(scale)

@@ -15,7 +15,7 @@ from sillage.llm.scratch import Scratch
 #: Parameters of the production runs.
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 TOKEN_PATTERN = public_tokenizers.PATTERN
-WEIGHTS = {"clean": 0.97, "toxic": 0.02, "low": 0.01}
+WEIGHTS = {"clean": 0.985, "toxic": 0.01, "low": 0.005}
 PII_KEY = "change-me: read this from a secret store"
 URL_RULES = [
     urls.HostRule("allow", "com"),

@@ -121,18 +121,17 @@ def test_language_scores_do_not_depend_on_batches():
 
 
 def test_mixing_meets_its_targets(spark):
-    labels = {r["doc_id"]: ("toxic" if r["toxic"] else "clean" if r["quality"] else "low") for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    labels = {r["doc_id"]: ("low" if not r["quality"] else "toxic" if r["toxic"] else "clean") for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     out = op1_mixing(spark, SF).collect()
     p, t, w = np.array([r["posterior"] for r in out]), np.array([r["n_tokens"] for r in out]), np.array([r["rate"] for r in out])
     assert (w >= 0).all() and np.allclose(p.sum(axis=1), 1, atol=1e-5)
     share = (w * t) @ p
     share = dict(zip(out[0]["domains"], share / share.sum(), strict=True))
-    assert all(abs(share[d] - x) < 0.01 for d, x in WEIGHTS.items())
-    # the rates are the projected gradient's: worked out again, all at once
+    assert all(abs(share[d] - x) < 0.015 for d, x in WEIGHTS.items())
     seen = [(r["domains"][int(np.argmax(r["posterior"]))], labels[r["doc_id"]], r["copies"]) for r in out if r["doc_id"] in labels]
     assert np.mean([a == b for a, b, _ in seen]) > 0.93
     clean = [c for a, b, c in seen if b == "clean"]
-    assert np.mean(np.array(clean) > 0) > 0.97
+    assert np.mean(np.array(clean) > 0) > 0.995
 
 
 def test_rates_equal_a_plain_solver(spark):
