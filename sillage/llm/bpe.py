@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sillage.llm.arrow import map_rows
+from sillage.llm.arrow import map_rows, tidy
 
 #: Pieces and token pairs that a worker remembers before it starts anew.
 PIECES, PAIRS = 150_000, 200_000
@@ -205,7 +205,7 @@ def encode(df: DataFrame, vocabulary: Vocabulary, pattern: str, *, key: str, tex
     source = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[source.dtypes[0][1]]
     schema = f"key {source.dtypes[0][1]}, ids binary" + ", decoded binary" * decoded
-    return source.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return source.mapInArrow(tidy(run), schema).withColumnRenamed("key", key)
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, pattern: str, *, key: str, ids: str = "ids") -> DataFrame:
@@ -218,7 +218,7 @@ def decode(df: DataFrame, vocabulary: Vocabulary, pattern: str, *, key: str, ids
 
     source = df.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
     kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[source.dtypes[0][1]]
-    return source.mapInArrow(run, f"key {source.dtypes[0][1]}, decoded binary").withColumnRenamed("key", key)
+    return source.mapInArrow(tidy(run), f"key {source.dtypes[0][1]}, decoded binary").withColumnRenamed("key", key)
 
 
 def unpack(ids) -> F.Column:

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sillage.llm.arrow import tidy
 from sillage.llm.scratch import Scratch
 
 
@@ -59,7 +60,7 @@ def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
     map-side combine and joins that Spark can split are used, so a component with a
     large part of all nodes is no single task's work.
     """
-    edges = scratch.save(links.mapInArrow(_forests, "hi long, lo long").distinct())
+    edges = scratch.save(links.mapInArrow(tidy(_forests), "hi long, lo long").distinct())
     labels = None
     while not edges.isEmpty():
         forest = scratch.save(edges.groupBy("hi").agg(F.min("lo").alias("lo")))

@@ -16,6 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sillage.llm.arrow import tidy
 from sillage.llm.samples import bounded
 
 #: Learning documents that the model is fitted on at most, and buckets of n-grams.
@@ -121,7 +122,7 @@ def fit_language_model(docs: DataFrame, *, text: str = "text", lang: str = "lang
         for name, total in totals.items():
             yield pa.RecordBatch.from_pydict({"lang": [name], "documents": [documents[name]], "counts": [total.tobytes()]})
 
-    counted = rows.join(F.broadcast(ids), F.col("doc_id").cast("long") == F.col("_key"), "left_semi").select("text", "lang").mapInArrow(count, "lang string, documents long, counts binary")
+    counted = rows.join(F.broadcast(ids), F.col("doc_id").cast("long") == F.col("_key"), "left_semi").select("text", "lang").mapInArrow(tidy(count), "lang string, documents long, counts binary")
     totals: dict[str, np.ndarray] = {}
     documents: dict[str, int] = {}
     for row in counted.toLocalIterator():
@@ -148,4 +149,4 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", doc_id: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return source.mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sillage.llm.arrow import small_batches
+from sillage.llm.arrow import small_batches, tidy
 from sillage.llm.components import connected_components
 from sillage.llm.scratch import Scratch, small
 from sillage.llm.shingles import WordHashes, band_keys, shingle_set, superminhash
@@ -73,7 +73,7 @@ def signatures(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", w
                 )
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return source.mapInArrow(tidy(sign), "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, *, width: int, percent: int) -> DataFrame:
@@ -99,7 +99,7 @@ def verified(pairs: DataFrame, texts: DataFrame, *, width: int, percent: int) ->
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(check, "a long, b long")
+    return both.mapInArrow(tidy(check), "a long, b long")
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame, text: str, doc_id: str, classes: DataFrame | None = None) -> DataFrame:
@@ -140,7 +140,7 @@ def _shingle_rows(texts: DataFrame, width: int) -> DataFrame:
                 flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(held)), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["rep", "shingles"])
 
-    sets = texts.mapInArrow(split, "rep long, shingles array<long>")
+    sets = texts.mapInArrow(tidy(split), "rep long, shingles array<long>")
     return sets.select("rep", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sillage.llm.arrow import tidy
 from sillage.llm.samples import bounded
 from sillage.llm.scratch import Scratch
 
@@ -123,7 +124,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, *, text: str = "text", do
             yield pa.RecordBatch.from_pydict({"total": [total.astype("<i4").tobytes()], "seen": [seen.tobytes()]})
 
     total, seen = np.zeros((len(domains), BUCKETS)), np.zeros(len(domains))
-    for row in source.mapInArrow(count, "total binary, seen binary").toLocalIterator():
+    for row in source.mapInArrow(tidy(count), "total binary, seen binary").toLocalIterator():
         total += np.frombuffer(row["total"], "<i4").reshape(total.shape)
         seen += np.frombuffer(row["seen"], np.int64)
     every = seen.sum()
@@ -140,7 +141,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, *, text: str = "text", do
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], ["x", "y"])
 
     x, y = [], []
-    for row in source.mapInArrow(vectors, "x binary, y int").limit(4 * sample_rows).toLocalIterator():
+    for row in source.mapInArrow(tidy(vectors), "x binary, y int").limit(4 * sample_rows).toLocalIterator():
         x.append(row["x"])
         y.append(row["y"])
     order = sorted(range(len(x)), key=lambda i: (x[i], y[i]))
@@ -168,7 +169,7 @@ def domain_posteriors(docs: DataFrame, model: Classifier, *, text: str = "text",
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens), pa.ListArray.from_arrays(offsets, pa.array(p.ravel()))], ["doc_id", "n_tokens", "posterior"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>")
+    return source.mapInArrow(tidy(run), "doc_id long, n_tokens long, posterior array<double>")
 
 
 @dataclass
@@ -212,7 +213,7 @@ def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], *
                     total[k:] += ((p * t[:, None]).T @ p).ravel()
             yield pa.RecordBatch.from_pydict({"total": [total.tobytes()]})
 
-        parts = table.select("n_tokens", "posterior").mapInArrow(run, "total binary").collect()
+        parts = table.select("n_tokens", "posterior").mapInArrow(tidy(run), "total binary").collect()
         return sum((np.frombuffer(r["total"]) for r in parts), np.zeros(k + squares * k * k))
 
     at = domains.index(keep) if keep in domains else None
@@ -271,7 +272,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float],
             p = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(model.domains))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates.of(p))], ["doc_id", "n_tokens", "posterior", "rate"])
 
-    out = table.mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>, rate double")
+    out = table.mapInArrow(tidy(run), "doc_id long, n_tokens long, posterior array<double>, rate double")
     names = F.array(*map(F.lit, model.domains))
     return out.select("doc_id", "n_tokens", names.alias("domains"), "posterior", "rate", copies(F.col("rate"), F.col("doc_id"), seed).alias("copies"))
 
@@ -292,6 +293,6 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, text:
         for part, _, p in _posterior_batches(batches, at, shared.value):
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rates.of(p))], [*names, "__rate"])
 
-    rated = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__rate", T.DoubleType())]))
+    rated = docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField("__rate", T.DoubleType())]))
     counted = rated.withColumn("__copies", copies(F.col("__rate"), F.col(doc_id).cast("long"), seed)).filter("__copies > 0")
     return counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*(F.col(f"`{c}`") for c in names))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sillage.llm.arrow import tidy
 from sillage.llm.samples import bounded
 from sillage.llm.scratch import Scratch, small
 
@@ -176,7 +177,7 @@ def rule_statistics(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *COUNTS, *_MORE, "anomaly"][: len(columns)])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, f"doc_id long, {_TYPES}" + ", anomaly double" * (forest is not None))
+    return source.mapInArrow(tidy(run), f"doc_id long, {_TYPES}" + ", anomaly double" * (forest is not None))
 
 
 def fit_forest(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", quality: str = "quality", min_words: int = 50, max_repeat_percent: int = 50, sample_rows: int = SAMPLE_ROWS, trees: int = 100, rows: int = 256, seed: int = 7, caution: float = 20.0) -> Forest | None:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sillage.llm.arrow import map_rows
+from sillage.llm.arrow import map_rows, tidy
 from sillage.llm.scratch import Scratch, small
 
 _BUFFER = 1 << 20
@@ -120,7 +120,7 @@ def write_archives(rows: DataFrame, folder: str, *, date: str = "2024-01-01T00:0
         if target is not None:
             yield close()
 
-    return rows.select("key", "url", "payload", "digest", "refers_to").mapInArrow(run, "path string, records long")
+    return rows.select("key", "url", "payload", "digest", "refers_to").mapInArrow(tidy(run), "path string, records long")
 
 
 class _Inflated:
@@ -203,7 +203,7 @@ def normalise(files: DataFrame, folder: str, *, level: int = 4) -> DataFrame:
         return target, f"{target}.idx", normalise_file(path, target, level)
 
     run = map_rows(["path", "index_path", "records"], [pa.string(), pa.string(), pa.int64()], row)
-    return files.select("path").mapInArrow(run, "path string, index_path string, records long")
+    return files.select("path").mapInArrow(tidy(run), "path string, index_path string, records long")
 
 
 def read_record(data: bytes) -> tuple[dict[str, str], bytes, bytes]:
@@ -259,7 +259,7 @@ def read_archives(files: DataFrame, *, payload: bool = False) -> DataFrame:
     names = ["key", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"][: 7 if payload else 6]
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: len(names)]
     schema = "key long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payload
-    return files.select("path", "index_path").mapInArrow(run, schema)
+    return files.select("path", "index_path").mapInArrow(tidy(run), schema)
 
 
 def _batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
