@@ -81,3 +81,17 @@ def entities(found: DataFrame) -> DataFrame:
     """One row for each registry number: its first page and block."""
     rows = found.select("page", "block", F.explode(text.registry_numbers(F.col("text"))).alias("entity"))
     return first_per_key(rows, ["entity"], ["page", "block"])
+
+
+def report(blocks_: DataFrame, thresholds: DataFrame, bad_patterns: dict[str, str]) -> DataFrame:
+    """(metric, value): counts of blocks, entities and thresholds, of each block type, medium and doubt, and of each bad pattern in the texts."""
+    count = lambda df, name: df.groupBy().agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value")
+    by = lambda df, prefix, column: df.groupBy(F.concat(F.lit(prefix), column).alias("metric")).agg(F.count("*").alias("value"))
+    out = count(blocks_, "blocks").unionAll(count(entities(blocks_), "entities")).unionAll(count(thresholds, "thresholds"))
+    out = out.unionAll(by(blocks_, "block_type:", F.col("block_type"))).unionAll(by(thresholds, "medium:", F.col("medium")))
+    out = out.unionAll(by(thresholds.select(F.explode("review_flags").alias("flag")), "flag:", F.col("flag")))
+    if bad_patterns:
+        found = blocks_.agg(*(F.coalesce(F.sum(F.regexp_count("text", F.lit(p))), F.lit(0)).cast("long").alias(n) for n, p in bad_patterns.items()))
+        pairs = F.explode(F.array(*(F.struct(F.lit(f"bad:{n}").alias("metric"), F.col(n).alias("value")) for n in bad_patterns)))
+        out = out.unionAll(found.select(pairs.alias("x")).select("x.metric", "x.value"))
+    return out
