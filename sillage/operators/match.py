@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,7 +79,9 @@ def tolerance_join(a: DataFrame, b: DataFrame, *, on: list[str], left: str, righ
     Both sides are put in buckets as wide as the tolerance, so it is an equi-join on
     neighbouring buckets with the exact test applied again.
     """
-    width = F.log1p(F.lit(tolerance * 1e-6)) if ppm else F.lit(tolerance)
+    # a shade wider than the largest gap that passes, so a pair is never two buckets apart
+    half = tolerance * 5e-7
+    width = F.lit(math.log((1 + half) / (1 - half)) * (1 + 1e-9) + 1e-12 if ppm else tolerance * (1 + 1e-9) + 1e-9)
     at = lambda c: F.floor((F.ln(F.col(c)) if ppm else F.col(c)) / width)
     near = a.withColumn("_b", F.explode(F.array(*(at(left) + d for d in (-1, 0, 1)))))
     joined = near.join(b.withColumn("_b", at(right)), [*on, "_b"])

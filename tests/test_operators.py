@@ -244,3 +244,14 @@ def test_publication_is_checked(spark, tmp_path):
     exports.replace_partitions(df, str(tmp_path / "p"), "lib")
     exports.replace_partitions(spark.range(1).selectExpr("id", "1L as lib"), str(tmp_path / "p"), "lib")
     assert spark.read.parquet(str(tmp_path / "p")).count() == 4
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.integers(1000, 1200), min_size=1, max_size=25), st.lists(st.integers(1000, 1200), min_size=1, max_size=25), st.booleans())
+def test_tolerance_joins_lose_no_pair(spark, a, b, ppm):
+    tolerance = 30_000.0 if ppm else 30.0
+    left = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(a)], "k int, i int, x double")
+    right = spark.createDataFrame([(1, j, float(v)) for j, v in enumerate(b)], "k int, j int, y double")
+    got = sorted((r["i"], r["j"]) for r in match.tolerance_join(left, right, on=["k"], left="x", right="y", tolerance=tolerance, ppm=ppm).collect())
+    near = lambda x, y: abs(x - y) <= ((x + y) / 2 * tolerance * 1e-6 if ppm else tolerance) + 1e-12
+    assert got == sorted((i, j) for i, x in enumerate(a) for j, y in enumerate(b) if near(float(x), float(y)))
