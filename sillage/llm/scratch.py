@@ -32,6 +32,7 @@ class Scratch:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._count = 0
+        _folders.append(self.folder)
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return the written table."""
@@ -41,11 +42,17 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that ``save`` returned and nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
-        if path is not None and self.folder.split("/")[-1] in str(path):
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+#: Folders that this driver's operators have written to.
+_folders: list[str] = []
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all scratch tables and archives so far; call it when every result that reads them is written."""
+    for folder in _folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    _folders.clear()
 
 
 #: Rows of 8-byte ids up to which a join side is broadcast (about 8 MB); beyond, it is shuffled.

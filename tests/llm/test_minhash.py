@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ import pytest
 from sillage.llm import minhash
 from sillage.llm.components import connected_components, union_find
 from sillage.llm.queries import op4_minhash
-from sillage.llm.scratch import Scratch
+from sillage.llm.scratch import Scratch, sweep
 from sillage.llm.shingles import EMPTY, WordHashes, shingle_set, superminhash
 
 SF = "/root/testdata/sf0.001"
@@ -126,3 +127,13 @@ def test_shingles_match_their_definition():
     memo = WordHashes(limit=3)
     assert len(shingle_set("a b c d e f a b c d e f", memo)) == 6
     assert np.array_equal(shingle_set("A B\x0bC\x1cx D E", memo), shingle_set("a b c\x1cx d e", memo))
+
+
+def test_scratch_tables_are_swept(spark):
+    scratch = Scratch(spark, "swept")
+    table = scratch.save(spark.range(3))
+    assert table.count() == 3
+    folder = scratch.folder.removeprefix("file://")
+    assert Path(folder).exists()
+    sweep(spark)
+    assert not Path(folder).exists()
