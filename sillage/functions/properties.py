@@ -27,6 +27,7 @@ PRIMARY = {
     "density": ["g/cm³"],
     "melting_point": ["°C"],
 }
+# What a number, a value with its unit, and a mention of water look like.
 _NUMBER = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+|\s*[x×X]\s*10[+-]?[0-9]+)?"
 _UNIT = "|".join(re.sub(r"([^\w°³])", r"\\\1", u) for u in sorted(UNITS, key=len, reverse=True))
 _VALUE = rf"(?i)(?<![\w.+-])({_NUMBER})\s*({_UNIT})(?![A-Za-z0-9])"

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Fixed value: what a registry number looks like.
 REGISTRY_NUMBER = r"[0-9]{2,7}-[0-9]{2}-[0-9]"
 
 
