@@ -12,6 +12,7 @@ can stand together is found by undoing their merges in reverse order, and rememb
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from sillage.llm.arrow import map_rows, tidy
 
 #: Pieces and token pairs that a worker remembers before it starts anew.
-PIECES, PAIRS = 150_000, 200_000
+PIECES, PAIRS = 250_000, 200_000
 #: Characters of a text that are split into pieces at a time.
 BLOCK = 65_536
 
@@ -128,10 +129,10 @@ class Encoder:
         for end, (rank, length) in self.automaton.iter(data.decode("latin-1")):
             longest[end - length + 1] = rank
         alive, ids, at, token = bytearray(b"\x01") * (size + 1), [], 0, longest[0]
-        sizes, shorter, fit = self.sizes, self.shorter, self.fit
+        sizes, shorter, fit, known = self.sizes, self.shorter, self.fit, self.pairs.get
         while at < size:
             end = at + sizes[token]
-            if alive[end] and (not ids or fit(ids[-1], token)):
+            if alive[end] and (not ids or (fit(ids[-1], token) if (stands := known(ids[-1] << 32 | token)) is None else stands)):
                 ids.append(token)
                 at = end
                 if at < size:
@@ -145,7 +146,8 @@ class Encoder:
         return ids
 
     def _piece(self, piece: str) -> bytes:
-        ids = np.array(self.encode_bytes(piece.encode()), "<u4").tobytes()
+        found = self.encode_bytes(piece.encode())
+        ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= 64:
             if len(self.pieces) >= PIECES:
                 self.pieces.clear()
