@@ -41,14 +41,14 @@ def _word_bucket(word: bytes) -> int:
 
 
 class _Features(dict):
-    """Raw word -> feature, remembered for up to 100,000 words; words without a feature share the last one."""
+    """Raw word -> feature, remembered for up to 250,000 words; words without a feature share the last one."""
 
     def __init__(self, chosen: np.ndarray | None):
         super().__init__()
         self.place = None if chosen is None else {int(b): i for i, b in enumerate(chosen)}
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 100_000:
+        if len(self) >= 250_000:
             self.clear()
         bucket = _word_bucket(word)
         value = self[word] = bucket if self.place is None else self.place.get(bucket, len(self.place))
@@ -191,14 +191,15 @@ class Rates:
         return w
 
 
-def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], *, keep: str | None = None, surplus: float = 0.05, budget: float | None = None, iterations: int = 60, tolerance: float = 1e-4) -> Rates:
+def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], *, keep: str | None = None, surplus: float = 0.05, budget: float | None = None, iterations: int = 60, tolerance: float = 1e-4, progress: float = 1e-3) -> Rates:
     """Rates for a written table (n_tokens, posterior), whose expected domain tokens match ``weights``.
 
     The token budget is ``budget``, or what gives the domain ``keep`` its present
     tokens and ``surplus`` more, or else the present total.  No document that is rather
     of the domain ``keep`` than not gets a rate under 1.  A domain without any
     tokens is left alone; if targets can't all be met, the result is the least-squares
-    compromise.
+    compromise.  The descent ends within ``tolerance`` of the budget, or when a step
+    lowers the squares by less than the share ``progress``.
     """
     k = len(domains)
 
@@ -230,10 +231,13 @@ def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], *
         return rates
     root = 1 / np.sqrt(scale)
     pace = 1 / max(float(np.linalg.eigvalsh((square * root[:, None] * root)[np.ix_(live, live)])[-1]), 1e-9)
+    before = np.inf
     for _ in range(iterations):
         error = np.where(live, rates.totals - targets, 0.0)
-        if np.abs(error).max() <= tolerance * budget:
+        size = float((error[live] ** 2 / scale[live]).sum())
+        if np.abs(error).max() <= tolerance * budget or size > before * (1 - progress):
             break
+        before = size
         rates.steps.append(pace * error / scale)
         rates.totals = sums(rates, False)
     return rates
