@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sillage.functions import measures, spectra, text
 from sillage.operators import evidence, match, replicates, retrieval
-from sillage.plans.measurements import LINE, _grid
+from sillage.plans.measurements import LINE, _grid, replicate_of
 from sillage.plans.registry import query, table
 from sillage.sinks import exports
 from sillage.sources import documents, markup
@@ -193,8 +193,24 @@ SELECT a.l_partkey, a.rep, round(area::DOUBLE / sarea * (100.0::DOUBLE * 0.01 /
 """,
 )
 def l16(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").filter("l_linenumber <= 3 and l_partkey < 200")
-    areas = lines.groupBy("l_partkey", F.col("l_linenumber").alias("rep")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("area"))
+    return _semiquantitation(table(spark, d, "lineitem").filter("l_linenumber <= 3 and l_partkey < 200"))
+
+
+@query(
+    "l16_semiquantitation_all",
+    """
+WITH a AS (SELECT l_partkey, (l_linenumber - 1) % 3 + 1 AS rep, sum(round(l_extendedprice * 100)::BIGINT) AS area FROM lineitem GROUP BY ALL),
+s AS (SELECT rep, area AS sarea FROM a WHERE l_partkey = 7)
+SELECT a.l_partkey, a.rep, round(area::DOUBLE / sarea * (100.0::DOUBLE * 0.01 / 5.01), 6) AS value, CASE WHEN sarea IS NULL THEN 'missing_standard' ELSE 'quantified' END AS status FROM a LEFT JOIN s USING (rep)
+""",
+)
+def l16_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of every part."""
+    return _semiquantitation(table(spark, d, "lineitem"))
+
+
+def _semiquantitation(lines: DataFrame) -> DataFrame:
+    areas = lines.groupBy("l_partkey", replicate_of().alias("rep")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("area"))
     standard = areas.filter("l_partkey = 7").select("rep", F.col("area").alias("sarea"))
     amount = replicates.standard_concentration(F.lit(100.0), F.lit(10.0), F.lit(5.0), F.lit(True))
     out = areas.join(F.broadcast(standard), "rep", "left")  # three rows

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sillage.functions import spectra
@@ -46,27 +46,51 @@ c AS (SELECT l_partkey, grp, replicate, n_valid, CASE WHEN n_valid >= 2 THEN CAS
 """
 
 
-def _grid(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").filter("l_linenumber <= 3")
-    areas = lines.groupBy("l_partkey", (F.col("l_suppkey") % 10).alias("grp"), F.col("l_linenumber").cast("long").alias("rep")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
+#: The grid over every line: line numbers are dealt to the three replicates in turn.
+_GRID_ALL = _GRID.replace("l_linenumber AS replicate", "(l_linenumber - 1) % 3 + 1 AS replicate").replace(" WHERE l_linenumber <= 3", "")
+
+
+def replicate_of(line: str = "l_linenumber") -> Column:
+    """The replicate, 1 to 3, that stands for a line number."""
+    return (F.col(line) - 1) % 3 + 1
+
+
+def _grid(spark: SparkSession, d: str, whole: bool = True) -> DataFrame:
+    """The grid of every line, or of line numbers 1 to 3 alone."""
+    lines = table(spark, d, "lineitem")
+    lines = lines if whole else lines.filter("l_linenumber <= 3")
+    areas = lines.groupBy("l_partkey", (F.col("l_suppkey") % 10).alias("grp"), replicate_of().cast("long").alias("rep")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
     return replicates.complete_grid(areas, keys=["l_partkey", "grp"], replicate="rep", value="cents", replicates=[1, 2, 3])
 
 
 @query("f09_replicate_grid", _GRID + "SELECT * FROM c")
 def f09(spark: SparkSession, d: str) -> DataFrame:
+    return _grid(spark, d, whole=False)
+
+
+@query("f09_replicate_grid_all", _GRID_ALL + "SELECT * FROM c")
+def f09_all(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d)
 
 
-@query(
-    "e07_mean_sd_cv",
-    _GRID
-    + """
+_STATS = """
 , s AS (SELECT l_partkey, grp, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS sd FROM c WHERE n_valid = 3 GROUP BY ALL)
 SELECT l_partkey, grp, n, round(mean, 3) AS mean, round(sd, 3) AS sd, round(sd * 100 / mean, 6) AS cv, CASE WHEN sd * 100 / mean > 30 THEN 'above_limit' ELSE 'retained' END AS status FROM s
-""",
-)
+"""
+
+
+@query("e07_mean_sd_cv", _GRID + _STATS)
 def e07(spark: SparkSession, d: str) -> DataFrame:
-    stats = replicates.mean_sd_cv(_grid(spark, d).filter("n_valid = 3"), ["l_partkey", "grp"], "value")
+    return _stats(_grid(spark, d, whole=False))
+
+
+@query("e07_mean_sd_cv_all", _GRID_ALL + _STATS)
+def e07_all(spark: SparkSession, d: str) -> DataFrame:
+    return _stats(_grid(spark, d))
+
+
+def _stats(grid: DataFrame) -> DataFrame:
+    stats = replicates.mean_sd_cv(grid.filter("n_valid = 3"), ["l_partkey", "grp"], "value")
     return stats.select("l_partkey", "grp", "n", F.round("mean", 3).alias("mean"), F.round("sd", 3).alias("sd"), F.round("cv", 6).alias("cv"), "status")
 
 
@@ -317,8 +341,8 @@ def n03(spark: SparkSession, d: str) -> DataFrame:
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Screening, duplicate resolution, replicate completion and statistics, chained."""
-    lines = table(spark, d, "lineitem").withColumns({"grp": F.col("l_suppkey") % 3, "rep": F.col("l_linenumber").cast("long"), "cas": F.col("l_partkey") % 50, "d": F.abs(F.col("l_quantity") - 25)})
-    kept = replicates.screen(lines.filter("rep <= 3"), [("quantity", F.col("l_quantity") < 5), ("area", F.col("l_extendedprice") <= 0)]).filter("reason is null")
+    lines = table(spark, d, "lineitem").withColumns({"grp": F.col("l_suppkey") % 3, "rep": replicate_of().cast("long"), "cas": F.col("l_partkey") % 50, "d": F.abs(F.col("l_quantity") - 25)})
+    kept = replicates.screen(lines, [("quantity", F.col("l_quantity") < 5), ("area", F.col("l_extendedprice") <= 0)]).filter("reason is null")
     kept = kept.withColumn("sample", F.concat_ws("-", "grp", "rep"))
     resolved = replicates.resolve_duplicates(kept.withColumnRenamed("l_extendedprice", "area"), sample="sample", key="cas", order=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], distance="d", area="area")
     areas = resolved.select("cas", F.split("sample", "-")[0].alias("grp"), F.split("sample", "-")[1].cast("long").alias("rep"), "area")
