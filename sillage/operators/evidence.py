@@ -29,7 +29,10 @@ def threshold_evidence(entries: DataFrame, *, key: str = "key", medium: str = "m
 
 def batch_review(inputs: DataFrame, matched: DataFrame, dossiers: DataFrame, *, q: str, key: str) -> DataFrame:
     """Inputs with their match's dossier counts: only an exact match gets one; position keeps repeated inputs apart."""
-    joined = matched.join(dossiers, matched["match"] == dossiers[key], "left")
+    # rows without a match meet nothing, so they are spread out instead of sharing the null key's task
+    spread = matched.withColumn("_spread", F.when(F.col("match").isNull(), F.pmod(F.xxhash64(*matched.columns), F.lit(1024)) + 1).otherwise(0))
+    one = dossiers.withColumn("_one", F.pmod(F.xxhash64(key), F.lit(1)))  # always 0, but not folded away
+    joined = spread.join(one, (spread["match"] == one[key]) & (spread["_spread"] == one["_one"]), "left").drop("_spread", "_one")
     priority = F.when(F.col("status") == "conflict", 0).when(F.col("status") == "candidate", 1).when(F.col("status") == "unmatched", 2).otherwise(3)
     return joined.withColumn("priority", priority)
 

@@ -52,14 +52,40 @@ def tiered_match(queries: DataFrame, records: DataFrame, *, q: str, key: str, na
 
     status: exact (one key in tier 1 or 2), conflict (several), candidate (tier 3), unmatched.
     """
-    query = queries.withColumn("_q", _clean(F.col(q)))
+    asked = queries.withColumn("_q", _clean(F.col(q)))
+    query = asked.select("_q").distinct()
     text = records.select(F.col(key).alias("_key"), F.explode(F.array(*(F.struct(F.lit(t).alias("tier"), F.lower(F.col(f).cast("string")).alias("name")) for t, f in [(1, key), *((2, n) for n in names)]))).alias("n")).select("_key", "n.tier", "n.name")
-    equal = query.join(text, F.col("_q") == F.col("name")).select(q, "_key", "tier")
-    part = F.broadcast(query).join(text.filter("tier = 2"), F.col("name").contains(F.col("_q")) & (F.col("_q") != "")).select(q, "_key", F.lit(3).alias("tier"))
-    best = equal.unionByName(part).groupBy(q, "tier").agg(F.countDistinct("_key").alias("n"), F.min("_key").alias("k"))
-    top = best.groupBy(q).agg(F.min_by(F.struct("tier", "n", "k"), "tier").alias("b"))
+    equal = query.join(text, F.col("_q") == F.col("name")).select("_q", "_key", "tier")
+    # candidates matter only where no key or name is equal
+    rest = query.join(equal, "_q", "left_anti")
+    named = text.filter("tier = 2").select("name", "_key")
+    part = containing(rest, named.select("name").distinct(), "_q", "name").join(named, "name").select("_q", "_key", F.lit(3).alias("tier"))
+    best = equal.unionByName(part).groupBy("_q", "tier").agg(F.countDistinct("_key").alias("n"), F.min("_key").alias("k"))
+    top = best.groupBy("_q").agg(F.min_by(F.struct("tier", "n", "k"), "tier").alias("b"))
     status = F.when(F.col("b").isNull(), "unmatched").when(F.col("b.tier") == 3, "candidate").when(F.col("b.n") > 1, "conflict").otherwise("exact")
-    return queries.join(top, q, "left").select(*queries.columns, F.col("b.tier").alias("tier"), F.coalesce("b.n", F.lit(0)).alias("n_candidates"), F.when(status == "exact", F.col("b.k")).alias("match"), status.alias("status"))
+    return asked.join(top, "_q", "left").select(*queries.columns, F.col("b.tier").alias("tier"), F.coalesce("b.n", F.lit(0)).alias("n_candidates"), F.when(status == "exact", F.col("b.k")).alias("match"), status.alias("status"))
+
+
+def _grams(text: Column, size: int) -> Column:
+    """Distinct substrings of ``size`` characters; none of a shorter or null text."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def containing(needles: DataFrame, texts: DataFrame, needle: str, text: str) -> DataFrame:
+    """(needle, text) of the distinct texts that contain a distinct non-empty needle literally.
+
+    A needle fetches its candidates by an equi-join on that of its trigrams which the
+    fewest texts have (a shorter needle by itself), with the exact test behind.
+    """
+    n = F.col(needle)
+    wanted = needles.select(n, F.explode(F.when(F.length(n) < 3, F.array(n)).otherwise(_grams(n, 3))).alias("_gram")).filter("_gram != ''")
+    held = texts.select(text, F.explode(F.concat(*(_grams(F.col(text), size) for size in (1, 2, 3)))).alias("_gram"))
+    held = held.join(wanted.select("_gram").distinct(), "_gram", "left_semi")
+    counts = held.groupBy("_gram").agg(F.count("*").alias("_n"))
+    # a gram that no text has counts as zero and then fetches nothing
+    rarest = wanted.join(counts, "_gram", "left").groupBy(needle).agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+    return rarest.join(held, "_gram").filter(F.contains(F.col(text), n)).select(needle, text)
 
 
 def first_hit(left: DataFrame, hits: DataFrame, on: list[str], order: list[str]) -> DataFrame:

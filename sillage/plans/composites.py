@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sillage.functions import measures, spectra, text
@@ -174,9 +174,31 @@ SELECT i, status, match, coalesce(lines, 0) AS lines, CASE status WHEN 'conflict
 """,
 )
 def l06(spark: SparkSession, d: str) -> DataFrame:
+    return _batch_review(spark, d, F.col("p_partkey") < 40)
+
+
+@query(
+    "l06_batch_review_all",
+    """
+WITH q(i, q) AS (SELECT p_partkey::INTEGER, CASE WHEN p_partkey % 3 = 0 THEN p_partkey::VARCHAR ELSE p_name END FROM part),
+t AS (SELECT p_partkey AS k, 1 AS tier, p_partkey::VARCHAR AS name FROM part UNION ALL SELECT p_partkey, 2, lower(p_name) FROM part),
+m AS (SELECT i, tier, k FROM q JOIN t ON name = lower(trim(q)) UNION ALL SELECT i, 3, k FROM q JOIN t ON tier = 2 AND contains(name, lower(trim(q)))),
+g AS (SELECT i, tier, count(DISTINCT k) AS n, min(k) AS k FROM m GROUP BY ALL),
+b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY i ORDER BY tier) = 1),
+s AS (SELECT q.i, CASE WHEN tier IS NULL THEN 'unmatched' WHEN tier = 3 THEN 'candidate' WHEN n > 1 THEN 'conflict' ELSE 'exact' END AS status, CASE WHEN tier < 3 AND n = 1 THEN k END AS match FROM q LEFT JOIN b USING (i)),
+l AS (SELECT l_partkey, count(*) AS lines FROM lineitem GROUP BY 1)
+SELECT i, status, match, coalesce(lines, 0) AS lines, CASE status WHEN 'conflict' THEN 0 WHEN 'candidate' THEN 1 WHEN 'unmatched' THEN 2 ELSE 3 END AS priority FROM s LEFT JOIN l ON l_partkey = match
+""",
+)
+def l06_all(spark: SparkSession, d: str) -> DataFrame:
+    """All parts as the batch."""
+    return _batch_review(spark, d, F.lit(True))
+
+
+def _batch_review(spark: SparkSession, d: str, batch: Column) -> DataFrame:
     parts = table(spark, d, "part")
     k = F.col("p_partkey")
-    inputs = parts.filter(k < 40).select((k % 40).cast("int").alias("i"), F.when(k % 3 == 0, k.cast("string")).otherwise(F.col("p_name")).alias("q"))
+    inputs = parts.filter(batch).select(k.cast("int").alias("i"), F.when(k % 3 == 0, k.cast("string")).otherwise(F.col("p_name")).alias("q"))
     asked = inputs.select("q").distinct()
     matched = inputs.join(match.tiered_match(asked, parts, q="q", key="p_partkey", names=["p_name"]), "q")
     dossiers = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("lines"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sillage.operators import match
 from sillage.plans import measurements, registry
 
 SF = "/root/testdata/sf0.001"
@@ -25,3 +26,18 @@ def test_every_line_is_quantified(spark):
     complete = whole.groupBy("l_partkey", "grp").agg(F.count("*").alias("n"), F.sum("c").alias("c"))
     assert complete.agg(F.sum("c")).first()[0] == cents
     assert grid.agg(F.sum("value")).first()[0] == complete.filter("n = 3").agg(F.sum("c")).first()[0]
+
+
+def test_the_batch_is_all_parts_and_candidates_are_joined_by_gram(spark):
+    made = registry.queries()["l06_batch_review_all"](spark, SF)
+    assert made.count() == registry.table(spark, SF, "part").count()
+    records = spark.createDataFrame([(1, "Red ring"), (2, "red ring"), (3, "blue Ringlet"), (4, "ö%_ x"), (5, None), (6, "")], "k int, n string")
+    asked = spark.createDataFrame([(q,) for q in ["ring", "RINGLET", "red ring", "3", "ö%", "%", "_ x", "g", "zzz", "", None, "ring"]], "q string")
+    found = match.tiered_match(asked, records, q="q", key="k", names=["n"])
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    got = {r["q"]: (r["tier"], r["n_candidates"], r["match"], r["status"]) for r in found.collect()}
+    assert found.count() == 12
+    assert got == {
+        "ring": (3, 3, None, "candidate"), "RINGLET": (3, 1, None, "candidate"), "red ring": (2, 2, None, "conflict"), "3": (1, 1, 3, "exact"), "ö%": (3, 1, None, "candidate"), "%": (3, 1, None, "candidate"),
+        "_ x": (3, 1, None, "candidate"), "g": (3, 3, None, "candidate"), "zzz": (None, 0, None, "unmatched"), "": (2, 1, 6, "exact"), None: (None, 0, None, "unmatched"),
+    }
