@@ -65,10 +65,21 @@ def merge_overlap(parts: Column, shortest: int = 35, longest: int = 220) -> Colu
     """Texts of an array folded into one, in order: a contained text is dropped, an overlap is joined, others go on a new line."""
 
     def fold(state: Column, nxt: Column) -> Column:
-        sizes = F.sequence(F.lit(longest), F.lit(shortest), F.lit(-1))
-        fits = F.filter(sizes, lambda n: (n <= F.length(state)) & (n <= F.length(nxt)) & (F.right(state, n) == F.left(nxt, n)))
-        size = F.get(fits, 0)
-        joined = F.when(size.isNotNull(), F.concat(state, F.substr(nxt, size + 1))).otherwise(F.concat(state, F.lit("\n"), nxt))
+        tail, head = F.right(state, F.lit(longest)), F.left(nxt, F.lit(shortest))
+
+        def size(end: Column) -> Column:
+            """The longest overlap: from the head's first place in the tail, or sought size by size if that one does not fit."""
+            at = F.instr(end, head)
+            first = F.substr(end, at)
+            sizes = F.sequence(F.lit(longest), F.lit(shortest), F.lit(-1))
+            fits = F.filter(sizes, lambda n: (n <= F.length(end)) & (n <= F.length(nxt)) & (F.right(end, n) == F.left(nxt, n)))
+            return F.when(at == 0, F.lit(None).cast("int")).when(F.startswith(nxt, first), F.length(first)).otherwise(F.get(fits, 0))
+
+        def join(n: Column) -> Column:
+            return F.when(n.isNotNull(), F.concat(state, F.substr(nxt, n + 1))).otherwise(F.concat(state, F.lit("\n"), nxt))
+
+        # a transform of one value names it, so it is not worked out again where it is used
+        joined = F.get(F.transform(F.transform(F.array(tail), size), join), 0)
         return F.when(state == "", nxt).when(F.contains(state, nxt), state).when(F.contains(nxt, state), nxt).otherwise(joined)
 
     return F.aggregate(parts, F.lit(""), fold)

@@ -169,10 +169,11 @@ def l10(spark: SparkSession, d: str) -> DataFrame:
 
 @query("e21_overlap_merge")
 def e21(spark: SparkSession, d: str) -> DataFrame:
-    """Two overlapping windows and a contained one of every text, folded back into one."""
+    """Overlapping windows over the whole of every text, folded back into one; a null text stays null."""
     t, n = F.col("text"), F.length("text")
-    windows = F.array(F.left(t, F.least(n, F.lit(300))), F.substr(t, F.lit(201), F.lit(300)), F.substr(t, F.lit(220), F.lit(50)))
-    return table(spark, d, "documents").filter(n > 500).select("doc_id", rollup.merge_overlap(windows).alias("merged"), F.left(t, F.lit(500)).alias("whole"))
+    starts = F.sequence(F.lit(1), F.greatest(n - 100, F.lit(1)), F.lit(200))
+    windows = F.transform(starts, lambda at: F.substr(t, at, F.lit(300)))
+    return table(spark, d, "documents").select("doc_id", F.when(t.isNotNull(), rollup.merge_overlap(windows)).alias("merged"), t.alias("whole"))
 
 
 @query(
