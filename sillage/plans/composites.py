@@ -256,10 +256,28 @@ SELECT source, target, 'participates_in' AS type FROM f UNION ALL SELECT source,
 """,
 )
 def l22(spark: SparkSession, d: str) -> DataFrame:
+    return _evidence_graph(spark, d, table(spark, d, "lineitem").filter("l_partkey < 50"))
+
+
+@query(
+    "l22_evidence_graph_all",
+    """
+WITH s AS (SELECT n_nationkey AS c, n_regionkey <> 2 AS v FROM nation),
+f AS (SELECT DISTINCT 'c' || c AS source, 's' || s_suppkey AS target, s_suppkey FROM s JOIN supplier ON s_nationkey = c WHERE v),
+g AS (SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM f))
+SELECT source, target, 'participates_in' AS type FROM f UNION ALL SELECT source, target, 'catalyzed_by' FROM g
+""",
+)
+def l22_all(spark: SparkSession, d: str) -> DataFrame:
+    """The edges to all parts."""
+    return _evidence_graph(spark, d, table(spark, d, "lineitem"))
+
+
+def _evidence_graph(spark: SparkSession, d: str, lines: DataFrame) -> DataFrame:
     tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     seeds = table(spark, d, "nation").select(tag("c", "n_nationkey").alias("compound"), (F.col("n_regionkey") != 2).alias("verified"))
     reactions = table(spark, d, "supplier").select(tag("c", "s_nationkey").alias("compound"), tag("s", "s_suppkey").alias("reaction"))
-    proteins = table(spark, d, "lineitem").filter("l_partkey < 50").select(tag("s", "l_suppkey").alias("reaction"), tag("p", "l_partkey").alias("protein"))
+    proteins = lines.select(tag("s", "l_suppkey").alias("reaction"), tag("p", "l_partkey").alias("protein"))
     return evidence.graph(seeds, reactions, proteins)[1]
 
 

@@ -41,3 +41,13 @@ def test_the_batch_is_all_parts_and_candidates_are_joined_by_gram(spark):
         "ring": (3, 3, None, "candidate"), "RINGLET": (3, 1, None, "candidate"), "red ring": (2, 2, None, "conflict"), "3": (1, 1, 3, "exact"), "ö%": (3, 1, None, "candidate"), "%": (3, 1, None, "candidate"),
         "_ x": (3, 1, None, "candidate"), "g": (3, 3, None, "candidate"), "zzz": (None, 0, None, "unmatched"), "": (2, 1, 6, "exact"), None: (None, 0, None, "unmatched"),
     }
+
+
+def test_edges_reach_every_part_and_keys_come_from_all_lines(spark):
+    made, lines = registry.queries(), registry.table(spark, SF, "lineitem")
+    nations = registry.table(spark, SF, "nation").filter("n_regionkey <> 2")
+    suppliers = registry.table(spark, SF, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
+    pairs = lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi").select("l_suppkey", "l_partkey").distinct()
+    assert made["l22_evidence_graph_all"](spark, SF).filter("type = 'catalyzed_by'").count() == pairs.count()
+    keys = sorted({str(r[0]) for r in lines.select("l_suppkey").distinct().collect()})[:4]
+    assert sorted(r["k"] for r in made["d06_profile_selection_all"](spark, SF).collect()) == sorted([*keys, "99999"])
