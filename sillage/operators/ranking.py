@@ -45,3 +45,16 @@ def score_terms(text: Column, terms: list[tuple[str, float]], lead: float = 18.0
         value = weight + more * F.least(count - 1, F.lit(3)) + F.when(F.startswith(low, F.lit(t)), lead).otherwise(0.0)
         total = total + F.when(count > 0, value).otherwise(0.0)
     return total
+
+
+def score_listed(text: Column, terms: Column, lead: float = 18.0, more: float = 4.0) -> Column:
+    """``score_terms`` for an array column of (term, weight), for lists too long to be written out in a plan."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+
+    def add(total: Column, x: Column) -> Column:
+        t = x["term"]
+        count = ((F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t)).cast("int")
+        value = x["weight"] + more * F.least(count - 1, F.lit(3)) + F.when(F.startswith(low, t), lead).otherwise(0.0)
+        return total + F.when(F.contains(low, t), value).otherwise(0.0)
+
+    return F.aggregate(terms, F.lit(0.0), add)

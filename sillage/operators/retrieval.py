@@ -6,15 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sillage.functions.text import useful_term
-from sillage.operators.ranking import score_terms, top
+from sillage.operators.ranking import score_listed, score_terms, top
 from sillage.operators.rollup import merge_overlap
 
+#: Terms up to which their score is written out in the plan; beyond, they are a list beside each chunk.
+LITERAL_TERMS = 50
+
 
 def expand_terms(spark, query: str, entities: DataFrame, *, names: str = "names", key: str = "key", own: float = 40.0, named: float = 30.0, keyed: float = 36.0) -> list[tuple[str, float]]:
     """The query, its words, and all names of the entities that it names, each with its largest weight.
 
     An entity is named by equality, or for a non-ASCII query by containment.  The list
-    is as long as the names of the few entities that match.
+    is as long as the names of the entities that match; none is left out.
     """
     q = query.strip().lower()
     same = F.exists(names, lambda n: (F.lower(n) == q) | F.lower(n).startswith(q + " (") | F.lower(n).startswith(q + ",") | (F.lit(not q.isascii()) & F.contains(F.lower(n), F.lit(q))))
@@ -23,7 +26,7 @@ def expand_terms(spark, query: str, entities: DataFrame, *, names: str = "names"
     typed = [(q, own)] + [(w, own / 4) for w in q.split() if w != q]
     parts = parts.unionAll(spark.createDataFrame(typed, "term string, weight double"))
     best = parts.filter(useful_term(F.col("term"))).groupBy("term").agg(F.max("weight").alias("weight"))
-    return [(r["term"], r["weight"]) for r in best.orderBy(F.desc("weight"), F.desc(F.length("term")), "term").limit(200).collect()]
+    return [(r["term"], r["weight"]) for r in best.orderBy(F.desc("weight"), F.desc(F.length("term")), "term").collect()]
 
 
 def search(chunks: DataFrame, terms: list[tuple[str, float]], *, text: str = "text", page: str = "page", chunk: str = "chunk", limit: int = 20, bonus: Column | None = None) -> DataFrame:
@@ -32,8 +35,12 @@ def search(chunks: DataFrame, terms: list[tuple[str, float]], *, text: str = "te
     A page has its best chunk's score and 3 more for each further chunk, up to 9; its
     chunk numbers; and its chunks' texts merged at their overlaps.
     """
-    score = score_terms(F.col(text), terms)
-    scored = chunks.withColumn("_score", score).filter("_score > 0")
+    if len(terms) <= LITERAL_TERMS:
+        scored = chunks.withColumn("_score", score_terms(F.col(text), terms))
+    else:  # a single row, beside every chunk
+        listed = chunks.sparkSession.createDataFrame([([(t.lower(), float(w)) for t, w in terms],)], "_terms array<struct<term:string,weight:double>>")
+        scored = chunks.crossJoin(F.broadcast(listed)).withColumn("_score", score_listed(F.col(text), F.col("_terms"))).drop("_terms")
+    scored = scored.filter("_score > 0")
     if bonus is not None:
         scored = scored.withColumn("_score", F.col("_score") + bonus)
     hits = F.array_sort(F.collect_list(F.struct(F.col(chunk).alias("chunk"), F.col(text).alias("text"))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sillage.operators import match
+from sillage.operators import match, retrieval
 from sillage.plans import measurements, registry
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +51,20 @@ def test_edges_reach_every_part_and_keys_come_from_all_lines(spark):
     assert made["l22_evidence_graph_all"](spark, SF).filter("type = 'catalyzed_by'").count() == pairs.count()
     keys = sorted({str(r[0]) for r in lines.select("l_suppkey").distinct().collect()})[:4]
     assert sorted(r["k"] for r in made["d06_profile_selection_all"](spark, SF).collect()) == sorted([*keys, "99999"])
+
+
+def test_terms_beyond_two_hundred_score(spark):
+    names = [f"β-name {'x' * (i % 7)}{i:04d}" for i in range(450)]
+    entities = spark.createDataFrame([(f"key-{k}", names[k * 50 : k * 50 + 50]) for k in range(9)], "key string, names array<string>")
+    terms = retrieval.expand_terms(spark, "β-name", entities)
+    assert {n for n in names} <= {t for t, _ in terms}
+    last = [t for t, _ in terms if t in set(names)][-1]
+    rows = [(0, 0, f"{last} at the start, then {last}"), (0, 1, None), (1, 2, "of key-3 only"), (2, 3, "nothing"), (3, 4, f"ends in {terms[0][0]}")]
+    chunks = spark.createDataFrame(rows, "page int, chunk int, text string")
+
+    def expected(terms):
+        scores = {p: sum(w + 4 * min(x.count(t) - 1, 3) + 18 * x.startswith(t) for t, w in terms if t in x) for p, _, x in rows if x}
+        return {p: score for p, score in scores.items() if score > 0}
+
+    for asked in (terms, terms[:20]):
+        assert {r["page"]: r["score"] for r in retrieval.search(chunks, asked).collect()} == expected(asked)
