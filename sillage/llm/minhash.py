@@ -8,8 +8,9 @@
 3.  Buckets that still hold several components could hide a link between two members
     neither of which is the hub.  Their members go through an exact prefix filter: with
     shingles ordered from the rarest, two sets that similar must share one among their
-    first ``n - ceil(t n) + 1``.  Positions and sizes bound the overlap, and pairs
-    already in one component are left out.  What remains is verified on full sets.
+    first ``n - ceil(t n) + 1``.  Positions and sizes bound the overlap: classes of
+    equal size and position are matched before any pair is listed, and pairs already in
+    one component are left out.  What remains is verified on full sets.
 4.  Components of the verified links give the groups.
 
 With 32 bands of 4 values a pair at similarity 0.75 shares no band with probability
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from sillage.llm.arrow import small_batches, tidy
 from sillage.llm.components import connected_components
-from sillage.llm.scratch import Scratch, small
+from sillage.llm.scratch import Scratch, private, small
 from sillage.llm.shingles import WordHashes, band_keys, shingle_set, superminhash
 
 #: Texts hashed together, by count and by characters.
@@ -72,7 +73,7 @@ def signatures(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", w
                     ["doc_id", "n_shingles", "set_key", "bands"],
                 )
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return source.mapInArrow(tidy(sign), "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
@@ -104,30 +105,70 @@ def verified(pairs: DataFrame, texts: DataFrame, *, width: int, percent: int) ->
 
 def _texts_of(docs: DataFrame, ids: DataFrame, text: str, doc_id: str, classes: DataFrame | None = None) -> DataFrame:
     """(doc_id, text) of the documents in ``ids``; of repeated rows with one doc_id, the greatest text."""
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return source.join(small(ids), "doc_id", "left_semi")
 
 
+#: A shingle is hot beyond this count and beyond this share of all shingle rows, so there can't be over 100,000 hot ones.
+_HOT_ROWS, _HOT_SHARE = 200, 1e-5
+
+
+def _with_counts(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """``sets`` (rep, n, shingle) with df, how many sets have the shingle; those that one set alone has are left out.
+
+    Counts are added up before the shuffle.  Hot shingles get theirs by broadcast, so
+    that no task meets all rows of one; the rest are joined by a shuffle.
+    """
+    counted = scratch.save(sets.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1"))
+    limit = max(_HOT_ROWS, int(_HOT_SHARE * (counted.agg(F.sum("df")).first()[0] or 0)))
+    hot, rest = counted.filter(F.col("df") > limit), counted.filter(F.col("df") <= limit)
+    hot_rows = sets.join(F.broadcast(hot), "shingle")
+    rest_rows = sets.join(F.broadcast(hot.select("shingle")), "shingle", "left_anti").join(rest, "shingle")
+    return hot_rows.unionByName(rest_rows)
+
+
+def _prefix_postings(members: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(rep, n, shingle, rank, component) of each set's first ``n - ceil(t n) + 1`` elements, from the rarest.
+
+    ``sets`` needs no rows for elements that only one set has: they come first in the
+    order, so a set's rank goes up by as many as it lacks.
+    """
+    shared = scratch.save(_with_counts(scratch.save(sets), scratch))
+    order = Window.partitionBy("rep").orderBy("df", "shingle")
+    own = Window.partitionBy("rep")
+    ranked = shared.withColumn("rank", F.row_number().over(order) + F.col("n") - F.count("*").over(own)).filter(f"rank <= n - ceil({percent} * n / 100) + 1")
+    return scratch.save(ranked.join(members, "rep").select("rep", "n", "shingle", "rank", "component"))
+
+
 def _prefix_pairs(members: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Pairs (a, b) across components whose sets can reach ``percent`` similarity; none that can is missing.
 
     ``members``: (rep, component); ``sets``: (rep, n, shingle), a row for each element.
+
+    Whether two postings of a shingle can belong to a similar pair follows from their
+    sets' sizes and ranks alone: before the first shared element the smaller set may
+    have at most so many, and the overlap that is left must do.  So postings are first
+    counted by (shingle, n, rank), these classes are matched, and only members of
+    matching classes are listed as pairs: a passage that thousands of otherwise unlike
+    sets share comes to a few rows a class and no pairs.
     """
-    sets = scratch.save(sets)
-    common = sets.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = sets.join(common, "shingle", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    order = Window.partitionBy("rep").orderBy("df", "shingle")
-    ranked = ranked.withColumn("rank", F.row_number().over(order)).filter(f"rank <= n - ceil({percent} * n / 100) + 1 and df > 1")
-    postings = scratch.save(ranked.join(members, "rep").select("rep", "n", "shingle", "rank", "component"))
-    counted = postings.groupBy("shingle", "component").agg(F.count("*").alias("c"))
-    largest = counted.groupBy("shingle").agg(F.count("*").alias("k"), F.max(F.struct("c", "component")).alias("m")).filter("k > 1").select("shingle", F.col("m.component").alias("most"))
-    others = postings.join(largest, "shingle").filter("component <> most").drop("most")
-    a = others.select("shingle", *(F.col(c).alias(f"a_{c}") for c in ("rep", "n", "rank", "component")))
-    b = postings.select("shingle", *(F.col(c).alias(f"b_{c}") for c in ("rep", "n", "rank", "component")))
-    fits = f"""a_component <> b_component and 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)
-        and {100 + percent} * (1 + least(a_n - a_rank, b_n - b_rank)) >= {percent} * (a_n + b_n)"""
-    joined = a.join(b, "shingle").filter(fits)
-    return joined.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct()
+    postings = _prefix_postings(members, sets, scratch, percent)
+    classes = postings.groupBy("shingle", "n", "rank").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    # of the smaller set, an element must leave enough for a partner of the same size
+    small_side = classes.filter(f"{100 + percent} * (1 + n - rank) >= {2 * percent} * n")
+    # sizes that can be similar lie in the same or in neighbouring steps of a scale of that ratio
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    x = small_side.withColumn("step", F.explode(F.array(step, step + 1))).select("shingle", "step", *(F.col(c).alias(f"x_{c}") for c in ("n", "rank", "lo", "hi")))
+    y = classes.withColumn("step", step).select("shingle", "step", *(F.col(c).alias(f"y_{c}") for c in ("n", "rank", "lo", "hi")))
+    fits = f"""x_n <= y_n and 100 * x_n >= {percent} * y_n and {100 + percent} * (1 + least(x_n - x_rank, y_n - y_rank)) >= {percent} * (x_n + y_n)
+        and not (x_lo = x_hi and y_lo = y_hi and x_lo = y_lo)"""
+    matched = scratch.save(x.join(y, ["shingle", "step"]).filter(fits).select("shingle", "x_n", "x_rank", "y_n", "y_rank"))
+    if matched.isEmpty():
+        return matched.select(F.col("shingle").alias("a"), F.col("shingle").alias("b"))
+    left = postings.select("shingle", F.col("n").alias("x_n"), F.col("rank").alias("x_rank"), F.col("rep").alias("x_rep"), F.col("component").alias("x_component"))
+    right = postings.select("shingle", F.col("n").alias("y_n"), F.col("rank").alias("y_rank"), F.col("rep").alias("y_rep"), F.col("component").alias("y_component"))
+    joined = matched.join(left, ["shingle", "x_n", "x_rank"]).join(right, ["shingle", "y_n", "y_rank"]).filter("x_component <> y_component")
+    return joined.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
 
 
 def _shingle_rows(texts: DataFrame, width: int) -> DataFrame:
@@ -141,6 +182,7 @@ def _shingle_rows(texts: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(held)), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["rep", "shingles"])
 
     sets = texts.mapInArrow(tidy(split), "rep long, shingles array<long>")
+    # a row for each element
     return sets.select("rep", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
 
 
@@ -197,7 +239,7 @@ def _near_duplicates(docs: DataFrame, text: str, doc_id: str, width: int, percen
     groups = groups.select("set_key", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(groups, "set_key", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return scratch.only(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
@@ -205,7 +247,8 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
 
     Options and edge cases are those of ``near_duplicates``.
     """
-    name = options.get("doc_id", "doc_id")
+    name, gone = options.get("doc_id", "doc_id"), private("gone")
     scratch = Scratch(docs.sparkSession, "dedup")
-    gone = scratch.save(near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(small(gone), F.col(name).cast("long") == F.col("_gone"), "left_anti")
+    judged = near_duplicates(docs, **options)
+    dropped = scratch.save(judged.filter("not kept").select(F.col("doc_id").alias(gone)).distinct())
+    return docs.join(small(dropped), F.col(f"`{name}`").cast("long") == F.col(gone), "left_anti")

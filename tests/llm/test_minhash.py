@@ -137,3 +137,48 @@ def test_scratch_tables_are_swept(spark):
     assert Path(folder).exists()
     sweep(spark)
     assert not Path(folder).exists()
+
+
+def test_a_shared_passage_lists_no_pairs_of_unlike_texts(spark):
+    draw = random.Random(5)
+    counts = []
+    for copies in (100, 400):
+        passage = [10**9 + i for i in range(36)]
+        # 8 elements of their own: 36 / 52 = 0.69 similar
+        sets = {i: passage + [i * 100 + k for k in range(8)] for i in range(copies)}
+        rows = [(k, len(s), x) for k, s in sets.items() for x in s]
+        draw.shuffle(rows)
+        scratch = Scratch(spark, "test")
+        members = spark.createDataFrame([(k, k) for k in sets], "rep long, component long")
+        postings = minhash._prefix_postings(members, spark.createDataFrame(rows, "rep long, n long, shingle long"), scratch, 75)
+        listed = minhash._prefix_pairs(members, spark.createDataFrame(rows, "rep long, n long, shingle long"), scratch, 75)
+        counts.append((postings.count(), listed.count()))
+        scratch.drop()
+    assert counts[0][1] == counts[1][1] == 0 and 0 < counts[1][0] <= 4 * counts[0][0]
+
+
+def test_thousands_that_share_a_passage_equal_brute_force(spark):
+    draw = random.Random(6)
+    passage = [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(1500):
+        n = draw.choice([4, 6, 8, 10, 12, 14])
+        rows.append((i, " ".join([*(f"a{i}x{k}" for k in range(n)), *passage, *(f"b{i}x{k}" for k in range(draw.choice([0, 3, 6])))])))
+    want = brute_near(rows)
+    assert result(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))) == want
+
+
+def brute_near(rows, percent=75):
+    """As ``brute``, by inverted counts, for some thousand rows."""
+    import itertools
+    from collections import Counter, defaultdict
+
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in rows}
+    has = defaultdict(list)
+    for k, s in sets.items():
+        for x in s:
+            has[x].append(k)
+    shared = Counter(p for ks in has.values() for p in itertools.combinations(sorted(ks), 2))
+    links = [(a, b) for (a, b), n in shared.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)]
+    found = union_find(iter(links))
+    return {k: (len(sets[k]), found.get(k, k), found.get(k, k) == k) for k in sets}
