@@ -3,10 +3,12 @@
 A classifier fitted on a labelled table gives every document a posterior over domains.
 With ``t`` tokens and posterior ``p``, document i contributes ``w_i t_i p_ik`` expected
 tokens to domain k at rate ``w_i >= 0``.  The rates minimise the squared distance of
-these totals from the targets, each domain scaled by its own tokens, by projected
-gradient from ``w = 1``.  A document's rate depends on its posterior and on the
-sequence of the few domain residuals alone, so every iteration is one distributed sum
-of as many numbers as there are domains, and rates are replayed where they are needed.
+these totals from the targets by projected gradient from ``w = 1``.  Each gradient is
+scaled by the inverse of ``sum t p p'`` over the documents whose rate is above 0, so
+domains that share documents, or have run out of them, don't hold the descent up.
+
+A document's rate depends on its posterior and on the few numbers of each step alone,
+so every iteration is one distributed sum, and rates are replayed where they are needed.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import types as T
 
 from sillage.llm.arrow import tidy
 from sillage.llm.samples import bounded
-from sillage.llm.scratch import Scratch
+from sillage.llm.scratch import Scratch, private
 
 #: Labelled documents that the classifier is fitted on at most, its hashed words and the words it keeps.
 SAMPLE_ROWS, BUCKETS, KEPT = 8_000, 1 << 16, 512
@@ -103,50 +105,58 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, *, text: str = "text", do
     """A domain classifier from at most ``sample_rows`` labelled documents.
 
     Label rows with a null id or domain are ignored; of a document with several domains
-    the first in order counts.  None if fewer than one domain is left.
+    the first in order counts, of rows with one id the greatest text.  None if no
+    labelled document is left.  The driver gets the sample's feature vectors and the
+    words that tell domains apart best by chi-square, both bounded by the parameters.
     """
-    named = labels.select(F.col(doc_id).cast("long").alias("_key"), (default_domain() if domain is None else domain).alias("domain")).filter("_key is not null and domain is not null")
-    held = bounded(named.groupBy("_key").agg(F.min("domain").alias("domain")), "_key", sample_rows).toPandas()
+    named = labels.select(F.col(f"`{doc_id}`").cast("long").alias("key"), (default_domain() if domain is None else domain).alias("domain")).filter("key is not null and domain is not null")
+    held = bounded(named.groupBy("key").agg(F.min("domain").alias("domain")), "key", sample_rows).toPandas()
     if held.empty:
         return None
     domains = sorted(held["domain"].unique())
-    of = {k: domains.index(d) for k, d in zip(held["_key"], held["domain"], strict=True)}
-    ids = docs.sparkSession.createDataFrame([(int(k), v) for k, v in of.items()], "_key long, _domain int")
-    source = docs.select(F.col(doc_id).cast("long").alias("_key"), F.col(text).cast("string").alias("text")).join(F.broadcast(ids), "_key").select("text", "_domain")
+    ids = docs.sparkSession.createDataFrame([(int(k), domains.index(d)) for k, d in zip(held["key"], held["domain"], strict=True)], "key long, domain int")
+    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(ids), "key")
+    scratch = Scratch(docs.sparkSession, "mixing-sample")
+    sample = scratch.save(source.groupBy("key", "domain").agg(F.max("text").alias("text")))
+    seen = {r["domain"]: r["count"] for r in sample.groupBy("domain").count().collect()}
+    if not seen:
+        return None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, total, seen = _Features(None), np.zeros((len(domains), BUCKETS), np.int64), np.zeros(len(domains), np.int64)
+        memo, total = _Features(None), np.zeros((len(domains), BUCKETS), np.int64)
         for batch in batches:
             for t, d in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 total[d] += memo.counts(t.as_py())[1] > 0
-                seen[d] += 1
-        if seen.any():
-            yield pa.RecordBatch.from_pydict({"total": [total.astype("<i4").tobytes()], "seen": [seen.tobytes()]})
-
-    total, seen = np.zeros((len(domains), BUCKETS)), np.zeros(len(domains))
-    for row in source.mapInArrow(tidy(count), "total binary, seen binary").toLocalIterator():
-        total += np.frombuffer(row["total"], "<i4").reshape(total.shape)
-        seen += np.frombuffer(row["seen"], np.int64)
-    every = seen.sum()
-    if not every:
-        return None
-    expected = total.sum(axis=0) * seen[:, None] / every
-    chi2 = ((total - expected) ** 2 / np.maximum(expected, 1e-9)).sum(axis=0) / np.maximum(1 - total.sum(axis=0) / (every + 1), 1e-3)
-    chosen = np.sort(np.argsort(-chi2, kind="stable")[:KEPT])
+        d, b = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(d), pa.array(total[d, b])], ["bucket", "domain", "n"])
+
+    counted = sample.select("text", "domain").mapInArrow(tidy(count), "bucket long, domain long, n long")
+    every = sum(seen.values())
+    n = [F.coalesce(F.sum(F.when(F.col("domain") == d, F.col("n"))), F.lit(0)).cast("double") for d in range(len(domains))]
+    wide = counted.groupBy("bucket").agg(*(c.alias(f"n{d}") for d, c in enumerate(n)))
+    total = sum((F.col(f"n{d}") for d in range(1, len(domains))), F.col("n0"))
+    apart = sum((((F.col(f"n{d}") - total * (seen.get(d, 0) / every)) ** 2 / F.greatest(total * (seen.get(d, 0) / every), F.lit(1e-9))) for d in range(len(domains))), F.lit(0.0))
+    chi2 = apart / F.greatest(1 - total / (every + 1), F.lit(1e-3))
+    best = wide.orderBy(chi2.desc(), "bucket").limit(KEPT).select("bucket").collect()
+    chosen = np.sort(np.array([r["bucket"] for r in best], np.int64))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Features(chosen)
         for batch in batches:
-            rows = [np.log1p(memo.counts(t.as_py())[1][:-1]).astype("<f4").tobytes() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], ["x", "y"])
-
-    x, y = [], []
-    for row in source.mapInArrow(tidy(vectors), "x binary, y int").limit(4 * sample_rows).toLocalIterator():
-        x.append(row["x"])
-        y.append(row["y"])
-    order = sorted(range(len(x)), key=lambda i: (x[i], y[i]))
-    data = np.stack([np.frombuffer(x[i], "<f4") for i in order])
-    return Classifier.fit(data, np.array([y[i] for i in order]), domains, chosen)
+            rows = []
+            for t in batch.column(2):
+                counts = memo.counts(t.as_py())[1][:-1]
+                at = np.flatnonzero(counts)
+                rows.append(np.stack([at, counts[at]]).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["key", "y", "x"])
+
+    found = sample.select("key", "domain", "text").mapInArrow(tidy(vectors), "key long, y int, x binary").toPandas().sort_values("key")
+    scratch.drop()
+    data = np.zeros((len(found), len(chosen)), np.float32)
+    for i, packed in enumerate(found["x"]):
+        at, counts = np.frombuffer(packed, "<u4").reshape(2, -1)
+        data[i, at] = np.log1p(counts.astype(np.float32))
+    return Classifier.fit(data, found["y"].to_numpy(), domains, chosen)
 
 
 def _posterior_batches(batches: Iterator[pa.RecordBatch], text: int, model: Classifier) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -168,79 +178,96 @@ def domain_posteriors(docs: DataFrame, model: Classifier, *, text: str = "text",
             offsets = pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1])
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens), pa.ListArray.from_arrays(offsets, pa.array(p.ravel()))], ["doc_id", "n_tokens", "posterior"])
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return source.mapInArrow(tidy(run), "doc_id long, n_tokens long, posterior array<double>")
 
 
 @dataclass
 class Rates:
-    """The steps of the descent, from which any document's rate follows."""
+    """The steps of the descent, from which any document's rate follows, and the totals they lead to."""
 
     steps: list[np.ndarray]
     totals: np.ndarray
     targets: np.ndarray
     tokens: np.ndarray
-    keep: int | None = None
 
     def of(self, p: np.ndarray) -> np.ndarray:
-        """Rates of documents by their posteriors; at least 1 for those that are rather of the domain ``keep`` than not."""
-        least = np.zeros(len(p)) if self.keep is None else (p[:, self.keep] > 0.5).astype(float)
+        """Rates of documents by their posteriors."""
         w = np.ones(len(p))
         for step in self.steps:
-            w = np.maximum(least, w - p @ step)
+            w = np.maximum(0, w - p @ step)
         return w
 
 
-def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], *, keep: str | None = None, surplus: float = 0.05, budget: float | None = None, iterations: int = 60, tolerance: float = 1e-4, progress: float = 1e-3) -> Rates:
+#: Steps after which the rates so far are written beside the posteriors, so that no plan grows with the descent.
+_STEPS_A_PLAN = 16
+
+
+def _stepped(rate: Column, steps: list[np.ndarray]) -> Column:
+    for step in steps:
+        rate = F.greatest(F.lit(0.0), rate - sum((F.col("posterior")[i] * float(x) for i, x in enumerate(step)), F.lit(0.0)))
+    return rate
+
+
+def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], *, budget: float | None = None, iterations: int = 300, tolerance: float = 1e-6) -> Rates:
     """Rates for a written table (n_tokens, posterior), whose expected domain tokens match ``weights``.
 
-    The token budget is ``budget``, or what gives the domain ``keep`` its present
-    tokens and ``surplus`` more, or else the present total.  No document that is rather
-    of the domain ``keep`` than not gets a rate under 1.  A domain without any
+    The token budget is ``budget``, or else the present total.  A domain without any
     tokens is left alone; if targets can't all be met, the result is the least-squares
-    compromise.  The descent ends within ``tolerance`` of the budget, or when a step
-    lowers the squares by less than the share ``progress``.
+    compromise.  The descent ends when every domain is within the share ``tolerance`` of
+    its own target (of its present tokens, if that is 0), or when a step lowers the sum
+    of the squares of these shares by less than a millionth.  A scaled step that
+    doesn't lower it by a tenth is replaced by one in the fixed metric of the shares,
+    which can't overshoot.  Sums are made by Spark; a row of a few numbers comes back.
     """
-    k = len(domains)
-
-    def sums(rates: Rates, squares: bool) -> np.ndarray:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(k + squares * k * k)
-            for batch in batches:
-                p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-                t = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
-                total[:k] += (rates.of(p) * t) @ p
-                if squares:
-                    total[k:] += ((p * t[:, None]).T @ p).ravel()
-            yield pa.RecordBatch.from_pydict({"total": [total.tobytes()]})
-
-        parts = table.select("n_tokens", "posterior").mapInArrow(tidy(run), "total binary").collect()
-        return sum((np.frombuffer(r["total"]) for r in parts), np.zeros(k + squares * k * k))
-
-    at = domains.index(keep) if keep in domains else None
-    start = sums(Rates([], *np.zeros((3, k))), True)
-    mass, square = start[:k], start[k:].reshape(k, k)
+    k, scratch = len(domains), Scratch(table.sparkSession, "mixing-rates")
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def sums(rated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Domain totals, and the sum of t p p' over documents whose rate can still go down."""
+        p = [F.col("posterior")[i] for i in range(k)]
+        first = [F.sum(F.col("rate") * F.col("n_tokens") * x) for x in p]
+        second = [F.sum(F.when(F.col("rate") > 0, F.col("n_tokens") * p[i] * p[j])) for i, j in pairs]
+        found = np.array([x or 0.0 for x in rated.agg(*(c.alias(str(n)) for n, c in enumerate([*first, *second]))).first()])
+        square = np.zeros((k, k))
+        for (i, j), x in zip(pairs, found[k:], strict=True):
+            square[i, j] = square[j, i] = x
+        return found[:k], square
+
+    at, pending, steps = table.select("n_tokens", "posterior", F.lit(1.0).alias("rate")), [], []
+    mass, square = sums(at)
     share = np.array([weights.get(d, 0.0) for d in domains])
     share = share / share.sum() if share.sum() else np.full(k, 1.0 / max(k, 1))
-    if budget is None:
-        budget = mass[at] * (1 + surplus) / share[at] if at is not None and share[at] > 0 else mass.sum()
-    targets, scale = share * budget, np.maximum(mass, 1e-9)
-    live = mass > 0
-    rates = Rates([], mass, targets, mass, at)
+    targets, live = share * (mass.sum() if budget is None else budget), mass > 0
+    scale = np.where(targets > 0, targets, np.maximum(mass, 1e-9))
     if not live.any():
-        return rates
-    root = 1 / np.sqrt(scale)
-    pace = 1 / max(float(np.linalg.eigvalsh((square * root[:, None] * root)[np.ix_(live, live)])[-1]), 1e-9)
-    before = np.inf
-    for _ in range(iterations):
-        error = np.where(live, rates.totals - targets, 0.0)
-        size = float((error[live] ** 2 / scale[live]).sum())
-        if np.abs(error).max() <= tolerance * budget or size > before * (1 - progress):
+        return Rates([], mass, targets, mass)
+    pace = 1 / float(np.linalg.eigvalsh(square / np.outer(scale, scale))[-1])
+
+    def off(totals: np.ndarray) -> np.ndarray:
+        return np.where(live, totals - targets, 0.0)
+
+    def squares(totals: np.ndarray) -> float:
+        return float(((off(totals) / scale) ** 2).sum())
+
+    totals = mass
+    while len(steps) < iterations and (np.abs(off(totals)) > tolerance * scale).any():
+        metric = np.zeros((k, k))
+        metric[np.ix_(live, live)] = np.linalg.inv(square[np.ix_(live, live)] + 1e-9 * mass.sum() * np.eye(int(live.sum())))
+        for step, least in ((metric @ off(totals), 0.1), (pace * off(totals) / scale**2, 1e-6)):
+            moved = at.select("n_tokens", "posterior", _stepped(F.col("rate"), [*pending, step]).alias("rate"))
+            there, active = sums(moved)
+            if squares(there) < squares(totals) * (1 - least):
+                break
+        else:
             break
-        before = size
-        rates.steps.append(pace * error / scale)
-        rates.totals = sums(rates, False)
-    return rates
+        steps.append(step)
+        pending.append(step)
+        totals, square = there, active
+        if len(pending) == _STEPS_A_PLAN:
+            at, pending = scratch.save(moved), []
+    scratch.drop()
+    return Rates(steps, totals, targets, mass)
 
 
 def copies(rate: Column, doc_id: Column, seed: int) -> Column:
@@ -249,12 +276,13 @@ def copies(rate: Column, doc_id: Column, seed: int) -> Column:
     return F.floor(rate + draw).cast("long")
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, weights: dict[str, float], text: str, doc_id: str, domain: Column | None, sample_rows: int, options: dict) -> tuple[Classifier | None, Rates | None, DataFrame | None]:
+def _fitted(docs: DataFrame, labels: DataFrame, weights: dict[str, float], text: str, doc_id: str, domain: Column | None, sample_rows: int, options: dict) -> tuple[Classifier, Rates, DataFrame, Scratch] | None:
     model = fit_classifier(docs, labels, text=text, doc_id=doc_id, domain=domain, sample_rows=sample_rows)
     if model is None:
-        return None, None, None
-    table = Scratch(docs.sparkSession, "mixing").save(domain_posteriors(docs, model, text=text, doc_id=doc_id))
-    return model, fit_rates(table, model.domains, weights, **options), table
+        return None
+    scratch = Scratch(docs.sparkSession, "mixing")
+    table = scratch.save(domain_posteriors(docs, model, text=text, doc_id=doc_id))
+    return model, fit_rates(table, model.domains, weights, **options), table, scratch
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, text: str = "text", doc_id: str = "doc_id", domain: Column | None = None, sample_rows: int = SAMPLE_ROWS, seed: int = 11, **options) -> DataFrame:
@@ -265,11 +293,12 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float],
     a text without words; a null doc_id draws like any other value; one row for each
     input row; an empty table gives an empty result.
     """
-    model, rates, table = _fitted(docs, labels, weights, text, doc_id, domain, sample_rows, options)
-    if model is None:
+    fitted = _fitted(docs, labels, weights, text, doc_id, domain, sample_rows, options)
+    if fitted is None:
         none = F.array().cast("array<double>")
-        words = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
-        return docs.select(F.col(doc_id).cast("long").alias("doc_id"), words.alias("n_tokens"), none.cast("array<string>").alias("domains"), none.alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
+        words = F.size(F.filter(F.split(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
+        return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), words.alias("n_tokens"), none.cast("array<string>").alias("domains"), none.alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
+    model, rates, table, _ = fitted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,18 +314,21 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, text:
     """The mixture: every row of ``docs`` as often as its copies say, all columns kept.
 
     Posteriors are worked out again beside the rows, so the documents are not shuffled.
-    Without labelled documents the rows come back as they are.
+    Without labelled documents the rows come back as they are; the other edge cases are
+    those of ``mixing_rates``, and columns may have any names.
     """
-    model, rates, _ = _fitted(docs, labels, weights, text, doc_id, domain, sample_rows, options)
-    if model is None:
+    fitted = _fitted(docs, labels, weights, text, doc_id, domain, sample_rows, options)
+    if fitted is None:
         return docs
+    model, rates, _, scratch = fitted
+    scratch.drop()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names, at = docs.columns, docs.columns.index(text)
+    names, at, rate, copy = docs.columns, docs.columns.index(text), private("rate"), private("copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, p in _posterior_batches(batches, at, shared.value):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rates.of(p))], [*names, "__rate"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rates.of(p))], [*names, rate])
 
-    rated = docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField("__rate", T.DoubleType())]))
-    counted = rated.withColumn("__copies", copies(F.col("__rate"), F.col(doc_id).cast("long"), seed)).filter("__copies > 0")
-    return counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*(F.col(f"`{c}`") for c in names))
+    rated = docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(rate, T.DoubleType())]))
+    counted = rated.withColumn(copy, copies(F.col(rate), F.col(f"`{doc_id}`").cast("long"), seed)).filter(F.col(copy) > 0)
+    return counted.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy).cast("int")))).select(*(F.col(f"`{c}`") for c in names))

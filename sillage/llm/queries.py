@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates and copies of all documents for WEIGHTS."""
-    return mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), WEIGHTS, keep="clean")
+    return mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), WEIGHTS)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
