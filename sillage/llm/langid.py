@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from sillage.llm.arrow import tidy
 from sillage.llm.samples import bounded
+from sillage.llm.scratch import Scratch
 
 #: Learning documents that the model is fitted on at most, and buckets of n-grams.
 SAMPLE_ROWS, BUCKETS = 20_000, 1 << 16
@@ -49,8 +50,8 @@ class Model:
     sizes: tuple[int, ...] = (1, 2, 3)
 
     @classmethod
-    def fit(cls, counts: np.ndarray, documents: np.ndarray, languages: list[str], sizes: tuple[int, ...], smoothing: float = 0.5) -> Model:
-        """From n-gram counts (languages x buckets) and document counts; priors are left even."""
+    def fit(cls, counts: np.ndarray, languages: list[str], sizes: tuple[int, ...], smoothing: float = 0.5) -> Model:
+        """From n-gram counts (languages x buckets); priors are left even."""
         weights = np.log(counts + smoothing)
         return cls(languages, weights - np.log((counts + smoothing).sum(axis=1, keepdims=True)), sizes)
 
@@ -99,37 +100,38 @@ def held_out(doc_id: str | Column = "doc_id", folds: int = 5) -> Column:
 def fit_language_model(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS, buckets: int = BUCKETS, sizes: tuple[int, ...] = (1, 2, 3)) -> Model:
     """A model from at most ``sample_rows`` documents outside the held-out fold that have text and a language.
 
-    Counts are added up on the executors; a row for each language and partition comes back.
+    Rows that repeat an id count once, with their greatest language and text.  Counts
+    are added up by Spark; a row for each language and n-gram bucket found comes back,
+    which the parameters bound whatever the input.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"))
     rows = rows.filter("text is not null and lang is not null and doc_id is not null").filter(~held_out())
-    chosen = bounded(rows.select("doc_id", "lang"), "doc_id", sample_rows, "lang").toPandas()
+    rows = rows.select(F.col("doc_id").cast("long").alias("key"), "lang", "text")
+    chosen = bounded(rows.groupBy("key").agg(F.max("lang").alias("lang")), "key", sample_rows).toPandas()
     if chosen.empty:
         return Model([], np.zeros((0, buckets)), sizes)
-    spark = docs.sparkSession
-    ids = spark.createDataFrame(chosen[["doc_id"]].drop_duplicates(), "_key long")
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "languages")
+    languages = sorted(chosen["lang"].unique())
+    ids = spark.createDataFrame([(int(k), languages.index(x)) for k, x in zip(chosen["key"], chosen["lang"], strict=True)], "key long, place int")
+    named = spark.createDataFrame(list(enumerate(languages)), "place int, lang string")
+    known = ids.join(named, "place").select("key", "lang", "place")
+    sample = scratch.save(rows.join(F.broadcast(known), ["key", "lang"]).groupBy("key", "place").agg(F.max("text").alias("text")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str, np.ndarray] = {}
-        documents: dict[str, int] = {}
+        totals = np.zeros((len(languages), buckets), np.int64)
         for batch in batches:
-            for i in range(batch.num_rows):
-                name = batch.column(1)[i].as_py()
-                total = totals.setdefault(name, np.zeros(buckets, np.int64))
-                documents[name] = documents.get(name, 0) + 1
-                for b in _buckets(_codes(batch.column(0)[i].as_py()), sizes, buckets):
-                    total += np.bincount(b, minlength=buckets)
-        for name, total in totals.items():
-            yield pa.RecordBatch.from_pydict({"lang": [name], "documents": [documents[name]], "counts": [total.tobytes()]})
-
-    counted = rows.join(F.broadcast(ids), F.col("doc_id").cast("long") == F.col("_key"), "left_semi").select("text", "lang").mapInArrow(tidy(count), "lang string, documents long, counts binary")
-    totals: dict[str, np.ndarray] = {}
-    documents: dict[str, int] = {}
-    for row in counted.toLocalIterator():
-        totals[row["lang"]] = totals.get(row["lang"], 0) + np.frombuffer(row["counts"], np.int64)
-        documents[row["lang"]] = documents.get(row["lang"], 0) + row["documents"]
-    languages = sorted(totals)
-    return Model.fit(np.stack([totals[x] for x in languages]).astype(float), np.array([documents[x] for x in languages]), languages, sizes)
+            for place, text_ in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for b in _buckets(_codes(text_.as_py()), sizes, buckets):
+                    totals[place] += np.bincount(b, minlength=buckets)
+        at = np.nonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(at[0]), pa.array(at[1]), pa.array(totals[at])], ["place", "bucket", "n"])
+
+    counted = sample.select("place", "text").mapInArrow(tidy(count), "place long, bucket long, n long")
+    found = counted.groupBy("place", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    scratch.drop()
+    totals = np.zeros((len(languages), buckets))
+    totals[found["place"], found["bucket"]] = found["n"]
+    return Model.fit(totals, languages, sizes)
 
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -148,5 +150,5 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", doc_id: str =
                 names, scores = shared.value.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return source.mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
