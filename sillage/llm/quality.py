@@ -1,9 +1,12 @@
 """Quality rules: statistics of whole texts, judged by an isolation forest.
 
-The forest is grown on a bounded sample of labelled rows.  A document's score is
-``2 ** (-mean path length / expected path length)``: rows that few random splits set
-apart score high.  The threshold is the score that best tells the sample's rejected
-from its accepted rows, with a wrong rejection counting ``caution`` times.
+The forest is grown on the raw rule statistics of a bounded sample of labelled rows.  A
+document's score is ``2 ** (-mean path length / expected path length)``: rows that few
+random splits set apart score high.  Two things are calibrated from the labels: how
+often a split draws a statistic (by the square of the Kolmogorov-Smirnov distance between
+its rejected and accepted rows, so that a statistic that says nothing about quality
+does not make a document anomalous), and the threshold, which is the score that best
+tells rejected from accepted rows, with a wrong rejection counting ``caution`` times.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sillage.llm.arrow import tidy
 from sillage.llm.samples import bounded
-from sillage.llm.scratch import Scratch, small
+from sillage.llm.scratch import Scratch, private, small
 
 SYMBOLS = "#*$%&|<>"
 #: Labelled rows that a forest is fitted on at most.
@@ -71,17 +74,26 @@ def statistics(text: str | None) -> tuple[int, ...]:
     return (len(ids), len(text.translate(_SPACES)), len(text) - len(text.translate(_STRIP_SYMBOLS)), repeats, _repeated(np.array(ids, np.int64), len(known)), lines, upper)
 
 
-#: Ranges of the rule values that ordinary text keeps to: characters a word, symbols a word,
-#: repeated lines of all lines, repeated words of all words, capitals of all characters.
-ORDINARY = np.array([[3.0, 10.0], [0.0, 0.05], [0.0, 0.3], [0.0, 0.2], [0.0, 0.2]])
-
-
 def features(counts: np.ndarray) -> np.ndarray:
-    """How far each rule value of rows of counts lies outside its ordinary range."""
+    """The rule statistics of rows of counts.
+
+    Characters a word, symbols a word, repeated lines of all lines, repeated words of
+    all words, capitals of all characters, and the logarithms of words and lines a word.
+    """
     c = counts.astype(np.float64)
     words, chars, lines = (np.maximum(c[:, i], 1) for i in (0, 1, 5))
-    values = np.column_stack([chars / words, c[:, 2] / words, c[:, 3] / lines, c[:, 4] / words, c[:, 6] / chars])
-    return np.maximum(0, np.maximum(ORDINARY[:, 0] - values, values - ORDINARY[:, 1]))
+    return np.column_stack([chars / words, c[:, 2] / words, c[:, 3] / lines, c[:, 4] / words, c[:, 6] / chars, np.log(words), np.log(lines / words)])
+
+
+def separation(x: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Kolmogorov-Smirnov distance between the bad and the other rows in each column; even without both kinds."""
+    if not bad.any() or bad.all():
+        return np.ones(x.shape[1])
+    out = np.empty(x.shape[1])
+    for k, column in enumerate(x.T):
+        a, b = np.sort(column[bad]), np.sort(column[~bad])
+        out[k] = np.abs(np.searchsorted(a, column, "right") / len(a) - np.searchsorted(b, column, "right") / len(b)).max()
+    return out
 
 
 def base_fails(counts: np.ndarray, min_words: int, max_repeat_percent: int) -> np.ndarray:
@@ -106,8 +118,10 @@ class Forest:
     threshold: float = 2.0
 
     @classmethod
-    def fit(cls, x: np.ndarray, trees: int = 100, rows: int = 256, seed: int = 7) -> Forest:
+    def fit(cls, x: np.ndarray, trees: int = 100, rows: int = 256, seed: int = 7, weights: np.ndarray | None = None) -> Forest:
+        """Random trees on samples of ``rows`` rows; ``weights`` say how often a split draws each column."""
         random = np.random.default_rng(seed)
+        weights = np.ones(x.shape[1]) if weights is None else weights
         rows = min(rows, len(x))
         limit = int(np.ceil(np.log2(max(rows, 2))))
         size = 2 ** (limit + 1)
@@ -118,11 +132,11 @@ class Forest:
             while stack:
                 node, part, level = stack.pop()
                 low, high = part.min(axis=0), part.max(axis=0)
-                open_columns = np.flatnonzero(high > low)
+                open_columns = np.flatnonzero((high > low) & (weights > 0))
                 if level >= limit or len(part) <= 1 or not len(open_columns):
                     depth[t, node] = level + _expected(len(part))
                     continue
-                k = random.choice(open_columns)
+                k = random.choice(open_columns, p=weights[open_columns] / weights[open_columns].sum())
                 cut = random.uniform(low[k], high[k])
                 column[t, node], value[t, node], child[t, node] = k, cut, used
                 stack += [(used, part[part[:, k] < cut], level + 1), (used + 1, part[part[:, k] >= cut], level + 1)]
@@ -176,7 +190,7 @@ def rule_statistics(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
                 columns.append(pa.array(forest.score(features(counts))))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *COUNTS, *_MORE, "anomaly"][: len(columns)])
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return source.mapInArrow(tidy(run), f"doc_id long, {_TYPES}" + ", anomaly double" * (forest is not None))
 
 
@@ -184,21 +198,24 @@ def fit_forest(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id
     """A forest and threshold from at most ``sample_rows`` labelled rows (quality 1 accepted, 0 rejected).
 
     Label rows with a null id or quality are ignored; of a document labelled twice the
-    lower quality counts.  Documents that fail the base rules are left out, as the forest
-    does not decide on them.  None without labelled documents.
+    lower quality counts, of rows that repeat a doc_id the greatest statistics.
+    Documents that fail the base rules are left out, as the forest does not decide on
+    them.  None without labelled documents.
     """
-    known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(quality).cast("int").alias("quality")).filter("doc_id is not null and quality is not null")
-    sample = bounded(known.groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id", sample_rows)
-    held = sample.toPandas()
-    ids = docs.sparkSession.createDataFrame([(int(i),) for i in held["doc_id"]], "_key long")
-    chosen = docs.join(F.broadcast(ids), F.col(doc_id).cast("long") == F.col("_key"), "left_semi")
-    counted = rule_statistics(chosen, text=text, doc_id=doc_id).limit(4 * sample_rows).toPandas()
-    found = counted.merge(held, on="doc_id").sort_values(["doc_id", *COUNTS])
+    known = labels.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{quality}`").cast("int").alias("quality")).filter("doc_id is not null and quality is not null")
+    held = bounded(known.groupBy("doc_id").agg(F.min("quality").alias("quality")), "doc_id", sample_rows).toPandas()
+    if held.empty:
+        return None
+    ids = docs.sparkSession.createDataFrame([(int(i),) for i in held["doc_id"]], "doc_id long")
+    chosen = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(ids), "doc_id", "left_semi")
+    names = COUNTS + _MORE
+    counted = rule_statistics(chosen).groupBy("doc_id").agg(F.max(F.struct(*names)).alias("s")).select("doc_id", "s.*").toPandas()
+    found = counted.merge(held, on="doc_id").sort_values("doc_id")
     found = found[~base_fails(found[COUNTS].to_numpy().reshape(-1, len(COUNTS)), min_words, max_repeat_percent)]
     if found.empty:
         return None
-    x, bad = features(found[COUNTS + _MORE].to_numpy()), (found["quality"] == 0).to_numpy()
-    forest = Forest.fit(x, trees, rows, seed)
+    x, bad = features(found[names].to_numpy()), (found["quality"] == 0).to_numpy()
+    forest = Forest.fit(x, trees, rows, seed, separation(x, bad) ** 2)
     forest.calibrate(x, bad, caution)
     return forest
 
@@ -228,5 +245,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id:
     A rejection holds for the doc_id; rows with a null doc_id stay.
     """
     judged = judge(docs, labels, text=text, doc_id=doc_id, **options)
-    gone = Scratch(docs.sparkSession, "quality").save(judged.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(small(gone), F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    gone = private("gone")
+    rejected = Scratch(docs.sparkSession, "quality").save(judged.filter("not kept and doc_id is not null").select(F.col("doc_id").alias(gone)).distinct())
+    return docs.join(small(rejected), F.col(f"`{doc_id}`").cast("long") == F.col(gone), "left_anti")
