@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sillage.llm.scratch import Scratch
+from sillage.llm.scratch import Scratch, private
 
 #: Index entries up to which the rules are broadcast (some tens of MB); more are joined by a shuffle.
 BROADCAST_RULES = 100_000
@@ -89,7 +89,7 @@ def judge_urls(urls: DataFrame, rules: list[HostRule | PatternRule], *, url: str
     """
     spark = urls.sparkSession
     scratch = Scratch(spark, "urls")
-    parsed = urls.select(F.col(url).cast("string").alias("url")).filter("url is not null").distinct()
+    parsed = urls.select(F.col(f"`{url}`").cast("string").alias("url")).filter("url is not null").distinct()
     parsed = parsed.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if not rules:
         return parsed.select("url", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
@@ -135,9 +135,10 @@ def filter_urls(pages: DataFrame, rules: list[HostRule | PatternRule], *, url: s
     default verdict.  Repeated URLs are judged once; every row comes back once; an empty
     table gives an empty result.
     """
-    judged = judge_urls(pages, rules, url=url, default=default).select(F.col("url").alias("__url"), "host", "path", "rule", "verdict")
-    kept = pages.select(F.col(f"`{url}`").cast("string").alias("__key"), *(F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")))
-    joined = kept.join(judged, F.col("__key") == F.col("__url"), "left").drop("__key", "__url")
+    key, other = private("key"), private("url")
+    judged = judge_urls(pages, rules, url=url, default=default).select(F.col("url").alias(other), "host", "path", "rule", "verdict")
+    kept = pages.select(F.col(f"`{url}`").cast("string").alias(key), *(F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")))
+    joined = kept.join(judged, F.col(key) == F.col(other), "left").drop(key, other)
     return joined.withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit("")), "verdict": F.coalesce("verdict", F.lit(default))})
 
 
@@ -147,6 +148,9 @@ UNWANTED = [
     PatternRule("block", r"(?:^|[.\-])adult(?:[.\-]|/)", ("adult",)),
     PatternRule("block", r"(?:^|[.\-])bets(?:[.\-]|/)", ("bets",)),
     PatternRule("block", r"(?:^|[.\-])pills(?:[.\-]|/)", ("pills",)),
-    PatternRule("block", r"(?:^|\.)ads?(?:[.\-]|/)", ()),
-    PatternRule("block", r"[.\-/](?:track|tracker|pixel)(?:[.\-/]|$)", ()),
+    PatternRule("block", r"(?:^|\.)ad(?:[.\-]|/)", ("ad",)),
+    PatternRule("block", r"(?:^|\.)ads(?:[.\-]|/)", ("ads",)),
+    PatternRule("block", r"[.\-/]track(?:[.\-/]|$)", ("track",)),
+    PatternRule("block", r"[.\-/]tracker(?:[.\-/]|$)", ("tracker",)),
+    PatternRule("block", r"[.\-/]pixel(?:[.\-/]|$)", ("pixel",)),
 ]
