@@ -18,6 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sillage.llm.scratch import private
+
 ROUNDS = 8
 #: What may be personal data, in the order in which the kinds are tried at a place in the text.
 PATTERNS = {
@@ -220,7 +222,7 @@ def mask(docs: DataFrame, key: str, *, text: str = "text", kinds: str = "pii_kin
     """
     gaps, found, replace = _pieces(F.col(text), key)
     marked = F.coalesce(F.col(text).rlike("[0-9@]"), F.lit(False))
-    name = "__pii"
+    name = private("pii")
     work = docs.withColumn(name, F.when(marked, F.transform(found, replace)))
     pieces = F.zip_with(gaps, F.col(name), lambda gap, new: F.concat(gap, F.coalesce(new["text"], F.lit(""))))
     new_text = F.when(F.size(name) > 0, F.array_join(pieces, "")).otherwise(F.col(text))
