@@ -1,7 +1,9 @@
 """Chat formatting: heterogeneous layouts to canonical turns by schema fingerprint, then to training text.
 
-The nested field paths of a record are hashed; the hash selects a declarative mapping
-that says which paths hold the turns, roles and texts.  Records may be JSON strings of
+Each mapping owns some nested field paths and is known by their hash, its fingerprint.
+Of the mappings whose paths a record has, that with the most paths is selected by its
+fingerprint; it says which paths hold the turns, roles and texts, and other fields of
+the record, known to further mappings or not, are ignored.  Records may be JSON strings of
 mixed layouts in one column, or a table whose columns are the fields.  Everything is
 DataFrame operations.
 
@@ -49,6 +51,7 @@ class Layout:
 
 
 LAYOUTS = (
+    Layout("turn_rows", rows=("turn", "role", "text")),
     Layout("messages", turns="messages", role="role", text="content"),
     Layout("conversations", turns="conversations", role="from", text="value"),
     Layout("dialog", turns="dialog", role="speaker", text="text"),
@@ -58,7 +61,6 @@ LAYOUTS = (
     Layout("instruction_input", fields=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
     Layout("system_instruction", fields=(("system", "system"), ("user", "instruction"), ("assistant", "output"))),
     Layout("question_answer", fields=(("user", "question"), ("assistant", "answer"))),
-    Layout("turn_rows", rows=("turn", "role", "text")),
 )
 #: Names that sources give to the three roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
@@ -71,7 +73,8 @@ def fingerprint(paths) -> str:
 
 #: Every field path that some layout knows; others don't count in a fingerprint.
 KNOWN = frozenset(p for layout in LAYOUTS for p in layout.paths())
-BY_FINGERPRINT = {fingerprint(layout.paths()): layout for layout in LAYOUTS}
+BY_FINGERPRINT = {fingerprint(layout.paths()): layout for layout in sorted(LAYOUTS, key=lambda x: -len(x.paths()))}
+"""Mappings by fingerprint, those with more paths first; among equals in the order of LAYOUTS."""
 
 
 def schema_paths(kind: T.DataType, prefix: str = "") -> list[str]:
@@ -84,12 +87,12 @@ def schema_paths(kind: T.DataType, prefix: str = "") -> list[str]:
 
 
 def layout_of(df: DataFrame) -> Layout:
-    """The layout of a table, by the fingerprint of its schema's known paths."""
-    found = [p for p in schema_paths(df.schema) if p in KNOWN]
-    layout = BY_FINGERPRINT.get(fingerprint(found))
-    if layout is None:
-        raise ValueError(f"no layout has the fields {sorted(found)}")
-    return layout
+    """The layout of a table: the mapping with the most paths of those that its schema has all of; other columns don't matter."""
+    found = set(schema_paths(df.schema))
+    owned = [p for layout in BY_FINGERPRINT.values() if found.issuperset(layout.paths()) for p in [layout.paths()]]
+    if not owned:
+        raise ValueError(f"no layout has all its fields in {sorted(found)}")
+    return BY_FINGERPRINT[fingerprint(owned[0])]
 
 
 def _role(role: Column) -> Column:
@@ -105,14 +108,23 @@ def _reader(layout: Layout) -> Callable[[Column], Column]:
 
 
 def json_fingerprint(payload: Column) -> Column:
-    """Fingerprint of each JSON record: the hash of which known paths it has a value at."""
+    """Fingerprint of the mapping that each JSON record selects; null if it has all paths of none."""
     return _json_fingerprint(F.try_parse_json(payload))
 
 
 def _json_fingerprint(value: Column) -> Column:
-    """An array's path counts if its first element has it."""
-    present = F.array_sort(F.array_compact(F.array(*(F.when(F.try_variant_get(value, "$." + p.replace("[]", "[0]"), "string").isNotNull(), p) for p in sorted(KNOWN)))))
-    return F.substring(F.sha2(F.concat_ws("\n", present), 256), 1, 16)
+    """The hash of the paths that the record has, of those of each mapping, is that mapping's own if it has them all.
+
+    An array's path counts if its first element has it.
+    """
+    there = F.array_compact(F.array(*(F.when(F.try_variant_get(value, "$." + p.replace("[]", "[0]"), "string").isNotNull(), p) for p in sorted(KNOWN))))
+
+    def first(present: Column) -> Column:
+        own = lambda layout: F.sort_array(F.array_intersect(present, F.array(*map(F.lit, layout.paths()))))
+        hashed = lambda layout: F.substring(F.sha2(F.concat_ws("\n", own(layout)), 256), 1, 16)
+        return F.coalesce(*(F.when(hashed(layout) == print_, print_) for print_, layout in BY_FINGERPRINT.items() if not layout.rows))
+
+    return F.transform(F.array(there), first)[0]
 
 
 def turns_from_json(df: DataFrame, *, payload: str, key: str) -> DataFrame:
@@ -122,9 +134,9 @@ def turns_from_json(df: DataFrame, *, payload: str, key: str) -> DataFrame:
     an unknown layout gives one row with a null layout, turn, role and text, so none is
     lost unseen.
     """
-    value = F.try_parse_json(F.col(payload).cast("string"))
+    value = F.try_parse_json(F.col(f"`{payload}`").cast("string"))
     turn_type = "array<struct<role:string,text:string>>"
-    rows = df.select(F.col(key).alias("key"), value.alias("v")).withColumn("f", _json_fingerprint(F.col("v")))
+    rows = df.select(F.col(f"`{key}`").alias("key"), value.alias("v")).withColumn("f", _json_fingerprint(F.col("v")))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(turn_type)
     for print_, layout in BY_FINGERPRINT.items():
         if layout.rows:
@@ -144,12 +156,17 @@ def turns_from_json(df: DataFrame, *, payload: str, key: str) -> DataFrame:
 
 
 def turns_from_table(df: DataFrame, *, key: str) -> DataFrame:
-    """(key, turn, role, text) of a table, by the mapping that its schema's fingerprint selects; null texts are empty."""
+    """(key, turn, role, text) of a table, by the mapping that its schema's fingerprint selects.
+
+    Null roles and texts are empty.  A table with a turn in each row keeps its roles as
+    they are; other layouts have the names of ROLES put into one form.  Any further
+    columns are ignored.
+    """
     layout = layout_of(df)
     col = lambda c: F.col(f"`{c}`")
     if layout.rows:
         turn, role, text = layout.rows
-        return df.select(col(key).alias("key"), col(turn).cast("long").alias("turn"), _role(col(role).cast("string")).alias("role"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
+        return df.select(col(key).alias("key"), col(turn).cast("long").alias("turn"), F.coalesce(col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(col(text).cast("string"), F.lit("")).alias("text"))
     if layout.turns:
         turns = F.transform(col(layout.turns), _reader(layout))
     else:

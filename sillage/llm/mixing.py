@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from sillage.llm.arrow import tidy
 from sillage.llm.samples import bounded
-from sillage.llm.scratch import Scratch, private
+from sillage.llm.scratch import Scratch
 
 #: Labelled documents that the classifier is fitted on at most, its hashed words and the words it keeps.
 SAMPLE_ROWS, BUCKETS, KEPT = 8_000, 1 << 16, 512
@@ -323,12 +323,14 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], *, text:
     model, rates, _, scratch = fitted
     scratch.drop()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names, at, rate, copy = docs.columns, docs.columns.index(text), private("rate"), private("copy")
+    # under plain names: the caller's may clash with any of ours
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    names, at, key = plain.columns, docs.columns.index(text), f"c{docs.columns.index(doc_id)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, p in _posterior_batches(batches, at, shared.value):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rates.of(p))], [*names, rate])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rates.of(p))], [*names, "rate"])
 
-    rated = docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField(rate, T.DoubleType())]))
-    counted = rated.withColumn(copy, copies(F.col(rate), F.col(f"`{doc_id}`").cast("long"), seed)).filter(F.col(copy) > 0)
-    return counted.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy).cast("int")))).select(*(F.col(f"`{c}`") for c in names))
+    rated = plain.mapInArrow(tidy(run), T.StructType([*plain.schema.fields, T.StructField("rate", T.DoubleType())]))
+    counted = rated.withColumn("copies", copies(F.col("rate"), F.col(key).cast("long"), seed)).filter("copies > 0")
+    return counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names).toDF(*docs.columns)

@@ -26,14 +26,16 @@ PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9.\-]*[A-Za-z0-9])?\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
     "phone": r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?(?:[ .\-]?[0-9]{2,4}){2,3}(?![0-9])",
+    "local_phone": r"(?<![0-9(.\-+])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.\-])[0-9]{3}[.\-][0-9]{4}(?![0-9\-])",
     "date": r"(?<![0-9.\-/])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9\-/])",
     "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
     "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
 }
-_NUMERIC = "|".join(f"(?:{PATTERNS[k]})" for k in ("phone", "date", "ssn", "ip", "card"))
+_NUMERIC = "|".join(f"(?:{PATTERNS[k]})" for k in ("phone", "local_phone", "date", "ssn", "ip", "card"))
 #: Any of them; a test of the first character spares most places the tries that must fail.
-_ANY = f"(?:{PATTERNS['email']})|(?=[0-9A-Fa-f])(?:{PATTERNS['secret']})|(?=[0-9+])(?:{_NUMERIC})"
+_ANY = f"(?:{PATTERNS['email']})|(?=[0-9A-Fa-f])(?:{PATTERNS['secret']})|(?=[0-9+(])(?:{_NUMERIC})|(?=[A-Z]{{2}}[0-9]{{2}})(?:{PATTERNS['iban']})"
 
 
 def _number(text: Column) -> Column:
@@ -45,13 +47,17 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def feistel(value: Column, a: Column | int, b: Column | int, key: str, tag: str) -> Column:
+def _secret_key(key: str | Column) -> Column:
+    return key if isinstance(key, Column) else F.lit(key)
+
+
+def feistel(value: Column, a: Column | int, b: Column | int, key: str | Column, tag: str) -> Column:
     """A keyed permutation of the longs 0 <= value < a * b."""
     a, b = (x if isinstance(x, Column) else F.lit(x) for x in (a, b))
     a, b = a.cast("long"), b.cast("long")
 
     def step(state: Column, i: Column) -> Column:
-        digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tag), i.cast("string"), state["r"].cast("string")), 256)
+        digest = F.sha2(F.concat_ws("|", _secret_key(key), F.lit(tag), i.cast("string"), state["r"].cast("string")), 256)
         noise = _number(F.conv(F.substring(digest, 1, 14), 16, 10))
         return F.struct(state["r"].alias("l"), F.pmod(state["l"] + noise, state["a"]).alias("r"), state["b"].alias("a"), state["a"].alias("b"))
 
@@ -87,7 +93,7 @@ def _power(n: Column) -> Column:
     return F.round(F.pow(F.lit(10.0), n)).cast("long")
 
 
-def _permuted_digits(digits: Column, key: str, tag: str) -> Column:
+def _permuted_digits(digits: Column, key: str | Column, tag: str) -> Column:
     """Another run of as many digits, up to 18."""
     n = F.length(digits)
     half = F.floor(n / 2).cast("int")
@@ -107,7 +113,7 @@ def luhn_sum(digits: Column, skip: int = 0) -> Column:
     return F.aggregate(position, F.expr("0L"), add)
 
 
-def _card(m: Column, key: str) -> tuple[Column, Column]:
+def _card(m: Column, key: str | Column) -> tuple[Column, Column]:
     digits = _digits(m)
     valid = (F.pmod(luhn_sum(digits), F.lit(10)) == 0) & ~digits.rlike("^0+$")
     body = _let(F.substr(digits, F.lit(1), F.length(digits) - 1), lambda d: _permuted_digits(d, key, "card"))
@@ -118,14 +124,52 @@ def _card(m: Column, key: str) -> tuple[Column, Column]:
     return valid, _refill(m, _let(body, checked))
 
 
-def _phone(m: Column, key: str) -> tuple[Column, Column]:
+def _phone(m: Column, key: str | Column) -> tuple[Column, Column]:
     prefix = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[^0-9])|^\+[0-9]", 0)
     rest = F.substr(m, F.length(prefix) + 1)
     new = _let(_digits(rest), lambda d: _permuted_digits(d, key, "phone"))
     return F.length(_digits(m)).between(8, 15), F.concat(prefix, _refill(rest, new))
 
 
-def _ssn(m: Column, key: str) -> tuple[Column, Column]:
+def _local_phone(m: Column, key: str | Column) -> tuple[Column, Column]:
+    """The area begins with 2 to 9, and so does that of the pseudonym."""
+    digits = _digits(m)
+
+    def new(d: Column) -> Column:
+        return feistel(_number(d) - 2_000_000_000, 800_000, 10_000, key, "local_phone")
+
+    return F.length(digits) == 10, _refill(m, _let(_let(digits, new), lambda n: _pad(n + 2_000_000_000, 10)))
+
+
+def _mod97(text: Column) -> Column:
+    """The number that a run of digits and capitals (A is 10) stands for, modulo 97."""
+
+    def add(rest: Column, c: Column) -> Column:
+        value = F.when(c.rlike("[0-9]"), _number(c)).otherwise(F.ascii(c) - 55)
+        return F.pmod(rest * F.when(value < 10, 10).otherwise(100) + value, F.lit(97)).cast("long")
+
+    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.expr("0L"), add)
+
+
+def _iban(m: Column, key: str | Column) -> tuple[Column, Column]:
+    """An account number with valid check digits; its digits are permuted in two runs, letters stay, check digits follow."""
+    plain = F.replace(m, F.lit(" "), F.lit(""))
+    country, body = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5))
+    valid = _mod97(F.concat(body, F.substr(plain, F.lit(1), F.lit(4)))) == 1
+
+    def moved(d: Column) -> Column:
+        half = F.floor((F.length(d) + 1) / 2).cast("int")
+        return F.concat(_permuted_digits(F.substr(d, F.lit(1), half), key, "iban"), _permuted_digits(F.substr(d, half + 1), key, "iban2"))
+
+    def write(d: Column) -> Column:
+        new = _refill(body, d)
+        check = _pad(F.lit(98) - _mod97(F.concat(new, country, F.lit("00"))), 2)
+        return _refill(F.substr(m, F.lit(3)), F.concat(check, d))
+
+    return valid, F.concat(country, _let(_let(_digits(body), moved), write))
+
+
+def _ssn(m: Column, key: str | Column) -> tuple[Column, Column]:
     area, group, serial = (_number(F.split(m, "-")[i]) for i in range(3))
     valid = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
     place = area - 1 - F.when(area > 666, 1).otherwise(0)
@@ -140,14 +184,14 @@ def _ssn(m: Column, key: str) -> tuple[Column, Column]:
     return valid, _let(new, write)
 
 
-def _ip(m: Column, key: str) -> tuple[Column, Column]:
+def _ip(m: Column, key: str | Column) -> tuple[Column, Column]:
     parts = [_number(F.split(m, r"\.")[i]) for i in range(4)]
     valid = (parts[0] < 256) & (parts[1] < 256) & (parts[2] < 256) & (parts[3] < 256)
     new = feistel(((parts[0] * 256 + parts[1]) * 256 + parts[2]) * 256 + parts[3], 65536, 65536, key, "ip")
     return valid, _let(new, lambda n: F.concat_ws(".", *(F.pmod(F.floor(n / 256**k).cast("long"), F.lit(256)).cast("string") for k in (3, 2, 1, 0))))
 
 
-def _date(m: Column, key: str) -> tuple[Column, Column]:
+def _date(m: Column, key: str | Column) -> tuple[Column, Column]:
     numbers = F.transform(F.split(m, r"[\-./]"), _number)
     year = F.when(m.contains("-"), numbers[0]).otherwise(numbers[2])
     month = F.when(m.contains("/"), numbers[0]).otherwise(numbers[1])
@@ -168,17 +212,17 @@ def _date(m: Column, key: str) -> tuple[Column, Column]:
     return valid, _let(F.date_add(first, new.cast("int")), write)
 
 
-def _email(m: Column, key: str) -> tuple[Column, Column]:
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 256)
+def _email(m: Column, key: str | Column) -> tuple[Column, Column]:
+    digest = F.sha2(F.concat_ws("|", _secret_key(key), F.lit("email"), F.lower(m)), 256)
     return F.lit(True), F.concat(F.lit("user"), F.substring(digest, 1, 16), F.lit("@mail.invalid"))
 
 
-def _secret(m: Column, key: str) -> tuple[Column, Column]:
-    digest = F.substr(F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), m), 256), F.lit(1), F.length(m))
+def _secret(m: Column, key: str | Column) -> tuple[Column, Column]:
+    digest = F.substr(F.sha2(F.concat_ws("|", _secret_key(key), F.lit("secret"), m), 256), F.lit(1), F.length(m))
     return m.rlike("[0-9]") & m.rlike("[A-Fa-f]"), F.when(m.rlike("[A-F]"), F.upper(digest)).otherwise(digest)
 
 
-_KINDS = {"email": _email, "secret": _secret, "phone": _phone, "date": _date, "ssn": _ssn, "ip": _ip, "card": _card}
+_KINDS = {"email": _email, "secret": _secret, "phone": _phone, "local_phone": _local_phone, "date": _date, "ssn": _ssn, "ip": _ip, "card": _card, "iban": _iban}
 
 
 def _kind(m: Column) -> Column:
@@ -189,13 +233,13 @@ def _kind(m: Column) -> Column:
     return out
 
 
-def _pieces(text: Column, key: str) -> tuple[Column, Column, Callable[[Column], Column]]:
+def _pieces(text: Column, key: str | Column) -> tuple[Column, Column, Callable[[Column], Column]]:
     """The text between candidates, the candidates, and what turns one into struct(kind, text).
 
     A candidate that fails its check (a number without a valid check digit, an
     impossible date) has no kind and keeps its text.
     """
-    if not key:
+    if isinstance(key, str) and not key:
         raise ValueError("a key is needed")
     gaps, found = F.split(text, _ANY, -1), F.regexp_extract_all(text, F.lit(_ANY), F.lit(0))
 
@@ -213,19 +257,22 @@ def _pieces(text: Column, key: str) -> tuple[Column, Column, Callable[[Column],
     return gaps, found, replace
 
 
-def mask(docs: DataFrame, key: str, *, text: str = "text", kinds: str = "pii_kinds") -> DataFrame:
+def mask(docs: DataFrame, key: str | Column, *, text: str = "text", kinds: str = "pii_kinds") -> DataFrame:
     """``docs`` with ``text`` pseudonymised and a new column ``kinds``: the kind of each replacement, in text order.
 
+    A ``key`` given as a string stands in the plan as a literal, and so in event logs; a
+    column (of a secret's one-row table, broadcast to ``docs``) does not.
+
     Rows are independent, so ties, repeated rows and empty tables need no rule; other
     columns stay, but one named like ``kinds`` is replaced.  Null and empty texts stay,
     with an empty list.
     """
-    gaps, found, replace = _pieces(F.col(text), key)
-    marked = F.coalesce(F.col(text).rlike("[0-9@]"), F.lit(False))
+    gaps, found, replace = _pieces(F.col(f"`{text}`").cast("string"), key)
+    marked = F.coalesce(F.col(f"`{text}`").rlike("[0-9@]"), F.lit(False))
     name = private("pii")
     work = docs.withColumn(name, F.when(marked, F.transform(found, replace)))
     pieces = F.zip_with(gaps, F.col(name), lambda gap, new: F.concat(gap, F.coalesce(new["text"], F.lit(""))))
-    new_text = F.when(F.size(name) > 0, F.array_join(pieces, "")).otherwise(F.col(text))
+    new_text = F.when(F.size(name) > 0, F.array_join(pieces, "")).otherwise(F.col(f"`{text}`"))
     listed = F.coalesce(F.array_compact(F.transform(F.col(name), lambda x: x["kind"])), F.array().cast("array<string>"))
     return work.withColumns({text: new_text, kinds: listed}).drop(name)
 

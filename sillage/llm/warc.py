@@ -7,7 +7,9 @@ members' offsets; the reader then opens any record by its offset.  Memory is bou
 a few buffers, except where a caller asks for whole payloads.
 
 Files go through ``pyarrow.fs``, so folders may be any URI that it knows.  Every file
-is written under a temporary name and moved, so a repeated task replaces its own files.
+is written under a temporary name and moved when it is complete.  An archive's name is
+its attempt's own, so attempts that run side by side can't meet; the table of paths
+names the files that count, and whatever else a lost attempt left belongs to nothing.
 """
 
 from __future__ import annotations
@@ -44,9 +46,17 @@ def _key(uri: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
+#: Escapes in a header value: control characters, and a percent sign that an escape could be read from.
+_ESCAPED = r"%(0[0-9A-F]|1[0-9A-F]|7F|25)"
+
+
 def _line(value: str) -> str:
-    """A header value: control characters can't stand in a header and are percent-encoded."""
-    return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
+    """A header value: control characters can't stand in a header and are percent-encoded; ``_unline`` undoes it exactly."""
+    return re.sub(rf"[\x00-\x1f\x7f]|%(?={_ESCAPED[2:-1]})", lambda m: f"%{ord(m[0]):02X}", value)
+
+
+def _unline(value: str | None) -> str | None:
+    return None if value is None else re.sub(_ESCAPED, lambda m: chr(int(m[1], 16)), value)
 
 
 def record(key: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> tuple[bytes, bytes]:
@@ -83,16 +93,19 @@ class _Target:
 
     def close(self) -> None:
         self.file.close()
-        if self.fs.get_file_info(self.path).type != pafs.FileType.NotFound:
+        try:
+            self.fs.move(self.part, self.path)  # replaces a file of an earlier attempt where the system can
+        except OSError:
             self.fs.delete_file(self.path)
-        self.fs.move(self.part, self.path)
+            self.fs.move(self.part, self.path)
 
 
 def write_archives(rows: DataFrame, folder: str, *, date: str = "2024-01-01T00:00:00Z", level: int = 4, roll: int = 1 << 30) -> DataFrame:
     """Write (key, url, payload, digest, refers_to) rows as monolithic gzip WARC files; ``digest`` is SHA-1 in hex.
 
     One row (path, records) for each file; a partition starts a new file after ``roll``
-    bytes of records.
+    bytes of records.  Names differ with every evaluation, so the result is to be
+    written, as ``archive`` does, and not evaluated again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +120,7 @@ def write_archives(rows: DataFrame, folder: str, *, date: str = "2024-01-01T00:0
             for i in range(batch.num_rows):
                 key, url, payload, digest, refers_to = (c[i].as_py() for c in batch.columns)
                 if target is None:
-                    path = f"{folder}/part-{part:05d}-{count:03d}.warc.gz"
+                    path = f"{folder}/part-{part:05d}-{count:03d}-{uuid.uuid4().hex[:12]}.warc.gz"
                     target, squeeze, records, size = _Target(path), zlib.compressobj(level, wbits=31), 0, 0
                 for piece in record(key, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), refers_to, date):
                     target.write(squeeze.compress(piece))
@@ -169,7 +182,9 @@ class _Inflated:
 def headers(head: bytes) -> dict[str, str]:
     """Header fields of a record's head, by lower-case name."""
     lines = head.decode("utf-8", "replace").split("\r\n")
-    return {n.strip().lower(): v.strip() for n, _, v in (x.partition(":") for x in lines[1:] if ":" in x)}
+    fields = {n.strip().lower(): v for n, _, v in (x.partition(":") for x in lines[1:] if ":" in x)}
+    # a URL's own blanks stay, but for the one that belongs to the header
+    return {n: v.removeprefix(" ") if n == "warc-target-uri" else v.strip() for n, v in fields.items()}
 
 
 def normalise_file(source: str, target: str, level: int = 4) -> int:
@@ -232,8 +247,9 @@ def _entries(index_path: str) -> Iterator[dict]:
 def read_archives(files: DataFrame, *, payload: bool = False) -> DataFrame:
     """Every record of normalised archives, opened by its indexed offset.
 
-    key, url, record_type, refers_to, payload_bytes, payload_digest, and with
-    ``payload`` the bytes (null for a revisit).  A response's length and digest are
+    key, url (as it was written, control characters and blanks included), record_type,
+    refers_to, payload_bytes, payload_digest, and with ``payload`` the bytes (null for a
+    revisit).  A response's length and digest are
     worked out from its payload and must equal its headers; a revisit's are those of
     its headers.
     """
@@ -251,7 +267,7 @@ def read_archives(files: DataFrame, *, payload: bool = False) -> DataFrame:
                         kind = fields["warc-type"]
                         if kind == "response" and (size, digest) != (len(body), payload_digest(body)):
                             raise ValueError(f"{path}: payload of {fields['warc-record-id']} differs from its headers")
-                        out = (_key(fields["warc-record-id"]), fields.get("warc-target-uri"), kind, _key(fields.get("warc-refers-to")), size, digest)
+                        out = (_key(fields["warc-record-id"]), _unline(fields.get("warc-target-uri")), kind, _key(fields.get("warc-refers-to")), size, digest)
                         return (*out, body if kind == "response" else None) if payload else out
 
                     yield from _batches(map(row, _entries(index_path)), names, types)
@@ -287,7 +303,7 @@ def with_holders(pages: DataFrame, *, key: str = "page_id", url: str = "url", ht
     Null html is an empty payload; a null key never holds one that another key has.
     """
     scratch = Scratch(pages.sparkSession, "warc-holders")
-    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload"))
+    rows = pages.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
     large = rows.filter(F.octet_length("payload") >= least)
     holders = scratch.save(large.groupBy("sha").agg(F.max("key").alias("holder"), F.count("*").alias("n")).filter("n > 1 and holder is not null").select("sha", "holder"))
@@ -300,8 +316,10 @@ def archive(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "
     """Write pages as WARC archives and normalise them: path, index_path and records of each file.
 
     Monolithic streams go to ``folder``/whole, members and indexes to ``folder``/records.
-    Each archive is written, normalised and counted by one task; the files appear when
-    the result is evaluated.  An empty table writes nothing.
+    Each archive is written, normalised and counted by one task.  All of it happens
+    here and once: the result is a written table.  An empty table writes nothing, and
+    columns other than the three named are not read.
     """
     rows = with_holders(pages, key=key, url=url, html=html, least=least)
-    return normalise(write_archives(rows, f"{folder}/whole", level=level), f"{folder}/records", level=level)
+    files = normalise(write_archives(rows, f"{folder}/whole", level=level), f"{folder}/records", level=level)
+    return Scratch(pages.sparkSession, "warc-files").save(files)

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import datetime
 import hashlib
+import json
 import math
 import re
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from sillage.llm import chat, pii, sketch, urls
@@ -75,6 +78,117 @@ def test_pii_query_leaves_no_valid_value(spark):
             assert got == text
 
 
+def plain_digits(digits, key, tag):
+    half = len(digits) // 2
+    return digits if len(digits) < 2 else str(plain_feistel(int(digits), 10 ** (len(digits) - half), 10**half, key, tag)).zfill(len(digits))
+
+
+def refill(shape, digits):
+    it = iter(digits)
+    return "".join(next(it) if c.isdigit() else c for c in shape)
+
+
+def plain_value(kind, m, key):
+    """One value's pseudonym, or None if it fails its check; written from the formats, one value at a time."""
+    d = re.sub("[^0-9]", "", m)
+    if kind == "email":
+        return f"user{hashlib.sha256(f'{key}|email|{m.lower()}'.encode()).hexdigest()[:16]}@mail.invalid"
+    if kind == "secret":
+        new = hashlib.sha256(f"{key}|secret|{m}".encode()).hexdigest()[: len(m)]
+        return (new.upper() if re.search("[A-F]", m) else new) if re.search("[0-9]", m) and re.search("[A-Fa-f]", m) else None
+    if kind == "phone":
+        head = re.match(r"\+[0-9]{1,3}(?=[^0-9])|\+[0-9]", m)[0]
+        rest = m[len(head) :]
+        return head + refill(rest, plain_digits(re.sub("[^0-9]", "", rest), key, "phone")) if 8 <= len(d) <= 15 else None
+    if kind == "local_phone":
+        return refill(m, str(plain_feistel(int(d) - 2 * 10**9, 800_000, 10_000, key, "local_phone") + 2 * 10**9))
+    if kind == "date":
+        parts = [int(x) for x in re.split(r"[-./]", m)]
+        y, mo, day = parts if "-" in m else (parts[2], parts[1], parts[0]) if "." in m else (parts[2], parts[0], parts[1])
+        try:
+            then = datetime.date(y, mo, day)
+        except ValueError:
+            return None
+        if y < 100:
+            return None
+        first = datetime.date(y // 100 * 100, 1, 1)
+        a, b = (75, 487) if y // 100 % 4 == 0 else (92, 397)
+        new = first + datetime.timedelta(plain_feistel((then - first).days, a, b, key, "date"))
+        return f"{new.year:04d}-{new:%m-%d}" if "-" in m else f"{new:%d.%m.}{new.year:04d}" if "." in m else f"{new:%m/%d/}{new.year:04d}"
+    if kind == "ssn":
+        a, g, n = (int(x) for x in m.split("-"))
+        if not (0 < a < 900 and a != 666 and g and n):
+            return None
+        x = plain_feistel(((a - 1 - (a > 666)) * 99 + g - 1) * 9999 + n - 1, 898 * 99, 9999, key, "ssn")
+        place = x // 9999 // 99
+        return f"{place + 1 + (place >= 665):03d}-{x // 9999 % 99 + 1:02d}-{x % 9999 + 1:04d}"
+    if kind == "ip":
+        parts = [int(x) for x in m.split(".")]
+        if max(parts) > 255:
+            return None
+        n = plain_feistel(int.from_bytes(bytes(parts)), 65536, 65536, key, "ip")
+        return ".".join(str(b) for b in n.to_bytes(4))
+    if kind == "card":
+        if not luhn(d) or not d.strip("0"):
+            return None
+        body = plain_digits(d[:-1], key, "card")
+        return refill(m, body + next(c for c in "0123456789" if luhn(body + c)))
+    plain = m.replace(" ", "")
+    number = lambda t: int("".join(str(int(c, 36)) for c in t))
+    if number(plain[4:] + plain[:4]) % 97 != 1:
+        return None
+    body = re.sub("[^0-9]", "", plain[4:])
+    half = (len(body) + 1) // 2
+    moved = plain_digits(body[:half], key, "iban") + plain_digits(body[half:], key, "iban2")
+    check = f"{98 - number(refill(plain[4:], moved) + plain[:2] + '00') % 97:02d}"
+    return plain[:2] + refill(m[2:], check + moved)
+
+
+def plain_mask(text, key):
+    kinds = []
+    order = ["email", "secret", "phone", "local_phone", "date", "ssn", "ip", "card", "iban"]
+
+    def one(m):
+        kind = next(k for k in order if regex.fullmatch(pii.PATTERNS[k], m[0], flags=regex.ASCII if k != "email" else 0))
+        new = plain_value(kind, m[0], key)
+        kinds.extend([kind] * (new is not None))
+        return m[0] if new is None else new
+
+    return regex.sub("|".join(f"(?:{pii.PATTERNS[k]})" for k in order), one, text), kinds
+
+
+MORE = "call 555-123-4567 or (555) 223-4567, IBAN GB82 WEST 1234 5698 7654 32; DE89370400440532013000 and DE88370400440532013000, 155-223-4567"
+
+
+def test_pii_query_equals_a_plain_computation(spark):
+    before = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    after = op6_pii(spark, "/root/testdata/sf0.01").collect()
+    assert len(after) == len(before)
+    for r in after:
+        text, kinds = plain_mask(before[r["doc_id"]] or "", PII_KEY)
+        assert r["text"] == (text if before[r["doc_id"]] is not None else None)
+        assert r["n_replaced"] == len(kinds) and all(r[f"n_{k}"] == kinds.count(k) for k in pii.KINDS)
+
+
+def test_national_phones_and_account_numbers(spark):
+    df = spark.createDataFrame([(1, MORE), (2, f"x {MORE}")], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.mask(df, "k").collect()}
+    assert out[1]["text"] == plain_mask(MORE, "k")[0] and out[2]["text"] == "x " + out[1]["text"]
+    assert out[1]["pii_kinds"] == ["local_phone", "local_phone", "iban", "iban"]
+    assert "DE88370400440532013000" in out[1]["text"] and "155-223-4567" in out[1]["text"]
+    found = re.findall(r"[A-Z]{2}\d\d(?: ?[0-9A-Z]{4})+(?: ?[0-9A-Z]{1,3})?", out[1]["text"])[:2]
+    for value in found:
+        plain = value.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def test_a_key_column_stays_out_of_the_plan(spark):
+    secret = spark.createDataFrame([("k",)], "secret_value string")
+    docs = spark.createDataFrame([(1, MORE)], "doc_id long, text string")
+    masked = pii.mask(docs.crossJoin(F.broadcast(secret)), F.col("secret_value")).drop("secret_value")
+    assert masked.first()["text"] == plain_mask(MORE, "k")[0]
+
+
 def test_dates_stay_in_their_century_and_form_a_permutation(spark):
     days = spark.sql("select explode(sequence(date'1900-01-01', date'1999-12-31')) as d").select(F.date_format("d", "yyyy-MM-dd").alias("text"))
     out = pii.mask(days, "k").select("text").distinct()
@@ -182,7 +296,7 @@ def test_chat_round_trip(spark):
     assert [(t["role"], t["text"]) for t in out[1]["turns"]] == [(r[2], r[3]) for r in rows[:7]]
     assert out[1]["loss"] == "".join(r[3] for r in rows[:7] if r[2] == "assistant")
     assert [(t["role"], t["text"]) for t in out[2]["turns"]] == [("", "")] and out[None]["loss"] == "x"
-    assert [t["role"] for t in out[3]["turns"]] == ["user", "user"]
+    assert [t["role"] for t in out[3]["turns"]] == ["user", "human"]
     for span in out[1]["loss_mask"]:
         piece = out[1]["formatted"][span["start"] : span["start"] + span["length"]]
         assert piece == re.sub(r"<(\\*)(/?turn)", r"<\\\1\2", rows[span["turn"] - 1][3])
@@ -214,6 +328,45 @@ def test_layouts_are_chosen_by_fingerprint(spark):
         chat.layout_of(df)
 
 
+def test_further_fields_do_not_change_the_layout(spark):
+    records = {
+        '{"prompt": "a", "response": "b", "text": "z"}': "prompt_response",
+        '{"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}], "system": "s"}': "messages",
+        '{"instruction": "a", "output": "b", "question": "q"}': "instruction",
+        '{"instruction": "a", "input": "c", "output": "b", "prompt": "p"}': "instruction_input",
+        '{"prompt": "a", "completion": "b", "answer": "c"}': "prompt_completion",
+    }
+    df = spark.createDataFrame(list(enumerate(records)), "id int, payload string")
+    got = {(r["key"], r["layout"]) for r in chat.turns_from_json(df, payload="payload", key="id").select("key", "layout").collect()}
+    assert got == set(enumerate(records.values()))
+    wide = spark.createDataFrame([(1, 0, "human", "a", "x", "y", "z")], "conv_id long, turn long, role string, text string, input string, prompt string, output string")
+    assert [(r["role"], r["text"]) for r in chat.turns_from_table(wide, key="conv_id").collect()] == [("human", "a")]
+    assert chat.layout_of(spark.createDataFrame([("a", "b", "c")], "prompt string, response string, system string")).name == "prompt_response"
+
+
+def test_mixed_layouts_come_back_from_the_formatted_text(spark):
+    made = [
+        {"messages": [{"role": "system", "content": "s"}, {"role": "user", "content": HARD[1]}, {"role": "assistant", "content": HARD[2]}], "n": 1},
+        {"conversations": [{"from": "human", "value": HARD[0]}, {"from": "gpt", "value": ""}]},
+        {"dialog": [{"speaker": "user", "text": "é"}]},
+        {"system": "s", "instruction": HARD[5], "output": "b", "id": 9},
+        {"instruction": "a", "input": "c", "output": HARD[6]},
+        {"question": "a", "answer": None},
+    ]
+    want = [
+        [("system", "s"), ("user", HARD[1]), ("assistant", HARD[2])],
+        [("user", HARD[0]), ("assistant", "")],
+        [("user", "é")],
+        [("system", "s"), ("user", HARD[5]), ("assistant", "b")],
+        [("user", "a\n\nc"), ("assistant", HARD[6])],
+    ]
+    df = spark.createDataFrame([(i, json.dumps(m), "clash") for i, m in enumerate(made)], "id long, payload string, layout string")
+    turns = chat.turns_from_json(df, payload="payload", key="id")
+    read = chat.parse_chats(chat.format_chats(turns.filter("layout is not null"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_mask")))
+    got = {r["key"]: ([(t["role"], t["text"]) for t in r["turns"]], r["loss"]) for r in read.collect()}
+    assert got == {i: (w, "".join(t for r, t in w if r == "assistant")) for i, w in enumerate(want)}
+
+
 def test_chat_query_has_the_extra_conversation(spark):
     row = op5_chat(spark, SF).filter("conv_id = -7").first()
     text = r"\### Assistant: </turn> ok"
