@@ -13,28 +13,47 @@ from pyspark.sql import functions as F
 from sillage.llm import bpe, minhash, mixing, pii, quality
 from sillage.llm.arrow import whole_texts
 from sillage.llm.queries import PII_KEY, TOKEN_PATTERN, TOKENIZER, WEIGHTS, table
-from sillage.llm.scratch import Scratch
+from sillage.llm.scratch import Scratch, private
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go, by doc_id.
+
+    Null and empty texts have no words and fail the base rules; rows with a null doc_id
+    stay; repeated rows share their document's fate; columns may have any names.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id stays.
+
+    Texts without words are nobody's duplicates; rows with a null doc_id stay; rows that
+    repeat a kept doc_id all stay, as they are that document.
+    """
     return minhash.deduplicate(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    masked = pii.mask(docs, PII_KEY, kinds="__kinds").withColumn("n_chars", F.length("text").cast("long"))
-    return masked.select(docs.columns)
+    """Personal data and secrets become pseudonyms, and n_chars the new length (null for a null text); every row stays."""
+    masked = pii.mask(docs, PII_KEY, kinds=private("kinds")).withColumn("n_chars", F.length("text").cast("long"))
+    return masked.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, table(spark, sf_dir, "labels"), WEIGHTS, keep="clean")
+    """Rows as often as their rates say, for the target weights at the present number of tokens.
+
+    Null and empty texts have no tokens and the posterior of a text without words; rows
+    with a null doc_id draw like others; without labels every row comes back once.
+    """
+    return mixing.mix(docs, table(spark, sf_dir, "labels"), WEIGHTS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (packed little-endian 32-bit) and the digest of the text decoded from them."""
+    """doc_id, n_tokens, ids (packed little-endian 32-bit) and the digest of the text decoded from them.
+
+    A row for each row; a null or empty text has no ids.
+    """
     whole_texts(spark)
     out = bpe.encode(docs, bpe.Vocabulary(bpe.load_ranks(TOKENIZER)), TOKEN_PATTERN, key="doc_id", decoded=True)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -53,9 +72,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
-    scratch = Scratch(spark, "pipeline")
-    for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir))
+    """All stages on ``documents``, each written and read again before the next.
+
+    A stage's input is deleted when its output is written; what the last stage reads
+    stays until the result is done with (``scratch.sweep``, or the end of the process).
+    After a failure nothing of the run's own tables stays.
+    """
+    docs, held = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        scratch = Scratch(spark, "pipeline")
+        try:
+            docs = scratch.save(stage(spark, docs, sf_dir))
+        finally:
+            if held is not None:
+                held.drop()
+        held = scratch
     return STAGES[-1][1](spark, docs, sf_dir)
