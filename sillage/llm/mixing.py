@@ -73,7 +73,7 @@ class Classifier:
     bias: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, domains: list[str], chosen: np.ndarray, steps: int = 300, ridge: float = 1e-3) -> Classifier:
+    def fit(cls, x: np.ndarray, y: np.ndarray, domains: list[str], chosen: np.ndarray, steps: int = 600, ridge: float = 1e-3) -> Classifier:
         scale = x.std(axis=0, dtype=np.float64).astype(np.float32) + np.float32(1e-3)
         x = x.astype(np.float32) / scale
         goal = np.eye(len(domains), dtype=np.float32)[y]
@@ -121,6 +121,12 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, *, text: str = "text", do
     seen = {r["domain"]: r["count"] for r in sample.groupBy("domain").count().collect()}
     if not seen:
         return None
+    # a domain that no document of the table shows can't be told, and has no tokens to match
+    held_domains = sorted(seen)
+    place = {d: i for i, d in enumerate(held_domains)}
+    domains = [domains[d] for d in held_domains]
+    sample = sample.withColumn("domain", F.create_map(*(F.lit(x) for pair in place.items() for x in pair))[F.col("domain")])
+    seen = {place[d]: n for d, n in seen.items()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, total = _Features(None), np.zeros((len(domains), BUCKETS), np.int64)
@@ -209,16 +215,17 @@ def _stepped(rate: Column, steps: list[np.ndarray]) -> Column:
     return rate
 
 
-def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], *, budget: float | None = None, iterations: int = 300, tolerance: float = 1e-6) -> Rates:
+def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], *, budget: float | None = None, iterations: int = 100, tolerance: float = 1e-6) -> Rates:
     """Rates for a written table (n_tokens, posterior), whose expected domain tokens match ``weights``.
 
     The token budget is ``budget``, or else the present total.  A domain without any
     tokens is left alone; if targets can't all be met, the result is the least-squares
     compromise.  The descent ends when every domain is within the share ``tolerance`` of
-    its own target (of its present tokens, if that is 0), or when a step lowers the sum
-    of the squares of these shares by less than a millionth.  A scaled step that
-    doesn't lower it by a tenth is replaced by one in the fixed metric of the shares,
-    which can't overshoot.  Sums are made by Spark; a row of a few numbers comes back.
+    its own target (of its present tokens, if that is 0), when a step lowers the squares
+    by less than a millionth, or after ``iterations`` steps, which only targets that
+    can't be met come to.  A scaled step that doesn't lower the squares by a tenth is
+    replaced by the plain gradient's, which can't overshoot.  Sums are made by Spark; a
+    row of a few numbers comes back.
     """
     k, scratch = len(domains), Scratch(table.sparkSession, "mixing-rates")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
@@ -239,22 +246,22 @@ def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], *
     share = np.array([weights.get(d, 0.0) for d in domains])
     share = share / share.sum() if share.sum() else np.full(k, 1.0 / max(k, 1))
     targets, live = share * (mass.sum() if budget is None else budget), mass > 0
-    scale = np.where(targets > 0, targets, np.maximum(mass, 1e-9))
+    allowed = tolerance * np.where(targets > 0, targets, mass)
     if not live.any():
         return Rates([], mass, targets, mass)
-    pace = 1 / float(np.linalg.eigvalsh(square / np.outer(scale, scale))[-1])
+    pace = 1 / float(np.linalg.eigvalsh(square)[-1])
 
     def off(totals: np.ndarray) -> np.ndarray:
         return np.where(live, totals - targets, 0.0)
 
     def squares(totals: np.ndarray) -> float:
-        return float(((off(totals) / scale) ** 2).sum())
+        return float((off(totals) ** 2).sum())
 
     totals = mass
-    while len(steps) < iterations and (np.abs(off(totals)) > tolerance * scale).any():
+    while len(steps) < iterations and (np.abs(off(totals)) > allowed).any():
         metric = np.zeros((k, k))
         metric[np.ix_(live, live)] = np.linalg.inv(square[np.ix_(live, live)] + 1e-9 * mass.sum() * np.eye(int(live.sum())))
-        for step, least in ((metric @ off(totals), 0.1), (pace * off(totals) / scale**2, 1e-6)):
+        for step, least in ((metric @ off(totals), 0.1), (pace * off(totals), 1e-6)):
             moved = at.select("n_tokens", "posterior", _stepped(F.col("rate"), [*pending, step]).alias("rate"))
             there, active = sums(moved)
             if squares(there) < squares(totals) * (1 - least):
