@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 
 from sillage.llm import bpe, minhash, mixing, pii, quality
 from sillage.llm.arrow import whole_texts
-from sillage.llm.queries import PII_KEY, TOKEN_PATTERN, TOKENIZER, WEIGHTS, table
+from sillage.llm.queries import PII_KEY, TOKEN_PATTERN, TOKENIZER, table
 from sillage.llm.scratch import Scratch, private
 
 
+#: Target shares of tokens.  Low quality is gone by then, so the domains are those of toxicity; the posteriors of clean
+#: documents alone hold some two per cent of toxic tokens, so a smaller target would have to be met at their cost.
+DOMAIN_WEIGHTS = {"clean": 0.97, "toxic": 0.03}
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go, by doc_id.
 
@@ -46,7 +51,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no tokens and the posterior of a text without words; rows
     with a null doc_id draw like others; without labels every row comes back once.
     """
-    return mixing.mix(docs, table(spark, sf_dir, "labels"), WEIGHTS)
+    toxic = F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean")
+    return mixing.mix(docs, table(spark, sf_dir, "labels"), DOMAIN_WEIGHTS, domain=toxic)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
