@@ -38,16 +38,20 @@ def threshold(text: Column) -> Column:
     The type is a lone d or r after the year.  The value is reliable only if it is one
     positive number; ranges, comparators and whole numbers that could be years are not.
     """
-    tail = F.regexp_extract(text, r"\([0-9]{4}[a-z]?\)\s*(.*)$", 1)
-    kind = F.nullif(F.regexp_extract(tail, r"^([dr])(?:\s|$)", 1), F.lit(""))
-    rest = F.trim(F.regexp_replace(tail, r"^[dr](\s+|$)", ""))
-    value = F.regexp_extract(rest, r"^([0-9]+(?:\.[0-9]+)?)(?:\s+[^0-9<>~–-].*)?$", 1)
-    number = value.try_cast("double")
-    year_like = value.rlike("^(1[89]|20)[0-9]{2}$")
-    good = (number > 0) & ~year_like
-    unit = F.nullif(F.regexp_extract(rest, r"^[0-9.]+\s+([A-Za-zμ]+/[A-Za-z0-9]+)", 1), F.lit(""))
-    ok = F.coalesce(good, F.lit(False))
-    return F.struct(F.when(ok | (rest != "0.00"), kind).alias("type"), F.when(ok, number).alias("value"), F.when(ok, unit).alias("unit"), F.when(ok, "parsed").otherwise("unparsed").alias("status"))
+    pattern = r"^.*?\([0-9]{4}[a-z]?\)\s*(?:([dr])(?:\s+|$))?\s*(.*?)\s*$"
+    # each step once a row, however often it is used
+    cut = F.struct(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).alias("kind"), F.regexp_extract(text, pattern, 2).alias("rest"))
+
+    def read(x: Column) -> Column:
+        value = F.regexp_extract(x["rest"], r"^([0-9]+(?:\.[0-9]+)?)(?:\s+[^0-9<>~–-].*)?$", 1)
+        unit = F.nullif(F.regexp_extract(x["rest"], r"^[0-9.]+\s+([A-Za-zμ]+/[A-Za-z0-9]+)", 1), F.lit(""))
+        return F.struct(x["kind"].alias("kind"), x["rest"].alias("rest"), value.alias("value"), value.try_cast("double").alias("number"), unit.alias("unit"))
+
+    def judged(x: Column) -> Column:
+        ok = F.coalesce((x["number"] > 0) & ~x["value"].rlike("^(1[89]|20)[0-9]{2}$"), F.lit(False))
+        return F.struct(F.when(ok | (x["rest"] != "0.00"), x["kind"]).alias("type"), F.when(ok, x["number"]).alias("value"), F.when(ok, x["unit"]).alias("unit"), F.when(ok, "parsed").otherwise("unparsed").alias("status"))
+
+    return F.transform(F.transform(F.array(cut), read), judged)[0]
 
 
 def latest_year(text: Column) -> Column:

@@ -35,26 +35,37 @@ def except_normalised(a: Column, b: Column) -> Column:
     return F.filter(a, lambda x, i: (key(x) != "") & ~F.array_contains(other, key(x)) & (F.array_position(keys, key(x)) == i + 1))
 
 
-def score_terms(text: Column, terms: list[tuple[str, float]], lead: float = 18.0, more: float = 4.0) -> Column:
-    """Weighted sum over the terms that occur: weight, ``more`` for each of up to three further occurrences, ``lead`` if the text begins with it."""
+#: Fixed values of the score of a chunk: characters of its lead, and what a term in it, a further occurrence (three at
+#: most), a registry number, a named entity, and a sign of a threshold or a drink add.
+LEAD_CHARS, LEAD, MORE, NUMBER, ENTITY, THRESHOLD_SIGN, DRINK_SIGN = 180, 18.0, 4.0, 20.0, 145.0, 6.0, 4.0
+_THRESHOLD_SIGN = r"(?i)阈\s*值|嗅阈|觉察阈|识别阈|threshold|(?:m|n|μ|u)g/"
+_DRINK_SIGN = r"(?i)白酒|葡萄酒|啤酒|黄酒|果酒|酒精|乙醇"
+_REGISTRY_NUMBER = r"^[0-9]{2,7}-[0-9]{2}-[0-9]$"
+
+
+def _one_term(low: Column, term: Column, weight: Column) -> Column:
+    count = ((F.length(low) - F.length(F.replace(low, term, F.lit("")))) / F.length(term)).cast("int")
+    lead = F.when(F.contains(F.left(low, F.lit(LEAD_CHARS)), term), LEAD).otherwise(0.0)
+    number = F.when(term.rlike(_REGISTRY_NUMBER), NUMBER).otherwise(0.0)
+    return F.when(count > 0, weight + MORE * F.least(count - 1, F.lit(3)) + lead + number).otherwise(0.0)
+
+
+def score_terms(text: Column, terms: list[tuple[str, float]]) -> Column:
+    """Sum over the terms that occur: weight, more for up to three further occurrences, for the lead of the text, and for a registry number."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    total = F.lit(0.0)
-    for term, weight in terms:
-        t = term.lower()
-        count = ((F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / len(t)).cast("int")
-        value = weight + more * F.least(count - 1, F.lit(3)) + F.when(F.startswith(low, F.lit(t)), lead).otherwise(0.0)
-        total = total + F.when(count > 0, value).otherwise(0.0)
-    return total
+    return sum((_one_term(low, F.lit(t.lower()), F.lit(float(w))) for t, w in terms), F.lit(0.0))
 
 
-def score_listed(text: Column, terms: Column, lead: float = 18.0, more: float = 4.0) -> Column:
+def score_listed(text: Column, terms: Column) -> Column:
     """``score_terms`` for an array column of (term, weight), for lists too long to be written out in a plan."""
     low = F.lower(F.coalesce(text, F.lit("")))
+    return F.aggregate(terms, F.lit(0.0), lambda total, x: total + _one_term(low, x["term"], x["weight"]))
 
-    def add(total: Column, x: Column) -> Column:
-        t = x["term"]
-        count = ((F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t)).cast("int")
-        value = x["weight"] + more * F.least(count - 1, F.lit(3)) + F.when(F.startswith(low, t), lead).otherwise(0.0)
-        return total + F.when(F.contains(low, t), value).otherwise(0.0)
 
-    return F.aggregate(terms, F.lit(0.0), add)
+def with_signs(score: Column, text: Column, entities: Column | None = None, named: list[str] | None = None) -> Column:
+    """A chunk's whole score: more if it belongs to a named entity, and, if it has any score, for the signs in its text."""
+    own = score
+    if entities is not None and named:
+        own = own + F.when(F.arrays_overlap(entities, F.array(*map(F.lit, named))), ENTITY).otherwise(0.0)
+    sign = F.when(F.coalesce(text, F.lit("")).rlike(_THRESHOLD_SIGN), THRESHOLD_SIGN).otherwise(0.0) + F.when(F.coalesce(text, F.lit("")).rlike(_DRINK_SIGN), DRINK_SIGN).otherwise(0.0)
+    return F.when(own > 0, own + sign).otherwise(0.0)

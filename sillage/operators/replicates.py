@@ -122,7 +122,7 @@ def share_of_total(df: DataFrame, keys: list[str], value: str, name: str = "shar
 
 def authority(df: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
     """For each key the fields of its best row in ``order``, and for each field whether its rows disagree."""
-    rows = df.groupBy(key).agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("_b"), *((F.countDistinct(f) > 1).alias(f"{f}_conflict") for f in fields))
+    rows = df.groupBy(key).agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("_b"), *(F.coalesce(F.min(f) < F.max(f), F.lit(False)).alias(f"{f}_conflict") for f in fields))
     return rows.select(key, *(F.col(f"_b.{f}").alias(f) for f in fields), *(f"{f}_conflict" for f in fields))
 
 

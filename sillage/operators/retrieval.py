@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sillage.functions.text import useful_term
-from sillage.operators.ranking import score_listed, score_terms, top
+from sillage.operators.ranking import score_listed, score_terms, top, with_signs
 from sillage.operators.rollup import merge_overlap
 
 #: Terms up to which their score is written out in the plan; beyond, they are a list beside each chunk.
@@ -29,25 +29,25 @@ def expand_terms(spark, query: str, entities: DataFrame, *, names: str = "names"
     return [(r["term"], r["weight"]) for r in best.orderBy(F.desc("weight"), F.desc(F.length("term")), "term").collect()]
 
 
-def search(chunks: DataFrame, terms: list[tuple[str, float]], *, text: str = "text", page: str = "page", chunk: str = "chunk", limit: int = 20, bonus: Column | None = None) -> DataFrame:
-    """The best pages with pos: chunks are scored, those without a term left out, chunks of a page collapsed, and the top taken.
+def search(chunks: DataFrame, terms: list[tuple[str, float]], *, text: str = "text", page: str = "page", chunk: str = "chunk", limit: int = 20, bonus: Column | None = None, entities: Column | None = None, named: list[str] | None = None) -> DataFrame:
+    """The best pages with pos: chunks are scored, those without a term or named entity left out, chunks of a page collapsed, and the top taken.
 
     A page has its best chunk's score and 3 more for each further chunk, up to 9; its
-    chunk numbers; and its chunks' texts merged at their overlaps.
+    chunk numbers; and its chunks' texts merged at their overlaps.  Pages are ranked by
+    scores alone; only the texts of those that are taken travel.
     """
     if len(terms) <= LITERAL_TERMS:
         scored = chunks.withColumn("_score", score_terms(F.col(text), terms))
     else:  # a single row, beside every chunk
         listed = chunks.sparkSession.createDataFrame([([(t.lower(), float(w)) for t, w in terms],)], "_terms array<struct<term:string,weight:double>>")
         scored = chunks.crossJoin(F.broadcast(listed)).withColumn("_score", score_listed(F.col(text), F.col("_terms"))).drop("_terms")
-    scored = scored.filter("_score > 0")
+    scored = scored.withColumn("_score", with_signs(F.col("_score"), F.col(text), entities, named)).filter("_score > 0")
     if bonus is not None:
         scored = scored.withColumn("_score", F.col("_score") + bonus)
-    hits = F.array_sort(F.collect_list(F.struct(F.col(chunk).alias("chunk"), F.col(text).alias("text"))))
-    pages = scored.groupBy(page).agg(F.max("_score").alias("_best"), F.count("*").alias("_n"), hits.alias("_hits"))
-    pages = pages.select(page, (F.col("_best") + 3 * F.least(F.col("_n") - 1, F.lit(3))).alias("score"), F.transform("_hits", lambda h: h["chunk"]).alias("chunks"), F.transform("_hits", lambda h: h["text"]).alias("_texts"))
-    best = top(pages, [F.desc("score"), F.col(page)], limit)
-    return best.select("pos", page, "score", "chunks", merge_overlap(F.col("_texts")).alias("merged"))
+    pages = scored.groupBy(page).agg(F.max("_score").alias("_best"), F.count("*").alias("_n"))
+    best = top(pages.select(page, (F.col("_best") + 3 * F.least(F.col("_n") - 1, F.lit(3))).alias("score")), [F.desc("score"), F.col(page)], limit)
+    hits = scored.join(F.broadcast(best), page).groupBy("pos", page, "score").agg(F.array_sort(F.collect_list(F.struct(F.col(chunk).alias("chunk"), F.col(text).alias("text")))).alias("_hits"))
+    return hits.select("pos", page, "score", F.transform("_hits", lambda h: h["chunk"]).alias("chunks"), merge_overlap(F.transform("_hits", lambda h: h["text"])).alias("merged"))
 
 
 def by_entity(hits: DataFrame, entity: str, *, page: str = "page", text: str = "text", order: list[str] | None = None) -> DataFrame:

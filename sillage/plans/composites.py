@@ -133,8 +133,10 @@ def h10(spark: SparkSession, d: str) -> DataFrame:
     """
 WITH c AS (SELECT doc_id // 4 AS page, doc_id AS chunk, lower(coalesce(text, '')) AS x FROM documents),
 n AS (SELECT page, chunk, x, (length(x) - length(replace(x, 'thand', ''))) // 5 AS a, (length(x) - length(replace(x, 'onerth', ''))) // 6 AS b FROM c),
-s AS (SELECT page, chunk, CASE WHEN a > 0 THEN 30.0::DOUBLE + 4 * least(a - 1, 3) + CASE WHEN starts_with(x, 'thand') THEN 18 ELSE 0 END ELSE 0 END + CASE WHEN b > 0 THEN 20.0::DOUBLE + 4 * least(b - 1, 3) + CASE WHEN starts_with(x, 'onerth') THEN 18 ELSE 0 END ELSE 0 END AS score FROM n),
-p AS (SELECT page, max(score) + 3 * least(count(*) - 1, 3) AS score, string_agg(chunk::VARCHAR, ',' ORDER BY chunk) AS chunks FROM s WHERE score > 0 GROUP BY page)
+s AS (SELECT page, chunk, CASE WHEN a > 0 THEN 30.0::DOUBLE + 4 * least(a - 1, 3) + CASE WHEN contains(left(x, 180), 'thand') THEN 18 ELSE 0 END ELSE 0 END + CASE WHEN b > 0 THEN 20.0::DOUBLE + 4 * least(b - 1, 3) + CASE WHEN contains(left(x, 180), 'onerth') THEN 18 ELSE 0 END ELSE 0 END AS score FROM n),
+g AS (SELECT page, chunk, score + CASE WHEN regexp_matches(x, '阈[[:space:]]*值|嗅阈|觉察阈|识别阈|threshold|(m|n|μ|u)g/') THEN 6 ELSE 0 END + CASE WHEN regexp_matches(x, '白酒|葡萄酒|啤酒|黄酒|果酒|酒精|乙醇') THEN 4 ELSE 0 END AS score
+  FROM s JOIN c USING (page, chunk) WHERE score > 0),
+p AS (SELECT page, max(score) + 3 * least(count(*) - 1, 3) AS score, string_agg(chunk::VARCHAR, ',' ORDER BY chunk) AS chunks FROM g GROUP BY page)
 SELECT row_number() OVER (ORDER BY score DESC, page) AS pos, page, score, chunks FROM p QUALIFY pos <= 20
 """,
 )

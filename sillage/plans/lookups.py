@@ -247,9 +247,9 @@ _TERMS = [("the", 10.0), ("with", 7.5), ("onth", 4.0)]
     """
 WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS x FROM documents),
 c AS (SELECT doc_id, x, (length(x) - length(replace(x, 'the', ''))) // 3 AS a, (length(x) - length(replace(x, 'with', ''))) // 4 AS b, (length(x) - length(replace(x, 'onth', ''))) // 4 AS c FROM t),
-s AS (SELECT doc_id, CASE WHEN a > 0 THEN 10.0::DOUBLE + 4 * least(a - 1, 3) + CASE WHEN starts_with(x, 'the') THEN 18 ELSE 0 END ELSE 0 END
-  + CASE WHEN b > 0 THEN 7.5::DOUBLE + 4 * least(b - 1, 3) + CASE WHEN starts_with(x, 'with') THEN 18 ELSE 0 END ELSE 0 END
-  + CASE WHEN c > 0 THEN 4.0::DOUBLE + 4 * least(c - 1, 3) + CASE WHEN starts_with(x, 'onth') THEN 18 ELSE 0 END ELSE 0 END AS score FROM c)
+s AS (SELECT doc_id, CASE WHEN a > 0 THEN 10.0::DOUBLE + 4 * least(a - 1, 3) + CASE WHEN contains(left(x, 180), 'the') THEN 18 ELSE 0 END ELSE 0 END
+  + CASE WHEN b > 0 THEN 7.5::DOUBLE + 4 * least(b - 1, 3) + CASE WHEN contains(left(x, 180), 'with') THEN 18 ELSE 0 END ELSE 0 END
+  + CASE WHEN c > 0 THEN 4.0::DOUBLE + 4 * least(c - 1, 3) + CASE WHEN contains(left(x, 180), 'onth') THEN 18 ELSE 0 END ELSE 0 END AS score FROM c)
 SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS pos FROM s QUALIFY pos <= 20
 """,
 )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def compact(df: DataFrame, key: str, medium: str, value: str, media: list[str], order: list[str]) -> DataFrame:
     """One row for each key, with the joined values and their count for each medium; the media are given, so the columns are known."""
-    listed = lambda m: F.filter(F.array_sort(F.collect_list(F.struct(*order, F.col(medium).alias("_m"), F.col(value).alias("_v")))), lambda x: x["_m"] == m)
+    listed = lambda m: F.array_sort(F.collect_list(F.when(F.col(medium) == m, F.struct(*order, F.col(value).alias("_v")))))
     out = df.groupBy(key).agg(*(listed(m).alias(f"_{i}") for i, m in enumerate(media)))
     columns = []
     for i, m in enumerate(media):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,11 +35,35 @@ def presence(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour")
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """All that is there now, run through the stream into a table of its own, which is returned."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """All that is there now, run through the stream into a Parquet table under the checkpoint folder, which is returned.
+
+    Each batch is written by its number, so a repeated batch replaces itself; in
+    ``complete`` mode the last batch is the whole.  The driver holds no rows.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+    folder = f"{_shared_folder(spark)}/drained-{uuid.uuid4().hex}"
+    batches: list[int] = []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/{batch:06d}")
+        batches.append(batch)
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    kept = sorted(set(batches))[-1:] if mode == "complete" else sorted(set(batches))
+    if not kept:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(f"{folder}/rows/{b:06d}" for b in kept))
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; on a local master without one, a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='sillage-')}"
+    return folder.rstrip("/")
 
 
 def popular(events: DataFrame, key: str, limit: int) -> DataFrame:

@@ -193,7 +193,12 @@ def test_pages_and_bulk_lookup(spark):
 def test_search_collapses_pages(spark):
     chunks = spark.createDataFrame([(1, 1, "ethyl acetate in wine"), (1, 2, "acetate"), (2, 3, "nothing"), (3, 4, "Acetate acetate acetate")], "page int, chunk int, text string")
     got = retrieval.search(chunks, [("acetate", 10.0), ("wine", 5.0)]).collect()
-    assert [(r["page"], r["score"], r["chunks"]) for r in got] == [(3, 36.0, [4]), (1, 31.0, [1, 2])]
+    assert [(r["page"], r["score"], r["chunks"]) for r in got] == [(1, 54.0, [1, 2]), (3, 36.0, [4])]
+    # a term in the first 180 characters, registry numbers, the named entity, and signs of thresholds and drinks add to the score
+    rows = [(1, 1, "x" * 170 + " 13-57-9", None), (2, 2, "x" * 190 + " 13-57-9", ["13-57-9"]), (3, 3, "no term at all", ["13-57-9"]), (4, 4, "13-57-9 threshold 5 mg/L in 啤酒", None), (5, 5, "threshold only", None)]
+    chunks = spark.createDataFrame(rows, "page int, chunk int, text string, cas array<string>")
+    got = retrieval.search(chunks, [("13-57-9", 80.0)], entities=F.col("cas"), named=["13-57-9"]).collect()
+    assert {r["page"]: r["score"] for r in got} == {1: 118.0, 2: 245.0, 3: 145.0, 4: 128.0}
     entities = spark.createDataFrame([("141-78-6", ["Ethyl acetate", "EtOAc"]), ("1-1-1", ["other"])], "key string, names array<string>")
     terms = dict(retrieval.expand_terms(spark, " ETHYL acetate", entities))
     assert terms["ethyl acetate"] == 40.0 and terms["141-78-6"] == 36.0 and terms["etoac"] == 30.0 and "other" not in terms

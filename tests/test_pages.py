@@ -54,6 +54,19 @@ def test_clauses_and_values(spark):
     assert {r["threshold_type"] for r in got} == {"odor"} and {r["review_status"] for r in got} == {"ok"}
 
 
+def test_every_medium_is_told(spark):
+    shown = {"乳脂": "在乳脂中", "椰子脂": "椰子脂中", "乳浊液": "水乳浊液中", "糖-酸溶液": "糖-酸溶液中", "MSG溶液": "msg 溶液中", "IMP溶液": "IMP溶液中", "椰子粉": "椰子粉中", "鸡汤": "鸡汤中", "可可粉": "可可粉中", "面粉": "面粉中", "淀粉": "淀粉中", "纤维素": "纤维素中", "其他": "醋中", "油相": "葵花籽油中", "果酒": "苹果酒中", "葡萄酒": "除香红葡萄酒中", "模拟葡萄酒": "模型葡萄酒中", "未明确": "某处"}
+    df = spark.createDataFrame([(k, v) for k, v in shown.items()], "m string, t string")
+    assert df.filter(clauses.medium(F.col("t")) != F.col("m")).count() == 0 and len(clauses.MEDIA) == 29
+
+
+def test_glyphs_and_units_are_mended(spark):
+    cases = {"嗅國值": "嗅阈值", "噢闽值": "嗅阈值", "嘎阈值": "嗅阈值", "3mg/Lo": "3mg/L。", "CAS 号：141—78—6": "CAS号 141-78-6", "141-78=6": "141-78-6", "2 umol/L": "2μmol/L", "　x　": "x"}
+    df = spark.createDataFrame(list(cases.items()), "t string, w string").withColumn("got", clauses.clean(F.col("t")))
+    assert [tuple(r) for r in df.filter("got <> w").collect()] == []
+    assert [v["unit"] for v in one(spark, clauses.values(F.lit("阈值 ND 5 MG/L")))] == ["MG/L"]
+
+
 def test_roles_of_concentrations(spark):
     got = one(spark, clauses.values(F.lit("模型葡萄酒（7g/L甘油，4g/L酒石酸）中的阈值0.5μg/L，样品中含量200μg/L")))
     assert [(v["low"], v["role"]) for v in got] == [("7", "matrix"), ("4", "matrix"), ("0.5", "threshold"), ("200", "sample")]
