@@ -103,3 +103,33 @@ def csv_cell(value: Column) -> Column:
 def spreadsheet_safe(number: Column) -> Column:
     """A registry number as a formula that spreadsheets keep as text; others as they are."""
     return F.when(number.rlike(f"^{REGISTRY_NUMBER}$"), F.concat(F.lit('="'), number, F.lit('"'))).otherwise(number)
+
+
+# Fixed value: what a hashed structure key looks like.
+_STRUCTURE_KEY = r"^[A-Z]{14}-[A-Z]{10}-[A-Z]$"
+
+
+def structure_key(value: Column) -> Column:
+    """A structure key in capitals without blanks around it; anything else is null."""
+    plain = F.upper(F.trim(value))
+    return F.when(plain.rlike(_STRUCTURE_KEY), plain)
+
+
+def connectivity(value: Column) -> Column:
+    """A structure key's first block, which stands for how the atoms are connected."""
+    return F.left(structure_key(value), F.lit(14))
+
+
+def sentences(text: Column) -> Column:
+    """Sentences in order, without the marks that end them; blank ones are left out."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"[.!?。！？]"), lambda s: F.trim(s)), lambda s: s.rlike(r"\S"))
+
+
+def batch_lines(text: Column) -> Column:
+    """The lines of a batch input as they were typed; blank ones are left out."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: x.rlike(r"\S"))
+
+
+def first_given(*values: Column) -> Column:
+    """The first value that is neither null nor blank."""
+    return F.coalesce(*(F.when(F.trim(v) != "", v) for v in values))

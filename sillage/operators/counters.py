@@ -62,3 +62,8 @@ def served(cache: DataFrame, now: Column, *, key: str = "key", ts: str = "stored
 def to_fetch(requests: DataFrame, kept: DataFrame, key: str) -> DataFrame:
     """Distinct requested keys that are not kept: each is fetched once however often it is asked for."""
     return requests.select(key).filter(F.col(key).isNotNull()).distinct().join(kept.select(key), key, "left_anti")
+
+
+def with_expiry(rows: DataFrame, since: str, days: dict[str, int]) -> DataFrame:
+    """``rows`` with a time of expiry for each name, so many days after ``since``."""
+    return rows.withColumns({name: F.col(since) + F.make_dt_interval(F.lit(n)) for name, n in days.items()})
