@@ -116,18 +116,35 @@ def tolerance_join(a: DataFrame, b: DataFrame, *, on: list[str], left: str, righ
     return joined.filter(gap <= limit + 1e-12).drop("_b")
 
 
+#: Rules up to which an overlay is written out in the plan; beyond, it is a join.
+_LITERAL_RULES = 200
+
+
 def range_overlay(df: DataFrame, rules: DataFrame, *, at: str, low: str, high: str, position: str) -> DataFrame:
-    """``df`` with the first rule (by ``position``) whose range holds ``at``; rules are few and broadcast after a look at their count."""
-    if rules.count() > 10_000:
-        raise ValueError("an overlay is a short list of rules; join by range buckets instead")
+    """``df`` with the first rule (by ``position``) whose range, of numbers, holds ``at``.
+
+    A short list of rules is part of the plan.  A longer one is cut into steps as wide as
+    its ranges are on average, which makes at most two rows a rule on average, and
+    joined by step: a row meets the list of rules of its step.
+    """
     fields = [c for c in rules.columns if c not in (low, high)]
-    held = [tuple(r) for r in rules.select(low, high, *fields).orderBy(position).collect()]
-    kind = rules.select(*fields).schema.simpleString()
-    out = F.lit(None).cast(kind)
-    for lo, hi, *values in reversed(held):
-        rule = F.struct(*(F.lit(v).alias(f) for v, f in zip(values, fields, strict=True))).cast(kind)
-        out = F.when(F.col(at).between(lo, hi), rule).otherwise(out)
-    return df.withColumn("_rule", out).select(*df.columns, *(F.col(f"_rule.{f}").alias(f) for f in fields if f != position))
+    kept = [f for f in fields if f != position]
+    if rules.limit(_LITERAL_RULES + 1).count() <= _LITERAL_RULES:
+        held = [tuple(r) for r in rules.select(low, high, *fields).orderBy(position).collect()]
+        kind = rules.select(*fields).schema.simpleString()
+        out = F.lit(None).cast(kind)
+        for lo, hi, *values in reversed(held):
+            rule = F.struct(*(F.lit(v).alias(f) for v, f in zip(values, fields, strict=True))).cast(kind)
+            out = F.when(F.col(at).between(lo, hi), rule).otherwise(out)
+        return df.withColumn("_rule", out).select(*df.columns, *(F.col(f"_rule.{f}").alias(f) for f in kept))
+    good = rules.filter(F.col(low) <= F.col(high))
+    width = max(1, int(good.agg(F.avg(F.col(high) - F.col(low) + 1)).first()[0] or 1))
+    step = lambda c: F.floor(F.col(c) / width)
+    cut = good.withColumn("_step", F.explode(F.sequence(step(low), step(high))))
+    listed = cut.groupBy("_step").agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("_p"), F.col(low).alias("_lo"), F.col(high).alias("_hi"), F.struct(*kept).alias("_v")))).alias("_rules"))
+    joined = df.withColumn("_step", step(at)).join(listed, "_step", "left")
+    first = F.get(F.filter("_rules", lambda r: F.col(at).between(r["_lo"], r["_hi"])), 0)
+    return joined.withColumn("_rule", first["_v"]).select(*df.columns, *(F.col(f"_rule.{f}").alias(f) for f in kept))
 
 
 def mismatches(expected: DataFrame, actual: DataFrame, key: str, checks: list[tuple[str, Column]]) -> DataFrame:

@@ -72,3 +72,18 @@ def from_first_origin(df: DataFrame, signature: Cols, origin: str, order: Cols)
     first = df.groupBy(*signature).agg(F.min_by(origin, _tie(order)).alias("_origin"))
     joined = df.join(first, signature)
     return joined.filter(F.col(origin) == F.col("_origin")).select(df.columns)
+
+
+def following(df: DataFrame, key: str, at: str, name: str = "following", run: int = 100_000) -> DataFrame:
+    """(key, at, following) of the distinct (key, at) of whole numbers: the next greater ``at`` of the key, null for its last.
+
+    Values are cut in runs of ``run`` numbers, each sorted apart; the last of a run looks
+    up the first of the key's next run, so not even a key with most rows is sorted in
+    one task.
+    """
+    rows = df.select(key, at).filter(F.col(at).isNotNull()).distinct().withColumn("_run", F.floor(F.col(at) / run))
+    firsts = rows.groupBy(key, "_run").agg(F.min(at).alias("_first"))
+    after = firsts.select(key, "_run", F.lead("_first").over(Window.partitionBy(key).orderBy("_run")).alias("_after"))
+    within = rows.withColumn("_next", F.lead(at).over(Window.partitionBy(key, "_run").orderBy(at)))
+    joined = within.join(after, within[key].eqNullSafe(after[key]) & (within["_run"] == after["_run"]))
+    return joined.select(within[key], within[at], F.coalesce("_next", "_after").alias(name))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sillage.functions import measures, spectra, text
 from sillage.operators import evidence, match, replicates, retrieval
-from sillage.plans.measurements import LINE, _grid, replicate_of
+from sillage.plans.measurements import _GRID_ALL, LINE, _grid, replicate_of
 from sillage.plans.registry import query, table
 from sillage.sinks import exports
 from sillage.sources import documents, markup
@@ -241,7 +241,10 @@ def _semiquantitation(lines: DataFrame) -> DataFrame:
     return out.select("l_partkey", "rep", replicates.semiquantitate(F.col("area"), F.col("sarea"), amount).alias("q")).select("l_partkey", "rep", F.round("q.value", 6).alias("value"), "q.status")
 
 
-@query("l17_statistics_by_group")
+@query(
+    "l17_statistics_by_group",
+    _GRID_ALL + ", s AS (SELECT l_partkey, grp, avg(value) AS mean, stddev_samp(value) AS sd FROM c WHERE n_valid = 3 GROUP BY ALL) SELECT l_partkey, " + ", ".join(f'round(max(CASE WHEN grp = {g} THEN mean END), 3) AS "{g}"' for g in range(10)) + " FROM s WHERE coalesce(sd * 100 / mean <= 30, true) GROUP BY 1",
+)
 def l17(spark: SparkSession, d: str) -> DataFrame:
     """Group means side by side: the only place where the long table turns wide."""
     stats = replicates.mean_sd_cv(_grid(spark, d).filter("n_valid = 3"), ["l_partkey", "grp"], "value").filter("status = 'retained'")

@@ -212,7 +212,18 @@ def n04(spark: SparkSession, d: str) -> DataFrame:
     return counts.drained(counts.popular(counts.event_stream(spark, d), "user_id", 30), "complete")
 
 
-@query("n08_job_states")
+@query(
+    "n08_job_states",
+    """
+WITH RECURSIVE e AS (SELECT user_id AS job, CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'complete' WHEN 'click' THEN 'run' ELSE 'wait' END AS action, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT DISTINCT job, 0::BIGINT AS i, 'created' AS state, 0 AS steps FROM e
+  UNION ALL SELECT job, i, next, steps + CASE WHEN next <> state THEN 1 ELSE 0 END FROM (
+    SELECT s.job, e.i, s.state, s.steps, CASE WHEN e.action = 'run' AND s.state IN ('created', 'waiting_review', 'failed') THEN 'running' WHEN e.action = 'wait' AND s.state = 'running' THEN 'waiting_review'
+      WHEN e.action = 'complete' AND s.state = 'running' THEN 'complete' WHEN e.action = 'fail' AND s.state IN ('created', 'running', 'waiting_review') THEN 'failed' ELSE s.state END AS next
+    FROM s JOIN e ON e.job = s.job AND e.i = s.i + 1))
+SELECT job, state, steps FROM s QUALIFY row_number() OVER (PARTITION BY job ORDER BY i DESC) = 1
+""",
+)
 def n08(spark: SparkSession, d: str) -> DataFrame:
     from sillage.streaming import jobs
 

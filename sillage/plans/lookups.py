@@ -198,7 +198,19 @@ def d16(spark: SparkSession, d: str) -> DataFrame:
     return made[0].unionByName(made[1]).select("mode", "l_partkey", "order_a", "line_a", "order_b", "line_b")
 
 
-@query("d17_greedy_match")
+@query(
+    "d17_greedy_match",
+    """
+WITH RECURSIVE p AS (SELECT vec_id, unnest(range(0, len(embedding))) AS place, unnest(embedding) AS v FROM embeddings),
+k AS (SELECT * FROM p WHERE v > 0.2),
+c AS (SELECT a.vec_id AS pair, a.place AS a, b.place AS b, abs(a.place - b.place) AS gap, -least(a.v, b.v) AS low FROM k a JOIN k b ON b.vec_id - 1 = a.vec_id AND abs(a.place - b.place) <= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY gap, low, a, b) AS i FROM c),
+g AS (SELECT DISTINCT pair, 0::BIGINT AS i, []::BIGINT[] AS xs, []::BIGINT[] AS ys, false AS taken, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::BIGINT AS gap, NULL::FLOAT AS low FROM r
+  UNION ALL SELECT g.pair, r.i, CASE WHEN ok THEN list_append(g.xs, r.a) ELSE g.xs END, CASE WHEN ok THEN list_append(g.ys, r.b) ELSE g.ys END, ok, r.a, r.b, r.gap, r.low
+  FROM g JOIN r ON r.pair = g.pair AND r.i = g.i + 1, LATERAL (SELECT NOT list_contains(g.xs, r.a) AND NOT list_contains(g.ys, r.b) AS ok))
+SELECT pair, a, b FROM g WHERE taken
+""",
+)
 def d17(spark: SparkSession, d: str) -> DataFrame:
     """Peaks (positions of large components) of neighbouring vectors of a label, matched one to one."""
     peaks = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("at", "v")).filter("v > 0.2")

@@ -148,9 +148,9 @@ SELECT vec_id, other, round(list_cosine_similarity(x, y), 5) AS similarity FROM
 )
 def e15(spark: SparkSession, d: str) -> DataFrame:
     """Each vector against the next of its label."""
-    w = Window.partitionBy("label").orderBy("vec_id")
-    x = F.transform("embedding", lambda v: v.cast("double"))
-    rows = table(spark, d, "embeddings").select("vec_id", x.alias("x"), F.lead("vec_id").over(w).alias("other"), F.lead(x).over(w).alias("y")).filter("other is not null")
+    vectors = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    pairs = ordered.following(table(spark, d, "embeddings"), "label", "vec_id", "other").filter("other is not null")
+    rows = pairs.select("vec_id", "other").join(vectors, "vec_id").join(vectors.select(F.col("vec_id").alias("other"), F.col("x").alias("y")), "other")
     both = F.zip_with("x", "y", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     dot = F.aggregate(both, F.lit(0.0), lambda s, m: s + m["a"] * m["b"])
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v))
@@ -161,9 +161,9 @@ def e15(spark: SparkSession, d: str) -> DataFrame:
 def l10(spark: SparkSession, d: str) -> DataFrame:
     """Each vector's positive components as a spectrum, compared with the next of its label."""
     places = F.transform("embedding", lambda v, i: F.struct((i * 7 + 40 + v).cast("double").alias("mz"), v.cast("double").alias("intensity")))
-    w = Window.partitionBy("label").orderBy("vec_id")
-    rows = table(spark, d, "embeddings").select("vec_id", "label", spectra.normalise(places).alias("a"))
-    rows = rows.withColumn("other", F.lead("vec_id").over(w)).withColumn("b", F.lead("a").over(w)).filter("other is not null")
+    vectors = table(spark, d, "embeddings").select("vec_id", spectra.normalise(places).alias("a"))
+    pairs = ordered.following(table(spark, d, "embeddings"), "label", "vec_id", "other").filter("other is not null")
+    rows = pairs.select("vec_id", "other").join(vectors, "vec_id").join(vectors.select(F.col("vec_id").alias("other"), F.col("a").alias("b")), "other")
     return rows.withColumn("c", spectra.compare(F.col("a"), F.col("b"), tolerance=0.1)).select("vec_id", "other", "c.similarity", "c.matched", "c.coverage_a", "c.coverage_b")
 
 
@@ -333,11 +333,21 @@ def n02(spark: SparkSession, d: str) -> DataFrame:
     return counts.drained(counts.once_per_key(counts.event_stream(spark, d), ["user_id", "event_type"]), "append").select("user_id", "event_type")
 
 
-@query("n03_presence_stream")
+@query(
+    "n03_presence_stream",
+    """
+WITH e AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE, true) AS opens FROM events),
+s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e),
+w AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 30 MINUTE AS b, count(*) AS count FROM s GROUP BY user_id, n)
+SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS start, strftime(b, '%Y-%m-%d %H:%M:%S') AS "end", count FROM w WHERE b <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+""",
+)
 def n03(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions that the watermark has closed."""
     from sillage.streaming import counts
 
-    return counts.drained(counts.presence(counts.event_stream(spark, d)), "append")
+    found = counts.drained(counts.presence(counts.event_stream(spark, d)), "append")
+    return found.select("user_id", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "end")), "count")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

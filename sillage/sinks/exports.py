@@ -46,22 +46,44 @@ def manifest(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def _files(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), target
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Put back the table that a publication had moved away when its driver was lost before the new one was in place."""
+    fs, target = _files(spark, path)
+    spares = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}.old-*")) or []
+    for spare in sorted(spares, key=lambda s: s.getModificationTime(), reverse=True):
+        if fs.exists(target):
+            fs.delete(spare.getPath(), True)
+        else:
+            fs.rename(spare.getPath(), target)
+
+
 def publish(spark: SparkSession, df: DataFrame, path: str, *, least: int = 1, key: list[str] | None = None) -> None:
-    """Write beside ``path``, check rows and key there, and only then move into place; a failure leaves what was there."""
+    """Write beside ``path``, check rows and key there, and only then move into place.
+
+    A failure leaves what was there.  A lost driver can leave it under a spare name
+    between two renames; ``recover``, which every publication runs first, puts it back.
+    """
+    recover(spark, path)
     staged = f"{path}.staged-{uuid.uuid4().hex}"
     df.write.parquet(staged)
     written = spark.read.parquet(staged)
     rows = written.count()
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    new, old = fs_path(staged), fs_path(path)
-    fs = new.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs, old = _files(spark, path)
+    new = _files(spark, staged)[1]
     if rows < least or (key and written.select(*key).distinct().count() != rows):
         fs.delete(new, True)
         raise ValueError(f"{path}: {rows} rows or a repeated key; not published")
-    spare = fs_path(f"{path}.old-{uuid.uuid4().hex}")
+    spare = _files(spark, f"{path}.old-{uuid.uuid4().hex}")[1]
     if fs.exists(old):
         fs.rename(old, spare)
-    fs.rename(new, old)
+    if not fs.rename(new, old):
+        fs.rename(spare, old)
+        raise OSError(f"{path}: the new table could not be moved into place")
     fs.delete(spare, True)
 
 

@@ -68,3 +68,40 @@ def test_terms_beyond_two_hundred_score(spark):
 
     for asked in (terms, terms[:20]):
         assert {r["page"]: r["score"] for r in retrieval.search(chunks, asked).collect()} == expected(asked)
+
+
+def test_following_over_runs(spark):
+    from sillage.operators import ordered
+
+    rows = [(k, i) for k, step in (("a", 3), ("b", 700), (None, 11)) for i in range(-40, 4000, step)]
+    df = spark.createDataFrame(rows + rows[:5], "k string, i long")
+    want = {}
+    for k in ("a", "b", None):
+        ids = sorted({i for key, i in rows if key == k})
+        want |= {(k, i): j for i, j in zip(ids, [*ids[1:], None], strict=True)}
+    assert {(r["k"], r["i"]): r["following"] for r in ordered.following(df, "k", "i", run=50).collect()} == want
+
+
+def test_long_overlays_equal_short_ones(spark):
+    import random
+
+    from sillage.operators import match
+
+    draw = random.Random(1)
+    rules = [(p, lo := draw.randrange(5000), lo + draw.choice([0, 3, 40, 900]), f"v{p}") for p in range(400)]
+    df = spark.range(0, 6000).withColumnRenamed("id", "at")
+    frame = spark.createDataFrame(rules, "p int, lo long, hi long, v string")
+    got = {r["at"]: r["v"] for r in match.range_overlay(df, frame, at="at", low="lo", high="hi", position="p").collect()}
+    assert got == {i: next((v for _, lo, hi, v in rules if lo <= i <= hi), None) for i in range(6000)}
+
+
+def test_a_lost_publication_is_put_back(spark, tmp_path):
+    from sillage.sinks import exports
+
+    path = f"{tmp_path}/t"
+    exports.publish(spark, spark.range(4), path)
+    (tmp_path / "t").rename(tmp_path / "t.old-x")
+    exports.recover(spark, path)
+    assert spark.read.parquet(path).count() == 4
+    exports.publish(spark, spark.range(6), path)
+    assert spark.read.parquet(path).count() == 6 and sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["t"]
