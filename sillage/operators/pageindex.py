@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sillage.functions import clauses, text
-from sillage.operators.ordered import blocks, fill_within, first_per_key
+from sillage.operators.ordered import blocks, first_per_key
 
 
 def page_blocks(lines: DataFrame, *, page: str = "page", pos: str = "pos", least: float = 0.45) -> DataFrame:
@@ -60,20 +60,55 @@ def block_entities(found: DataFrame, *, page: str = "page", block: str = "block"
     own = F.when(F.size(numbers) == 1, F.get(numbers, 0))
     marked = found.withColumn("_own", own)
     reset = F.col("block_type").isin("chapter_heading", "section_heading") | ((F.col("block_type") == "compound_profile") & (F.size(numbers) == 0))
-    carried = fill_within(marked.withColumn("_all", F.lit(1)), ["_all"] if "book" not in found.columns else ["book"], [page, block], reset, F.col("_own"), "_carried")
+    event = F.when(reset | F.col("_own").isNotNull(), F.struct(F.col("_own").alias("own")))
+    carried = over_pages(marked, page, block, event, "_event", own_row=True).withColumn("_carried", F.col("_event.own"))
     method = F.when(F.col("_own").isNotNull(), "exact").when(F.col("_carried").isNotNull() & (F.size(numbers) == 0), "inherited").otherwise("none")
     entity = F.when(method == "exact", F.col("_own")).when(method == "inherited", F.col("_carried"))
     confidence = F.when(method == "exact", "high").when(method == "inherited", "medium").otherwise("low")
     return carried.select(*found.columns, entity.alias("entity"), method.alias("association_method"), confidence.alias("association_confidence"))
 
 
+def over_pages(df: DataFrame, page: str, block: str, event: Column, name: str, *, own_row: bool) -> DataFrame:
+    """The last non-null event so far in a book, with or without the row's own.
+
+    Pages are reduced to their last events, which are carried over that small table;
+    only the blocks of a page are sorted together.  Without a column ``book`` all pages
+    are one book.
+    """
+    book = ["book"] if "book" in df.columns else []
+    marked = df.withColumn("_value", event)
+    last = marked.groupBy(*book, page).agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(block))).alias("_last"))
+    pages = Window.partitionBy(*book).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*book, page, F.last("_last", ignorenulls=True).over(pages).alias("_before"))
+    within = Window.partitionBy(*book, page).orderBy(block).rowsBetween(Window.unboundedPreceding, 0 if own_row else -1)
+    joined = marked.join(carried, [*book, page], "left")
+    return joined.withColumn(name, F.coalesce(F.last("_value", ignorenulls=True).over(within), "_before")).select(*df.columns, name)
+
+
+def with_subjects(records: DataFrame, *, page: str = "page", block: str = "block") -> DataFrame:
+    """Blocks with the subject of their statements: their own, or for blocks without an entity the one carried from the blocks before.
+
+    A block without an entity hands on the name that it ends with, else its own subject.
+    """
+    free = F.coalesce(F.trim("entity"), F.lit("")) == ""
+    own = records.withColumn("_own", clauses.subject(F.col("text")))
+    handed = F.when(free, F.coalesce(clauses.trailing_subject(F.col("text")), F.col("_own")))
+    carried = over_pages(own, page, block, handed, "_handed", own_row=False)
+    return carried.withColumn("subject", F.coalesce("_own", F.when(free, F.col("_handed")))).drop("_own", "_handed")
+
+
 def threshold_records(records: DataFrame) -> DataFrame:
-    """A record for each clause with a value: medium, kind, route, values by role, and review flags."""
-    cut = records.filter(F.col("text").rlike("(?i)阈\\s*值|threshold")).select("*", F.posexplode(clauses.clause_list(F.col("text"))).alias("clause_pos", "clause"))
+    """A record for each clause with a value: medium, kind, route, values by role, subject and review flags.
+
+    ``records`` may have a column ``subject`` (``with_subjects``); without one a block's
+    own subject counts.
+    """
+    named = records if "subject" in records.columns else records.withColumn("subject", clauses.subject(F.col("text")))
+    cut = named.filter(F.col("text").rlike(clauses.SIGNAL)).select("*", F.posexplode(clauses.clause_list(F.col("text"))).alias("clause_pos", "clause"))
     rows = cut.withColumn("values", clauses.values(F.col("clause"))).filter(F.size("values") > 0)
     rows = rows.withColumns({"medium": clauses.medium(F.col("clause")), "threshold_type": clauses.kind(F.col("text")), "route": clauses.route(F.col("text"))})
     own = F.filter("values", lambda v: v["role"] == "threshold")
-    flags = clauses.review_flags(F.col("medium"), own, F.col("entity"), F.lit(""), F.col("threshold_type"))
+    flags = clauses.review_flags(F.col("medium"), own, F.col("entity"), F.col("subject"), F.col("threshold_type"))
     return rows.withColumn("review_flags", flags).withColumn("review_status", F.when(F.size("review_flags") > 0, "review").otherwise("ok"))
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sillage.functions import names
-from sillage.operators import thresholds
+from sillage.functions import clauses, names
+from sillage.operators import pageindex, thresholds
 from sillage.plans.registry import query, table
 
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -129,3 +129,39 @@ def c16(spark: SparkSession, d: str) -> DataFrame:
 def p20(spark: SparkSession, d: str) -> DataFrame:
     said = F.concat(F.lit(" Author "), F.col("o_custkey").cast("string"), F.lit(" ("), F.year("o_orderdate").cast("string"), F.lit("a) A title (with a remark), 12"))
     return table(spark, d, "orders").select("o_orderkey", names.short_citation(said).alias("short"))
+
+
+@query(
+    "h36_subjects",
+    "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN '谷氨酰肽' WHEN 1 THEN 'Ala-Gly' WHEN 2 THEN 'Val-Leu-' || p_type WHEN 3 THEN '咖啡因' WHEN 4 THEN '2,3-丁二酮' WHEN 5 THEN '柠檬烯' END AS subject FROM part",
+)
+def h36(spark: SparkSession, d: str) -> DataFrame:
+    m = F.col("p_partkey") % 7
+    said = F.when(m == 0, "即谷氨酰肽[Glu]，呈厚味").when(m == 1, "（3）二肽 Ala-Gly（苦味）").when(m == 2, F.concat(F.lit("其中三肽Val-Leu-"), F.col("p_type"), F.lit("呈苦味"))).when(m == 3, "咖 啡因的苦味阈值").when(m == 4, "啤酒中的2，3-丁二酮（双乙酰）").when(m == 5, "柠檬烯呈柑橘香").otherwise("12.5 mg/L")
+    return table(spark, d, "part").select("p_partkey", clauses.subject(said).alias("subject"))
+
+
+@query(
+    "h37_details_and_tables",
+    "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size || '%vol' WHEN 1 THEN p_size || '% w/w' END AS detail, CASE WHEN p_partkey % 2 = 0 THEN '3-' || p_size END AS table_id, CASE WHEN p_partkey % 2 = 0 THEN '酯类' END AS title, CASE WHEN p_partkey % 2 = 0 THEN 'μg/L' END AS unit FROM part",
+)
+def h37(spark: SparkSession, d: str) -> DataFrame:
+    size, m = F.col("p_size").cast("string"), F.col("p_partkey") % 3
+    clause = F.when(m == 0, F.concat(size, F.lit(" % vol乙醇-水溶液中嗅阈值 40%vol"))).when(m == 1, F.concat(size, F.lit("%（质量分数）蔗糖溶液中阈值"))).otherwise("水中阈值 40%vol")
+    head = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("表 3 － "), size, F.lit(" 酯类 单位：μg/L 序号 名称"))).otherwise("表 3-1 所示的是")
+    return table(spark, d, "part").select("p_partkey", clauses.medium_detail(clause).alias("detail"), clauses.table_head(head).alias("t")).select("p_partkey", "detail", "t.table_id", "t.title", "t.unit")
+
+
+@query(
+    "f20_carried_subjects",
+    """
+WITH b AS (SELECT l_orderkey AS page, (l_linenumber * 100000::BIGINT + l_partkey) * 100000 + l_suppkey AS block, l_linestatus = 'O' AS free, CASE WHEN l_returnflag = 'R' THEN 'Ala-x' || translate((l_suppkey % 10)::VARCHAR, '0123456789', 'abcdefghij') END AS tail FROM lineitem)
+SELECT page, block, CASE WHEN free THEN last_value(CASE WHEN free THEN tail END IGNORE NULLS) OVER (ORDER BY page, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS subject FROM b
+""",
+)
+def f20(spark: SparkSession, d: str) -> DataFrame:
+    """Lines are blocks of their orders' pages; some end with a name, some have an entity of their own."""
+    block = (F.col("l_linenumber").cast("long") * 100000 + F.col("l_partkey")) * 100000 + F.col("l_suppkey")
+    tail = F.concat(F.lit("text Ala-x"), F.translate((F.col("l_suppkey") % 10).cast("string"), "0123456789", "abcdefghij"))
+    blocks = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), block.alias("block"), F.when(F.col("l_returnflag") == "R", tail).otherwise("12.5").alias("text"), F.when(F.col("l_linestatus") != "O", "50-00-0").alias("entity"))
+    return pageindex.with_subjects(blocks).select("page", "block", "subject")
