@@ -257,14 +257,17 @@ def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], *
     def squares(totals: np.ndarray) -> float:
         return float((off(totals) ** 2).sum())
 
-    totals = mass
+    totals, scaled = mass, True
     while len(steps) < iterations and (np.abs(off(totals)) > allowed).any():
         metric = np.zeros((k, k))
         metric[np.ix_(live, live)] = np.linalg.inv(square[np.ix_(live, live)] + 1e-9 * mass.sum() * np.eye(int(live.sum())))
-        for step, least in ((metric @ off(totals), 0.1), (pace * off(totals), 1e-6)):
+        # once a scaled step has failed, it is tried again at every eighth step only
+        tries = [(metric @ off(totals), 0.1)] if scaled or len(steps) % 8 == 0 else []
+        for step, least in (*tries, (pace * off(totals), 1e-6)):
             moved = at.select("n_tokens", "posterior", _stepped(F.col("rate"), [*pending, step]).alias("rate"))
             there, active = sums(moved)
             if squares(there) < squares(totals) * (1 - least):
+                scaled = least == 0.1
                 break
         else:
             break

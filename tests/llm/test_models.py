@@ -193,15 +193,18 @@ def plain_rates(p, t, target, tolerance=1e-6, iterations=100):
     mass = t @ p
     scale = np.where(target > 0, target, mass)
     pace = 1 / np.linalg.eigvalsh((p * t[:, None]).T @ p)[-1]
-    for _ in range(iterations):
+    scaled = True
+    for n in range(iterations):
         error = (w * t) @ p - target
         if (np.abs(error) <= tolerance * scale).all():
             break
         on = w > 0
         square = (p[on] * t[on, None]).T @ p[on] + 1e-9 * mass.sum() * np.eye(k)
-        for step, least in ((np.linalg.solve(square, error), 0.1), (pace * error, 1e-6)):
+        tries = [(np.linalg.solve(square, error), 0.1)] if scaled or n % 8 == 0 else []
+        for step, least in (*tries, (pace * error, 1e-6)):
             new = np.maximum(0, w - p @ step)
             if (((new * t) @ p - target) ** 2).sum() < (error**2).sum() * (1 - least):
+                scaled = least == 0.1
                 break
         else:
             break
