@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sillage.llm import bpe, chat, langid, minhash, mixing, pii, quality, sketch, urls, warc
+from sillage.llm import bpe, chat, langid, minhash, mixing, pii, quality, secretscan, sketch, urls, warc
 from sillage.llm.arrow import whole_texts
 from sillage.llm.scratch import Scratch
 
 #: Parameters of the production runs.
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 TOKEN_PATTERN = public_tokenizers.PATTERN
+SECRET_TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WEIGHTS = {"clean": 0.985, "toxic": 0.01, "low": 0.005}
 PII_KEY = "change-me: read this from a secret store"
 URL_RULES = [
@@ -111,6 +112,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.find_secrets(table(spark, sf_dir, "documents"), bpe.load_ranks(SECRET_TOKENIZER), TOKEN_PATTERN)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = secretscan.listed(F.col("spans"), lambda kind: kind.isin(*secretscan.BASE))
+    return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in secretscan.BASE), F.sha2(base, 256).alias("base_sha256"), secretscan.listed(F.col("spans")).alias("spans"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -118,7 +126,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_bpe, op3_warc, op4_minhash, op5_chat, op6_pii, op7_quality, op8_urls, op9_sketch, op10_language, pipeline)
+    f.__name__: f for f in (op1_mixing, op2_bpe, op3_warc, op4_minhash, op5_chat, op6_pii, op7_quality, op8_urls, op9_sketch, op10_language, op11_secrets, pipeline)
 }
 
 _WARC_SQL = r"""
