@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sillage.llm import bpe, chat, langid, minhash, mixing, pii, quality, secretscan, sketch, urls, warc
+from sillage.llm import bpe, chat, langid, minhash, mixing, phrases, pii, quality, secretscan, sketch, urls, warc
 from sillage.llm.arrow import whole_texts
 from sillage.llm.scratch import Scratch
 
@@ -119,6 +119,10 @@ def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k).alias(f"n_{k}") for k in secretscan.BASE), F.sha2(base, 256).alias("base_sha256"), secretscan.listed(F.col("spans")).alias("spans"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_phrases(phrases.phrases(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -126,7 +130,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_bpe, op3_warc, op4_minhash, op5_chat, op6_pii, op7_quality, op8_urls, op9_sketch, op10_language, op11_secrets, pipeline)
+    f.__name__: f for f in (op1_mixing, op2_bpe, op3_warc, op4_minhash, op5_chat, op6_pii, op7_quality, op8_urls, op9_sketch, op10_language, op11_secrets, op12_phrases, pipeline)
 }
 
 _WARC_SQL = r"""
@@ -191,4 +195,26 @@ SELECT page_id, host, path, rule, CASE
   ELSE 'allow' END AS verdict FROM r
 """
 
-ORACLES: dict[str, str] = {"op3_warc": _WARC_SQL, "op4_minhash": _MINHASH_SQL, "op5_chat": _CHAT_SQL, "op8_urls": _URL_SQL}
+_PHRASES_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g
+  FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, g, count(*)::HUGEINT AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+inside AS (
+  SELECT DISTINCT s.lang, s.g FROM f s JOIN f b ON b.lang = s.lang AND b.k = s.k + 1 AND 100 * b.f >= 100 * s.f AND (b.g[1:s.k] = s.g OR b.g[2:s.k + 1] = s.g) WHERE s.k >= 2),
+c AS (
+  SELECT f.lang, f.g, f.f AS a, n.n, x.f AS l, y.f AS r, cut, 1000 * f.f * n.n // (x.f * y.f) AS score
+  FROM f JOIN n ON n.lang = f.lang, (SELECT unnest([1, 2, 3, 4]) AS cut), f x, f y
+  WHERE f.k >= 2 AND cut < f.k AND x.lang = f.lang AND x.k = cut AND x.g = f.g[1:cut] AND y.lang = f.lang AND y.k = f.k - cut AND y.g = f.g[cut + 1:f.k]
+  AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = f.lang AND i.g = f.g)),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) AS nth FROM c),
+t AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM b WHERE nth = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM t)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM k WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op3_warc": _WARC_SQL, "op4_minhash": _MINHASH_SQL, "op5_chat": _CHAT_SQL, "op8_urls": _URL_SQL, "op12_phrases": _PHRASES_SQL}
