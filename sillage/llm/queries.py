@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sillage.llm import bpe, chat, langid, minhash, mixing, phrases, pii, quality, secretscan, sketch, urls, warc
+from sillage.llm import bpe, chat, langid, minhash, mixing, phrases, pii, quality, search, secretscan, sketch, urls, warc
 from sillage.llm.arrow import whole_texts
 from sillage.llm.scratch import Scratch
 
@@ -123,6 +123,10 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.top_phrases(phrases.phrases(table(spark, sf_dir, "documents")))
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -130,7 +134,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op2_bpe, op3_warc, op4_minhash, op5_chat, op6_pii, op7_quality, op8_urls, op9_sketch, op10_language, op11_secrets, op12_phrases, pipeline)
+    f.__name__: f for f in (op1_mixing, op2_bpe, op3_warc, op4_minhash, op5_chat, op6_pii, op7_quality, op8_urls, op9_sketch, op10_language, op11_secrets, op12_phrases, op13_search, pipeline)
 }
 
 _WARC_SQL = r"""
@@ -217,4 +221,19 @@ k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC
 SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM k WHERE rank <= 2000
 """
 
-ORACLES: dict[str, str] = {"op3_warc": _WARC_SQL, "op4_minhash": _MINHASH_SQL, "op5_chat": _CHAT_SQL, "op8_urls": _URL_SQL, "op12_phrases": _PHRASES_SQL}
+_SEARCH_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+g AS (SELECT count(*) FILTER (WHERE len(t) > 0)::BIGINT AS big_n, sum(len(t))::BIGINT AS big_l FROM d),
+p AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(t)::BIGINT AS n, unnest(t) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM f, g),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+i AS (SELECT item_id, term, count(*)::BIGINT AS times FROM q GROUP BY ALL),
+s AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * big_n) // big_l)))))::BIGINT AS score
+  FROM i JOIN w USING (term) JOIN p USING (term), g GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op3_warc": _WARC_SQL, "op4_minhash": _MINHASH_SQL, "op5_chat": _CHAT_SQL, "op8_urls": _URL_SQL, "op12_phrases": _PHRASES_SQL, "op13_search": _SEARCH_SQL}

@@ -52,13 +52,13 @@ class Scratch:
             atexit.register(_last_sweep, spark)
         _folders.append(self.folder)
 
-    def save(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and return the written table."""
+    def save(self, df: DataFrame, by: list[str] | None = None) -> DataFrame:
+        """Write ``df``, in folders by the columns ``by`` (its last ones) if given, and return the written table."""
         self._count += 1
         path = f"{self.folder}/{self._count:03d}"
         schema = df.schema
         try:
-            df.write.parquet(path)
+            df.write.parquet(path, partitionBy=by)
         except BaseException:
             self.drop()
             raise
