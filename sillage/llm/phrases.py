@@ -7,14 +7,16 @@ length.  A k-gram's pair is also its pair of parents: the counts of all its pref
 suffixes, which cuts need, are inherited through it, and so is the knowledge whether a
 longer phrase holds it.
 
-Texts are kept as blocks of many documents, in which words and pairs have local codes, so
-what is counted and joined is a row for each distinct word or pair of a block, not for each
-position; the texts themselves move only as packed codes.
+Texts are kept as blocks of many documents, in which words and pairs have local codes.  A
+block's distinct pairs are dealt to parts by their hash, as packed lists; a part counts its
+pairs over all blocks, names the frequent ones, and tells each block the names of its own.
+So neither positions nor pairs are ever rows, and a pair that stands in every block is one
+entry a block in its part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sillage.llm.arrow import small_batches, tidy
+from sillage.llm.arrow import release, tidy
 from sillage.llm.scratch import Scratch, small
 
 #: Words of a block, and bytes of a text that are split at a time (cut only where a piece ends).
@@ -33,12 +35,15 @@ _END = b"\xff"  # no byte of UTF-8
 _ENDS = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 
 
-def _pack(codes: np.ndarray) -> bytes:
-    return zstandard.compress(codes.astype("<i4").tobytes())
+def _pack(values: np.ndarray) -> bytes:
+    """Integers as compressed bytes: the first of all, then the second of all, and so on, as the upper ones hardly vary."""
+    planes = values.astype("<i8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.compress(planes.tobytes())
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(packed), "<i4")
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
 
 
 class _Codes(dict):
@@ -74,6 +79,11 @@ def _word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not words:
                 continue
             times = np.bincount(codes[codes >= 0], minlength=len(words))
+            # common words get small codes, which pack well
+            order = np.argsort(-times, kind="stable")
+            rank = np.full(len(words) + 1, -1, np.int64)
+            rank[order] = np.arange(len(words))
+            codes, times, words = rank[codes], times[order], [words[o] for o in order.tolist()]
             ends = pa.array([0, len(words)], pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(words, pa.binary()).cast(pa.string())), pa.ListArray.from_arrays(ends, pa.array(times, pa.int64()))]
             yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{count}"]), pa.array([lang]), pa.array([_pack(codes)], pa.binary()), *lists], ["block", "lang", "codes", "words", "times"])
@@ -94,37 +104,90 @@ def _word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks with their frequent grams' names -> blocks of the pairs of neighbouring ones."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            codes, names = _unpack(batch.column(2)[i].as_py()), batch.column(3)[i].values
-            place, ids = (names.field(f).to_numpy(zero_copy_only=False) for f in ("at", "id"))
-            # frequent codes get places 0, 1, ... among the block's names, others -1
+#: Pairs that a part counts, about, and the distance between the first ids of two parts.
+PART_PAIRS, PART_IDS = 1_000_000, 1 << 32
+#: A block's codes (part null, the places of its parts in ``lefts``), or its pairs that fall to one part.
+_MADE = "block string, lang string, part int, codes binary, lefts binary, rights binary, times binary"
+#: A part's grams (block null), or the names of a block's pairs in it.
+_NAMED = "block string, part int, at array<bigint>, ids array<bigint>, lefts array<bigint>, rights array<bigint>, times array<bigint>"
+
+
+def _hashed(left: np.ndarray, right: np.ndarray, parts: int) -> np.ndarray:
+    mixed = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+def _pairs_of(parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A block and the names of its frequent grams -> the pairs of neighbouring ones."""
+
+    def run(block: pa.Table, names: pa.Table) -> pa.Table:
+        made: list[tuple] = []
+        if block.num_rows and names.num_rows:
+            name, lang = block.column("block")[0].as_py(), block.column("lang")[0].as_py()
+            codes, starts = (_unpack(block.column(c)[0].as_py()) for c in ("codes", "lefts"))
+            lists = [names.column(c).combine_chunks() for c in ("at", "ids")]
+            base = np.repeat(starts[names.column("part").to_numpy()], lists[0].value_lengths().to_numpy())
+            place, ids = base + lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy()
+            # a frequent code gets its place among the block's names, others -1; the end of a piece, -1, reads the last entry
             among = np.full(max(int(codes.max()), int(place.max())) + 2, -1, np.int64)
             among[place] = np.arange(len(place))
-            at = among[codes]  # the end of a piece, -1, reads the last entry
+            at = among[codes]
             a, b = at[:-1], at[1:]
             both = np.flatnonzero((a >= 0) & (b >= 0))
             pairs, code, times = np.unique(a[both] * len(place) + b[both], return_inverse=True, return_counts=True)
-            if not len(pairs):
-                continue
-            after = np.full(len(a), -1, np.int32)
-            after[both] = code
-            ends = pa.array([0, len(pairs)], pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (ids[pairs // len(place)], ids[pairs % len(place)], times)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([_pack(after)], pa.binary()), *lists], ["block", "lang", "codes", "lefts", "rights", "times"])
-
-
-def _numbered(grams: DataFrame, scratch: Scratch) -> DataFrame:
-    """``grams`` with ids, written, so that the ids stay what they are."""
-    return scratch.save(grams.withColumn("id", F.monotonically_increasing_id()))
-
-
-def _names(items: DataFrame, grams: DataFrame, on: list[str]) -> DataFrame:
-    """(block, names): for each block the local codes of its frequent grams and their ids."""
-    found = items.join(small(grams.select(*on, "id")), on)
-    return found.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("names"))
+            if len(pairs):
+                left, right = ids[pairs // len(place)], ids[pairs % len(place)]
+                part = _hashed(left, right, parts)
+                order = np.lexsort((right, left, part))
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                after = np.full(len(a), -1, np.int64)
+                after[both] = rank[code]
+                left, right, times, part = left[order], right[order], times[order], part[order]
+                starts = np.searchsorted(part, np.arange(parts + 1))
+                made.append((name, lang, None, _pack(after), _pack(starts), None, None))
+                for p in np.unique(part).tolist():
+                    own = slice(starts[p], starts[p + 1])
+                    made.append((name, lang, p, None, *(_pack(x[own]) for x in (left, right, times))))
+        release()
+        types = (pa.string(), pa.string(), pa.int32(), *[pa.binary()] * 4)
+        columns = zip(*made, strict=True) if made else ([] for _ in types)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["block", "lang", "part", "codes", "lefts", "rights", "times"])
+
+    return run
+
+
+def _namer(least: int) -> Callable[[pa.Table], pa.Table]:
+    """All blocks' pairs of a part -> its frequent pairs with ids, and each block's names."""
+
+    def run(group: pa.Table) -> pa.Table:
+        lists = [[_unpack(x) for x in group.column(c).to_pylist()] for c in ("lefts", "rights", "times")]
+        sizes = np.array([len(x) for x in lists[0]])
+        left, right, times = (np.concatenate(x) for x in lists)
+        del lists
+        order = np.lexsort((right, left))
+        left, right = left[order], right[order]
+        new = np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
+        count = np.add.reduceat(times[order], np.flatnonzero(new))
+        frequent, part = count >= least, group.column("part")[0].as_py()
+        number = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        ids = np.empty(len(order), np.int64)
+        ids[order] = number[np.cumsum(new) - 1]
+        first = np.flatnonzero(new)[frequent]
+        grams = (None, part, None, np.arange(len(first)) + part * PART_IDS, left[first], right[first], count[frequent])
+        rows = [grams] if len(first) else []
+        ends = np.cumsum(sizes)
+        for name, start, end in zip(group.column("block").to_pylist(), ends - sizes, ends, strict=True):
+            at = np.flatnonzero(ids[start:end] >= 0)
+            if len(at):
+                rows.append((name, part, at, ids[start:end][at] + part * PART_IDS, None, None, None))
+        release()
+        types = (pa.string(), pa.int32(), *[pa.list_(pa.int64())] * 5)
+        columns = zip(*rows, strict=True) if rows else ([] for _ in types)
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["block", "part", "at", "ids", "lefts", "rights", "times"])
+
+    return run
 
 
 def _grams(docs: DataFrame, least: int, longest: int, text: str, lang: str, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
@@ -133,27 +196,37 @@ def _grams(docs: DataFrame, least: int, longest: int, text: str, lang: str, scra
     ``heads`` are the counts of the gram's prefixes by length, the whole last; ``tails``
     those of its suffixes.
     """
+    spark, steps = scratch.spark, Scratch(scratch.spark, "phrases-blocks")
     source = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").cast("binary").alias("text")).filter("octet_length(text) > 0")
-    blocks = scratch.save(source.mapInArrow(tidy(_word_blocks), "block string, lang string, codes binary, words array<string>, times array<bigint>"))
-    items = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "times")).alias("at", "x")).select("block", "lang", "at", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    blocks = steps.save(source.mapInArrow(tidy(_word_blocks), "block string, lang string, codes binary, words array<string>, times array<bigint>"))
+    zipped = F.posexplode(F.arrays_zip("words", "times")).alias("at", "x")
+    items = blocks.select("block", "lang", zipped).select("block", "lang", F.col("at").cast("long").alias("at"), F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     totals = scratch.save(blocks.groupBy("lang").agg(F.sum(F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")))
     words = items.groupBy("lang", "word").agg(F.sum("times").alias("f")).filter(F.col("f") >= least)
     none = F.lit(None).cast("long")
-    levels = [_numbered(words.select("lang", "word", "f", none.alias("left"), none.alias("right"), F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("f").alias("heads"), F.array("f").alias("tails")), scratch)]
-    names = _names(items, levels[0], ["lang", "word"])
+    chosen = words.select("lang", "word", "f", none.alias("left"), none.alias("right"), F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("f").alias("heads"), F.array("f").alias("tails"))
+    # written, so that the ids stay what they are
+    levels = [scratch.save(chosen.withColumn("id", F.monotonically_increasing_id()))]
+    found = items.join(small(levels[0].select("lang", "word", "id")), ["lang", "word"])
+    names = found.groupBy("block").agg(F.lit(0).alias("part"), F.collect_list(F.struct("at", "id")).alias("x")).select("block", "part", F.col("x.at").alias("at"), F.col("x.id").alias("ids"))
+    positions = levels[0].agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+    parts = max(spark.sparkContext.defaultParallelism, -(-positions // PART_PAIRS))
+    start = F.lit(_pack(np.zeros(1, np.int64)))
+    # renamed to themselves: both sides of a cogroup come from one table
+    blocks = blocks.select(F.col("block").alias("block"), "lang", "codes", start.alias("lefts"))
     for size in range(2, longest + 1):
-        with small_batches(scratch.spark, 2):
-            blocks = scratch.save(blocks.select("block", "lang", "codes").join(names, "block").mapInArrow(tidy(_pairs), "block string, lang string, codes binary, lefts array<bigint>, rights array<bigint>, times array<bigint>"))
-        zipped = F.posexplode(F.arrays_zip("lefts", "rights", "times")).alias("at", "x")
-        items = blocks.select("block", zipped).select("block", "at", F.col("x.lefts").alias("left"), F.col("x.rights").alias("right"), F.col("x.times").alias("times"))
-        counted = items.groupBy("left", "right").agg(F.sum("times").alias("f")).filter(F.col("f") >= least)
+        last, steps = steps, Scratch(spark, "phrases-blocks")
+        made = steps.save(blocks.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(_pairs_of(parts), _MADE))
+        named = steps.save(made.filter("part is not null").groupBy("part").applyInArrow(_namer(least), _NAMED))
+        last.drop()
+        pairs = named.filter("block is null").select(F.explode(F.arrays_zip("ids", "lefts", "rights", "times")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.lefts").alias("left"), F.col("x.rights").alias("right"), F.col("x.times").alias("f"))
         left = levels[-1].select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.col("heads").alias("up"))
         right = levels[-1].select(F.col("id").alias("right"), "last", F.col("tails").alias("down"))
-        made = counted.join(left, "left").join(right, "right")
-        chosen = made.select("lang", "left", "right", "f", F.concat_ws(" ", "head", "last").alias("phrase"), "last", F.concat("up", F.array("f")).alias("heads"), F.concat("down", F.array("f")).alias("tails"))
-        levels.append(_numbered(chosen, scratch))
-        if size < longest:
-            names = _names(items, levels[-1], ["left", "right"])
+        full = pairs.join(left, "left").join(right, "right")
+        levels.append(scratch.save(full.select("id", "lang", "left", "right", "f", F.concat_ws(" ", "head", "last").alias("phrase"), "last", F.concat("up", F.array("f")).alias("heads"), F.concat("down", F.array("f")).alias("tails"))))
+        names = named.filter("block is not null").select("block", "part", "at", "ids")
+        blocks = made.filter("part is null").select("block", "lang", "codes", "lefts")
+    steps.drop()
     return totals, levels
 
 
