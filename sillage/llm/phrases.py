@@ -20,13 +20,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sillage.llm.arrow import release, tidy
+from sillage.llm.arrow import pack, release, tidy, unpack
 from sillage.llm.scratch import Scratch, small
 
 #: Words of a block, and bytes of a text that are split at a time (cut only where a piece ends).
@@ -35,17 +34,6 @@ _END = b"\xff"  # no byte of UTF-8
 _ENDS = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Integers as compressed bytes: the first of all, then the second of all, and so on, as the upper ones hardly vary."""
-    planes = values.astype("<i8").view(np.uint8).reshape(-1, 8).T
-    return zstandard.compress(planes.tobytes())
-
-
-def _unpack(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<i8").ravel()
-
-
 class _Codes(dict):
     """Word -> code in order of appearance; the end of a piece is -1."""
 
@@ -86,7 +74,7 @@ def _word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes, times, words = rank[codes], times[order], [words[o] for o in order.tolist()]
             ends = pa.array([0, len(words)], pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(words, pa.binary()).cast(pa.string())), pa.ListArray.from_arrays(ends, pa.array(times, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{count}"]), pa.array([lang]), pa.array([_pack(codes)], pa.binary()), *lists], ["block", "lang", "codes", "words", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{count}"]), pa.array([lang]), pa.array([pack(codes)], pa.binary()), *lists], ["block", "lang", "codes", "words", "times"])
             count += 1
         held.clear()
         size = 0
@@ -125,7 +113,7 @@ def _pairs_of(parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         made: list[tuple] = []
         if block.num_rows and names.num_rows:
             name, lang = block.column("block")[0].as_py(), block.column("lang")[0].as_py()
-            codes, starts = (_unpack(block.column(c)[0].as_py()) for c in ("codes", "lefts"))
+            codes, starts = (unpack(block.column(c)[0].as_py()) for c in ("codes", "lefts"))
             lists = [names.column(c).combine_chunks() for c in ("at", "ids")]
             base = np.repeat(starts[names.column("part").to_numpy()], lists[0].value_lengths().to_numpy())
             place, ids = base + lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy()
@@ -146,10 +134,10 @@ def _pairs_of(parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 after[both] = rank[code]
                 left, right, times, part = left[order], right[order], times[order], part[order]
                 starts = np.searchsorted(part, np.arange(parts + 1))
-                made.append((name, lang, None, _pack(after), _pack(starts), None, None))
+                made.append((name, lang, None, pack(after), pack(starts), None, None))
                 for p in np.unique(part).tolist():
                     own = slice(starts[p], starts[p + 1])
-                    made.append((name, lang, p, None, *(_pack(x[own]) for x in (left, right, times))))
+                    made.append((name, lang, p, None, *(pack(x[own]) for x in (left, right, times))))
         release()
         types = (pa.string(), pa.string(), pa.int32(), *[pa.binary()] * 4)
         columns = zip(*made, strict=True) if made else ([] for _ in types)
@@ -162,7 +150,7 @@ def _namer(least: int) -> Callable[[pa.Table], pa.Table]:
     """All blocks' pairs of a part -> its frequent pairs with ids, and each block's names."""
 
     def run(group: pa.Table) -> pa.Table:
-        lists = [[_unpack(x) for x in group.column(c).to_pylist()] for c in ("lefts", "rights", "times")]
+        lists = [[unpack(x) for x in group.column(c).to_pylist()] for c in ("lefts", "rights", "times")]
         sizes = np.array([len(x) for x in lists[0]])
         left, right, times = (np.concatenate(x) for x in lists)
         del lists
@@ -211,7 +199,7 @@ def _grams(docs: DataFrame, least: int, longest: int, text: str, lang: str, scra
     names = found.groupBy("block").agg(F.lit(0).alias("part"), F.collect_list(F.struct("at", "id")).alias("x")).select("block", "part", F.col("x.at").alias("at"), F.col("x.id").alias("ids"))
     positions = levels[0].agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
     parts = max(spark.sparkContext.defaultParallelism, -(-positions // PART_PAIRS))
-    start = F.lit(_pack(np.zeros(1, np.int64)))
+    start = F.lit(pack(np.zeros(1, np.int64)))
     # renamed to themselves: both sides of a cogroup come from one table
     blocks = blocks.select(F.col("block").alias("block"), "lang", "codes", start.alias("lefts"))
     for size in range(2, longest + 1):

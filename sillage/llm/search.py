@@ -1,13 +1,14 @@
 """Ranked lexical search over a tiered index.
 
-The index holds each term's postings in tiers by impact, a posting's exact share of a
-score; of every term it knows the largest impact in each tier.  Documents lie in blocks.
-A query item first reads its terms' upper tiers only: a document's score is then at least
-what was found and at most that plus, for each of the item's terms not yet met in it, the
-largest impact below (the term's residual).  If by these bounds no document but a few can
-be among the best, the item is proven and its scores are completed in the blocks of those
-few alone; an item that lacks the proof falls through to the next tier, and in the end to
-all postings of all blocks.  Results are exact either way.
+Documents lie in blocks, each with its own term lists, as in the shards of a search
+engine.  A block's postings lie in tiers by impact, a posting's exact share of a score, and
+within a tier in buckets by term.  A query item first reads its terms' upper tiers only: a
+document's score is then at least what was found and at most that plus, for each of the
+item's terms not yet met in it, the term's residual, the largest impact that it can have
+below.  If by these bounds no document but a few can be among the best, the item is proven
+and its scores are completed in the blocks of those few alone; an item that lacks the proof
+falls through to the next tier, and in the end to all postings of all blocks.  Results are
+exact either way.
 """
 
 from __future__ import annotations
@@ -17,22 +18,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sillage.llm.arrow import release, tidy
+from sillage.llm.arrow import pack, release, tidy, unpack
 from sillage.llm.scratch import Scratch, small
 
 #: A block ends with so many documents or words; bytes of a text that are split at a time (cut between terms).
-BLOCK_DOCS, BLOCK_WORDS, SLICE_BYTES = 4_096, 1_000_000, 4_000_000
+BLOCK_DOCS, BLOCK_WORDS, SLICE_BYTES = 8_192, 2_000_000, 4_000_000
 #: Tiers begin at these shares of the greatest impact that a posting can have; the last takes the rest.
 TIERS = (0.25, 0.0625)
+#: Buckets of terms within a tier, and bytes of text whose terms are counted in one part, about.
+BUCKETS, PART_BYTES = 32, 16_000_000
 #: Query items of a pass, whose terms are held by every task; documents that a block reports for an item before it is proven.
-ITEMS_A_PASS, REPORTED = 1_000, 16
+ITEMS_A_PASS, REPORTED = 500, 16
 #: Weight of a document's length in per cent, and the pace at which repeats stop counting, in thousandths.
 LENGTH_SHARE, SATURATION = 75, 8
+#: No posting has a larger share of its term's weight than this.
+LARGEST = 1_000_000
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _BREAKS = bytes(0x20 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
@@ -54,63 +61,131 @@ class _Codes(dict):
         return code
 
 
-def _lists(offsets: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents: a row for each term, and one with a null term for the documents themselves."""
-    part, count = TaskContext.get().partitionId(), 0
-    known, keys, runs, sizes, words = _Codes(), [], [], [], 0
-
-    def flush() -> pa.RecordBatch:
-        order = np.argsort(np.array(keys, np.int64), kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        size = np.array(sizes, np.int64)
-        codes, doc = np.concatenate(runs).astype(np.int64), np.repeat(place, size)
-        postings, times = np.unique(codes * len(keys) + doc, return_counts=True)
-        code, doc = postings // len(keys), postings % len(keys)
-        ends = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(known)))])
-        # the last row holds the documents
-        ends, n = np.concatenate([ends, ends[-1:]]), np.array(sizes, np.int64)[order]
-        rows = len(known) + 1
-        ids = pa.ListArray.from_arrays(pa.array([0] * rows + [len(keys)], pa.int32()), pa.array(np.array(keys, np.int64)[order]))
-        lengths = pa.ListArray.from_arrays(pa.array([0] * rows + [len(keys)], pa.int32()), pa.array(n))
-        terms = pa.array([*known, None], pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays([pa.array([f"{part}-{count}"] * rows), terms, _lists(ends, doc, pa.int32()), _lists(ends, times, pa.int32()), _lists(ends, n[doc], pa.int64()), ids, lengths], ["block", "term", "docs", "times", "sizes", "ids", "lengths"])
+def _place(term: bytes, parts: int) -> int:
+    return xxhash.xxh3_64_intdigest(term) % parts
+
+
+#: A block's terms that fall to one part with their postings, or (part null) its documents' ids and lengths as docs and times.
+_MADE = "block string, part int, terms array<string>, counts binary, docs binary, times binary"
+#: A part's terms and in how many documents each is (block null), or these numbers for a block's terms in the part.
+_NAMED = "block string, part int, terms array<string>, df array<bigint>"
+_CELL = "block string, terms array<string>, weights binary, counts binary, docs binary, shares binary, bucket int, tier int"
+
+
+def _blocks_in(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    schema = pa.schema([("block", pa.string()), ("part", pa.int32()), ("terms", pa.list_(pa.string())), *((c, pa.binary()) for c in ("counts", "docs", "times"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId(), 0
+        known, keys, runs, sizes, words = _Codes(), [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            name, key, size = f"{task}-{made}", np.array(keys, np.int64), np.array(sizes, np.int64)
+            order = np.argsort(key, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            terms = list(known)
+            # terms stand by part; a term's postings by document
+            part = np.fromiter((_place(t, parts) for t in terms), np.int64, len(terms))
+            by_part = np.argsort(part, kind="stable")
+            rank = np.empty(len(terms), np.int64)
+            rank[by_part] = np.arange(len(terms))
+            postings, times = np.unique(rank[np.concatenate(runs)] * len(key) + np.repeat(place, size), return_counts=True)
+            code, doc = postings // len(key), postings % len(key)
+            counts = np.bincount(code, minlength=len(terms))
+            starts, ends = np.searchsorted(part[by_part], np.arange(parts + 1)), np.concatenate([[0], np.cumsum(counts)])
+            rows = [(name, None, None, None, pack(key[order]), pack(size[order]))]
+            for p in np.unique(part).tolist():
+                own, list_ = slice(starts[p], starts[p + 1]), slice(ends[starts[p]], ends[starts[p + 1]])
+                rows.append((name, p, [terms[i].decode() for i in by_part[own].tolist()], pack(counts[own]), pack(doc[list_]), pack(times[list_])))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+        for batch in batches:
+            pa.default_memory_pool().release_unused()
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = [np.fromiter(map(known.__getitem__, run), np.int64, len(run)) for run in _terms(text.as_py() or b"")]
+                keys.append(key)
+                runs += found
+                sizes.append(sum(map(len, found)))
+                words += sizes[-1]
+                if len(keys) >= BLOCK_DOCS or words >= BLOCK_WORDS:
+                    if words:
+                        yield flush()
+                        made += 1
+                    known, keys, runs, sizes, words = _Codes(), [], [], [], 0
+        if words:
+            yield flush()
 
-    for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found = [np.fromiter(map(known.__getitem__, run), np.int32, len(run)) for run in _terms(text.as_py() or b"")]
-            keys.append(key)
-            runs += found
-            sizes.append(sum(map(len, found)))
-            words += sizes[-1]
-            if len(keys) >= BLOCK_DOCS or words >= BLOCK_WORDS:
-                if runs:
-                    yield flush()
-                    count += 1
-                known, keys, runs, sizes, words = _Codes(), [], [], [], 0
-    if runs:
-        yield flush()
+    return run
+
+
+def _counted(group: pa.Table) -> pa.Table:
+    """All blocks' terms of a part -> in how many documents each is, for the part and for each block."""
+    known: dict[str, int] = {}
+    lists = [np.fromiter((known.setdefault(t, len(known)) for t in terms.as_py()), np.int64, len(terms)) for terms in group.column("terms").combine_chunks()]
+    total = np.zeros(len(known), np.int64)
+    for codes, counts in zip(lists, group.column("counts").to_pylist(), strict=True):
+        total[codes] += unpack(counts)
+    part = group.column("part")[0].as_py()
+    rows = [(None, part, list(known), total), *((name, part, None, total[codes]) for name, codes in zip(group.column("block").to_pylist(), lists, strict=True))]
+    release()
+    types = (pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["block", "part", "terms", "df"])
+
+
+def weight_of(df: np.ndarray, documents: int) -> np.ndarray:
+    """A term's weight by the number of documents that hold it."""
+    return np.floor(1000 * np.log((2 * documents + 2) / (2 * df + 1))).astype(np.int64)
+
+
+def _tiered(documents: int, words: int, edges: list[int]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A block's postings and its terms' counts of documents -> its cells by tier and bucket."""
+
+    def run(block: pa.Table, named: pa.Table) -> pa.Table:
+        own = block.filter(pc.is_valid(block.column("part"))).sort_by("part")
+        name = block.column("block")[0].as_py()
+        size = unpack(block.filter(pc.is_null(block.column("part"))).column("times")[0].as_py())
+        terms = own.column("terms").combine_chunks().flatten()
+        counts, docs, times = (np.concatenate([unpack(x) for x in own.column(c).to_pylist()]) for c in ("counts", "docs", "times"))
+        weights = weight_of(named.sort_by("part").column("df").combine_chunks().flatten().to_numpy(), documents)
+        m = 100 - LENGTH_SHARE + (LENGTH_SHARE * size * documents) // words
+        shares = (1_000_000_000 * times) // (1000 * times + SATURATION * m[docs])
+        term = np.repeat(np.arange(len(counts)), counts)
+        impact = weights[term] * shares
+        tier = np.zeros(len(impact), np.int64)
+        for edge in edges:
+            tier += impact < edge
+        bucket = np.fromiter((_place(t.encode(), BUCKETS) for t in terms.to_pylist()), np.int64, len(terms))[term]
+        cell = tier * BUCKETS + bucket
+        order = np.argsort(cell, kind="stable")  # terms and documents keep their order
+        cells, starts = np.unique(cell[order], return_index=True)
+        out = []
+        for number, at in zip(cells.tolist(), np.split(order, starts[1:]), strict=True):
+            there, held = np.unique(term[at], return_counts=True)
+            out.append((name, terms.take(pa.array(there)).to_pylist(), pack(weights[there]), pack(held), pack(docs[at]), pack(shares[at]), number % BUCKETS, number // BUCKETS + 1))
+        release()
+        types = (pa.string(), pa.list_(pa.string()), *[pa.binary()] * 4, pa.int32(), pa.int32())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["block", "terms", "weights", "counts", "docs", "shares", "bucket", "tier"])
+
+    return run
 
 
 @dataclass
 class Index:
-    """postings (tier, block, term, docs, impacts), blocks (block, ids), terms (term, df, weight, most: the largest impact by tier)."""
+    """cells (block, terms, weights, counts, docs, shares; in folders by bucket and tier), blocks (block, ids), terms (term, df).
 
-    postings: DataFrame
+    ``edges`` are the impacts at which tiers begin; the postings of tier t have less than
+    edge t - 2 and at least edge t - 1.
+    """
+
+    cells: DataFrame
     blocks: DataFrame
     terms: DataFrame
-    tiers: int
+    documents: int
+    edges: list[int]
     scratch: Scratch
 
 
-def _integer(top: Column | int, below: Column | int) -> Column:
-    return F.call_function("div", *(x if isinstance(x, Column) else F.lit(x).cast("long") for x in (top, below)))
-
-
 def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tiers: tuple[float, ...] = TIERS) -> Index:
     """The tiered index of all documents, written.
 
@@ -118,35 +193,31 @@ def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tie
     statistics; rows that repeat a key are documents of their own.  Null and empty texts
     have no terms and don't count.
     """
-    scratch = Scratch(docs.sparkSession, "search-index")
+    spark, scratch, steps = docs.sparkSession, Scratch(docs.sparkSession, "search-index"), Scratch(docs.sparkSession, "search-blocks")
     source = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").cast("binary").alias("text")).filter("key is not null")
-    raw = scratch.save(source.mapInArrow(tidy(_blocks), "block string, term string, docs array<int>, times array<int>, sizes array<bigint>, ids array<bigint>, lengths array<bigint>"))
-    blocks = scratch.save(raw.filter("term is null").select("block", "ids", "lengths"))
-    filled = F.filter("lengths", lambda n: n > 0)
-    count, total = blocks.agg(F.coalesce(F.sum(F.size(filled)), F.lit(0)), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()
-    entries = raw.filter("term is not null")
-    frequency = entries.groupBy("term").agg(F.sum(F.size("docs")).cast("long").alias("df"))
-    weighed = frequency.withColumn("weight", F.floor(F.log(F.lit(float(2 * count + 2)) / (F.col("df") * 2 + 1)) * 1000).cast("long"))
-
-    def impact(tf: Column, n: Column) -> Column:
-        m = F.lit(100 - LENGTH_SHARE).cast("long") + _integer(n * LENGTH_SHARE * count, max(total, 1))
-        return F.col("weight") * _integer(tf.cast("long") * 1_000_000_000, tf.cast("long") * 1000 + m * SATURATION)
-
-    greatest = 1e9 * float(np.log(2 * count + 2))
-    edges = [*(int(greatest * t) for t in tiers), 0]
-    postings = F.zip_with(F.col("docs"), F.zip_with("times", "sizes", impact), lambda d, x: F.struct(d.alias("doc"), x.alias("impact")))
-
-    def tier(number: int) -> Column:
-        low, high = edges[number], edges[number - 1] if number else None
-        inside = F.filter("all", lambda p: (p["impact"] >= low) if high is None else (p["impact"] >= low) & (p["impact"] < high))
-        return F.struct(F.lit(number + 1).alias("tier"), inside.alias("list"))
-
-    rows = entries.join(weighed, "term").select("block", "term", postings.alias("all"))
-    split = rows.select("block", "term", F.explode(F.array(*map(tier, range(len(edges))))).alias("t")).filter(F.size("t.list") > 0)
-    stored = scratch.save(split.select("block", "term", F.col("t.list.doc").alias("docs"), F.col("t.list.impact").alias("impacts"), F.col("t.tier").alias("tier")), by=["tier"])
-    most = [F.coalesce(F.max(F.when(F.col("tier") == t, F.array_max("impacts"))), F.lit(0)) for t in range(1, len(edges) + 1)]
-    terms = scratch.save(weighed.join(stored.groupBy("term").agg(F.array(*most).alias("most")), "term"))
-    return Index(stored, blocks.select("block", "ids"), terms, len(edges), scratch)
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    made = steps.save(source.mapInArrow(tidy(_blocks_in(parts)), _MADE))
+    spans = steps.save(made.filter("part is null").select("block", F.col("docs").alias("ids"), F.col("times").alias("sizes")).mapInArrow(tidy(_opened), "block string, ids array<bigint>, documents bigint, words bigint"))
+    documents, words = spans.agg(F.coalesce(F.sum("documents"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    named = steps.save(made.filter("part is not null").select("block", "part", "terms", "counts").groupBy("part").applyInArrow(_counted, _NAMED))
+    greatest = LARGEST * float(np.log(2 * documents + 2)) * 1000
+    edges = [int(greatest * t) for t in tiers]
+    mine = named.filter("block is not null").select("block", "part", "df")
+    cells = scratch.save(made.groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(_tiered(documents, max(words, 1), edges), _CELL), by=["bucket", "tier"])
+    listed = named.filter("block is null").select(F.explode(F.arrays_zip("terms", "df")).alias("x"))
+    terms = scratch.save(listed.select(F.col("x.terms").alias("term"), F.col("x.df").alias("df")))
+    blocks = scratch.save(spans.select("block", "ids"))
+    steps.drop()
+    return Index(cells, blocks, terms, documents, edges, scratch)
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks' ids as lists, with their documents that have a term and all their words."""
+    for batch in batches:
+        ids, sizes = ([unpack(x) for x in batch.column(c).to_pylist()] for c in (1, 2))
+        columns = [pa.array(ids, pa.list_(pa.int64())), pa.array([int((x > 0).sum()) for x in sizes], pa.int64()), pa.array([int(x.sum()) for x in sizes], pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["block", "ids", "documents", "words"])
 
 
 def item_terms(items: DataFrame, *, key: str = "item_id", text: str = "text") -> DataFrame:
@@ -161,8 +232,29 @@ def item_terms(items: DataFrame, *, key: str = "item_id", text: str = "text") ->
 _REPORT = "item int, block string, doc_id long, low long, high long"
 
 
-def _scorer(queries: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], residual: np.ndarray, k: int, last: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Scores the items asked for in one block: ``queries`` gives a term's items, its times there and its residual in them."""
+def _picked(numbers: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cells -> the postings of the terms that ``numbers`` has: their numbers, how many each has, documents and impacts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                number = np.fromiter((numbers.get(t, -1) for t in batch.column(1)[i].as_py()), np.int64, len(batch.column(1)[i]))
+                if (number < 0).all():
+                    continue
+                weights, counts, docs, shares = (unpack(batch.column(c)[i].as_py()) for c in range(2, 6))
+                here = np.repeat(number >= 0, counts)
+                impacts = np.repeat(weights, counts)[here] * shares[here]
+                rows.append((batch.column(0)[i].as_py(), *map(pack, (number[number >= 0], counts[number >= 0], docs[here], impacts))))
+            if rows:
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), *[pa.binary()] * 4), strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "numbers", "counts", "docs", "impacts"])
+
+    return run
+
+
+def _scorer(queries: list[tuple[np.ndarray, np.ndarray, np.ndarray]], residual: np.ndarray, k: int, last: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Scores the items asked for in one block: ``queries`` has each term's items, its times there and its residual in them."""
 
     def run(entries: pa.Table, block: pa.Table) -> pa.Table:
         out: dict[str, list] = {"item": [], "doc_id": [], "low": [], "high": []}
@@ -174,15 +266,18 @@ def _scorer(queries: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], resid
             column[todo] = np.arange(len(todo))
             low = np.zeros((len(ids), len(todo)), np.int64)
             met = None if last else np.zeros_like(low)
-            for term, docs, impacts in zip(entries.column("term").to_pylist(), *(entries.column(c).combine_chunks() for c in ("docs", "impacts")), strict=True):
-                items, times, left = queries[term]
-                asked = column[items] >= 0
-                if not asked.any():
-                    continue
-                at = np.ix_(docs.values.to_numpy(), column[items[asked]])
-                low[at] += impacts.values.to_numpy()[:, None] * times[asked][None, :]
-                if met is not None:
-                    met[at] += left[asked][None, :]
+            for row in zip(*(entries.column(c).to_pylist() for c in ("numbers", "counts", "docs", "impacts")), strict=True):
+                numbers, counts, docs, impacts = map(unpack, row)
+                ends = np.cumsum(counts)
+                for term, start, end in zip(numbers.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
+                    items, times, left = queries[term]
+                    asked = column[items] >= 0
+                    if not asked.any():
+                        continue
+                    at = np.ix_(docs[start:end], column[items[asked]])
+                    low[at] += impacts[start:end, None] * times[asked][None, :]
+                    if met is not None:
+                        met[at] += left[asked][None, :]
             high = low if met is None else low + residual[todo][None, :] - met
             keep = k if last else max(REPORTED, k)
             for j, item in enumerate(todo.tolist()):
@@ -191,17 +286,16 @@ def _scorer(queries: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], resid
                 some = np.flatnonzero((bound >= edge) & (bound > 0))
                 # documents stand in the order of their ids, so a stable sort keeps it among equals
                 ranked = some[np.argsort(-bound[some], kind="stable")]
-                some, rest = ranked[:keep], int(bound[ranked[keep]]) if len(ranked) > keep else 0
+                some = ranked[:keep]
                 out["item"] += [item] * len(some)
                 out["doc_id"] += ids[some].tolist()
                 out["low"] += low[some, j].tolist()
                 out["high"] += bound[some].tolist()
                 if not last:
-                    outside = int(np.partition(bound, -keep - 1)[-keep - 1]) if len(bound) > keep else 0
                     out["item"].append(item)
                     out["doc_id"].append(None)
                     out["low"].append(0)
-                    out["high"].append(max(rest, outside))
+                    out["high"].append(int(np.partition(bound, -keep - 1)[-keep - 1]) if len(bound) > keep else 0)
         release()
         return pa.table({"item": pa.array(out["item"], pa.int32()), "block": pa.array([name] * len(out["item"]), pa.string()), **{c: pa.array(out[c], pa.int64()) for c in ("doc_id", "low", "high")}})
 
@@ -209,28 +303,31 @@ def _scorer(queries: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]], resid
 
 
 def _search_pass(index: Index, asked: DataFrame, k: int) -> DataFrame:
-    """The best documents of a pass's items: item, doc_id, score."""
-    spark, scratch = asked.sparkSession, Scratch(asked.sparkSession, "search")
-    held = asked.join(index.terms, "term").select("item", "term", "times", "most").toPandas()
+    """The best documents of a pass's items: item_id, rank, doc_id, score."""
+    spark, scratch, depths = asked.sparkSession, Scratch(asked.sparkSession, "search"), len(index.edges) + 1
+    held = asked.join(index.terms, "term").select("item", "term", "times", "df").toPandas()
     names = sorted(held["item"].unique().tolist())
     number = {x: i for i, x in enumerate(names)}
     place, times = held["item"].map(number).to_numpy(np.int64), held["times"].to_numpy(np.int64)
-    most = np.stack(held["most"].to_list()).astype(np.int64) if len(held) else np.zeros((0, index.tiers), np.int64)
-    words = spark.createDataFrame([(t,) for t in held["term"].unique().tolist()], "term string")
+    weights = weight_of(held["df"].to_numpy(np.int64), index.documents)
     by_term = held.groupby("term").indices
-    wanted = index.postings.join(F.broadcast(words), "term", "left_semi")
+    numbers = {t: i for i, t in enumerate(by_term)}
+    buckets = sorted({_place(t.encode(), BUCKETS) for t in numbers})
+    wanted = index.cells.filter(F.col("bucket").isin(buckets))
 
-    def scored(depth: int, entries: DataFrame, blocks: DataFrame) -> DataFrame:
+    def scored(depth: int, cells: DataFrame, blocks: DataFrame) -> DataFrame:
         """Bounds of the items that ``blocks`` lists, from the tiers down to ``depth``."""
-        below = most[:, depth:].max(axis=1, initial=0) * times
+        # what a posting further down can have: less than the edge, and no more than its term's weight allows
+        below = np.zeros_like(weights) if depth == depths else np.minimum(weights * LARGEST, index.edges[depth - 1]) * times
         residual = np.zeros(len(names), np.int64)
         np.add.at(residual, place, below)
-        queries = {t: (place[at], times[at], below[at]) for t, at in by_term.items()}
-        run = _scorer(queries, residual, k, depth == index.tiers)
-        return entries.select("block", "term", "docs", "impacts").groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(run, _REPORT)
+        queries = [(place[at], times[at], below[at]) for at in by_term.values()]
+        entries = cells.select("block", "terms", "weights", "counts", "docs", "shares").mapInArrow(tidy(_picked(numbers)), "block string, numbers binary, counts binary, docs binary, impacts binary")
+        run = _scorer(queries, residual, k, depth == depths)
+        return entries.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(run, _REPORT)
 
     unproven, candidates = list(range(len(names))), None
-    for depth in range(1, index.tiers):
+    for depth in range(1, depths):
         if not unproven:
             break
         blocks = index.blocks.withColumn("items", F.array(*map(F.lit, unproven)).cast("array<int>"))
@@ -251,7 +348,7 @@ def _search_pass(index: Index, asked: DataFrame, k: int) -> DataFrame:
         if not unproven:
             wanted = wanted.join(small(listed.select("block")), "block", "left_semi")
     blocks = blocks.filter(F.size("items") > 0)
-    exact = scored(index.tiers, wanted, blocks)
+    exact = scored(depths, wanted, blocks)
     order = Window.partitionBy("item").orderBy(F.col("low").desc(), "doc_id")
     best = exact.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     back = spark.createDataFrame(list(enumerate(names)), f"item int, item_id {dict(asked.dtypes)['item']}")

@@ -89,8 +89,8 @@ def test_items_are_proven_by_the_first_tier_or_fall_through(spark, monkeypatch):
     monkeypatch.setattr(module, "_scorer", spy)
     index = build_index(spark.createDataFrame(docs, "doc_id long, text string").repartition(8))
     # rare words lie in the first tier, common ones below it
-    tiers = {r["term"]: r["most"] for r in index.terms.filter("term in ('needle', 'w1')").collect()}
-    assert tiers["needle"][0] > 0 and tiers["w1"][0] == 0 and tiers["w1"][2] > 0
+    tiers = {(t, r["tier"]) for r in index.cells.collect() for t in r["terms"] if t in ("needle", "w1")}
+    assert ("needle", 1) in tiers and ("needle", 3) not in tiers and ("w1", 1) not in tiers and ("w1", 3) in tiers
     needle = spark.createDataFrame(items[:1], "item_id int, text string")
     assert found(search(index, needle)) == brute(docs, items[:1])
     assert [last for _, last in depths] == [False, True]  # proven after one tier, then completed
