@@ -112,12 +112,29 @@ def amounts(records: DataFrame, found: DataFrame, samples: DataFrame) -> DataFra
 
 
 def sample_summary(records: DataFrame, issues: DataFrame, *, sheet: str = "sheet") -> DataFrame:
-    """Counts of records, compounds and issues by severity of each sheet."""
-    counts = records.groupBy(sheet).agg(F.count("*").alias("records"), F.countDistinct("cas").alias("compounds"), F.count_if(F.col("cas").isNull() | (F.trim("cas") == "")).alias("without_cas"))
-    graded = issues.groupBy(sheet).agg(*(F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("WARN", "REVIEW", "FAIL")))
+    """A row for each sheet: what came in, was removed, is left and would merge, its issues by severity and kind, and its status.
+
+    ``records`` has cas and may have reason (a record with one was screened out).
+    compounds counts distinct numbers; without_cas the records whose number is null or
+    blank; merged the records beyond the first of each number.  ``issues`` has severity
+    and may have code; codes starting with FAIL are structural anomalies.
+    """
+    kept = F.col("reason").isNull() if "reason" in records.columns else F.lit(True)
+    named = kept & (F.trim(F.coalesce("cas", F.lit(""))) != "")
+    code = F.col("code") if "code" in issues.columns else F.lit(None).cast("string")
+    counts = records.groupBy(sheet).agg(
+        F.count("*").alias("input"),
+        F.count_if(~kept).alias("removed"),
+        F.count_if(kept).alias("records"),
+        F.countDistinct(F.when(named, F.col("cas"))).alias("compounds"),
+        F.count_if(kept & ~named).alias("without_cas"),
+        F.count_if(named).alias("_named"),
+    )
+    kinds = {"duplicate_hits": code == "REVIEW_DUPLICATE_HIT1", "duplicate_peaks": code == "REVIEW_DUPLICATE_PEAK", "anomalies": code.startswith("FAIL")}
+    graded = issues.groupBy(sheet).agg(*(F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("WARN", "REVIEW", "FAIL")), *(F.count_if(found).alias(name) for name, found in kinds.items()))
     out = counts.join(graded, sheet, "full_outer").na.fill(0)
     status = F.when(F.col("fail") > 0, "FAIL").when(F.col("review") > 0, "REVIEW").when(F.col("warn") > 0, "WARN").otherwise("PASS")
-    return out.withColumn("status", status)
+    return out.select(sheet, "input", "removed", "records", "compounds", "without_cas", (F.col("_named") - F.col("compounds")).alias("merged"), "warn", "review", "fail", *kinds, status.alias("status"))
 
 
 def split_by_matrix(stats: DataFrame, samples: DataFrame) -> DataFrame:

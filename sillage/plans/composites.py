@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sillage.functions import measures, spectra, text
 from sillage.operators import evidence, match, replicates, retrieval
-from sillage.plans.measurements import _GRID_ALL, LINE, _grid, replicate_of
+from sillage.plans.measurements import _GRID, LINE, _grid, replicate_of
 from sillage.plans.registry import query, table
 from sillage.sinks import exports
 from sillage.sources import documents, markup
@@ -165,23 +165,6 @@ def l04(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "l06_batch_review",
     """
-WITH q(i, q) AS (SELECT p_partkey::INTEGER % 40, CASE WHEN p_partkey % 3 = 0 THEN p_partkey::VARCHAR ELSE p_name END FROM part WHERE p_partkey < 40),
-t AS (SELECT p_partkey AS k, 1 AS tier, p_partkey::VARCHAR AS name FROM part UNION ALL SELECT p_partkey, 2, lower(p_name) FROM part),
-m AS (SELECT i, tier, k FROM q JOIN t ON name = lower(trim(q)) UNION ALL SELECT i, 3, k FROM q JOIN t ON tier = 2 AND contains(name, lower(trim(q)))),
-g AS (SELECT i, tier, count(DISTINCT k) AS n, min(k) AS k FROM m GROUP BY ALL),
-b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY i ORDER BY tier) = 1),
-s AS (SELECT q.i, CASE WHEN tier IS NULL THEN 'unmatched' WHEN tier = 3 THEN 'candidate' WHEN n > 1 THEN 'conflict' ELSE 'exact' END AS status, CASE WHEN tier < 3 AND n = 1 THEN k END AS match FROM q LEFT JOIN b USING (i)),
-l AS (SELECT l_partkey, count(*) AS lines FROM lineitem GROUP BY 1)
-SELECT i, status, match, coalesce(lines, 0) AS lines, CASE status WHEN 'conflict' THEN 0 WHEN 'candidate' THEN 1 WHEN 'unmatched' THEN 2 ELSE 3 END AS priority FROM s LEFT JOIN l ON l_partkey = match
-""",
-)
-def l06(spark: SparkSession, d: str) -> DataFrame:
-    return _batch_review(spark, d, F.col("p_partkey") < 40)
-
-
-@query(
-    "l06_batch_review_all",
-    """
 WITH q(i, q) AS (SELECT p_partkey::INTEGER, CASE WHEN p_partkey % 3 = 0 THEN p_partkey::VARCHAR ELSE p_name END FROM part),
 t AS (SELECT p_partkey AS k, 1 AS tier, p_partkey::VARCHAR AS name FROM part UNION ALL SELECT p_partkey, 2, lower(p_name) FROM part),
 m AS (SELECT i, tier, k FROM q JOIN t ON name = lower(trim(q)) UNION ALL SELECT i, 3, k FROM q JOIN t ON tier = 2 AND contains(name, lower(trim(q)))),
@@ -192,15 +175,11 @@ l AS (SELECT l_partkey, count(*) AS lines FROM lineitem GROUP BY 1)
 SELECT i, status, match, coalesce(lines, 0) AS lines, CASE status WHEN 'conflict' THEN 0 WHEN 'candidate' THEN 1 WHEN 'unmatched' THEN 2 ELSE 3 END AS priority FROM s LEFT JOIN l ON l_partkey = match
 """,
 )
-def l06_all(spark: SparkSession, d: str) -> DataFrame:
+def l06(spark: SparkSession, d: str) -> DataFrame:
     """All parts as the batch."""
-    return _batch_review(spark, d, F.lit(True))
-
-
-def _batch_review(spark: SparkSession, d: str, batch: Column) -> DataFrame:
     parts = table(spark, d, "part")
     k = F.col("p_partkey")
-    inputs = parts.filter(batch).select(k.cast("int").alias("i"), F.when(k % 3 == 0, k.cast("string")).otherwise(F.col("p_name")).alias("q"))
+    inputs = parts.select(k.cast("int").alias("i"), F.when(k % 3 == 0, k.cast("string")).otherwise(F.col("p_name")).alias("q"))
     asked = inputs.select("q").distinct()
     matched = inputs.join(match.tiered_match(asked, parts, q="q", key="p_partkey", names=["p_name"]), "q")
     dossiers = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("lines"))
@@ -211,30 +190,14 @@ def _batch_review(spark: SparkSession, d: str, batch: Column) -> DataFrame:
 @query(
     "l16_semiquantitation",
     """
-WITH a AS (SELECT l_partkey, l_linenumber AS rep, sum(round(l_extendedprice * 100)::BIGINT) AS area FROM lineitem WHERE l_linenumber <= 3 AND l_partkey < 200 GROUP BY ALL),
-s AS (SELECT rep, area AS sarea FROM a WHERE l_partkey = 7)
-SELECT a.l_partkey, a.rep, round(area::DOUBLE / sarea * (100.0::DOUBLE * 0.01 / 5.01), 6) AS value, CASE WHEN sarea IS NULL THEN 'missing_standard' ELSE 'quantified' END AS status FROM a LEFT JOIN s USING (rep)
-""",
-)
-def l16(spark: SparkSession, d: str) -> DataFrame:
-    return _semiquantitation(table(spark, d, "lineitem").filter("l_linenumber <= 3 and l_partkey < 200"))
-
-
-@query(
-    "l16_semiquantitation_all",
-    """
 WITH a AS (SELECT l_partkey, (l_linenumber - 1) % 3 + 1 AS rep, sum(round(l_extendedprice * 100)::BIGINT) AS area FROM lineitem GROUP BY ALL),
 s AS (SELECT rep, area AS sarea FROM a WHERE l_partkey = 7)
 SELECT a.l_partkey, a.rep, round(area::DOUBLE / sarea * (100.0::DOUBLE * 0.01 / 5.01), 6) AS value, CASE WHEN sarea IS NULL THEN 'missing_standard' ELSE 'quantified' END AS status FROM a LEFT JOIN s USING (rep)
 """,
 )
-def l16_all(spark: SparkSession, d: str) -> DataFrame:
+def l16(spark: SparkSession, d: str) -> DataFrame:
     """Every line of every part."""
-    return _semiquantitation(table(spark, d, "lineitem"))
-
-
-def _semiquantitation(lines: DataFrame) -> DataFrame:
-    areas = lines.groupBy("l_partkey", replicate_of().alias("rep")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("area"))
+    areas = table(spark, d, "lineitem").groupBy("l_partkey", replicate_of().alias("rep")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("area"))
     standard = areas.filter("l_partkey = 7").select("rep", F.col("area").alias("sarea"))
     amount = replicates.standard_concentration(F.lit(100.0), F.lit(10.0), F.lit(5.0), F.lit(True))
     out = areas.join(F.broadcast(standard), "rep", "left")  # three rows
@@ -243,7 +206,7 @@ def _semiquantitation(lines: DataFrame) -> DataFrame:
 
 @query(
     "l17_statistics_by_group",
-    _GRID_ALL + ", s AS (SELECT l_partkey, grp, avg(value) AS mean, stddev_samp(value) AS sd FROM c WHERE n_valid = 3 GROUP BY ALL) SELECT l_partkey, " + ", ".join(f'round(max(CASE WHEN grp = {g} THEN mean END), 3) AS "{g}"' for g in range(10)) + " FROM s WHERE coalesce(sd * 100 / mean <= 30, true) GROUP BY 1",
+    _GRID + ", s AS (SELECT l_partkey, grp, avg(value) AS mean, stddev_samp(value) AS sd FROM c WHERE n_valid = 3 GROUP BY ALL) SELECT l_partkey, " + ", ".join(f'round(max(CASE WHEN grp = {g} THEN mean END), 3) AS "{g}"' for g in range(10)) + " FROM s WHERE coalesce(sd * 100 / mean <= 30, true) GROUP BY 1",
 )
 def l17(spark: SparkSession, d: str) -> DataFrame:
     """Group means side by side: the only place where the long table turns wide."""
@@ -256,33 +219,16 @@ def l17(spark: SparkSession, d: str) -> DataFrame:
     """
 WITH s AS (SELECT n_nationkey AS c, n_regionkey <> 2 AS v FROM nation),
 f AS (SELECT DISTINCT 'c' || c AS source, 's' || s_suppkey AS target, s_suppkey FROM s JOIN supplier ON s_nationkey = c WHERE v),
-g AS (SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem WHERE l_partkey < 50 AND l_suppkey IN (SELECT s_suppkey FROM f))
-SELECT source, target, 'participates_in' AS type FROM f UNION ALL SELECT source, target, 'catalyzed_by' FROM g
-""",
-)
-def l22(spark: SparkSession, d: str) -> DataFrame:
-    return _evidence_graph(spark, d, table(spark, d, "lineitem").filter("l_partkey < 50"))
-
-
-@query(
-    "l22_evidence_graph_all",
-    """
-WITH s AS (SELECT n_nationkey AS c, n_regionkey <> 2 AS v FROM nation),
-f AS (SELECT DISTINCT 'c' || c AS source, 's' || s_suppkey AS target, s_suppkey FROM s JOIN supplier ON s_nationkey = c WHERE v),
 g AS (SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM f))
 SELECT source, target, 'participates_in' AS type FROM f UNION ALL SELECT source, target, 'catalyzed_by' FROM g
 """,
 )
-def l22_all(spark: SparkSession, d: str) -> DataFrame:
+def l22(spark: SparkSession, d: str) -> DataFrame:
     """The edges to all parts."""
-    return _evidence_graph(spark, d, table(spark, d, "lineitem"))
-
-
-def _evidence_graph(spark: SparkSession, d: str, lines: DataFrame) -> DataFrame:
     tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     seeds = table(spark, d, "nation").select(tag("c", "n_nationkey").alias("compound"), (F.col("n_regionkey") != 2).alias("verified"))
     reactions = table(spark, d, "supplier").select(tag("c", "s_nationkey").alias("compound"), tag("s", "s_suppkey").alias("reaction"))
-    proteins = lines.select(tag("s", "l_suppkey").alias("reaction"), tag("p", "l_partkey").alias("protein"))
+    proteins = table(spark, d, "lineitem").select(tag("s", "l_suppkey").alias("reaction"), tag("p", "l_partkey").alias("protein"))
     return evidence.graph(seeds, reactions, proteins)[1]
 
 

@@ -10,6 +10,8 @@ from sillage.operators import counters, ordered, replicates, rollup
 from sillage.plans.registry import query, table
 
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+#: Lines can agree in all of LINE; what orders depend on is decided by these.
+LINE_TIES = ["l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"]
 
 
 @query(
@@ -37,7 +39,7 @@ def e06(spark: SparkSession, d: str) -> DataFrame:
 
 
 _GRID = """
-WITH a AS (SELECT l_partkey, l_suppkey % 10 AS grp, l_linenumber AS replicate, sum(round(l_extendedprice * 100)::BIGINT) AS cents FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL),
+WITH a AS (SELECT l_partkey, l_suppkey % 10 AS grp, (l_linenumber - 1) % 3 + 1 AS replicate, sum(round(l_extendedprice * 100)::BIGINT) AS cents FROM lineitem GROUP BY ALL),
 k AS (SELECT l_partkey, grp, count(*) AS n_valid, sum(cents) AS total FROM a GROUP BY ALL),
 g AS (SELECT k.*, r AS replicate FROM k, range(1, 4) t(r)),
 f AS (SELECT g.l_partkey, g.grp, g.replicate, n_valid, cents, total FROM g LEFT JOIN a ON g.l_partkey = a.l_partkey AND g.grp = a.grp AND g.replicate = a.replicate),
@@ -46,30 +48,19 @@ c AS (SELECT l_partkey, grp, replicate, n_valid, CASE WHEN n_valid >= 2 THEN CAS
 """
 
 
-#: The grid over every line: line numbers are dealt to the three replicates in turn.
-_GRID_ALL = _GRID.replace("l_linenumber AS replicate", "(l_linenumber - 1) % 3 + 1 AS replicate").replace(" WHERE l_linenumber <= 3", "")
-
-
 def replicate_of(line: str = "l_linenumber") -> Column:
-    """The replicate, 1 to 3, that stands for a line number."""
+    """The replicate, 1 to 3, that stands for a line number: lines are dealt to them in turn."""
     return (F.col(line) - 1) % 3 + 1
 
 
-def _grid(spark: SparkSession, d: str, whole: bool = True) -> DataFrame:
-    """The grid of every line, or of line numbers 1 to 3 alone."""
-    lines = table(spark, d, "lineitem")
-    lines = lines if whole else lines.filter("l_linenumber <= 3")
-    areas = lines.groupBy("l_partkey", (F.col("l_suppkey") % 10).alias("grp"), replicate_of().cast("long").alias("rep")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    """The grid of every line."""
+    areas = table(spark, d, "lineitem").groupBy("l_partkey", (F.col("l_suppkey") % 10).alias("grp"), replicate_of().cast("long").alias("rep")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
     return replicates.complete_grid(areas, keys=["l_partkey", "grp"], replicate="rep", value="cents", replicates=[1, 2, 3])
 
 
 @query("f09_replicate_grid", _GRID + "SELECT * FROM c")
 def f09(spark: SparkSession, d: str) -> DataFrame:
-    return _grid(spark, d, whole=False)
-
-
-@query("f09_replicate_grid_all", _GRID_ALL + "SELECT * FROM c")
-def f09_all(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d)
 
 
@@ -81,16 +72,7 @@ SELECT l_partkey, grp, n, round(mean, 3) AS mean, round(sd, 3) AS sd, round(sd *
 
 @query("e07_mean_sd_cv", _GRID + _STATS)
 def e07(spark: SparkSession, d: str) -> DataFrame:
-    return _stats(_grid(spark, d, whole=False))
-
-
-@query("e07_mean_sd_cv_all", _GRID_ALL + _STATS)
-def e07_all(spark: SparkSession, d: str) -> DataFrame:
-    return _stats(_grid(spark, d))
-
-
-def _stats(grid: DataFrame) -> DataFrame:
-    stats = replicates.mean_sd_cv(grid.filter("n_valid = 3"), ["l_partkey", "grp"], "value")
+    stats = replicates.mean_sd_cv(_grid(spark, d).filter("n_valid = 3"), ["l_partkey", "grp"], "value")
     return stats.select("l_partkey", "grp", "n", F.round("mean", 3).alias("mean"), F.round("sd", 3).alias("sd"), F.round("cv", 6).alias("cv"), "status")
 
 
@@ -130,13 +112,13 @@ def e13(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "e14_ordered_unique_concat",
     """
-WITH f AS (SELECT l_suppkey, l_returnflag || l_linestatus AS v, min((l_orderkey, l_linenumber, l_partkey)) AS o FROM lineitem GROUP BY ALL)
+WITH f AS (SELECT l_suppkey, l_returnflag || l_linestatus AS v, min((l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus)) AS o FROM lineitem GROUP BY ALL)
 SELECT l_suppkey, string_agg(v, '|' ORDER BY o) AS joined FROM f GROUP BY 1
 """,
 )
 def e14(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").withColumn("v", F.concat("l_returnflag", "l_linestatus"))
-    return rollup.ordered_unique(rows, ["l_suppkey"], "v", ["l_orderkey", "l_linenumber", "l_partkey"], "|")
+    return rollup.ordered_unique(rows, ["l_suppkey"], "v", ["l_orderkey", "l_linenumber", "l_partkey", *LINE_TIES], "|")
 
 
 @query(
@@ -198,7 +180,7 @@ def f04(spark: SparkSession, d: str) -> DataFrame:
 
 
 _RESOLVE = """
-WITH r AS (SELECT l_suppkey, l_partkey % 200 AS cas, abs(l_quantity - 25) AS d, round(l_extendedprice * 100)::BIGINT AS area, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS pos FROM lineitem),
+WITH r AS (SELECT l_suppkey, l_partkey % 200 AS cas, abs(l_quantity - 25) AS d, round(l_extendedprice * 100)::BIGINT AS area, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus) AS pos FROM lineitem),
 i AS (SELECT *, pos - row_number() OVER (PARTITION BY l_suppkey, cas ORDER BY pos) AS run FROM r),
 l AS (SELECT *, min(d) OVER (PARTITION BY l_suppkey, cas, run) AS low FROM i),
 u AS (SELECT l_suppkey, cas, run, arg_min(pos, (d, pos)) AS pos, arg_min(area, (d, pos)) AS own, sum(CASE WHEN d - low <= 10 THEN area END) AS merged, count(*) AS size, count_if(d - low <= 10) AS n_near, min(d) AS d FROM l GROUP BY ALL),
@@ -212,20 +194,20 @@ SELECT l_suppkey, cas, pos, d AS distance, area::BIGINT AS area, action, n_rows:
 
 @query("f05_duplicate_resolution", _RESOLVE)
 def f05(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_partkey") % 200).alias("cas"), F.abs(F.col("l_quantity") - 25).alias("d"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("area"))
-    return replicates.resolve_duplicates(rows, sample="l_suppkey", key="cas", order=["l_orderkey", "l_linenumber", "l_partkey"], distance="d", area="area", limit=10.0)
+    rows = table(spark, d, "lineitem").select(*LINE, *LINE_TIES, (F.col("l_partkey") % 200).alias("cas"), F.abs(F.col("l_quantity") - 25).alias("d"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("area"))
+    return replicates.resolve_duplicates(rows, sample="l_suppkey", key="cas", order=["l_orderkey", "l_linenumber", "l_partkey", *LINE_TIES], distance="d", area="area", limit=10.0)
 
 
 @query(
     "f11_metadata_authority",
     """
-SELECT l_partkey, arg_min(l_returnflag, (abs(l_quantity - 25), l_orderkey, l_linenumber, l_suppkey)) AS l_returnflag, arg_min(l_linestatus, (abs(l_quantity - 25), l_orderkey, l_linenumber, l_suppkey)) AS l_linestatus,
+SELECT l_partkey, arg_min(l_returnflag, (abs(l_quantity - 25), l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus)) AS l_returnflag, arg_min(l_linestatus, (abs(l_quantity - 25), l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus)) AS l_linestatus,
   count(DISTINCT l_returnflag) > 1 AS l_returnflag_conflict, count(DISTINCT l_linestatus) > 1 AS l_linestatus_conflict FROM lineitem GROUP BY 1
 """,
 )
 def f11(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").withColumn("d", F.abs(F.col("l_quantity") - 25))
-    return replicates.authority(rows, "l_partkey", ["d", "l_orderkey", "l_linenumber", "l_suppkey"], ["l_returnflag", "l_linestatus"])
+    return replicates.authority(rows, "l_partkey", ["d", "l_orderkey", "l_linenumber", "l_suppkey", *LINE_TIES], ["l_returnflag", "l_linestatus"])
 
 
 @query(
@@ -355,7 +337,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").withColumns({"grp": F.col("l_suppkey") % 3, "rep": replicate_of().cast("long"), "cas": F.col("l_partkey") % 50, "d": F.abs(F.col("l_quantity") - 25)})
     kept = replicates.screen(lines, [("quantity", F.col("l_quantity") < 5), ("area", F.col("l_extendedprice") <= 0)]).filter("reason is null")
     kept = kept.withColumn("sample", F.concat_ws("-", "grp", "rep"))
-    resolved = replicates.resolve_duplicates(kept.withColumnRenamed("l_extendedprice", "area"), sample="sample", key="cas", order=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], distance="d", area="area")
+    resolved = replicates.resolve_duplicates(kept.withColumnRenamed("l_extendedprice", "area"), sample="sample", key="cas", order=[*LINE, "l_quantity", "area", "l_returnflag", "l_linestatus"], distance="d", area="area")
     areas = resolved.select("cas", F.split("sample", "-")[0].alias("grp"), F.split("sample", "-")[1].cast("long").alias("rep"), "area")
     grid = replicates.complete_grid(areas, keys=["grp", "cas"], replicate="rep", value="area", replicates=[1, 2, 3])
     return replicates.mean_sd_cv(grid.filter("n_valid >= 2"), ["grp", "cas"], "value")

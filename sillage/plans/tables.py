@@ -11,6 +11,8 @@ from sillage.plans.registry import query, table
 from sillage.sinks import exports
 
 LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+#: Lines can agree in all of LINE; what orders depend on is decided by these.
+LINE_TIES = ["l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus"]
 NOW = "timestamp '1998-01-01 00:00:00'"
 
 
@@ -76,9 +78,12 @@ def d02(spark: SparkSession, d: str) -> DataFrame:
     return sheets.join(samples, "k").select("n_nationkey", "r_name")
 
 
-@query("d29_visible_rows", "SELECT o_orderkey FROM orders WHERE o_custkey = 7")
+@query("d29_visible_rows", "SELECT 'user' AS viewer, o_orderkey FROM orders WHERE o_custkey = 7 UNION ALL SELECT 'nobody', o_orderkey FROM orders WHERE o_custkey = -1 UNION ALL SELECT 'administrator', o_orderkey FROM orders")
 def d29(spark: SparkSession, d: str) -> DataFrame:
-    return dossier.visible(table(spark, d, "orders").withColumnRenamed("o_custkey", "user_id"), "7", False).filter("user_id = 7").select("o_orderkey")
+    """What a user, one without rows, and an administrator see."""
+    rows = table(spark, d, "orders").withColumnRenamed("o_custkey", "user_id")
+    seen = [dossier.visible(rows, user, every).select(F.lit(viewer).alias("viewer"), "o_orderkey") for viewer, user, every in (("user", "7", False), ("nobody", "-1", False), ("administrator", "-1", True))]
+    return seen[0].unionByName(seen[1]).unionByName(seen[2])
 
 
 @query(
@@ -171,27 +176,27 @@ def f08(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "f13_heading_fill",
     """
-WITH h AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'R' THEN l_partkey END AS h FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, last_value(h IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM h
+WITH h AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN l_partkey END AS h FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, last_value(h IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM h
 """,
 )
 def f13(spark: SparkSession, d: str) -> DataFrame:
     heading = F.when(F.col("l_returnflag") == "R", F.col("l_partkey"))
-    rows = table(spark, d, "lineitem").select(*LINE, "l_returnflag")
-    return ordered.fill_within(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], F.lit(False), heading, "heading").select(*LINE, "heading")
+    rows = table(spark, d, "lineitem").select(*LINE, *LINE_TIES)
+    return ordered.fill_within(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", *LINE_TIES], F.lit(False), heading, "heading").select(*LINE, "heading")
 
 
 @query(
     "f18_section_fill",
     """
-WITH s AS (SELECT *, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER w AS seg FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, last_value(CASE WHEN l_linestatus = 'O' THEN l_suppkey END IGNORE NULLS) OVER (PARTITION BY l_orderkey, seg ORDER BY l_linenumber, l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS medium FROM s
+WITH s AS (SELECT *, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER w AS seg FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, last_value(CASE WHEN l_linestatus = 'O' THEN l_suppkey END IGNORE NULLS) OVER (PARTITION BY l_orderkey, seg ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS medium FROM s
 """,
 )
 def f18(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").select(*LINE, "l_returnflag", "l_linestatus")
+    rows = table(spark, d, "lineitem").select(*LINE, *LINE_TIES)
     value = F.when(F.col("l_linestatus") == "O", F.col("l_suppkey"))
-    return ordered.fill_within(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey"], F.col("l_returnflag") == "R", value, "medium").select(*LINE, "medium")
+    return ordered.fill_within(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", *LINE_TIES], F.col("l_returnflag") == "R", value, "medium").select(*LINE, "medium")
 
 
 @query("g02_custom_rank", "SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 99 END AS place FROM orders")
@@ -345,16 +350,24 @@ def l18(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "p04_sample_summary",
     """
-WITH r AS (SELECT l_suppkey AS sheet, count(*) AS records, count(DISTINCT l_partkey) AS compounds, count_if(l_returnflag = 'R') AS without_cas, count_if(l_returnflag = 'A') AS warn, count_if(l_returnflag = 'N' AND l_linestatus = 'F') AS review FROM lineitem GROUP BY 1)
-SELECT sheet, records, compounds, without_cas, warn, review, 0::BIGINT AS fail, CASE WHEN review > 0 THEN 'REVIEW' WHEN warn > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM (SELECT * REPLACE (CASE WHEN without_cas > 0 THEN compounds ELSE compounds END AS compounds) FROM r)
+WITH l AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN ' ' ELSE l_partkey::VARCHAR END AS cas, l_quantity < 3 AS dropped FROM lineitem),
+i AS (SELECT l_suppkey AS sheet, count(*) AS input, count_if(dropped) AS removed FROM l GROUP BY 1),
+r AS (SELECT l_suppkey AS sheet, count(*) AS records, count(DISTINCT cas) FILTER (WHERE trim(cas) <> '') AS compounds, count_if(trim(cas) = '') AS without_cas FROM l WHERE NOT dropped GROUP BY 1),
+p AS (SELECT l_suppkey AS sheet, count(*) AS n FROM l WHERE NOT dropped AND trim(cas) <> '' GROUP BY l_suppkey, cas),
+m AS (SELECT sheet, sum(n - 1)::BIGINT AS merged FROM p GROUP BY 1),
+g AS (SELECT l_suppkey AS sheet, count_if(l_returnflag = 'A') AS warn, count_if(l_returnflag = 'N' AND l_linestatus = 'F') AS review, count_if(l_returnflag = 'A' AND l_linenumber = 1) AS duplicate_hits,
+  count_if(l_returnflag = 'N' AND l_linestatus = 'F' AND l_linenumber = 1) AS duplicate_peaks FROM lineitem GROUP BY 1)
+SELECT i.sheet, input, removed, coalesce(records, 0) AS records, coalesce(compounds, 0) AS compounds, coalesce(without_cas, 0) AS without_cas, coalesce(merged, 0) AS merged, warn, review, 0::BIGINT AS fail, duplicate_hits, duplicate_peaks, 0::BIGINT AS anomalies,
+  CASE WHEN review > 0 THEN 'REVIEW' WHEN warn > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM i LEFT JOIN r USING (sheet) LEFT JOIN m USING (sheet) LEFT JOIN g USING (sheet)
 """,
 )
 def p04(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem")
-    records = rows.select(F.col("l_suppkey").alias("sheet"), F.col("l_partkey").alias("id"), F.when(F.col("l_returnflag") == "R", " ").otherwise("x").alias("mark"))
-    # a blank number is no number, but counts as a value of its own; so the compounds are counted by part
-    counts = records.groupBy("sheet").agg(F.count("*").alias("records"), F.countDistinct("id").alias("compounds"), F.count_if(F.trim("mark") == "").alias("without_cas"))
+    """Lines as a supplier's hits: few pieces are screened out, a returned part has no number."""
+    cas = F.when(F.col("l_returnflag") == "R", " ").otherwise(F.col("l_partkey").cast("string"))
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("sheet"), cas.alias("cas"), "l_quantity", "l_returnflag", "l_linestatus", "l_linenumber")
     severity = F.when(F.col("l_returnflag") == "A", "WARN").when((F.col("l_returnflag") == "N") & (F.col("l_linestatus") == "F"), "REVIEW")
-    issues = rows.select(F.col("l_suppkey").alias("sheet"), severity.alias("severity")).filter("severity is not null")
-    graded = assay.sample_summary(records.select("sheet", F.col("mark").alias("cas")), issues)
-    return graded.drop("records", "compounds", "without_cas").join(counts, "sheet").select("sheet", "records", "compounds", "without_cas", "warn", "review", "fail", "status")
+    first = F.col("l_linenumber") == 1
+    code = F.when(first & (severity == "WARN"), "REVIEW_DUPLICATE_HIT1").when(first & (severity == "REVIEW"), "REVIEW_DUPLICATE_PEAK").otherwise("OTHER")
+    issues = rows.select("sheet", severity.alias("severity"), code.alias("code")).filter("severity is not null")
+    screened = rows.withColumn("reason", F.when(F.col("l_quantity") < 3, "few"))
+    return assay.sample_summary(screened.select("sheet", "cas", "reason"), issues)

@@ -14,13 +14,13 @@ def test_every_line_is_quantified(spark):
     lines = registry.table(spark, SF, "lineitem")
     parts = lines.select("l_partkey").distinct().count()
     made = registry.queries()
-    assert made["l16_semiquantitation_all"](spark, SF).select("l_partkey").distinct().count() == parts
+    assert made["l16_semiquantitation"](spark, SF).select("l_partkey").distinct().count() == parts
     cents = lines.agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long"))).first()[0]
     shares = lines.groupBy("l_partkey", measurements.replicate_of().alias("rep")).count()
-    assert made["l16_semiquantitation_all"](spark, SF).count() == shares.count()
+    assert made["l16_semiquantitation"](spark, SF).count() == shares.count()
     grid = measurements._grid(spark, SF).filter("n_valid = 3")
     wide = made["l17_statistics_by_group"](spark, SF)
-    retained = made["e07_mean_sd_cv_all"](spark, SF).filter("status = 'retained'")
+    retained = made["e07_mean_sd_cv"](spark, SF).filter("status = 'retained'")
     assert grid.count() and wide.count() == retained.select("l_partkey").distinct().count()
     whole = lines.groupBy("l_partkey", (F.col("l_suppkey") % 10).alias("grp"), measurements.replicate_of().alias("rep")).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("c"))
     complete = whole.groupBy("l_partkey", "grp").agg(F.count("*").alias("n"), F.sum("c").alias("c"))
@@ -29,7 +29,7 @@ def test_every_line_is_quantified(spark):
 
 
 def test_the_batch_is_all_parts_and_candidates_are_joined_by_gram(spark):
-    made = registry.queries()["l06_batch_review_all"](spark, SF)
+    made = registry.queries()["l06_batch_review"](spark, SF)
     assert made.count() == registry.table(spark, SF, "part").count()
     records = spark.createDataFrame([(1, "Red ring"), (2, "red ring"), (3, "blue Ringlet"), (4, "ö%_ x"), (5, None), (6, "")], "k int, n string")
     asked = spark.createDataFrame([(q,) for q in ["ring", "RINGLET", "red ring", "3", "ö%", "%", "_ x", "g", "zzz", "", None, "ring"]], "q string")
@@ -48,9 +48,9 @@ def test_edges_reach_every_part_and_keys_come_from_all_lines(spark):
     nations = registry.table(spark, SF, "nation").filter("n_regionkey <> 2")
     suppliers = registry.table(spark, SF, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left_semi")
     pairs = lines.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi").select("l_suppkey", "l_partkey").distinct()
-    assert made["l22_evidence_graph_all"](spark, SF).filter("type = 'catalyzed_by'").count() == pairs.count()
+    assert made["l22_evidence_graph"](spark, SF).filter("type = 'catalyzed_by'").count() == pairs.count()
     keys = sorted({str(r[0]) for r in lines.select("l_suppkey").distinct().collect()})[:4]
-    assert sorted(r["k"] for r in made["d06_profile_selection_all"](spark, SF).collect()) == sorted([*keys, "99999"])
+    assert sorted(r["k"] for r in made["d06_profile_selection"](spark, SF).collect()) == sorted([*keys, "99999"])
 
 
 def test_terms_beyond_two_hundred_score(spark):
