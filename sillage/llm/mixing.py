@@ -2,13 +2,16 @@
 
 A classifier fitted on a labelled table gives every document a posterior over domains.
 With ``t`` tokens and posterior ``p``, document i contributes ``w_i t_i p_ik`` expected
-tokens to domain k at rate ``w_i >= 0``.  The rates minimise the squared distance of
-these totals from the targets by projected gradient from ``w = 1``.  Each gradient is
-scaled by the inverse of ``sum t p p'`` over the documents whose rate is above 0, so
-domains that share documents, or have run out of them, don't hold the descent up.
-
-A document's rate depends on its posterior and on the few numbers of each step alone,
-so every iteration is one distributed sum, and rates are replayed where they are needed.
+tokens to domain k at rate ``w_i >= 0``.  The rates are the least-squares fit of these
+totals to the targets that changes the rates least: the squares of the totals' misses, as
+shares of the targets, and, with a very small weight, those of the rates' distances from 1,
+by token.  The fit is by projected gradient, in the form where the gradient's steps add up
+to one number a domain, a price, and the rates are ``1 - p * price`` projected onto what is
+not negative.  A step is the gradient scaled by the inverse of ``sum t p p'`` over the
+documents whose rate is above 0, at the best of four lengths.
+
+A document's rate depends on its posterior and the prices alone, so a step is one
+distributed sum for all four lengths, and rates are worked out where they are needed.
 """
 
 from __future__ import annotations
@@ -190,94 +193,97 @@ def domain_posteriors(docs: DataFrame, model: Classifier, *, text: str = "text",
 
 @dataclass
 class Rates:
-    """The steps of the descent, from which any document's rate follows, and the totals they lead to."""
+    """The prices of the domains, from which any document's rate follows, and the totals they lead to."""
 
-    steps: list[np.ndarray]
+    prices: np.ndarray
     totals: np.ndarray
     targets: np.ndarray
     tokens: np.ndarray
+    passes: int
 
     def of(self, p: np.ndarray) -> np.ndarray:
         """Rates of documents by their posteriors."""
-        w = np.ones(len(p))
-        for step in self.steps:
-            w = np.maximum(0, w - p @ step)
-        return w
+        return np.maximum(0, 1 - p @ self.prices)
 
 
-#: Steps after which the rates so far are written beside the posteriors, so that no plan grows with the descent.
-_STEPS_A_PLAN = 16
+#: Lengths of a step that one pass tries, and passes after which a fit that still moves is given up as a fault.
+_LENGTHS, _PASSES = (1.0, 0.25, 0.0625, 0.015625), 500
 
 
-def _stepped(rate: Column, steps: list[np.ndarray]) -> Column:
-    for step in steps:
-        rate = F.greatest(F.lit(0.0), rate - sum((F.col("posterior")[i] * float(x) for i, x in enumerate(step)), F.lit(0.0)))
-    return rate
+def rate_at(prices: np.ndarray) -> Column:
+    """The rate of a row by its posterior."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col("posterior")[i] * float(x) for i, x in enumerate(prices)), F.lit(0.0)))
 
 
-def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], *, budget: float | None = None, iterations: int = 100, tolerance: float = 1e-6) -> Rates:
+def fit_rates(table: DataFrame, domains: list[str], weights: dict[str, float], *, budget: float | None = None, tolerance: float = 1e-6, stiffness: float = 1e-8) -> Rates:
     """Rates for a written table (n_tokens, posterior), whose expected domain tokens match ``weights``.
 
     The token budget is ``budget``, or else the present total.  A domain without any
-    tokens is left alone; if targets can't all be met, the result is the least-squares
-    compromise.  The descent ends when every domain is within the share ``tolerance`` of
-    its own target (of its present tokens, if that is 0), when a step lowers the squares
-    by less than a millionth, or after ``iterations`` steps, which only targets that
-    can't be met come to.  A scaled step that doesn't lower the squares by a tenth is
-    replaced by the plain gradient's, which can't overshoot.  Sums are made by Spark; a
-    row of a few numbers comes back.
+    tokens is left alone.  Targets that can be met are met within a share of themselves
+    that falls with ``stiffness``, the weight of the rates' distances from 1 (1e-8: to
+    some 1e-6 where rates stay under 100); others come to the least-squares compromise.
+    The fit ends when its gradient is within ``tolerance`` of each target, or when no
+    length of step lowers the squares.  Sums are made by Spark; a row of a few numbers
+    comes back.
     """
-    k, scratch = len(domains), Scratch(table.sparkSession, "mixing-rates")
+    k = len(domains)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-
-    def sums(rated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Domain totals, and the sum of t p p' over documents whose rate can still go down."""
-        p = [F.col("posterior")[i] for i in range(k)]
-        first = [F.sum(F.col("rate") * F.col("n_tokens") * x) for x in p]
-        second = [F.sum(F.when(F.col("rate") > 0, F.col("n_tokens") * p[i] * p[j])) for i, j in pairs]
-        found = np.array([x or 0.0 for x in rated.agg(*(c.alias(str(n)) for n, c in enumerate([*first, *second]))).first()])
-        square = np.zeros((k, k))
-        for (i, j), x in zip(pairs, found[k:], strict=True):
-            square[i, j] = square[j, i] = x
-        return found[:k], square
-
-    at, pending, steps = table.select("n_tokens", "posterior", F.lit(1.0).alias("rate")), [], []
-    mass, square = sums(at)
+    p = [F.col("posterior")[i] for i in range(k)]
+
+    def sums(tried: list[np.ndarray]) -> list[tuple[np.ndarray, float, np.ndarray]]:
+        """For each prices: domain totals, half the squares of the rates, and the sum of t p p' over documents with a rate above 0."""
+        wanted = []
+        for n, prices in enumerate(tried):
+            rate = F.col(f"rate{n}")
+            wanted += [F.sum(rate * F.col("n_tokens") * x) for x in p]
+            wanted.append(F.sum(rate * rate * F.col("n_tokens")) / 2)
+            wanted += [F.sum(F.when(rate > 0, F.col("n_tokens") * p[i] * p[j])) for i, j in pairs]
+        rated = table.select("n_tokens", "posterior", *(rate_at(prices).alias(f"rate{n}") for n, prices in enumerate(tried)))
+        row = np.array([x or 0.0 for x in rated.agg(*(c.alias(str(n)) for n, c in enumerate(wanted))).first()])
+        out = []
+        for part in row.reshape(len(tried), -1):
+            square = np.zeros((k, k))
+            for (i, j), x in zip(pairs, part[k + 1 :], strict=True):
+                square[i, j] = square[j, i] = x
+            out.append((part[:k], float(part[k]), square))
+        return out
+
+    prices, passes = np.zeros(k), 1
+    mass, half, square = sums([prices])[0]
+    whole, live = float(mass.sum()), mass > 0
     share = np.array([weights.get(d, 0.0) for d in domains])
     share = share / share.sum() if share.sum() else np.full(k, 1.0 / max(k, 1))
-    targets, live = share * (mass.sum() if budget is None else budget), mass > 0
-    allowed = tolerance * np.where(targets > 0, targets, mass)
+    targets = share * (whole if budget is None else budget)
     if not live.any():
-        return Rates([], mass, targets, mass)
-    pace = 1 / float(np.linalg.eigvalsh(square)[-1])
-
-    def off(totals: np.ndarray) -> np.ndarray:
-        return np.where(live, totals - targets, 0.0)
-
-    def squares(totals: np.ndarray) -> float:
-        return float((off(totals) ** 2).sum())
-
-    totals, scaled = mass, True
-    while len(steps) < iterations and (np.abs(off(totals)) > allowed).any():
-        metric = np.zeros((k, k))
-        metric[np.ix_(live, live)] = np.linalg.inv(square[np.ix_(live, live)] + 1e-9 * mass.sum() * np.eye(int(live.sum())))
-        # once a scaled step has failed, it is tried again at every eighth step only
-        tries = [(metric @ off(totals), 0.1)] if scaled or len(steps) % 8 == 0 else []
-        for step, least in (*tries, (pace * off(totals), 1e-6)):
-            moved = at.select("n_tokens", "posterior", _stepped(F.col("rate"), [*pending, step]).alias("rate"))
-            there, active = sums(moved)
-            if squares(there) < squares(totals) * (1 - least):
-                scaled = least == 0.1
-                break
+        return Rates(prices, mass, targets, mass, passes)
+    # all in shares of the present tokens; each miss counts as a share of its target, or of the present tokens if that is 0
+    scale = np.where(targets > 0, targets, mass) / whole
+    soft = stiffness * np.where(live, scale, 1.0) ** 2
+
+    def value(prices: np.ndarray, half: float) -> float:
+        return half / whole + float((prices * targets)[live].sum()) / whole + float((soft * prices**2)[live].sum()) / 2
+
+    def slope(prices: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        return np.where(live, (targets - totals) / whole + soft * prices, 0.0)
+
+    totals, at = mass, value(prices, half)
+    shrink = 1.0
+    while (np.abs(down := slope(prices, totals)) > tolerance * scale).any() and shrink > 1e-9:
+        if passes >= _PASSES:
+            raise RuntimeError("the rates don't settle; targets or posteriors are degenerate")
+        metric = square[np.ix_(live, live)] / whole + np.diag(soft[live])
+        step = np.zeros(k)
+        step[live] = -np.linalg.lstsq(metric, down[live], rcond=None)[0]
+        tried = [prices + length * shrink * step for length in _LENGTHS]
+        found = sums(tried)
+        passes += 1
+        best = min(range(len(tried)), key=lambda n: value(tried[n], found[n][1]))
+        if (there := value(tried[best], found[best][1])) < at:
+            prices, at, shrink = tried[best], there, 1.0
+            totals, _, square = found[best]
         else:
-            break
-        steps.append(step)
-        pending.append(step)
-        totals, square = there, active
-        if len(pending) == _STEPS_A_PLAN:
-            at, pending = scratch.save(moved), []
-    scratch.drop()
-    return Rates(steps, totals, targets, mass)
+            shrink *= _LENGTHS[-1] / 4
+    return Rates(prices, totals, targets, mass, passes)
 
 
 def copies(rate: Column, doc_id: Column, seed: int) -> Column:
@@ -309,13 +315,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float],
         words = F.size(F.filter(F.split(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
         return docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), words.alias("n_tokens"), none.cast("array<string>").alias("domains"), none.alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).cast("long").alias("copies"))
     model, rates, table, _ = fitted
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(model.domains))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rates.of(p))], ["doc_id", "n_tokens", "posterior", "rate"])
-
-    out = table.mapInArrow(tidy(run), "doc_id long, n_tokens long, posterior array<double>, rate double")
+    out = table.withColumn("rate", rate_at(rates.prices))
     names = F.array(*map(F.lit, model.domains))
     return out.select("doc_id", "n_tokens", names.alias("domains"), "posterior", "rate", copies(F.col("rate"), F.col("doc_id"), seed).alias("copies"))
 
