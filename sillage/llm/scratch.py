@@ -36,6 +36,10 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Spark's setting to remove a query's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """A folder of its own for one run of one operator.
 
@@ -57,11 +61,16 @@ class Scratch:
         self._count += 1
         path = f"{self.folder}/{self._count:03d}"
         schema = df.schema
+        before = self.spark.conf.get(_CLEANUP, None)
         try:
+            # nothing reads the shuffles of a written table again
+            self.spark.conf.set(_CLEANUP, "true")
             df.write.parquet(path, partitionBy=by)
         except BaseException:
             self.drop()
             raise
+        finally:
+            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(schema).parquet(path)
 
     def only(self, df: DataFrame) -> DataFrame:
