@@ -8,10 +8,10 @@ suffixes, which cuts need, are inherited through it, and so is the knowledge whe
 longer phrase holds it.
 
 Texts are kept as blocks of many documents, in which words and pairs have local codes.  A
-block's distinct pairs are dealt to parts by their hash, as packed lists; a part counts its
-pairs over all blocks, names the frequent ones, and tells each block the names of its own.
-So neither positions nor pairs are ever rows, and a pair that stands in every block is one
-entry a block in its part.
+block's distinct words or pairs are dealt to parts by their hash, as packed lists; a part
+counts what it gets from all blocks, names the frequent ones, and tells each block the names
+of its own.  So neither positions nor pairs are ever rows, and a pair that stands in every
+block is one entry a block in its part.
 """
 
 from __future__ import annotations
@@ -20,13 +20,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sillage.llm.arrow import pack, release, tidy, unpack
-from sillage.llm.scratch import Scratch, small
+from sillage.llm.scratch import Scratch
 
 #: Words of a block, and bytes of a text that are split at a time (cut only where a piece ends).
 BLOCK_WORDS, SLICE_BYTES = 1_000_000, 4_000_000
@@ -55,64 +57,129 @@ def _slices(text: bytes) -> Iterator[list[bytes]]:
         start = end
 
 
-def _word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, count, size = TaskContext.get().partitionId(), 0, 0
-    held: dict[str, tuple[_Codes, list[np.ndarray]]] = {}
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal count, size
-        for lang, (known, runs) in held.items():
-            codes = np.concatenate(runs)
-            words = list(known)[1:]
-            if not words:
-                continue
-            times = np.bincount(codes[codes >= 0], minlength=len(words))
-            # common words get small codes, which pack well
-            order = np.argsort(-times, kind="stable")
-            rank = np.full(len(words) + 1, -1, np.int64)
-            rank[order] = np.arange(len(words))
-            codes, times, words = rank[codes], times[order], [words[o] for o in order.tolist()]
-            ends = pa.array([0, len(words)], pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(words, pa.binary()).cast(pa.string())), pa.ListArray.from_arrays(ends, pa.array(times, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{count}"]), pa.array([lang]), pa.array([pack(codes)], pa.binary()), *lists], ["block", "lang", "codes", "words", "times"])
-            count += 1
-        held.clear()
-        size = 0
-
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for words in _slices(text.as_py()):
-                if lang not in held:
-                    held[lang] = (_Codes(), [])
-                known, runs = held[lang]
-                runs.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
-                size += len(words)
-                if size >= BLOCK_WORDS:
-                    yield from flush()
-    yield from flush()
-
-
-#: Pairs that a part counts, about, and the distance between the first ids of two parts.
-PART_PAIRS, PART_IDS = 1_000_000, 1 << 32
-#: A block's codes (part null, the places of its parts in ``lefts``), or its pairs that fall to one part.
-_MADE = "block string, lang string, part int, codes binary, lefts binary, rights binary, times binary"
-#: A part's grams (block null), or the names of a block's pairs in it.
-_NAMED = "block string, part int, at array<bigint>, ids array<bigint>, lefts array<bigint>, rights array<bigint>, times array<bigint>"
-
-
-def _hashed(left: np.ndarray, right: np.ndarray, parts: int) -> np.ndarray:
+#: Bytes of text whose words are counted in one part, pairs of a later part, about, and the distance between the first ids of two parts.
+PART_BYTES, PART_PAIRS, PART_IDS = 16_000_000, 1_000_000, 1 << 32
+#: A block's codes (part null; the places of its parts in ``lefts``, its words in ``n``), or its words or pairs that fall to one part.
+_MADE = "block string, lang string, part int, codes binary, lefts binary, rights binary, times binary, n bigint"
+#: A part's grams (block null; words with their language), or the names of a block's words or pairs in it.
+_NAMED = "block string, part int, at array<bigint>, ids array<bigint>, lefts array<bigint>, rights array<bigint>, times array<bigint>, lang string, words array<string>"
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (field.split() for field in ddl.split(", "))])
+
+
+def _rows(rows: list[dict], ddl: str) -> pa.Table:
+    return pa.Table.from_pylist(rows, schema=_arrow(ddl))
+
+
+def _word_blocks(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Documents -> blocks of one language, and their words by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, count, size = TaskContext.get().partitionId(), 0, 0
+        held: dict[str, tuple[_Codes, list[np.ndarray]]] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal count, size
+            for lang, (known, runs) in held.items():
+                codes, words = np.concatenate(runs), list(known)[1:]
+                if not words:
+                    continue
+                name, times = f"{task}-{count}", np.bincount(codes[codes >= 0], minlength=len(words))
+                count += 1
+                part = np.fromiter((xxhash.xxh3_64_intdigest(w) % parts for w in words), np.int64, len(words))
+                order = np.lexsort((-times, part))  # common words get small codes within their part
+                rank = np.full(len(words) + 1, -1, np.int64)
+                rank[order] = np.arange(len(words))
+                part = part[order]
+                starts = np.searchsorted(part, np.arange(parts + 1))
+                rows = [{"block": name, "lang": lang, "codes": pack(rank[codes]), "lefts": pack(starts), "n": int(times.sum())}]
+                for p in np.unique(part).tolist():
+                    own = order[starts[p] : starts[p + 1]]
+                    rows.append({"block": name, "lang": lang, "part": p, "lefts": zstandard.compress(_END.join([words[i] for i in own.tolist()])), "times": pack(times[own])})
+                yield from _rows(rows, _MADE).to_batches()
+            held.clear()
+            size = 0
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                for words in _slices(text.as_py()):
+                    if lang not in held:
+                        held[lang] = (_Codes(), [])
+                    known, runs = held[lang]
+                    runs.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+                    size += len(words)
+                    if size >= BLOCK_WORDS:
+                        yield from flush()
+        yield from flush()
+
+    return run
+
+
+def _word_namer(least: int) -> Callable[[pa.Table], pa.Table]:
+    """All blocks' words of a part -> its frequent words with ids, and each block's names."""
+
+    def run(group: pa.Table) -> pa.Table:
+        part, langs = group.column("part")[0].as_py(), group.column("lang").to_pylist()
+        known: dict[str, dict[bytes, int]] = {lang: {} for lang in langs}
+        lists, total = [], 0
+        for lang, packed in zip(langs, group.column("lefts").to_pylist(), strict=True):
+            mine, words = known[lang], zstandard.decompress(packed).split(_END)
+            lists.append(np.empty(len(words), np.int64))
+            for i, word in enumerate(words):
+                code = mine.get(word)
+                if code is None:
+                    code = mine[word] = total
+                    total += 1
+                lists[-1][i] = code
+        count = np.zeros(total, np.int64)
+        for codes, times in zip(lists, group.column("times").to_pylist(), strict=True):
+            count[codes] += unpack(times)
+        frequent = count >= least
+        ids = np.where(frequent, np.cumsum(frequent) - 1 + part * PART_IDS, -1)
+        rows = []
+        for lang, mine in known.items():
+            chosen = [(word, code) for word, code in mine.items() if frequent[code]]
+            if chosen:
+                codes = np.array([code for _, code in chosen])
+                rows.append({"part": part, "ids": ids[codes], "times": count[codes], "lang": lang, "words": [word.decode() for word, _ in chosen]})
+        for name, codes in zip(group.column("block").to_pylist(), lists, strict=True):
+            at = np.flatnonzero(frequent[codes])
+            if len(at):
+                rows.append({"block": name, "part": part, "at": at, "ids": ids[codes[at]]})
+        release()
+        return _rows(rows, _NAMED)
+
+    return run
+
+
+def _hashed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of pairs of ids."""
     mixed = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+    return mixed ^ mixed >> np.uint64(29)
+
+
+def _by_pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """An order in which equal pairs stand together."""
+    hashed = _hashed(left, right)
+    order = np.argsort(hashed)
+    sorted_, left, right = hashed[order], left[order], right[order]
+    same = sorted_[1:] == sorted_[:-1]
+    if (same & ((left[1:] != left[:-1]) | (right[1:] != right[:-1]))).any():  # two pairs with one hash
+        return order[np.lexsort((right, left))]
+    return order
 
 
 def _pairs_of(parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """A block and the names of its frequent grams -> the pairs of neighbouring ones."""
 
     def run(block: pa.Table, names: pa.Table) -> pa.Table:
-        made: list[tuple] = []
+        made: list[dict] = []
         if block.num_rows and names.num_rows:
-            name, lang = block.column("block")[0].as_py(), block.column("lang")[0].as_py()
+            of = {"block": block.column("block")[0].as_py(), "lang": block.column("lang")[0].as_py()}
             codes, starts = (unpack(block.column(c)[0].as_py()) for c in ("codes", "lefts"))
             lists = [names.column(c).combine_chunks() for c in ("at", "ids")]
             base = np.repeat(starts[names.column("part").to_numpy()], lists[0].value_lengths().to_numpy())
@@ -126,27 +193,25 @@ def _pairs_of(parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             pairs, code, times = np.unique(a[both] * len(place) + b[both], return_inverse=True, return_counts=True)
             if len(pairs):
                 left, right = ids[pairs // len(place)], ids[pairs % len(place)]
-                part = _hashed(left, right, parts)
-                order = np.lexsort((right, left, part))
+                part = (_hashed(left, right) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+                order = np.argsort(part, kind="stable")
                 rank = np.empty(len(order), np.int64)
                 rank[order] = np.arange(len(order))
                 after = np.full(len(a), -1, np.int64)
                 after[both] = rank[code]
                 left, right, times, part = left[order], right[order], times[order], part[order]
                 starts = np.searchsorted(part, np.arange(parts + 1))
-                made.append((name, lang, None, pack(after), pack(starts), None, None))
+                made.append({**of, "codes": pack(after), "lefts": pack(starts)})
                 for p in np.unique(part).tolist():
                     own = slice(starts[p], starts[p + 1])
-                    made.append((name, lang, p, None, *(pack(x[own]) for x in (left, right, times))))
+                    made.append({**of, "part": p, **{c: pack(x[own]) for c, x in (("lefts", left), ("rights", right), ("times", times))}})
         release()
-        types = (pa.string(), pa.string(), pa.int32(), *[pa.binary()] * 4)
-        columns = zip(*made, strict=True) if made else ([] for _ in types)
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["block", "lang", "part", "codes", "lefts", "rights", "times"])
+        return _rows(made, _MADE)
 
     return run
 
 
-def _namer(least: int) -> Callable[[pa.Table], pa.Table]:
+def _pair_namer(least: int) -> Callable[[pa.Table], pa.Table]:
     """All blocks' pairs of a part -> its frequent pairs with ids, and each block's names."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -154,26 +219,23 @@ def _namer(least: int) -> Callable[[pa.Table], pa.Table]:
         sizes = np.array([len(x) for x in lists[0]])
         left, right, times = (np.concatenate(x) for x in lists)
         del lists
-        order = np.lexsort((right, left))
+        order = _by_pair(left, right)
         left, right = left[order], right[order]
         new = np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
         count = np.add.reduceat(times[order], np.flatnonzero(new))
         frequent, part = count >= least, group.column("part")[0].as_py()
-        number = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        number = np.where(frequent, np.cumsum(frequent) - 1 + part * PART_IDS, -1)
         ids = np.empty(len(order), np.int64)
         ids[order] = number[np.cumsum(new) - 1]
         first = np.flatnonzero(new)[frequent]
-        grams = (None, part, None, np.arange(len(first)) + part * PART_IDS, left[first], right[first], count[frequent])
-        rows = [grams] if len(first) else []
+        rows = [{"part": part, "ids": number[frequent], "lefts": left[first], "rights": right[first], "times": count[frequent]}] if len(first) else []
         ends = np.cumsum(sizes)
         for name, start, end in zip(group.column("block").to_pylist(), ends - sizes, ends, strict=True):
             at = np.flatnonzero(ids[start:end] >= 0)
             if len(at):
-                rows.append((name, part, at, ids[start:end][at] + part * PART_IDS, None, None, None))
+                rows.append({"block": name, "part": part, "at": at, "ids": ids[start:end][at]})
         release()
-        types = (pa.string(), pa.int32(), *[pa.list_(pa.int64())] * 5)
-        columns = zip(*rows, strict=True) if rows else ([] for _ in types)
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["block", "part", "at", "ids", "lefts", "rights", "times"])
+        return _rows(rows, _NAMED)
 
     return run
 
@@ -185,27 +247,22 @@ def _grams(docs: DataFrame, least: int, longest: int, text: str, lang: str, scra
     those of its suffixes.
     """
     spark, steps = scratch.spark, Scratch(scratch.spark, "phrases-blocks")
-    source = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").cast("binary").alias("text")).filter("octet_length(text) > 0")
-    blocks = steps.save(source.mapInArrow(tidy(_word_blocks), "block string, lang string, codes binary, words array<string>, times array<bigint>"))
-    zipped = F.posexplode(F.arrays_zip("words", "times")).alias("at", "x")
-    items = blocks.select("block", "lang", zipped).select("block", "lang", F.col("at").cast("long").alias("at"), F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    totals = scratch.save(blocks.groupBy("lang").agg(F.sum(F.aggregate("times", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")))
-    words = items.groupBy("lang", "word").agg(F.sum("times").alias("f")).filter(F.col("f") >= least)
-    none = F.lit(None).cast("long")
-    chosen = words.select("lang", "word", "f", none.alias("left"), none.alias("right"), F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("f").alias("heads"), F.array("f").alias("tails"))
-    # written, so that the ids stay what they are
-    levels = [scratch.save(chosen.withColumn("id", F.monotonically_increasing_id()))]
-    found = items.join(small(levels[0].select("lang", "word", "id")), ["lang", "word"])
-    names = found.groupBy("block").agg(F.lit(0).alias("part"), F.collect_list(F.struct("at", "id")).alias("x")).select("block", "part", F.col("x.at").alias("at"), F.col("x.id").alias("ids"))
-    positions = levels[0].agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
-    parts = max(spark.sparkContext.defaultParallelism, -(-positions // PART_PAIRS))
-    start = F.lit(pack(np.zeros(1, np.int64)))
-    # renamed to themselves: both sides of a cogroup come from one table
-    blocks = blocks.select(F.col("block").alias("block"), "lang", "codes", start.alias("lefts"))
+    source = docs.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").cast("string").cast("binary").alias("text")).filter("octet_length(text) > 0")
+    bytes_ = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parallel = spark.sparkContext.defaultParallelism
+    made = steps.save(source.mapInArrow(tidy(_word_blocks(max(parallel, -(-bytes_ // PART_BYTES)))), _MADE))
+    named = steps.save(made.filter("part is not null").groupBy("part").applyInArrow(_word_namer(least), _NAMED))
+    totals = scratch.save(made.filter("part is null").groupBy("lang").agg(F.sum("n").alias("n")))
+    none, x = F.lit(None).cast("long"), F.col("x")
+    words = named.filter("block is null").select("lang", F.explode(F.arrays_zip("ids", "words", "times")).alias("x"))
+    levels = [scratch.save(words.select(x["ids"].alias("id"), "lang", none.alias("left"), none.alias("right"), x["times"].alias("f"), x["words"].alias("phrase"), x["words"].alias("last"), F.array(x["times"]).alias("heads"), F.array(x["times"]).alias("tails")))]
+    parts = max(parallel, -(-levels[0].agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0] // PART_PAIRS))
+    names = named.filter("block is not null").select("block", "part", "at", "ids")
+    blocks = made.filter("part is null").select("block", "lang", "codes", "lefts")
     for size in range(2, longest + 1):
         last, steps = steps, Scratch(spark, "phrases-blocks")
         made = steps.save(blocks.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(_pairs_of(parts), _MADE))
-        named = steps.save(made.filter("part is not null").groupBy("part").applyInArrow(_namer(least), _NAMED))
+        named = steps.save(made.filter("part is not null").groupBy("part").applyInArrow(_pair_namer(least), _NAMED))
         last.drop()
         pairs = named.filter("block is null").select(F.explode(F.arrays_zip("ids", "lefts", "rights", "times")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.lefts").alias("left"), F.col("x.rights").alias("right"), F.col("x.times").alias("f"))
         left = levels[-1].select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.col("heads").alias("up"))

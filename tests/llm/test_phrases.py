@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from sillage.llm import phrases as module
@@ -74,6 +75,16 @@ def test_long_texts_are_cut_between_pieces_only(monkeypatch):
     assert runs == [[b"aa", b"bb", b"cc", b"dd", b"ee", b"ff", b"\xff", b"\xff"], [b"gg", b"hh", b"\xff", b"ii", b"\xff"]]
 
 
+def test_pairs_with_one_hash_are_kept_apart(monkeypatch):
+    draw = np.random.default_rng(1)
+    left, right = draw.integers(0, 5, 300), draw.integers(0, 5, 300)
+    for hashed in (module._hashed, lambda a, b: (a % 2).astype(np.uint64)):
+        monkeypatch.setattr(module, "_hashed", hashed)
+        order = module._by_pair(left, right)
+        pairs = list(zip(left[order].tolist(), right[order].tolist(), strict=True))
+        assert sum(a != b for a, b in zip(pairs, pairs[1:], strict=False)) == len(set(pairs)) - 1
+
+
 def test_ranks_by_score_count_and_bytes(spark):
     rows = [("en", p, 2, a, 1, 1, 9, s) for p, a, s in [("b", 5, 7), ("é", 5, 7), ("Z", 5, 7), ("c", 6, 7), ("d", 1, 8)]] + [("de", "x", 2, 1, 1, 1, 9, 1)]
     df = spark.createDataFrame(rows, "lang string, phrase string, words int, a long, l long, r long, n long, score long")
