@@ -59,12 +59,26 @@ def _slices(text: bytes) -> Iterator[list[bytes]]:
 
 #: Bytes of text whose words are counted in one part, pairs of a later part, about, and the distance between the first ids of two parts.
 PART_BYTES, PART_PAIRS, PART_IDS = 16_000_000, 1_000_000, 1 << 32
-#: A block's codes (part null; the places of its parts in ``lefts``, its words in ``n``), or its words or pairs that fall to one part.
+#: A block's codes (part null; the starts of its parts in ``lefts``, the codes in the order of the parts in ``rights``, its words in ``n``), or its words or pairs that fall to one part.
 _MADE = "block string, lang string, part int, codes binary, lefts binary, rights binary, times binary, n bigint"
 #: A part's grams (block null; words with their language), or the names of a block's words or pairs in it.
 _NAMED = "block string, part int, at array<bigint>, ids array<bigint>, lefts array<bigint>, rights array<bigint>, times array<bigint>, lang string, words array<string>"
 
 
+def _packed_codes(codes: np.ndarray) -> bytes:
+    """Codes by position, -1 where there is none; if codes count up in order of appearance, each new one costs next to nothing."""
+    highest = np.maximum.accumulate(np.concatenate([[-1], codes]))[:-1]
+    new = codes > highest
+    if not np.array_equal(codes[new], np.arange(int(new.sum()))):
+        new = np.zeros(len(codes), bool)
+    return pack(np.where(new, 0, np.where(codes == -1, 1, codes + 2)))
+
+
+def _unpacked_codes(packed: bytes) -> np.ndarray:
+    found = unpack(packed)
+    return np.where(found == 0, np.cumsum(found == 0) - 1, found - 2)
+
+
 def _arrow(ddl: str) -> pa.Schema:
     kinds = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
     return pa.schema([(name, kinds[kind]) for name, kind in (field.split() for field in ddl.split(", "))])
@@ -95,7 +109,7 @@ def _word_blocks(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 rank[order] = np.arange(len(words))
                 part = part[order]
                 starts = np.searchsorted(part, np.arange(parts + 1))
-                rows = [{"block": name, "lang": lang, "codes": pack(rank[codes]), "lefts": pack(starts), "n": int(times.sum())}]
+                rows = [{"block": name, "lang": lang, "codes": _packed_codes(rank[codes]), "lefts": pack(starts), "rights": pack(np.diff(np.arange(len(words)), prepend=0)), "n": int(times.sum())}]
                 for p in np.unique(part).tolist():
                     own = order[starts[p] : starts[p + 1]]
                     rows.append({"block": name, "lang": lang, "part": p, "lefts": zstandard.compress(_END.join([words[i] for i in own.tolist()])), "times": pack(times[own])})
@@ -180,28 +194,32 @@ def _pairs_of(parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         made: list[dict] = []
         if block.num_rows and names.num_rows:
             of = {"block": block.column("block")[0].as_py(), "lang": block.column("lang")[0].as_py()}
-            codes, starts = (unpack(block.column(c)[0].as_py()) for c in ("codes", "lefts"))
+            codes, starts = _unpacked_codes(block.column("codes")[0].as_py()), unpack(block.column("lefts")[0].as_py())
+            own = np.cumsum(unpack(block.column("rights")[0].as_py()))
             lists = [names.column(c).combine_chunks() for c in ("at", "ids")]
             base = np.repeat(starts[names.column("part").to_numpy()], lists[0].value_lengths().to_numpy())
-            place, ids = base + lists[0].flatten().to_numpy(), lists[1].flatten().to_numpy()
+            place, ids = own[base + lists[0].flatten().to_numpy()], lists[1].flatten().to_numpy()
             # a frequent code gets its place among the block's names, others -1; the end of a piece, -1, reads the last entry
             among = np.full(max(int(codes.max()), int(place.max())) + 2, -1, np.int64)
             among[place] = np.arange(len(place))
             at = among[codes]
             a, b = at[:-1], at[1:]
             both = np.flatnonzero((a >= 0) & (b >= 0))
-            pairs, code, times = np.unique(a[both] * len(place) + b[both], return_inverse=True, return_counts=True)
+            pairs, first, code, times = np.unique(a[both] * len(place) + b[both], return_index=True, return_inverse=True, return_counts=True)
             if len(pairs):
+                # codes in the order of first appearance; in a part's list they ascend
+                by_first = np.argsort(first)
+                rank = np.empty(len(pairs), np.int64)
+                rank[by_first] = np.arange(len(pairs))
+                pairs, times = pairs[by_first], times[by_first]
                 left, right = ids[pairs // len(place)], ids[pairs % len(place)]
                 part = (_hashed(left, right) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
                 order = np.argsort(part, kind="stable")
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
                 after = np.full(len(a), -1, np.int64)
                 after[both] = rank[code]
                 left, right, times, part = left[order], right[order], times[order], part[order]
                 starts = np.searchsorted(part, np.arange(parts + 1))
-                made.append({**of, "codes": pack(after), "lefts": pack(starts)})
+                made.append({**of, "codes": _packed_codes(after), "lefts": pack(starts), "rights": pack(np.diff(order, prepend=0))})
                 for p in np.unique(part).tolist():
                     own = slice(starts[p], starts[p + 1])
                     made.append({**of, "part": p, **{c: pack(x[own]) for c, x in (("lefts", left), ("rights", right), ("times", times))}})
@@ -258,7 +276,7 @@ def _grams(docs: DataFrame, least: int, longest: int, text: str, lang: str, scra
     levels = [scratch.save(words.select(x["ids"].alias("id"), "lang", none.alias("left"), none.alias("right"), x["times"].alias("f"), x["words"].alias("phrase"), x["words"].alias("last"), F.array(x["times"]).alias("heads"), F.array(x["times"]).alias("tails")))]
     parts = max(parallel, -(-levels[0].agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0] // PART_PAIRS))
     names = named.filter("block is not null").select("block", "part", "at", "ids")
-    blocks = made.filter("part is null").select("block", "lang", "codes", "lefts")
+    blocks = made.filter("part is null").select("block", "lang", "codes", "lefts", "rights")
     for size in range(2, longest + 1):
         last, steps = steps, Scratch(spark, "phrases-blocks")
         made = steps.save(blocks.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(_pairs_of(parts), _MADE))
@@ -270,7 +288,7 @@ def _grams(docs: DataFrame, least: int, longest: int, text: str, lang: str, scra
         full = pairs.join(left, "left").join(right, "right")
         levels.append(scratch.save(full.select("id", "lang", "left", "right", "f", F.concat_ws(" ", "head", "last").alias("phrase"), "last", F.concat("up", F.array("f")).alias("heads"), F.concat("down", F.array("f")).alias("tails"))))
         names = named.filter("block is not null").select("block", "part", "at", "ids")
-        blocks = made.filter("part is null").select("block", "lang", "codes", "lefts")
+        blocks = made.filter("part is null").select("block", "lang", "codes", "lefts", "rights")
     steps.drop()
     return totals, levels
 

@@ -85,6 +85,11 @@ def test_pairs_with_one_hash_are_kept_apart(monkeypatch):
         assert sum(a != b for a, b in zip(pairs, pairs[1:], strict=False)) == len(set(pairs)) - 1
 
 
+@pytest.mark.parametrize("codes", [[0, 1, 2, -1, 1, 3], [2, 0, -1, -1], [-1], [0], [5, 0, 1, 2, 6, 6, 7]])
+def test_codes_are_packed_and_unpacked(codes):
+    assert module._unpacked_codes(module._packed_codes(np.array(codes, np.int64))).tolist() == codes
+
+
 def test_ranks_by_score_count_and_bytes(spark):
     rows = [("en", p, 2, a, 1, 1, 9, s) for p, a, s in [("b", 5, 7), ("é", 5, 7), ("Z", 5, 7), ("c", 6, 7), ("d", 1, 8)]] + [("de", "x", 2, 1, 1, 1, 9, 1)]
     df = spark.createDataFrame(rows, "lang string, phrase string, words int, a long, l long, r long, n long, score long")
