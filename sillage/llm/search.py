@@ -84,21 +84,28 @@ def _blocks_in(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             order = np.argsort(key, kind="stable")
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
-            terms = list(known)
             # terms stand by part; a term's postings by document
-            part = np.fromiter((_place(t, parts) for t in terms), np.int64, len(terms))
+            part = np.fromiter((_place(t, parts) for t in known), np.int64, len(known))
             by_part = np.argsort(part, kind="stable")
-            rank = np.empty(len(terms), np.int64)
-            rank[by_part] = np.arange(len(terms))
+            rank = np.empty(len(part), np.int64)
+            rank[by_part] = np.arange(len(part))
             postings, times = np.unique(rank[np.concatenate(runs)] * len(key) + np.repeat(place, size), return_counts=True)
             code, doc = postings // len(key), postings % len(key)
-            counts = np.bincount(code, minlength=len(terms))
-            starts, ends = np.searchsorted(part[by_part], np.arange(parts + 1)), np.concatenate([[0], np.cumsum(counts)])
-            rows = [(name, None, None, None, pack(key[order]), pack(size[order]))]
-            for p in np.unique(part).tolist():
-                own, list_ = slice(starts[p], starts[p + 1]), slice(ends[starts[p]], ends[starts[p + 1]])
-                rows.append((name, p, [terms[i].decode() for i in by_part[own].tolist()], pack(counts[own]), pack(doc[list_]), pack(times[list_])))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+            counts = np.bincount(code, minlength=len(part))
+            filled, starts = np.unique(part[by_part], return_index=True)
+            starts = np.append(starts, len(part))
+            ends = np.concatenate([[0], np.cumsum(counts)])[starts]
+            cuts = list(zip(starts[:-1], starts[1:], ends[:-1], ends[1:], strict=True))
+            terms = pa.array(list(known), pa.binary()).cast(pa.string()).take(pa.array(by_part))
+            columns = [
+                pa.array([name] * (len(filled) + 1)),
+                pa.array([None, *filled.tolist()], pa.int32()),
+                pa.ListArray.from_arrays(pa.array([0, *starts], pa.int32()), terms),
+                pa.array([None, *(pack(counts[a:b]) for a, b, _, _ in cuts)], pa.binary()),
+                pa.array([pack(key[order]), *(pack(doc[a:b]) for _, _, a, b in cuts)], pa.binary()),
+                pa.array([pack(size[order]), *(pack(times[a:b]) for _, _, a, b in cuts)], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
 
         for batch in batches:
             pa.default_memory_pool().release_unused()
@@ -121,16 +128,20 @@ def _blocks_in(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 def _counted(group: pa.Table) -> pa.Table:
     """All blocks' terms of a part -> in how many documents each is, for the part and for each block."""
-    known: dict[str, int] = {}
-    lists = [np.fromiter((known.setdefault(t, len(known)) for t in terms.as_py()), np.int64, len(terms)) for terms in group.column("terms").combine_chunks()]
-    total = np.zeros(len(known), np.int64)
-    for codes, counts in zip(lists, group.column("counts").to_pylist(), strict=True):
-        total[codes] += unpack(counts)
-    part = group.column("part")[0].as_py()
-    rows = [(None, part, list(known), total), *((name, part, None, total[codes]) for name, codes in zip(group.column("block").to_pylist(), lists, strict=True))]
+    listed = group.column("terms").combine_chunks()
+    coded = listed.flatten().dictionary_encode()
+    codes, counts = coded.indices.to_numpy(), np.concatenate([unpack(x) for x in group.column("counts").to_pylist()])
+    total = np.bincount(codes, weights=counts, minlength=len(coded.dictionary)).astype(np.int64)
+    ends = np.cumsum(listed.value_lengths().to_numpy())
+    rows = group.num_rows + 1
+    columns = {
+        "block": pa.array([None, *group.column("block").to_pylist()], pa.string()),
+        "part": pa.array([group.column("part")[0].as_py()] * rows, pa.int32()),
+        "terms": pa.ListArray.from_arrays(pa.array([0] + [len(total)] * rows, pa.int32()), coded.dictionary),
+        "df": pa.ListArray.from_arrays(pa.array([0, *(len(total) + np.array([0, *ends]))], pa.int32()), pa.array(np.concatenate([total, total[codes]]))),
+    }
     release()
-    types = (pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()))
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["block", "part", "terms", "df"])
+    return pa.table(columns)
 
 
 def weight_of(df: np.ndarray, documents: int) -> np.ndarray:
@@ -145,27 +156,37 @@ def _tiered(documents: int, words: int, edges: list[int]) -> Callable[[pa.Table,
         own = block.filter(pc.is_valid(block.column("part"))).sort_by("part")
         name = block.column("block")[0].as_py()
         size = unpack(block.filter(pc.is_null(block.column("part"))).column("times")[0].as_py())
-        terms = own.column("terms").combine_chunks().flatten()
+        listed = own.column("terms").combine_chunks()
+        terms = listed.flatten()
         counts, docs, times = (np.concatenate([unpack(x) for x in own.column(c).to_pylist()]) for c in ("counts", "docs", "times"))
         weights = weight_of(named.sort_by("part").column("df").combine_chunks().flatten().to_numpy(), documents)
         m = 100 - LENGTH_SHARE + (LENGTH_SHARE * size * documents) // words
         shares = (1_000_000_000 * times) // (1000 * times + SATURATION * m[docs])
         term = np.repeat(np.arange(len(counts)), counts)
         impact = weights[term] * shares
-        tier = np.zeros(len(impact), np.int64)
+        tier = np.zeros(len(impact), np.uint16)
         for edge in edges:
             tier += impact < edge
-        bucket = np.fromiter((_place(t.encode(), BUCKETS) for t in terms.to_pylist()), np.int64, len(terms))[term]
-        cell = tier * BUCKETS + bucket
+        # parts are a multiple of the buckets
+        bucket = np.repeat(own.column("part").to_numpy() % BUCKETS, listed.value_lengths().to_numpy()).astype(np.uint16)
+        cell = tier * np.uint16(BUCKETS) + bucket[term]
         order = np.argsort(cell, kind="stable")  # terms and documents keep their order
         cells, starts = np.unique(cell[order], return_index=True)
-        out = []
-        for number, at in zip(cells.tolist(), np.split(order, starts[1:]), strict=True):
-            there, held = np.unique(term[at], return_counts=True)
-            out.append((name, terms.take(pa.array(there)).to_pylist(), pack(weights[there]), pack(held), pack(docs[at]), pack(shares[at]), number % BUCKETS, number // BUCKETS + 1))
+        taken, packed = [], []
+        for at in np.split(order, starts[1:]):
+            here = term[at]
+            first = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
+            taken.append(here[first])
+            packed.append(tuple(map(pack, (weights[here[first]], np.diff(np.append(first, len(at))), docs[at], shares[at]))))
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in taken])])
         release()
-        types = (pa.string(), pa.list_(pa.string()), *[pa.binary()] * 4, pa.int32(), pa.int32())
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["block", "terms", "weights", "counts", "docs", "shares", "bucket", "tier"])
+        return pa.table({
+            "block": pa.array([name] * len(cells)),
+            "terms": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), terms.take(pa.array(np.concatenate(taken)))),
+            **{c: pa.array(x, pa.binary()) for c, x in zip(("weights", "counts", "docs", "shares"), zip(*packed, strict=True), strict=True)},
+            "bucket": pa.array(cells % BUCKETS, pa.int32()),
+            "tier": pa.array(cells // BUCKETS + 1, pa.int32()),
+        })
 
     return run
 
@@ -196,7 +217,7 @@ def build_index(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tie
     spark, scratch, steps = docs.sparkSession, Scratch(docs.sparkSession, "search-index"), Scratch(docs.sparkSession, "search-blocks")
     source = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").cast("binary").alias("text")).filter("key is not null")
     size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    parts = BUCKETS * max(1, -(-max(size, PART_BYTES * spark.sparkContext.defaultParallelism) // (BUCKETS * PART_BYTES)))
     made = steps.save(source.mapInArrow(tidy(_blocks_in(parts)), _MADE))
     spans = steps.save(made.filter("part is null").select("block", F.col("docs").alias("ids"), F.col("times").alias("sizes")).mapInArrow(tidy(_opened), "block string, ids array<bigint>, documents bigint, words bigint"))
     documents, words = spans.agg(F.coalesce(F.sum("documents"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
@@ -232,14 +253,17 @@ def item_terms(items: DataFrame, *, key: str = "item_id", text: str = "text") ->
 _REPORT = "item int, block string, doc_id long, low long, high long"
 
 
-def _picked(numbers: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Cells -> the postings of the terms that ``numbers`` has: their numbers, how many each has, documents and impacts."""
+def _picked(wanted: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cells -> the postings of the terms ``wanted``: their places in it, how many each has, documents and impacts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(wanted, pa.string())
         for batch in batches:
+            pa.default_memory_pool().release_unused()
+            ends = np.cumsum(batch.column(1).value_lengths().to_numpy())
+            places = pc.fill_null(pc.index_in(batch.column(1).flatten(), known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             rows = []
-            for i in range(batch.num_rows):
-                number = np.fromiter((numbers.get(t, -1) for t in batch.column(1)[i].as_py()), np.int64, len(batch.column(1)[i]))
+            for i, number in enumerate(np.split(places, ends[:-1])):
                 if (number < 0).all():
                     continue
                 weights, counts, docs, shares = (unpack(batch.column(c)[i].as_py()) for c in range(2, 6))
@@ -311,8 +335,7 @@ def _search_pass(index: Index, asked: DataFrame, k: int) -> DataFrame:
     place, times = held["item"].map(number).to_numpy(np.int64), held["times"].to_numpy(np.int64)
     weights = weight_of(held["df"].to_numpy(np.int64), index.documents)
     by_term = held.groupby("term").indices
-    numbers = {t: i for i, t in enumerate(by_term)}
-    buckets = sorted({_place(t.encode(), BUCKETS) for t in numbers})
+    buckets = sorted({_place(t.encode(), BUCKETS) for t in by_term})
     wanted = index.cells.filter(F.col("bucket").isin(buckets))
 
     def scored(depth: int, cells: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -322,7 +345,7 @@ def _search_pass(index: Index, asked: DataFrame, k: int) -> DataFrame:
         residual = np.zeros(len(names), np.int64)
         np.add.at(residual, place, below)
         queries = [(place[at], times[at], below[at]) for at in by_term.values()]
-        entries = cells.select("block", "terms", "weights", "counts", "docs", "shares").mapInArrow(tidy(_picked(numbers)), "block string, numbers binary, counts binary, docs binary, impacts binary")
+        entries = cells.select("block", "terms", "weights", "counts", "docs", "shares").mapInArrow(tidy(_picked(list(by_term))), "block string, numbers binary, counts binary, docs binary, impacts binary")
         run = _scorer(queries, residual, k, depth == depths)
         return entries.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(run, _REPORT)
 
