@@ -1,11 +1,13 @@
 """Chat formatting: heterogeneous layouts to canonical turns by schema fingerprint, then to training text.
 
-Each mapping owns some nested field paths and is known by their hash, its fingerprint.
-Of the mappings whose paths a record has, that with the most paths is selected by its
-fingerprint; it says which paths hold the turns, roles and texts, and other fields of
-the record, known to further mappings or not, are ignored.  Records may be JSON strings of
-mixed layouts in one column, or a table whose columns are the fields.  Everything is
-DataFrame operations.
+A record's fingerprint is the hash of all nested field paths that it has and some mapping
+knows; other fields don't count.  It is looked up in one map, made beforehand: for every
+mapping the fingerprint of its own paths, and of these with one further known path, and
+beside each the mapping that such a record takes, which is the one with the most paths of
+those that the record has all of.  Only a record whose fingerprint the map lacks has its
+paths compared with the mappings'.  The mapping says which paths hold the turns, roles and
+texts.  Records may be JSON strings of mixed layouts in one column, or a table whose columns
+are the fields.  Everything is DataFrame operations.
 
 In the text a turn is ``<turn role="ROLE">TEXT</turn>`` and a line feed.  Inside texts
 a run of ``<``, backslashes and ``turn`` or ``/turn`` gets one backslash more after its
@@ -73,8 +75,22 @@ def fingerprint(paths) -> str:
 
 #: Every field path that some layout knows; others don't count in a fingerprint.
 KNOWN = frozenset(p for layout in LAYOUTS for p in layout.paths())
-BY_FINGERPRINT = {fingerprint(layout.paths()): layout for layout in sorted(LAYOUTS, key=lambda x: -len(x.paths()))}
-"""Mappings by fingerprint, those with more paths first; among equals in the order of LAYOUTS."""
+
+
+def contained(paths, layouts: tuple[Layout, ...] = LAYOUTS) -> Layout | None:
+    """The mapping with the most paths of those that ``paths`` has all of, the first of equals."""
+    return next((x for x in sorted(layouts, key=lambda x: -len(x.paths())) if set(x.paths()) <= set(paths)), None)
+
+
+def _by_fingerprint(layouts: tuple[Layout, ...]) -> dict[str, Layout]:
+    known = [set(x.paths()) | {*more} for x in layouts for more in [(), *((p,) for p in sorted(KNOWN))]]
+    return {fingerprint(paths): contained(paths, layouts) for paths in known}
+
+
+#: Mappings by fingerprint: of tables, and of JSON records, which hold all turns.
+BY_FINGERPRINT = _by_fingerprint(LAYOUTS)
+JSON_LAYOUTS = tuple(x for x in LAYOUTS if not x.rows)
+JSON_BY_FINGERPRINT = _by_fingerprint(JSON_LAYOUTS)
 
 
 def schema_paths(kind: T.DataType, prefix: str = "") -> list[str]:
@@ -87,12 +103,12 @@ def schema_paths(kind: T.DataType, prefix: str = "") -> list[str]:
 
 
 def layout_of(df: DataFrame) -> Layout:
-    """The layout of a table: the mapping with the most paths of those that its schema has all of; other columns don't matter."""
-    found = set(schema_paths(df.schema))
-    owned = [p for layout in BY_FINGERPRINT.values() if found.issuperset(layout.paths()) for p in [layout.paths()]]
-    if not owned:
-        raise ValueError(f"no layout has all its fields in {sorted(found)}")
-    return BY_FINGERPRINT[fingerprint(owned[0])]
+    """The layout of a table by the fingerprint of its schema's known paths; other columns don't matter."""
+    found = KNOWN.intersection(schema_paths(df.schema))
+    layout = BY_FINGERPRINT.get(fingerprint(found)) or contained(found)
+    if layout is None:
+        raise ValueError(f"no layout has all its fields in {sorted(schema_paths(df.schema))}")
+    return layout
 
 
 def _role(role: Column) -> Column:
@@ -108,23 +124,29 @@ def _reader(layout: Layout) -> Callable[[Column], Column]:
 
 
 def json_fingerprint(payload: Column) -> Column:
-    """Fingerprint of the mapping that each JSON record selects; null if it has all paths of none."""
-    return _json_fingerprint(F.try_parse_json(payload))
+    """Fingerprint of each JSON record: the hash of the known paths that it has."""
+    return F.transform(F.array(_known_paths(F.try_parse_json(payload))), _print)[0]
 
 
-def _json_fingerprint(value: Column) -> Column:
-    """The hash of the paths that the record has, of those of each mapping, is that mapping's own if it has them all.
+def _known_paths(value: Column) -> Column:
+    """The known paths of a record, sorted; an array's path counts if its first element has it, and none whose value is null."""
+    return F.array_compact(F.array(*(F.when(F.try_variant_get(value, "$." + p.replace("[]", "[0]"), "string").isNotNull(), p) for p in sorted(KNOWN))))
 
-    An array's path counts if its first element has it.
-    """
-    there = F.array_compact(F.array(*(F.when(F.try_variant_get(value, "$." + p.replace("[]", "[0]"), "string").isNotNull(), p) for p in sorted(KNOWN))))
 
-    def first(present: Column) -> Column:
-        own = lambda layout: F.sort_array(F.array_intersect(present, F.array(*map(F.lit, layout.paths()))))
-        hashed = lambda layout: F.substring(F.sha2(F.concat_ws("\n", own(layout)), 256), 1, 16)
-        return F.coalesce(*(F.when(hashed(layout) == print_, print_) for print_, layout in BY_FINGERPRINT.items() if not layout.rows))
+def _print(paths: Column) -> Column:
+    return F.substring(F.sha2(F.concat_ws("\n", paths), 256), 1, 16)
+
+
+def _json_layout(value: Column) -> Column:
+    """The name of each record's mapping, null for a layout that is not known."""
+    by_print = F.create_map(*(F.lit(x) for print_, layout in JSON_BY_FINGERPRINT.items() for x in (print_, layout.name)))
+    longest = sorted(JSON_LAYOUTS, key=lambda x: -len(x.paths()))
+
+    def choose(paths: Column) -> Column:
+        holds = lambda layout: F.size(F.array_except(F.array(*map(F.lit, layout.paths())), paths)) == 0
+        return F.coalesce(F.try_element_at(by_print, _print(paths)), *(F.when(holds(x), x.name) for x in longest))
 
-    return F.transform(F.array(there), first)[0]
+    return F.transform(F.array(_known_paths(value)), choose)[0]
 
 
 def turns_from_json(df: DataFrame, *, payload: str, key: str) -> DataFrame:
@@ -136,11 +158,9 @@ def turns_from_json(df: DataFrame, *, payload: str, key: str) -> DataFrame:
     """
     value = F.try_parse_json(F.col(f"`{payload}`").cast("string"))
     turn_type = "array<struct<role:string,text:string>>"
-    rows = df.select(F.col(f"`{key}`").alias("key"), value.alias("v")).withColumn("f", _json_fingerprint(F.col("v")))
-    name, turns = F.lit(None).cast("string"), F.lit(None).cast(turn_type)
-    for print_, layout in BY_FINGERPRINT.items():
-        if layout.rows:
-            continue
+    rows = df.select(F.col(f"`{key}`").alias("key"), value.alias("v")).withColumn("layout", _json_layout(F.col("v")))
+    turns = F.lit(None).cast(turn_type)
+    for layout in JSON_LAYOUTS:
         if layout.turns:
             listed = F.try_variant_get(F.col("v"), f"$.{layout.turns}", f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>")
             made = F.transform(listed, _reader(layout))
@@ -150,9 +170,8 @@ def turns_from_json(df: DataFrame, *, payload: str, key: str) -> DataFrame:
             for role, path in layout.fields:
                 by_role.setdefault(role, []).append(path)
             made = F.array(*(F.struct(F.lit(r).alias("role"), F.concat_ws("\n\n", *(F.nullif(get(p), F.lit("")) for p in ps)).alias("text")) for r, ps in by_role.items()))
-        name = F.when(F.col("f") == print_, layout.name).otherwise(name)
-        turns = F.when(F.col("f") == print_, made.cast(turn_type)).otherwise(turns)
-    return rows.select("key", name.alias("layout"), F.posexplode_outer(turns).alias("turn", "t")).select("key", F.col("turn").cast("long").alias("turn"), F.col("t.role").alias("role"), F.col("t.text").alias("text"), "layout")
+        turns = F.when(F.col("layout") == layout.name, made.cast(turn_type)).otherwise(turns)
+    return rows.select("key", "layout", F.posexplode_outer(turns).alias("turn", "t")).select("key", F.col("turn").cast("long").alias("turn"), F.col("t.role").alias("role"), F.col("t.text").alias("text"), "layout")
 
 
 def turns_from_table(df: DataFrame, *, key: str) -> DataFrame:

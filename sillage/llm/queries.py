@@ -53,11 +53,41 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Roles that every layout gives back as they are, and characters of a conversation up to which it becomes a record.
+RECORD_ROLES, RECORD_CHARS = ("user", "assistant", "system"), 1_000_000
+
+
+def _chat_turns(rows: DataFrame) -> DataFrame:
+    """Half of the conversations as they stand, a turn a row; the others as JSON records in five layouts, as sources deliver them.
+
+    A conversation stays rows if it is too long for a record or has other roles.
+    """
+    as_record = F.coalesce(F.pmod(F.xxhash64("conv_id"), F.lit(2)) == 0, F.lit(False))
+    listed = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
+    whole = rows.filter(as_record).groupBy("conv_id").agg(listed.alias("t"), F.sum(F.length("text")).alias("chars"))
+    turns = lambda role, text: F.transform("t", lambda t: F.struct(t["role"].alias(role), t["text"].alias(text)))
+    pair = (F.size("t") == 2) & (F.get("t", 0)["role"] == "user") & (F.get("t", 1)["role"] == "assistant") & (F.get("t", 0)["text"] != "") & (F.get("t", 1)["text"] != "")
+    first, second, kind = F.get("t", 0)["text"], F.get("t", 1)["text"], F.pmod(F.xxhash64("conv_id", F.lit("layout")), F.lit(3))
+    record = (
+        F.when(pair & (kind == 0), F.to_json(F.struct(first.alias("prompt"), second.alias("response"))))
+        .when(pair & (kind == 1), F.to_json(F.struct(first.alias("instruction"), second.alias("output"), F.lit("x").alias("source"))))
+        .when(kind == 0, F.to_json(F.struct(turns("role", "content").alias("messages"), F.lit(1).alias("n"))))
+        .when(kind == 1, F.to_json(F.struct(turns("from", "value").alias("conversations"))))
+        .otherwise(F.to_json(F.struct(turns("speaker", "text").alias("dialog"))))
+    )
+    fits = (F.coalesce("chars", F.lit(0)) <= RECORD_CHARS) & F.forall("t", lambda t: t["role"].isin(*RECORD_ROLES))
+    made = whole.withColumn("record", F.when(fits, record))
+    records = chat.turns_from_json(made.filter("record is not null"), payload="record", key="conv_id").drop("layout")
+    others = made.filter("record is null").select("conv_id", F.explode("t").alias("x")).select("conv_id", "x.turn", "x.role", "x.text")
+    plain = rows.filter(~as_record).unionByName(others)
+    return chat.turns_from_table(plain, key="conv_id").unionByName(records)
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = [(-7, 0, "user", EXTRA_CONVERSATION), (-7, 1, "assistant", EXTRA_CONVERSATION)]
     rows = rows.unionByName(spark.createDataFrame(extra, "conv_id long, turn long, role string, text string"))
-    read = chat.parse_chats(chat.format_chats(chat.turns_from_table(rows, key="conv_id")))
+    read = chat.parse_chats(chat.format_chats(_chat_turns(rows)))
     read = read.withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_mask")))
     joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(

@@ -10,7 +10,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from sillage.llm import chat, pii, sketch, urls
+from sillage.llm import chat, pii, queries, sketch, urls
 from sillage.llm.queries import PII_KEY, op5_chat, op6_pii, op9_sketch
 
 SF = "/root/testdata/sf0.001"
@@ -96,12 +96,14 @@ def plain_value(kind, m, key):
     if kind == "secret":
         new = hashlib.sha256(f"{key}|secret|{m}".encode()).hexdigest()[: len(m)]
         return (new.upper() if re.search("[A-F]", m) else new) if re.search("[0-9]", m) and re.search("[A-Fa-f]", m) else None
+    national = lambda x: str(plain_feistel(int(x) - 2 * 10**9, 800_000, 10_000, key, "phone1") + 2 * 10**9)
     if kind == "phone":
-        head = re.match(r"\+[0-9]{1,3}(?=[^0-9])|\+[0-9]", m)[0]
-        rest = m[len(head) :]
-        return head + refill(rest, plain_digits(re.sub("[^0-9]", "", rest), key, "phone")) if 8 <= len(d) <= 15 else None
+        two = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+        code = d[:1] if d[0] in "017" else d[:2] if d[:2] in two else d[:3]
+        rest = d[len(code) :]
+        return refill(m, code + (national(rest) if code == "1" and len(rest) == 10 and rest[0] in "23456789" else plain_digits(rest, key, "phone"))) if 8 <= len(d) <= 15 else None
     if kind == "local_phone":
-        return refill(m, str(plain_feistel(int(d) - 2 * 10**9, 800_000, 10_000, key, "local_phone") + 2 * 10**9))
+        return refill(m, national(d))
     if kind == "date":
         parts = [int(x) for x in re.split(r"[-./]", m)]
         y, mo, day = parts if "-" in m else (parts[2], parts[1], parts[0]) if "." in m else (parts[2], parts[0], parts[1])
@@ -182,6 +184,20 @@ def test_national_phones_and_account_numbers(spark):
         assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def test_phones_are_linked_across_spellings(spark):
+    same = [["+49 30 1234567", "+49301234567", "+49-30-123-4567", "+49 (30) 123 4567"], ["+1 555 123 4567", "(555) 123-4567", "555-123-4567", "+15551234567", "+1 (555) 123-4567"], ["+421 259 491 111", "+421259491111"], ["+7 495 123 45 67", "+74951234567"]]
+    rows = [(i, f"call {x} now") for i, group in enumerate(same) for x in group]
+    found = {}
+    for r in pii.mask(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect():
+        assert len(r["pii_kinds"]) == 1, r
+        digits = re.sub("[^0-9]", "", r["text"])
+        found.setdefault(r["doc_id"], set()).add("1" + digits if r["pii_kinds"] == ["local_phone"] else digits)
+    assert all(len(x) == 1 for x in found.values()) and len(set.union(*found.values())) == len(same)
+    heads = [next(iter(found[i])) for i in range(4)]
+    assert heads[0].startswith("49") and heads[1].startswith("1") and heads[2].startswith("421") and heads[3].startswith("7")
+    assert all(h not in re.sub("[^0-9]", "", "".join(g)) for h, g in zip(heads, same, strict=True))
+
+
 def test_a_key_column_stays_out_of_the_plan(spark):
     secret = spark.createDataFrame([("k",)], "secret_value string")
     docs = spark.createDataFrame([(1, MORE)], "doc_id long, text string")
@@ -328,6 +344,33 @@ def test_layouts_are_chosen_by_fingerprint(spark):
         chat.layout_of(df)
 
 
+def test_fingerprints_are_of_the_records_own_paths(spark):
+    records = {'{"prompt": "a", "response": "b", "zzz": 1}': ("prompt", "response"), '{"prompt": "a", "response": "b", "text": "t"}': ("prompt", "response", "text"), '{"messages": [{"role": "r", "content": "c", "x": 1}]}': ("messages[].role", "messages[].content"), '{"zzz": 1}': ()}
+    df = spark.createDataFrame([(r,) for r in records], "p string").select("p", chat.json_fingerprint(F.col("p")).alias("f"))
+    assert {r["p"]: r["f"] for r in df.collect()} == {r: chat.fingerprint(paths) for r, paths in records.items()}
+    # the map has each mapping's own paths and those with one more; only what is not in it is compared
+    assert chat.JSON_BY_FINGERPRINT[chat.fingerprint(("prompt", "response", "text"))].name == "prompt_response"
+    more = ("prompt", "response", "text", "question")
+    assert chat.fingerprint(more) not in chat.JSON_BY_FINGERPRINT and chat.contained(more).name == "prompt_response"
+    assert all(chat.contained(x.paths()) == x for x in chat.LAYOUTS)
+
+
+def test_chat_query_passes_through_every_kind_of_layout(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id", "turn", "role", "text")
+    seen = []
+    real = chat.turns_from_json
+    chat.turns_from_json = lambda *a, **k: seen.append(made := real(*a, **k)) or made
+    try:
+        turns = queries._chat_turns(rows)
+    finally:
+        chat.turns_from_json = real
+    used = {r["layout"] for r in seen[0].select("layout").distinct().collect()}
+    assert used == {"messages", "conversations", "dialog", "prompt_response", "instruction"}
+    assert turns.select("key").distinct().count() == rows.select("conv_id").distinct().count() and turns.count() == rows.count()
+    odd = spark.createDataFrame([(k, 0, "robot", "x") for k in range(20)] + [(k, 1, None, None) for k in range(20)], "conv_id long, turn long, role string, text string")
+    assert queries._chat_turns(odd).count() == 40 and {r["role"] for r in queries._chat_turns(odd).collect()} == {"robot", ""}
+
+
 def test_further_fields_do_not_change_the_layout(spark):
     records = {
         '{"prompt": "a", "response": "b", "text": "z"}': "prompt_response",
