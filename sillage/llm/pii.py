@@ -124,21 +124,33 @@ def _card(m: Column, key: str | Column) -> tuple[Column, Column]:
     return valid, _refill(m, _let(body, checked))
 
 
-def _phone(m: Column, key: str | Column) -> tuple[Column, Column]:
-    prefix = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[^0-9])|^\+[0-9]", 0)
-    rest = F.substr(m, F.length(prefix) + 1)
-    new = _let(_digits(rest), lambda d: _permuted_digits(d, key, "phone"))
-    return F.length(_digits(m)).between(8, 15), F.concat(prefix, _refill(rest, new))
+#: The country codes of telephone numbers. Of one digit 1 and 7, of two those listed, of three all others.
+COUNTRY_CODE = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2}|.)"
 
 
-def _local_phone(m: Column, key: str | Column) -> tuple[Column, Column]:
-    """The area begins with 2 to 9, and so does that of the pseudonym."""
-    digits = _digits(m)
+def _national(digits: Column, key: str | Column) -> Column:
+    """Another ten-digit number of the plan of country 1: the area begins with 2 to 9, and so does that of the pseudonym."""
+    new = feistel(_number(digits) - 2_000_000_000, 800_000, 10_000, key, "phone1")
+    return _let(new, lambda n: _pad(n + 2_000_000_000, 10))
+
+
+def _phone(m: Column, key: str | Column) -> tuple[Column, Column]:
+    """The country's code stays and the digits behind it are permuted, however they are grouped."""
 
     def new(d: Column) -> Column:
-        return feistel(_number(d) - 2_000_000_000, 800_000, 10_000, key, "local_phone")
+        code = F.regexp_extract(d, COUNTRY_CODE, 0)
 
-    return F.length(digits) == 10, _refill(m, _let(_let(digits, new), lambda n: _pad(n + 2_000_000_000, 10)))
+        def behind(rest: Column) -> Column:
+            return F.when((code == "1") & rest.rlike("^[2-9][0-9]{9}$"), _national(rest, key)).otherwise(_permuted_digits(rest, key, "phone"))
+
+        return F.concat(code, _let(F.substr(d, F.length(code) + 1), behind))
+
+    return F.length(_digits(m)).between(8, 15), _refill(m, _let(_digits(m), new))
+
+
+def _local_phone(m: Column, key: str | Column) -> tuple[Column, Column]:
+    """A number of country 1 without its code; it has the pseudonym of the same number with it."""
+    return F.length(_digits(m)) == 10, _refill(m, _let(_digits(m), lambda d: _national(d, key)))
 
 
 def _mod97(text: Column) -> Column:
