@@ -22,9 +22,14 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], name: str =
 
 
 def natural_key(text: Column) -> Column:
-    """A key that sorts digit runs by value: each run padded to twelve places, case folded."""
-    padded = F.regexp_replace(F.lower(text), r"([0-9]+)", "000000000000$1")
-    return F.regexp_replace(padded, r"0*([0-9]{12})(?![0-9])", "$1")
+    """A key that sorts digit runs by value, however long, and other text by its lower case: each run stands behind its number of digits, leading zeros left out."""
+    parts = F.regexp_extract_all(F.lower(text), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+
+    def key(part: Column) -> Column:
+        digits = F.regexp_replace(part, "^0+(?=[0-9])", "")
+        return F.when(part.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), digits)).otherwise(part)
+
+    return F.array_join(F.transform(parts, key), "")
 
 
 def except_normalised(a: Column, b: Column) -> Column:

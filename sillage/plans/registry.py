@@ -32,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    for module in ("lookups", "measurements", "composites", "domain", "fields", "landed", "tables", "books"):
+    for module in ("lookups", "measurements", "composites", "domain", "fields", "landed", "tables", "books", "stores", "checks", "chain"):
         importlib.import_module(f"sillage.plans.{module}")
 
 

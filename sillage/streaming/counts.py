@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sillage.workspace import fresh
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -38,10 +37,11 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     """All that is there now, run through the stream into a Parquet table under the checkpoint folder, which is returned.
 
     Each batch is written by its number, so a repeated batch replaces itself; in
-    ``complete`` mode the last batch is the whole.  The driver holds no rows.
+    ``complete`` mode the last batch is the whole.  The driver holds no rows.  The
+    table stays until ``sillage.workspace.sweep`` or the end of the process.
     """
     spark, schema = stream.sparkSession, stream.schema
-    folder = f"{_shared_folder(spark)}/drained-{uuid.uuid4().hex}"
+    folder = fresh(spark, "drained")
     batches: list[int] = []
 
     def write(rows: DataFrame, batch: int) -> None:
@@ -56,16 +56,6 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(schema).parquet(*(f"{folder}/rows/{b:06d}" for b in kept))
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; on a local master without one, a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='sillage-')}"
-    return folder.rstrip("/")
-
-
 def popular(events: DataFrame, key: str, limit: int) -> DataFrame:
     """The keys with most events, for ``complete`` mode."""
     return events.groupBy(key).count().orderBy(F.desc("count"), key).limit(limit)
