@@ -65,7 +65,7 @@ class Scratch:
         try:
             # nothing reads the shuffles of a written table again
             self.spark.conf.set(_CLEANUP, "true")
-            df.write.parquet(path, partitionBy=by)
+            df.write.option("compression", "zstd").parquet(path, partitionBy=by)
         except BaseException:
             self.drop()
             raise
