@@ -31,7 +31,7 @@ from sillage.llm.arrow import pack, release, tidy, unpack
 from sillage.llm.scratch import Scratch
 
 #: Words of a block, and bytes of a text that are split at a time (cut only where a piece ends).
-BLOCK_WORDS, SLICE_BYTES = 1_000_000, 4_000_000
+BLOCK_WORDS, SLICE_BYTES = 600_000, 1_000_000
 _END = b"\xff"  # no byte of UTF-8
 _ENDS = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 
@@ -58,7 +58,7 @@ def _slices(text: bytes) -> Iterator[list[bytes]]:
 
 
 #: Bytes of text whose words are counted in one part, pairs of a later part, about, and the distance between the first ids of two parts.
-PART_BYTES, PART_PAIRS, PART_IDS = 16_000_000, 1_000_000, 1 << 32
+PART_BYTES, PART_PAIRS, PART_IDS = 8_000_000, 600_000, 1 << 32
 #: A block's codes (part null; the starts of its parts in ``lefts``, the codes in the order of the parts in ``rights``, its words in ``n``), or its words or pairs that fall to one part.
 _MADE = "block string, lang string, part int, codes binary, lefts binary, rights binary, times binary, n bigint"
 #: A part's grams (block null; words with their language), or the names of a block's words or pairs in it.
@@ -116,6 +116,7 @@ def _word_blocks(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 yield from _rows(rows, _MADE).to_batches()
             held.clear()
             size = 0
+            release()
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -163,8 +164,10 @@ def _word_namer(least: int) -> Callable[[pa.Table], pa.Table]:
             at = np.flatnonzero(frequent[codes])
             if len(at):
                 rows.append({"block": name, "part": part, "at": at, "ids": ids[codes[at]]})
+        out = _rows(rows, _NAMED)
+        rows.clear()
         release()
-        return _rows(rows, _NAMED)
+        return out
 
     return run
 
@@ -223,8 +226,10 @@ def _pairs_of(parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
                 for p in np.unique(part).tolist():
                     own = slice(starts[p], starts[p + 1])
                     made.append({**of, "part": p, **{c: pack(x[own]) for c, x in (("lefts", left), ("rights", right), ("times", times))}})
+        out = _rows(made, _MADE)
+        made.clear()
         release()
-        return _rows(made, _MADE)
+        return out
 
     return run
 
@@ -252,8 +257,10 @@ def _pair_namer(least: int) -> Callable[[pa.Table], pa.Table]:
             at = np.flatnonzero(ids[start:end] >= 0)
             if len(at):
                 rows.append({"block": name, "part": part, "at": at, "ids": ids[start:end][at]})
+        out = _rows(rows, _NAMED)
+        rows.clear()
         release()
-        return _rows(rows, _NAMED)
+        return out
 
     return run
 
