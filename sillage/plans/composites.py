@@ -103,7 +103,16 @@ def b03(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", text.spreadsheet_safe(number).alias("cell"), statuses.alias("statuses"))
 
 
-@query("b06_spectrum_text")
+_MSP = """
+WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS i FROM embeddings),
+p AS (SELECT vec_id, i + 40 AS mz, round_even(v / max(v) OVER (PARTITION BY vec_id) * 100, 6) AS x FROM v WHERE v > 0),
+t AS (SELECT *, CASE WHEN x >= 0.0001 THEN 4 WHEN x >= 0.00001 THEN 5 ELSE 6 END AS k FROM p),
+s AS (SELECT vec_id, count(*) AS n, string_agg(mz::DOUBLE || ' ' || CASE WHEN x >= 0.001 OR x = 0 THEN x::VARCHAR ELSE round(x * pow(10, k), 6 - k) || 'E-' || k END, chr(10) ORDER BY mz) AS peaks FROM t GROUP BY 1)
+SELECT vec_id, 'Name: vector ' || vec_id || chr(10) || 'Label: ' || label || chr(10) || 'Num Peaks: ' || coalesce(n, 0) || chr(10) || coalesce(peaks, '') AS msp FROM embeddings LEFT JOIN s USING (vec_id)
+"""
+
+
+@query("b06_spectrum_text", _MSP)
 def b06(spark: SparkSession, d: str) -> DataFrame:
     peaks = F.transform("embedding", lambda v, i: F.struct((i + 40).cast("double").alias("mz"), v.cast("double").alias("intensity")))
     rows = table(spark, d, "embeddings").select("vec_id", "label", spectra.normalise(peaks).alias("p"))
