@@ -154,7 +154,10 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(search.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    index = search.build_index(table(spark, sf_dir, "documents"))
+    found = search.search(index, table(spark, sf_dir, "benchmark"))
+    index.scratch.drop()  # the result is written
+    return found
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

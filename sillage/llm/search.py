@@ -382,7 +382,8 @@ def _search_pass(index: Index, asked: DataFrame, k: int) -> DataFrame:
 def search(index: Index, items: DataFrame, *, key: str = "item_id", text: str = "text", k: int = 10, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
     """item_id, rank, doc_id and score of each item's ``k`` best documents with a score above 0.
 
-    Equal scores stand by ascending id.  Items without a known term give no row.  Items
+    The result is written; the index stays, for other items, until its ``scratch`` is
+    dropped.  Equal scores stand by ascending id.  Items without a known term give no row.  Items
     are taken in passes of about ``items_a_pass``, whose terms the driver and every task
     hold; results don't depend on it.
     """
@@ -395,5 +396,7 @@ def search(index: Index, items: DataFrame, *, key: str = "item_id", text: str =
         part = _search_pass(index, asked.filter(F.pmod(F.xxhash64("item"), F.lit(passes)) == i), k)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = asked.select(F.col("item").alias("item_id"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("score")).limit(0)
+        kind = dict(asked.dtypes)["item"]
+        out = items.sparkSession.createDataFrame([], f"item_id {kind}, rank int, doc_id long, score long")
+    terms.drop()
     return out
