@@ -31,7 +31,7 @@ from sillage.llm.arrow import pack, release, tidy, unpack
 from sillage.llm.scratch import Scratch
 
 #: Words of a block, and bytes of a text that are split at a time (cut only where a piece ends).
-BLOCK_WORDS, SLICE_BYTES = 600_000, 1_000_000
+BLOCK_WORDS, SLICE_BYTES = 1_000_000, 1_000_000
 _END = b"\xff"  # no byte of UTF-8
 _ENDS = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 
