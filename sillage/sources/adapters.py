@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sillage.functions import measures, properties
 from sillage.functions.text import split_terms
 from sillage.operators.ordered import first_per_key
-from sillage.sources.documents import columnar, sections, with_status
+from sillage.sources.documents import by_column, sections, with_status
 
 _CANDIDATE = "struct<chebi_accession:string,id:string,name:string,formula:string,charge:int,inchikey:string,smiles:string,cas:string>"
 
@@ -72,8 +72,10 @@ def assays(answers: DataFrame, *, limit: int = 100) -> DataFrame:
     table = F.get_json_object("payload", "$.Table")
     columns = F.from_json(F.get_json_object(table, "$.Columns.Column"), "array<string>")
     cells = F.transform(F.from_json(F.get_json_object(table, "$.Row"), "array<struct<Cell:array<string>>>"), lambda r: r["Cell"])
-    payload = F.to_json(F.struct(columns.alias("columns"), cells.alias("rows")))
-    rows = answers.select("key", F.filter(columnar(payload), lambda m: F.coalesce(F.try_element_at(m, F.lit("AID")), F.lit("")) != "").alias("all"))
+    parsed = F.struct(columns.alias("columns"), cells.alias("rows"))
+    listed = F.filter(by_column(parsed), lambda m: F.coalesce(F.try_element_at(m, F.lit("AID")), F.lit("")) != "")
+    # generated, so that a filter on the total is not pushed below and the payload read twice
+    rows = answers.select("key", F.explode(F.array(listed)).alias("all"))
     out = rows.select("key", F.slice("all", 1, limit).alias("assays"), F.coalesce(F.size("all"), F.lit(0)).alias("total"))
     return with_status(out, "key", "assays")
 

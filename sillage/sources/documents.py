@@ -48,8 +48,16 @@ def page_gaps(pages: DataFrame, page: str, total: int) -> DataFrame:
 
 def columnar(payload: Column) -> Column:
     """An answer of ``columns`` and rows of cells as an array of maps."""
-    parsed = F.from_json(payload, "struct<columns:array<string>,rows:array<array<string>>>")
-    return F.transform(parsed["rows"], lambda r: F.map_from_arrays(parsed["columns"], r))
+    return by_column(F.from_json(payload, "struct<columns:array<string>,rows:array<array<string>>>"))
+
+
+def by_column(parsed: Column) -> Column:
+    """A struct of ``columns`` and ``rows`` as an array of maps.
+
+    ``parsed`` is bound once: what a lambda says of an outer expression is worked out
+    again for each element, here the whole payload for each of its rows.
+    """
+    return F.get(F.transform(F.array(parsed), lambda p: F.transform(p["rows"], lambda r: F.map_from_arrays(p["columns"], r))), 0)
 
 
 def twice_encoded(payload: Column, schema: str) -> Column:
