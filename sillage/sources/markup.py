@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +12,9 @@ from sillage.functions.text import strip_tags
 _ANCHOR = r'(?is)<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>'
 
 
-def field(markup: Column, *patterns: str) -> Column:
-    """The first group of the first pattern that matches, without tags; null if none does."""
-    tries = [F.nullif(strip_tags(F.regexp_extract(markup, p, 1)), F.lit("")) for p in patterns]
+def field(markup: Column, *patterns: str, text: Callable[[Column], Column] = strip_tags) -> Column:
+    """The first group of the first pattern that matches, as ``text`` makes it (by default without tags); null if none does or nothing is left."""
+    tries = [F.nullif(text(F.regexp_extract(markup, p, 1)), F.lit("")) for p in patterns]
     return F.coalesce(*tries)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 
+from sillage.plans import registry
 from sillage.sources import adapters
 
 
@@ -17,3 +18,10 @@ def test_assays_of_a_long_answer_take_time_in_proportion(spark):
     assert found["k"]["total"] == 4000 and len(found["k"]["assays"]) == 100 and found["k"]["assays"][0] == {"AID": "1", "Name": "x"}
     assert found["none"]["total"] == 0 and found["none"]["status"] == "invalid_response"
     assert time.monotonic() - began < 30
+
+
+def test_html_record_decodes_what_its_sql_decodes(spark, tmp_path):
+    pages = [(1, '<html lang=" EN"><title>&nbsp;a &quot;b&quot; &amp;amp; c </title><h9>no</h9>'), (2, "<title>\n x\n</title>"), (3, "<title> </title>"), (4, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r["page_id"]: (r["title"], r["lang"]) for r in registry.queries()["a14_html_record"](spark, str(tmp_path)).collect()}
+    assert found == {1: ("a &quot;b&quot; &amp; c", " EN"), 2: ("\n x\n", None), 3: (None, None), 4: (None, None)}
