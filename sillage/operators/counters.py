@@ -46,8 +46,9 @@ def fresh(cache: DataFrame, lifetimes: dict[str, int], now: Column, *, source: s
     days = F.lit(None).cast("int")
     for name, n in lifetimes.items():
         days = F.when(F.col(source) == name, n).otherwise(days)
-    age = F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(F.col(ts).cast("timestamp"))
-    return cache.filter(F.col("status").isin(*persisted) & (age >= 0) & (age <= days * 86400))
+    at, now = F.col(ts).cast("timestamp"), now.cast("timestamp")
+    # ages count whole seconds, but what is a part of a second ahead is from the future too
+    return cache.filter(F.col("status").isin(*persisted) & (at <= now) & (F.unix_seconds(now) - F.unix_seconds(at) <= days * 86400))
 
 
 def served(cache: DataFrame, now: Column, *, key: str = "key", ts: str = "stored_at", hours: Column | int = 24, allowed: str = "download_allowed") -> DataFrame:

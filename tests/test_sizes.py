@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 import time
 
+from pyspark.sql import functions as F
+
+from sillage.operators import counters
 from sillage.plans import registry
 from sillage.sources import adapters
 
@@ -25,3 +28,10 @@ def test_html_record_decodes_what_its_sql_decodes(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     found = {r["page_id"]: (r["title"], r["lang"]) for r in registry.queries()["a14_html_record"](spark, str(tmp_path)).collect()}
     assert found == {1: ("a &quot;b&quot; &amp; c", " EN"), 2: ("\n x\n", None), 3: (None, None), 4: (None, None)}
+
+
+def test_a_cache_row_of_the_same_second_can_be_from_the_future(spark):
+    rows = [(1, "2024-01-20 00:00:00.5"), (2, "2024-01-20 00:00:00"), (3, "2024-01-19 00:00:00"), (4, "2024-01-18 23:59:59.9"), (5, None)]
+    cache = spark.createDataFrame(rows, "id int, at string").select("id", F.col("at").cast("timestamp_ntz").alias("stored_at"), F.lit("a").alias("source"), F.lit("ok").alias("status"))
+    kept = counters.fresh(cache, {"a": 1}, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+    assert sorted(r["id"] for r in kept.collect()) == [2, 3]
