@@ -163,7 +163,7 @@ UNION ALL SELECT * FROM (VALUES ('Summary', 1, 'note|parts'), ('Parts', 1, 'p_pa
 
 @query("b15_batch_report", _REPORT)
 def b15(spark: SparkSession, d: str) -> DataFrame:
-    """All parts beside what three tables know of them, as a workbook of four sheets, read back from the file."""
+    """All parts beside what three tables know of them, as a workbook of four tables, read back from the file; a table longer than a sheet goes on in further ones."""
     lines = table(spark, d, "lineitem")
     known = lines.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("lines"), F.sum("l_quantity").cast("long").alias("pieces"))
     sources = lines.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_suppkey").alias("supplier"))
@@ -176,7 +176,7 @@ def b15(spark: SparkSession, d: str) -> DataFrame:
         "Suppliers": table(spark, d, "supplier").select("s_suppkey", "s_name").orderBy("s_suppkey"),
     }
     folder = fresh(spark, "report")
-    workbook.write_parts(sheets, f"{folder}/report.xlsx", folder)
+    totals = workbook.write_parts(sheets, f"{folder}/report.xlsx", folder)
     spark.dataSource.register(xlsx.Workbook)
-    read = spark.read.format("workbook").load(local_path(f"{folder}/report.xlsx"))
+    read = workbook.joined(spark.read.format("workbook").load(local_path(f"{folder}/report.xlsx")), totals)
     return read.select("sheet", "source_row", F.array_join("cells", "|").alias("cells"))

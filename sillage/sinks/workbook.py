@@ -158,6 +158,28 @@ class _Archive:
         self._put(struct.pack("<IHHHHIIH", 0x06054B50, 0, 0, min(count, 0xFFFF), min(count, 0xFFFF), 0xFFFFFFFF, 0xFFFFFFFF, 0))
 
 
+def _sheets(rows: int) -> int:
+    """Sheets that a table of so many rows takes."""
+    return max(1, -(-rows // (SHEET_ROWS - 1)))
+
+
+def placed(totals: dict[str, int]) -> list[tuple[str, str, int]]:
+    """(sheet, title, rows before) of all sheets that ``write_parts`` made of tables with so many rows."""
+    parts = [(title, number) for title, rows in totals.items() for number in range(_sheets(rows))]
+    names = sheet_names([title if number == 0 else f"{title} {number + 1}" for title, number in parts])
+    return [(name, title, number * (SHEET_ROWS - 1)) for name, (title, number) in zip(names, parts, strict=True)]
+
+
+def joined(rows: DataFrame, totals: dict[str, int]) -> DataFrame:
+    """The rows (sheet, source_row, cells) of a workbook by ``write_parts`` with each table whole again: one header, rows numbered on through its sheets."""
+    title, before, further = F.col("sheet"), F.lit(0), F.lit(False)
+    for name, whole, at in placed(totals):
+        here = F.col("sheet") == name
+        title, before, further = F.when(here, whole).otherwise(title), F.when(here, at).otherwise(before), F.when(here, F.lit(at > 0)).otherwise(further)
+    kept = rows.filter(~(further & (F.col("source_row") == 1)))
+    return kept.select(title.alias("sheet"), (F.col("source_row") + before).alias("source_row"), "cells")
+
+
 def write_parts(tables: dict[str, DataFrame], path: str, folder: str) -> dict[str, int]:
     """Write tables of any size as sheets of the workbook ``path`` and return the rows of each table.
 
@@ -166,13 +188,12 @@ def write_parts(tables: dict[str, DataFrame], path: str, folder: str) -> dict[st
     a new shared folder for the pieces.  The driver holds one piece at a time.
     """
     spark = next(iter(tables.values())).sparkSession
-    titles, sheets, totals = [], [], {}
+    sheets, totals = [], {}
     for i, (title, df) in enumerate(tables.items()):
         pieces, totals[title] = _pieces(df, folder, i)
-        for number in range(max(1, -(-totals[title] // (SHEET_ROWS - 1)))):
-            titles.append(title if number == 0 else f"{title} {number + 1}")
+        for number in range(_sheets(totals[title])):
             sheets.append((df.columns, pieces.filter(F.col("sheet") == number).orderBy("place")))
-    names = sheet_names(titles)
+    names = [name for name, _, _ in placed(totals)]
 
     def sheet(columns: list[str], pieces: DataFrame) -> Iterator[tuple[int, int, bytes]]:
         yield _piece(f'<worksheet xmlns="{_MAIN}"><sheetData><row r="1">{"".join(map(_cell, columns))}</row>')

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sillage.operators import counters
 from sillage.plans import registry
+from sillage.sinks import workbook
 from sillage.sources import adapters
 
 
@@ -35,3 +36,13 @@ def test_a_cache_row_of_the_same_second_can_be_from_the_future(spark):
     cache = spark.createDataFrame(rows, "id int, at string").select("id", F.col("at").cast("timestamp_ntz").alias("stored_at"), F.lit("a").alias("source"), F.lit("ok").alias("status"))
     kept = counters.fresh(cache, {"a": 1}, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
     assert sorted(r["id"] for r in kept.collect()) == [2, 3]
+
+
+def test_a_report_longer_than_a_sheet_is_read_back_whole(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    query = registry.queries()["b15_batch_report"]
+    whole = sorted(map(tuple, query(spark, sf).collect()))
+    monkeypatch.setattr(workbook, "SHEET_ROWS", 31)
+    names = [n for n, _, _ in workbook.placed({"Parts": 61, "Parts 2": 30, "None": 0})]
+    assert names == ["Parts", "Parts 2", "Parts 3", "Parts 2_2", "None"]
+    assert len(whole) > 300 and sorted(map(tuple, query(spark, sf).collect())) == whole
