@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from sillage.operators import counters
+from sillage.operators import counters, ordered, pageindex
 from sillage.plans import registry
 from sillage.sinks import workbook
-from sillage.sources import adapters
+from sillage.sources import adapters, releases
 
 
 def test_assays_of_a_long_answer_take_time_in_proportion(spark):
@@ -46,3 +48,17 @@ def test_a_report_longer_than_a_sheet_is_read_back_whole(spark, monkeypatch):
     names = [n for n, _, _ in workbook.placed({"Parts": 61, "Parts 2": 30, "None": 0})]
     assert names == ["Parts", "Parts 2", "Parts 3", "Parts 2_2", "None"]
     assert len(whole) > 300 and sorted(map(tuple, query(spark, sf).collect())) == whole
+
+
+def test_a_release_is_listed_and_hashed_by_tasks(spark, tmp_path, monkeypatch):
+    for name, said in (("a.txt", "1"), ("d/b.txt", "22"), ("d/e/c.db", "333"), ("d/_no", "4"), (".no/x", "5")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(said)
+    (tmp_path / "empty").mkdir()
+    monkeypatch.setattr(releases, "_binary", lambda *_: pytest.fail("the driver lists the files"))
+    folder = f"file://{tmp_path}"
+    assert {(r["path"], r["bytes"]) for r in releases.listed(spark, folder).collect()} == {("a.txt", 1), ("d/b.txt", 2), ("d/e/c.db", 3)}
+    sums = {n: hashlib.sha256(t).hexdigest() for n, t in (("a.txt", b"1"), ("d/b.txt", b"23"))}
+    manifest = spark.createDataFrame([("a.txt", 1, sums["a.txt"]), ("d/b.txt", 2, sums["d/b.txt"])], releases.MANIFEST)
+    found = {tuple(r) for r in releases.problems(spark, folder, manifest).collect()}
+    assert found == {("d/b.txt", "digest"), ("d/e/c.db", "unlisted"), ("d/e/c.db", "database")}
