@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sillage.functions import clauses, text
 from sillage.operators.ordered import blocks, first_per_key
@@ -71,20 +72,41 @@ def block_entities(found: DataFrame, *, page: str = "page", block: str = "block"
 def over_pages(df: DataFrame, page: str, block: str, event: Column, name: str, *, own_row: bool) -> DataFrame:
     """The last non-null event so far in a book, with or without the row's own.
 
-    Pages are reduced to their last events, which are carried over that small table;
-    only the blocks of a page are sorted together.  Without a column ``book`` all pages
+    Pages are reduced to their last events, which are carried over that table by runs of
+    page numbers (all at once, if pages are no whole numbers); only the blocks of a page
+    are sorted together.  Without a column ``book`` all pages
     are one book.
     """
     book = ["book"] if "book" in df.columns else []
     marked = df.withColumn("_value", event)
     last = marked.groupBy(*book, page).agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(block))).alias("_last"))
-    pages = Window.partitionBy(*book).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.select(*book, page, F.last("_last", ignorenulls=True).over(pages).alias("_before"))
+    carried = _carried(last, book, page)
     within = Window.partitionBy(*book, page).orderBy(block).rowsBetween(Window.unboundedPreceding, 0 if own_row else -1)
     joined = marked.join(carried, [*book, page], "left")
     return joined.withColumn(name, F.coalesce(F.last("_value", ignorenulls=True).over(within), "_before")).select(*df.columns, name)
 
 
+def _carried(last: DataFrame, book: list[str], page: str, levels: int = 3) -> DataFrame:
+    """(book, page, _before): the last ``_last`` of an earlier page.
+
+    Whole numbers are cut in runs of 2**16, each sorted apart; what comes before a run is
+    worked out alike from the runs, and from runs of runs, so no task sorts a whole book.
+    """
+    order = lambda *keys: Window.partitionBy(*keys).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last("_last", ignorenulls=True)
+    if levels == 0 or not isinstance(last.schema[page].dataType, T.IntegralType):
+        return last.select(*book, page, before.over(order(*book)).alias("_before"))
+    part = f"_part_{levels}"
+    rows = last.withColumn(part, F.shiftright(F.col(page).cast("long"), 16))
+    parts = rows.groupBy(*book, part).agg(F.max_by("_last", F.when(F.col("_last").isNotNull(), F.col(page))).alias("_last"))
+    ahead = _carried(parts, book, part, levels - 1).select(*(F.col(b).alias(f"_at_{b}") for b in book), F.col(part).alias("_at"), F.col("_before").alias("_ahead"))
+    same = F.col(part).eqNullSafe(F.col("_at"))
+    for b in book:
+        same = same & F.col(b).eqNullSafe(F.col(f"_at_{b}"))
+    found = rows.withColumn("_within", before.over(order(*book, part))).join(ahead, same, "left")
+    return found.select(*book, page, F.coalesce("_within", "_ahead").alias("_before"))
+
+
 def with_subjects(records: DataFrame, *, page: str = "page", block: str = "block") -> DataFrame:
     """Blocks with the subject of their statements: their own, or for blocks without an entity the one carried from the blocks before.
 

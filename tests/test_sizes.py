@@ -62,3 +62,21 @@ def test_a_release_is_listed_and_hashed_by_tasks(spark, tmp_path, monkeypatch):
     manifest = spark.createDataFrame([("a.txt", 1, sums["a.txt"]), ("d/b.txt", 2, sums["d/b.txt"])], releases.MANIFEST)
     found = {tuple(r) for r in releases.problems(spark, folder, manifest).collect()}
     assert found == {("d/b.txt", "digest"), ("d/e/c.db", "unlisted"), ("d/e/c.db", "database")}
+
+
+def test_events_are_carried_over_runs_of_pages(spark):
+    pages = [-(1 << 40), -70_000, -1, 0, 5, 65_535, 65_536, 200_000, 1 << 33, (1 << 33) + 1, 1 << 52]
+    rows = [(book, page, block, f"{book}{page}" if (page + block) % 3 == 1 else None) for book in ("a", "b") for page in pages for block in (1, 2)]
+    df = spark.createDataFrame(rows, "book string, page long, block long, said string")
+    for made, books in ((df, ("a", "b")), (df.filter("book = 'a'").drop("book"), (None,))):
+        got = {(r.asDict().get("book"), r["page"], r["block"]): r["e"] for r in pageindex.over_pages(made, "page", "block", F.col("said"), "e", own_row=False).collect()}
+        want = {}
+        for book in books:
+            held = None
+            for b, page, block, said in rows:
+                if b == (book or "a"):
+                    want[book, page, block], held = held, said or held
+        assert got == want
+    plan = pageindex.over_pages(df.drop("book"), "page", "block", F.col("said"), "e", own_row=False)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [last(_last" in line]
+    assert len(windows) == 4 and sum("_part" in line for line in windows) >= 3
