@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Cols = list[str]
 
@@ -34,6 +35,26 @@ def occurrence(df: DataFrame, keys: Cols, order: Cols, name: str = "occurrence")
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
 
 
+def numbered(df: DataFrame, keys: Cols, order: Cols, name: str) -> DataFrame:
+    """Running number of each key's rows, from 1, in a total order.
+
+    If the first column of the order holds whole numbers, its values are cut in runs of
+    2**16, each sorted apart and numbered on from the counts of the runs before it, so
+    not even a key with most rows is sorted in one task.
+    """
+    if not isinstance(df.schema[order[0]].dataType, T.IntegralType):
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    rows = df.withColumn("_part", F.shiftright(F.col(order[0]).cast("long"), 16))
+    counts = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*(F.col(k).alias(f"_at_{k}") for k in keys), F.col("_part").alias("_at"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_ahead"))
+    same = F.col("_part").eqNullSafe(F.col("_at"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_at_{k}"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    return rows.withColumn("_within", within).join(before, same).select(*df.columns, (F.col("_ahead") + F.col("_within")).cast("int").alias(name))
+
+
 def islands(df: DataFrame, partition: Cols, kind: Cols, order: Cols, name: str = "island") -> DataFrame:
     """Number, within each partition and kind, of the run of neighbouring rows of one kind."""
     at = F.row_number().over(Window.partitionBy(*partition).orderBy(*order))

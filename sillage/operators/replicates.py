@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sillage.operators.ordered import islands
+from sillage.operators.ordered import numbered
 
 ULPS = 16 * 2.220446049250313e-16
 
@@ -45,8 +45,8 @@ def resolve_duplicates(df: DataFrame, *, sample: str, key: str, order: list[str]
     Null distances count as infinite.
     """
     far = F.coalesce(F.col(distance), F.lit(float("inf")))
-    rows = df.withColumn("_d", far).withColumn("_pos", F.row_number().over(Window.partitionBy(sample).orderBy(*order)))
-    rows = islands(rows, [sample], [key], order, "_run")
+    rows = numbered(df.withColumn("_d", far), [sample], order, "_pos")
+    rows = rows.withColumn("_run", F.col("_pos") - F.row_number().over(Window.partitionBy(sample, key).orderBy("_pos")))
     run = [sample, key, "_run"]
     low = F.min("_d").over(Window.partitionBy(*run))
     size = F.count("*").over(Window.partitionBy(*run))

@@ -80,3 +80,13 @@ def test_events_are_carried_over_runs_of_pages(spark):
     plan = pageindex.over_pages(df.drop("book"), "page", "block", F.col("said"), "e", own_row=False)._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [last(_last" in line]
     assert len(windows) == 4 and sum("_part" in line for line in windows) >= 3
+
+
+def test_numbers_go_on_over_runs(spark):
+    places = [None, -(1 << 33), -1, 0, 1, 65_535, 65_536, 70_000, 1 << 40]
+    rows = [(key, at, i) for key in ("a", None) for at in places for i in range(3)]
+    df = spark.createDataFrame(rows, "key string, at long, i int").repartition(5)
+    got = {(r["key"], r["at"], r["i"]): r["n"] for r in ordered.numbered(df, ["key"], ["at", "i"], "n").collect()}
+    assert got == {row: n % 27 + 1 for n, row in enumerate(rows)}
+    plan = ordered.numbered(df, ["key"], ["at", "i"], "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_part" in line for line in plan.splitlines() if "row_number" in line and "Window [" in line)
