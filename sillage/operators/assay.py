@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sillage.functions.measures import exact_integer
 from sillage.functions.text import normalise_term
-from sillage.operators.ordered import fill_within, first_per_key
 from sillage.operators.replicates import semiquantitate, standard_concentration
+from sillage.workspace import fresh
 
 # Titles and headers of an instrument sheet.
 PEAK_SECTION, SEARCH_SECTION = "[mc peak table]", "[ms similarity search results for spectrum process table]"
@@ -16,45 +16,76 @@ PEAK_HEADERS = ["peak#", "area", "ret. index"]
 SEARCH_HEADERS = ["spectrum#", "hit #", "cas #", "name"]
 
 
-def section_rows(rows: DataFrame, title: str, required: list[str], *, sheet: str = "sheet", row: str = "source_row") -> DataFrame:
-    """(sheet, source_row, fields) of the rows below the header of a section, each as a map of header to cell.
+def sections(rows: DataFrame, wanted: dict[str, tuple[str, list[str]]], *, sheet: str = "sheet", row: str = "source_row") -> DataFrame:
+    """``rows`` with an array column for each wanted section (name: title and required headers): the header's names on rows below it, else null.
 
     A section starts at its title and ends before the next row whose first cell is in
     square brackets.  The header is the first row there that holds all required names.
+    All sections are found in one pass over the sheet.
     """
-    clean = rows.withColumn("_cells", F.transform("cells", lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))))
-    title_here = F.array_contains("_cells", title)
-    any_title = F.get("_cells", 0).rlike(r"^\[.*\]$") | title_here
-    marked = fill_within(clean, [sheet], [row], F.lit(False), F.when(any_title, F.when(title_here, title).otherwise("")), "_section").filter((F.col("_section") == title) & ~any_title)
-    is_header = F.size(F.array_except(F.array(*map(F.lit, required)), "_cells")) == 0
-    headers = first_per_key(marked.filter(is_header).select(sheet, F.col(row).alias("_at"), F.col("_cells").alias("_names")), [sheet], ["_at"])
-    below = marked.join(headers, sheet).filter(F.col(row) > F.col("_at"))
-    named = F.filter(F.arrays_zip(F.col("_names").alias("k"), F.slice("cells", F.lit(1), F.size("_names")).alias("v")), lambda x: F.coalesce(x["k"] != "", F.lit(False)))
-    unique = F.filter(named, lambda x, i: F.array_position(F.transform(named, lambda y: y["k"]), x["k"]) == i + 1)
-    return below.select(sheet, row, F.map_from_entries(unique).alias("fields"))
+    so_far = Window.partitionBy(sheet).orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
+    above = Window.partitionBy(sheet).orderBy(row).rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("_cells", F.transform("cells", lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))))
+    ends = {name: F.coalesce(F.get("_cells", F.lit(0)).rlike(r"^\[.*\]$"), F.lit(False)) | F.array_contains("_cells", title) for name, (title, _) in wanted.items()}
+    inside = {name: F.last(F.when(ends[name], F.array_contains("_cells", title)), ignorenulls=True).over(so_far) & ~ends[name] for name, (title, _) in wanted.items()}
+    out = out.withColumns({f"_in_{name}": F.coalesce(here, F.lit(False)) for name, here in inside.items()})
+    header = {name: F.when(F.col(f"_in_{name}") & (F.size(F.array_except(F.array(*map(F.lit, required)), "_cells")) == 0), F.col("_cells")) for name, (_, required) in wanted.items()}
+    out = out.withColumns({f"_head_{name}": F.first(found, ignorenulls=True).over(above) for name, found in header.items()})
+    return out.select(*rows.columns, *(F.when(F.col(f"_in_{name}"), F.col(f"_head_{name}")).alias(name) for name in wanted))
 
 
 def hits(rows: DataFrame, *, sheet: str = "sheet", row: str = "source_row") -> tuple[DataFrame, DataFrame]:
     """(records, issues): every peak with its first hit, the earliest row where there are several.
 
     Issues: a peak without a hit (WARN), repeated peak numbers or first hits (REVIEW),
-    and sheets without a section or header (FAIL).
+    and sheets without a section or header (FAIL).  The rows are read once: what both
+    tables come from is written under the checkpoint folder.
     """
-    field = lambda name: F.try_element_at("fields", F.lit(name))
-    peaks = section_rows(rows, PEAK_SECTION, PEAK_HEADERS, sheet=sheet, row=row).select(sheet, F.col(row).alias("peak_row"), exact_integer(field("peak#")).alias("peak"), field("area").alias("area"), field("ret. index").alias("peak_index")).filter("peak is not null")
-    found = section_rows(rows, SEARCH_SECTION, SEARCH_HEADERS, sheet=sheet, row=row)
-    first = found.filter(exact_integer(field("hit #")) == 1).select(sheet, F.col(row).alias("search_row"), exact_integer(field("spectrum#")).alias("peak"), field("cas #").alias("cas"), field("name").alias("name"), field("ret. index").alias("search_index"), field("retention index").alias("library_index")).filter("peak is not null")
-    chosen = first_per_key(first, [sheet, "peak"], ["search_row"])
-    joined = peaks.join(chosen, [sheet, "peak"], "left")
-    records = joined.filter("search_row is not null").select(sheet, "peak", "cas", "name", F.coalesce("search_index", "peak_index").alias("measured_index"), "library_index", "area", "peak_row", "search_row")
+    cell = lambda names, name: F.get("cells", (F.array_position(names, name) - 1).cast("int"))  # noqa: E731 - of repeated headers the first counts
+    found = sections(rows, {"_peaks": (PEAK_SECTION, PEAK_HEADERS), "_search": (SEARCH_SECTION, SEARCH_HEADERS)}, sheet=sheet, row=row)
+    read = found.select(
+        sheet,
+        F.col(row).alias("at"),
+        F.row_number().over(Window.partitionBy(sheet).orderBy(row)).alias("_place"),
+        F.col("_peaks").isNotNull().alias("_listed"),
+        F.col("_search").isNotNull().alias("_searched"),
+        exact_integer(cell("_peaks", "peak#")).alias("_number"),
+        exact_integer(cell("_search", "spectrum#")).alias("_spectrum"),
+        (exact_integer(cell("_search", "hit #")) == 1).alias("_first"),
+        cell("_peaks", "area").alias("area"),
+        cell("_peaks", "ret. index").alias("_own"),
+        cell("_search", "ret. index").alias("_found"),
+        cell("_search", "cas #").alias("cas"),
+        cell("_search", "name").alias("name"),
+        cell("_search", "retention index").alias("library"),
+    )
+    is_hit, is_peak = F.col("kind") == "hit", F.col("kind") == "peak"
+    kinds = F.array(
+        F.when(F.col("_listed") & F.col("_number").isNotNull(), "peak"),
+        F.when(F.col("_searched"), F.when(F.col("_first") & F.col("_spectrum").isNotNull(), "hit").otherwise("searched")),
+        F.when(F.col("_place") == 1, "sheet"),
+    )
+    told = read.withColumn("kind", F.explode(kinds)).filter("kind is not null")
+    told = told.select(sheet, "at", "kind", F.when(is_peak, F.col("_number")).when(is_hit, F.col("_spectrum")).alias("peak"), "area", F.when(is_peak, F.col("_own")).otherwise(F.col("_found")).alias("index"), "cas", "name", "library")
+    same = Window.partitionBy(sheet, "peak")
+    told = told.withColumns({
+        "first": F.min_by(F.struct("at", "index", "cas", "name", "library"), F.when(is_hit, F.col("at"))).over(same),
+        "hits": F.count_if(is_hit).over(same),
+        "peaks": F.count_if(is_peak).over(same),
+        "start": F.min(F.when(is_peak, F.col("at"))).over(same),
+    })
+    folder, spark = fresh(rows.sparkSession, "hits"), rows.sparkSession
+    told.write.parquet(folder)
+    told = spark.read.schema(told.schema).parquet(folder)
+    records = told.filter(is_peak & (F.col("hits") > 0)).select(sheet, "peak", "first.cas", "first.name", F.coalesce("first.index", "index").alias("measured_index"), F.col("first.library").alias("library_index"), "area", F.col("at").alias("peak_row"), F.col("first.at").alias("search_row"))
     issue = lambda df, severity, code, about: df.select(sheet, F.lit(severity).alias("severity"), F.lit(code).alias("code"), about.cast("string").alias("about"))
-    sheets = rows.select(sheet).distinct()
+    sheets = told.groupBy(sheet).agg(F.count_if(is_peak).alias("_p"), F.count_if(F.col("kind").isin("hit", "searched")).alias("_s"))
     issues = (
-        issue(joined.filter("search_row is null"), "WARN", "HIT1_NOT_FOUND", F.col("peak"))
-        .unionByName(issue(peaks.groupBy(sheet, "peak").count().filter("count > 1"), "REVIEW", "REVIEW_DUPLICATE_PEAK", F.col("peak")))
-        .unionByName(issue(first.groupBy(sheet, "peak").count().filter("count > 1"), "REVIEW", "REVIEW_DUPLICATE_HIT1", F.col("peak")))
-        .unionByName(issue(sheets.join(peaks.select(sheet).distinct(), sheet, "left_anti"), "FAIL", "FAIL_MISSING_PEAK_TABLE", F.lit(None)))
-        .unionByName(issue(sheets.join(found.select(sheet).distinct(), sheet, "left_anti"), "FAIL", "FAIL_MISSING_SEARCH_RESULTS", F.lit(None)))
+        issue(told.filter(is_peak & (F.col("hits") == 0)), "WARN", "HIT1_NOT_FOUND", F.col("peak"))
+        .unionByName(issue(told.filter(is_peak & (F.col("peaks") > 1) & (F.col("at") == F.col("start"))), "REVIEW", "REVIEW_DUPLICATE_PEAK", F.col("peak")))
+        .unionByName(issue(told.filter(is_hit & (F.col("hits") > 1) & (F.col("at") == F.col("first.at"))), "REVIEW", "REVIEW_DUPLICATE_HIT1", F.col("peak")))
+        .unionByName(issue(sheets.filter("_p = 0"), "FAIL", "FAIL_MISSING_PEAK_TABLE", F.lit(None)))
+        .unionByName(issue(sheets.filter("_s = 0"), "FAIL", "FAIL_MISSING_SEARCH_RESULTS", F.lit(None)))
     )
     return records, issues
 

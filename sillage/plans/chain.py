@@ -30,16 +30,13 @@ def l13(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").select(*LINE, *LINE_TIES).withColumn("n", F.row_number().over(order))
     lines = lines.withColumn("peak", (n - F.when((q == 13) & (n > 1), 1).otherwise(0)).cast("string"))
     sheet, area, cas = F.col("l_suppkey"), F.round(F.col("l_extendedprice") * 100).cast("long").cast("string"), F.col("l_partkey").cast("string")
-    row = lambda rows, at, *cells: rows.select(sheet.alias("sheet"), at.cast("int").alias("source_row"), F.array(*cells).alias("cells"))
-    peaks = row(lines, n + 10, F.col("peak"), F.lit("1000"), area)
-    hits = row(lines.filter(q % 7 != 0), n * 2 + 20_000_000, F.col("peak"), F.lit("1"), cas, F.lit("name"), F.lit("1005"))
-    again = row(lines.filter((q % 7 != 0) & (F.col("l_returnflag") == "R")), n * 2 + 20_000_001, F.col("peak"), F.lit("1"), F.lit("later"), F.lit("name"), F.lit("1005"))
-    second = row(lines, n + 400_000_000, F.col("peak"), F.lit("2"), F.lit("second"), F.lit("name"), F.lit("1005"))
+    row = lambda at, *cells: F.struct(F.lit(at).cast("int").alias("at") if isinstance(at, int) else at.cast("int").alias("at"), F.array(*(F.lit(c) if isinstance(c, str) else c for c in cells)).alias("cells"))
+    peak, hit, again = F.col("peak"), q % 7 != 0, F.col("l_returnflag") == "R"
     titles = [(1, ["[MC Peak Table]"]), (2, ["# of peaks", "x"]), (3, ["Peak#", "Ret. Index", "Area"]), (10_000_000, ["[MS Similarity Search Results for Spectrum Process Table]"]), (10_000_001, ["Spectrum#", "Hit #", "CAS #", "Name", "Retention Index"])]
-    heads = table(spark, d, "lineitem").select("l_suppkey").distinct().withColumn("t", F.explode(F.array(*(F.struct(F.lit(at).alias("at"), F.array(*map(F.lit, cells)).alias("cells")) for at, cells in titles))))
-    rows = heads.select(sheet.alias("sheet"), F.col("t.at").alias("source_row"), F.col("t.cells").alias("cells"))
-    for part in (peaks, hits, again, second):
-        rows = rows.unionByName(part)
+    made = [row(n + 10, peak, "1000", area), row(n + 400_000_000, peak, "2", "second", "name", "1005")]
+    made += [F.when(hit, row(n * 2 + 20_000_000, peak, "1", cas, "name", "1005")), F.when(hit & again, row(n * 2 + 20_000_001, peak, "1", "later", "name", "1005"))]
+    made += [F.when(n == 1, row(at, *cells)) for at, cells in titles]
+    rows = lines.select(sheet.alias("sheet"), F.explode(F.array(*made)).alias("r")).filter("r is not null").select("sheet", F.col("r.at").alias("source_row"), "r.cells")
     records, issues = assay.hits(rows)
     found = records.groupBy("sheet", F.lit("record").alias("kind"), F.col("peak").cast("long").alias("peak"), "cas", "area").agg(F.count("*").alias("times"))
     none = F.lit(None).cast("string")

@@ -9,7 +9,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from sillage.operators import counters, ordered, pageindex
+from sillage.operators import assay, counters, ordered, pageindex
 from sillage.plans import registry
 from sillage.sinks import workbook
 from sillage.sources import adapters, releases
@@ -90,3 +90,28 @@ def test_numbers_go_on_over_runs(spark):
     assert got == {row: n % 27 + 1 for n, row in enumerate(rows)}
     plan = ordered.numbered(df, ["key"], ["at", "i"], "n")._jdf.queryExecution().optimizedPlan().toString()
     assert all("_part" in line for line in plan.splitlines() if "row_number" in line and "Window [" in line)
+
+
+def test_hits_read_their_rows_once(spark):
+    """Each of the seven tables behind records and issues read all rows again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    cells = [["[MC Peak Table]"], ["Peak#", "Area", "Ret. Index"], ["1", "9", "1000"], ["1", "8", "1001"], ["2", "7", "1002"], ["[MS Similarity Search Results for Spectrum Process Table]"]]
+    cells += [["Spectrum#", "Hit #", "CAS #", "Name", "Name"], ["1", "1", "a", "n", "m"], ["1", "1", "b", "n", "m"], ["2", "2", "c", "n", "m"]]
+    rows = [("s", i, c) for i, c in enumerate(cells)] + [("empty", 1, ["x"])]
+    made = spark.createDataFrame(rows, "sheet string, source_row int, cells array<string>").mapInArrow(counted, "sheet string, source_row int, cells array<string>")
+    records, issues = assay.hits(made)
+    assert sorted((r["peak"], r["cas"], r["name"], r["area"], r["peak_row"], r["search_row"]) for r in records.collect()) == [(1, "a", "n", "8", 3, 7), (1, "a", "n", "9", 2, 7)]
+    assert {(r["sheet"], r["code"], r["about"]) for r in issues.collect()} == {
+        ("s", "HIT1_NOT_FOUND", "2"),
+        ("s", "REVIEW_DUPLICATE_PEAK", "1"),
+        ("s", "REVIEW_DUPLICATE_HIT1", "1"),
+        ("empty", "FAIL_MISSING_PEAK_TABLE", None),
+        ("empty", "FAIL_MISSING_SEARCH_RESULTS", None),
+    }
+    assert seen.value == len(rows)
