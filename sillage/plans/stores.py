@@ -13,7 +13,7 @@ from sillage.plans.registry import query, table
 from sillage.sinks import bundles, workbook
 from sillage.sources import sqlite, xlsx
 from sillage.streaming import counts, pages, tasks
-from sillage.workspace import fresh, local_path
+from sillage.workspace import files, fresh, local_path
 
 
 @query("a11_index_scan", "SELECT p_partkey, p_name, p_size, p_retailprice FROM part WHERE p_size > 25 AND p_name >= 'm'")
@@ -62,13 +62,31 @@ def b11(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def _length(spark: SparkSession, path: str) -> int:
+    """Bytes of a table's files."""
+    fs, target = files(spark, path)
+    return fs.getContentSummary(target).getLength()
+
+
+def _page_files(length: int) -> int:
+    """Files that pages of so many bytes are dealt to: at least twelve, and one for each 32 MB."""
+    return max(12, -(-length // (32 << 20)))
+
+
+def _deliver(docs: DataFrame, folder: str, parts: int) -> None:
+    """Pages in ``parts`` files, and of every ``parts``-th page one more; only its rows go to the task that writes it."""
+    docs.repartition(parts, "page").write.parquet(folder)
+    docs.filter(F.col("page") % parts == 5).repartition(1).write.mode("append").parquet(folder)
+
+
 @query("n07_resumable_pages", "SELECT doc_id AS page, len(string_split(coalesce(text, ''), chr(10)))::BIGINT AS lines, coalesce(length(text), 0)::BIGINT AS chars, 1::BIGINT AS times FROM documents")
 def n07(spark: SparkSession, d: str) -> DataFrame:
     """Documents as pages in files; the work is stopped in the middle, one file comes twice, and it is taken up again."""
     folder = fresh(spark, "pages")
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("page"), "text")
-    docs.repartition(12, "page").write.parquet(f"{folder}/source")
-    docs.filter("page % 12 = 5").coalesce(1).write.mode("append").parquet(f"{folder}/source")
+    parts = _page_files(_length(spark, f"{d}/documents.parquet"))
+    _deliver(docs, f"{folder}/source", parts)
+    per_batch = -(-parts // 3)
     work = lambda rows: rows.select("page", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("lines"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
 
     def stop(batch: int) -> None:
@@ -76,10 +94,10 @@ def n07(spark: SparkSession, d: str) -> DataFrame:
             raise RuntimeError("stopped with a batch written and not yet marked as done")
 
     try:
-        pages.process(spark, f"{folder}/source", f"{folder}/work", "page long, text string", work, per_batch=4, before=stop)
+        pages.process(spark, f"{folder}/source", f"{folder}/work", "page long, text string", work, per_batch=per_batch, before=stop)
     except StreamingQueryException:
         pass
-    done = pages.process(spark, f"{folder}/source", f"{folder}/work", "page long, text string", work, per_batch=4)
+    done = pages.process(spark, f"{folder}/source", f"{folder}/work", "page long, text string", work, per_batch=per_batch)
     return done.groupBy("page").agg(F.max("lines").alias("lines"), F.max("chars").alias("chars"), F.count("*").alias("times"))
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sillage.operators import assay, counters, ordered, pageindex
-from sillage.plans import registry
+from sillage.plans import registry, stores
 from sillage.sinks import workbook
 from sillage.sources import adapters, releases
 
@@ -115,3 +115,12 @@ def test_hits_read_their_rows_once(spark):
         ("empty", "FAIL_MISSING_SEARCH_RESULTS", None),
     }
     assert seen.value == len(rows)
+
+
+def test_a_page_file_that_comes_twice_is_filtered_by_many_tasks(spark, tmp_path):
+    docs = spark.range(0, 1200, numPartitions=6).select(F.col("id").alias("page"), F.spark_partition_id().cast("string").alias("text"))
+    stores._deliver(docs, str(tmp_path / "source"), 12)
+    twice = spark.read.parquet(str(tmp_path / "source")).groupBy("page").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts")).filter("n > 1").collect()
+    assert sorted(r["page"] for r in twice) == list(range(5, 1200, 12))
+    assert all(r["texts"] == 1 for r in twice)  # filtered where they lay, not all in one task
+    assert stores._page_files(1) == 12 and stores._page_files(6 << 30) == 192
