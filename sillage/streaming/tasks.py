@@ -30,13 +30,6 @@ class TaskStore(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.task = handle, handle.getValueState("task", _TASK)
 
-    def _put(self, task: str, payload: float, expires_us: int) -> None:
-        self.task.update((task, payload, expires_us))
-
-    def _forget(self, expires_us: int) -> None:
-        self.task.clear()
-        self.handle.deleteTimer(self._millis(expires_us))
-
     @staticmethod
     def _millis(us: int) -> int:
         """The first millisecond at which the task's time is over."""
@@ -46,28 +39,38 @@ class TaskStore(StatefulProcessor):
         return self.task.get() if self.task.exists() else None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
-        """The scope's events in order of time, then number."""
-        events = pd.concat(list(rows)).sort_values(["us", "seq"])
+        """The scope's events in order of time, then number; state and timer are read before and written after all of them."""
+        frames = list(rows)
+        events = frames[0] if len(frames) == 1 else pd.concat(frames)
+        before = held = self._get()
         out = []
-        for us, seq, action, task, payload in events[["us", "seq", "action", "task", "payload"]].itertuples(index=False):
-            held = self._get()
+        for us, seq, action, task, payload in sorted(zip(*(events[c].tolist() for c in ("us", "seq", "action", "task", "payload")), strict=True), key=lambda e: e[:2]):
             if held is not None and held[2] <= us:
                 out.append((key[0], None, "expired", held[0], held[1], held[2]))
-                self._forget(held[2])
                 held = None
             if action == "save":
-                if held is not None:
-                    self._forget(held[2])
-                self._put(task, payload, us + self.lifetime_us)
-                self.handle.registerTimer(self._millis(us + self.lifetime_us))
+                held = (task, payload, us + self.lifetime_us)
             elif action == "update" and held is not None:
-                self._put(held[0], payload, held[2])
-            elif action == "clear" and held is not None:
-                self._forget(held[2])
+                held = (held[0], payload, held[2])
+            elif action == "clear":
+                held = None
             elif action == "load":
                 out.append((key[0], seq, "found" if held else "absent", held[0] if held else None, held[1] if held else None, us))
+        if held != before:
+            self._keep(before, held)
         yield self._frame(out)
 
+    def _keep(self, before: tuple | None, held: tuple | None) -> None:
+        old, new = (None if t is None else self._millis(t[2]) for t in (before, held))
+        if old is not None and old != new:
+            self.handle.deleteTimer(old)
+        if held is None:
+            self.task.clear()
+            return
+        self.task.update(held)
+        if old != new:
+            self.handle.registerTimer(new)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
         held, out = self._get(), []
         if held is not None and self._millis(held[2]) <= expiredTimerInfo.getExpiryTimeInMs():

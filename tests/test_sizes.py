@@ -6,6 +6,7 @@ import hashlib
 import json
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from sillage.operators import assay, counters, ordered, pageindex
 from sillage.plans import registry, stores
 from sillage.sinks import workbook
 from sillage.sources import adapters, releases
+from sillage.streaming import tasks
 
 
 def test_assays_of_a_long_answer_take_time_in_proportion(spark):
@@ -124,3 +126,26 @@ def test_a_page_file_that_comes_twice_is_filtered_by_many_tasks(spark, tmp_path)
     assert sorted(r["page"] for r in twice) == list(range(5, 1200, 12))
     assert all(r["texts"] == 1 for r in twice)  # filtered where they lay, not all in one task
     assert stores._page_files(1) == 12 and stores._page_files(6 << 30) == 192
+
+
+def test_a_task_store_writes_state_once_for_a_scope():
+    calls = []
+
+    class State:
+        held = ("old", 1.0, 500)
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+        update = lambda self, value: calls.append(("update", value))
+        clear = lambda self: calls.append(("clear",))
+
+    class Handle:
+        deleteTimer = lambda self, at: calls.append(("delete", at))  # noqa: E731, N815
+        registerTimer = lambda self, at: calls.append(("register", at))  # noqa: E731, N815
+
+    store = tasks.TaskStore(1_000_000)
+    store.task, store.handle = State(), Handle()
+    rows = [(9_000, 3, "update", "", 7.0), (1_000, 1, "load", "", 0.0), (2_000, 2, "save", "a", 2.0), (9_500, 4, "clear", "", 0.0), (9_600, 5, "save", "b", 3.0), (9_700, 6, "load", "", 0.0)]
+    frame = pd.DataFrame(rows, columns=["us", "seq", "action", "task", "payload"])
+    (out,) = store.handleInputRows(("k",), iter([frame]), None)
+    assert out["outcome"].tolist() == ["expired", "absent", "found"] and out["task"].tolist()[::2] == ["old", "b"]
+    assert calls == [("delete", 1), ("update", ("b", 3.0, 1_009_600)), ("register", 1_010)]
