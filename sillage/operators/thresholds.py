@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Hits without pages up to which they are broadcast to the thresholds; beyond, both are shuffled by number.
+BROADCAST_IDS = 1_000_000
+
 # How each kind of conflict is graded, and what an unknown kind counts as.
 CONFLICT_GRADES = {
     "name_variant": "info",
@@ -66,22 +69,34 @@ def _shown_by(parts: list[str], whole: list[str]) -> Callable[[Column], Column]:
     return shown
 
 
-def of_hits(hits: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """(hit, id) of the thresholds that belong to each hit.
+def of_hits(hits: DataFrame, thresholds: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """The hit and the key (id, or the columns named) of the thresholds that belong to each hit, once each.
 
-    ``hits``: hit, pages, chunks, cas, names; ``thresholds``: id, page, block, cas,
+    ``hits``: hit, pages, chunks, cas, names; ``thresholds``: the key, page, block, cas,
     subject, verified.  On one of the hit's pages a threshold belongs to it if it has its
     number; or if its subject is one of its names, where the subject is verified or the
     hit has no number; or, for a hit without a number, if its block is one of the hit's
     chunks, or the hit has none.  A hit without pages gets the thresholds of its number.
+
+    Both sides are shuffled by page, once; pairs of a key that holds the page are not
+    shuffled again.  Thresholds are dealt by number only if some hit needs it, which a
+    count of these hits tells beforehand.
     """
-    t = thresholds.select("id", F.col("page"), "block", F.col("cas").alias("_cas"), "subject", "verified")
-    same = F.coalesce(F.col("cas") == F.col("_cas"), F.lit(False))
-    named = F.coalesce(F.array_contains("names", F.col("subject")), F.lit(False)) & (F.coalesce("verified", F.lit(False)) | F.col("cas").isNull())
-    chunked = F.col("cas").isNull() & (F.coalesce(F.size("chunks") <= 0, F.lit(True)) | F.coalesce(F.array_contains("chunks", F.col("block")), F.lit(False)))
-    paged = hits.withColumn("page", F.explode(F.array_distinct("pages"))).join(t, "page").filter(same | named | chunked).select("hit", "id")
-    rest = hits.filter(F.coalesce(F.size("pages") <= 0, F.lit(True)) & F.col("cas").isNotNull()).select("hit", F.col("cas").alias("_cas")).join(t, "_cas").select("hit", "id")
-    return paged.unionByName(rest).distinct()
+    key = key or ["id"]
+    t = thresholds.select(*key, *(c for c in ("page", "block") if c not in key), F.col("cas").alias("_cas"), "subject", "verified")
+    cas = F.col("cas")
+    same = F.coalesce(cas == F.col("_cas"), F.lit(False))
+    named = F.coalesce(F.array_contains("names", F.col("subject")), F.lit(False)) & (F.coalesce("verified", F.lit(False)) | cas.isNull())
+    # chunks that say nothing are null: all of a hit with a number, and empty ones
+    chunked = cas.isNull() & (F.col("chunks").isNull() | F.coalesce(F.array_contains("chunks", F.col("block")), F.lit(False)))
+    dealt = hits.select("hit", F.explode(F.array_distinct("pages")).alias("page"), F.when(cas.isNull() & (F.size("chunks") > 0), F.col("chunks")).alias("chunks"), "cas", "names")
+    # merged at any size: after a broadcast the pairs would have to be shuffled
+    found = dealt.join(t.hint("merge"), "page").filter(same | named | chunked).select("hit", *key)
+    rest = hits.filter(F.coalesce(F.size("pages") <= 0, F.lit(True)) & cas.isNotNull()).select("hit", cas.alias("_cas"))
+    count = rest.count()
+    if count:
+        found = found.unionByName((F.broadcast(rest) if count <= BROADCAST_IDS else rest).join(t, "_cas").select("hit", *key))
+    return found.distinct()
 
 
 def first_distinct(df: DataFrame, key: str, item: str, order: list[str], limit: int) -> DataFrame:

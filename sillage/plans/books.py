@@ -63,10 +63,10 @@ WHERE coalesce(cas = l_suppkey % 20, false) OR (l_returnflag = 'R' AND (l_linest
 def d08(spark: SparkSession, d: str) -> DataFrame:
     """Orders are hits on their own page and the next, lines are thresholds."""
     c = F.col("o_custkey")
-    hits = table(spark, d, "orders").select(F.col("o_orderkey").alias("hit"), F.array(F.col("o_orderkey"), F.col("o_orderkey") + 1).alias("pages"), F.when(c % 3 == 0, F.array().cast("array<int>")).otherwise(F.array((c % 7).cast("int"))).alias("chunks"), F.when(c % 2 == 0, (c % 20).cast("string")).alias("cas"), F.array(F.lit("R")).alias("names"))
-    key = F.concat_ws(":", *(F.col(x).cast("string") for x in LINE))
-    lines = table(spark, d, "lineitem").select(key.alias("id"), F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("block"), (F.col("l_suppkey") % 20).cast("string").alias("cas"), F.col("l_returnflag").alias("subject"), (F.col("l_linestatus") == "O").alias("verified"))
-    return thresholds.of_hits(hits, lines)
+    hits = table(spark, d, "orders").select(F.col("o_orderkey").alias("hit"), F.array(F.col("o_orderkey"), F.col("o_orderkey") + 1).alias("pages"), F.when(c % 3 == 0, F.array().cast("array<int>")).otherwise(F.array((c % 7).cast("int"))).alias("chunks"), F.when(c % 2 == 0, c % 20).alias("cas"), F.array(F.lit("R")).alias("names"))
+    key = ["page", "block", "l_partkey", "l_suppkey"]
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("block"), "l_partkey", "l_suppkey", (F.col("l_suppkey") % 20).alias("cas"), F.col("l_returnflag").alias("subject"), (F.col("l_linestatus") == "O").alias("verified"))
+    return thresholds.of_hits(hits, lines, key).select("hit", F.concat_ws(":", *(F.col(x).cast("string") for x in key)).alias("id"))
 
 
 @query(

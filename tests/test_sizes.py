@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sillage.operators import assay, counters, ordered, pageindex
+from sillage.operators import assay, counters, ordered, pageindex, thresholds
 from sillage.plans import registry, stores
 from sillage.sinks import workbook
 from sillage.sources import adapters, releases
@@ -149,3 +149,30 @@ def test_a_task_store_writes_state_once_for_a_scope():
     (out,) = store.handleInputRows(("k",), iter([frame]), None)
     assert out["outcome"].tolist() == ["expired", "absent", "found"] and out["task"].tolist()[::2] == ["old", "b"]
     assert calls == [("delete", 1), ("update", ("b", 3.0, 1_009_600)), ("register", 1_010)]
+
+
+def _belongs(hit, t):
+    named = t["subject"] in (hit["names"] or []) and (bool(t["verified"]) or hit["cas"] is None)
+    chunked = hit["cas"] is None and (not hit["chunks"] or t["block"] is not None and t["block"] in hit["chunks"])
+    same = hit["cas"] is not None and hit["cas"] == t["cas"]
+    return t["page"] is not None and t["page"] in hit["pages"] and (same or named or chunked) if hit["pages"] else same
+
+
+@pytest.mark.parametrize("unpaged", [True, False])
+def test_thresholds_of_hits_are_shuffled_by_page_alone(spark, unpaged):
+    """Thresholds were shuffled by number too, though each hit had pages, and the pairs a third time."""
+    hits = [(i % 40, [None, [], [i % 7, i % 7 + 1], [i % 7, i % 7], [9, None]][i % 5], [None, [], [i % 3], [None, 1]][i % 4], None if i % 3 else i % 4, [None, ["R"], ["R", "A"]][i % 3 if i % 2 else 1]) for i in range(60)]
+    hits = [h for h in hits if unpaged or h[1]]
+    lines = [(i % 9 or None, i % 4 or None, i % 2, i % 4 if i % 5 else None, [None, "R", "N"][i % 3], [None, True, False][i % 7 % 3]) for i in range(120)]
+    left = spark.createDataFrame(hits, "hit int, pages array<int>, chunks array<int>, cas int, names array<string>")
+    right = spark.createDataFrame(lines, "page int, block int, n int, cas int, subject string, verified boolean")
+    found = thresholds.of_hits(left, right, ["page", "block", "n"])
+    pairs = {(h["hit"], t["page"], t["block"], t["n"]) for h in left.collect() for t in right.collect() if _belongs(h, t)}
+    order = lambda row: str(tuple(row))
+    assert len(pairs) > 50 and sorted(map(tuple, found.collect()), key=order) == sorted(pairs, key=order)
+    named = thresholds.of_hits(left, right.withColumn("id", F.col("n")))
+    assert sorted(map(tuple, named.collect())) == sorted({(p[0], p[3]) for p in pairs})
+    if not unpaged:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        plan = plan.partition("Initial Plan")[2] or plan
+        assert plan.count("Exchange") == plan.count("Exchange hashpartitioning(page") == 2
