@@ -30,8 +30,8 @@ from pyspark.sql.window import Window
 from sillage.llm.arrow import pack, release, tidy, unpack
 from sillage.llm.scratch import Scratch
 
-#: Words of a block, and bytes of a text that are split at a time (cut only where a piece ends).
-BLOCK_WORDS, SLICE_BYTES = 1_000_000, 1_000_000
+#: Words of a block, words that a task holds for the blocks of all languages, and bytes of a text that are split at a time (cut only where a piece ends).
+BLOCK_WORDS, HELD_WORDS, SLICE_BYTES = 1_000_000, 4_000_000, 1_000_000
 _END = b"\xff"  # no byte of UTF-8
 _ENDS = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 
@@ -58,11 +58,11 @@ def _slices(text: bytes) -> Iterator[list[bytes]]:
 
 
 #: Bytes of text whose words are counted in one part, pairs of a later part, about, and the distance between the first ids of two parts.
-PART_BYTES, PART_PAIRS, PART_IDS = 8_000_000, 600_000, 1 << 32
+PART_BYTES, PART_PAIRS, PART_IDS = 8_000_000, 1_200_000, 1 << 32
 #: A block's codes (part null; the starts of its parts in ``lefts``, the codes in the order of the parts in ``rights``, its words in ``n``), or its words or pairs that fall to one part.
 _MADE = "block string, lang string, part int, codes binary, lefts binary, rights binary, times binary, n bigint"
-#: A part's grams (block null; words with their language), or the names of a block's words or pairs in it.
-_NAMED = "block string, part int, at array<bigint>, ids array<bigint>, lefts array<bigint>, rights array<bigint>, times array<bigint>, lang string, words array<string>"
+#: A part's grams (block null; words with their language), or the names of a block's words or pairs in it (packed: the steps between their places in the block's list, and their ids without the part's first).
+_NAMED = "block string, part int, at binary, named binary, ids array<bigint>, lefts array<bigint>, rights array<bigint>, times array<bigint>, lang string, words array<string>"
 
 
 def _packed_codes(codes: np.ndarray) -> bytes:
@@ -79,6 +79,10 @@ def _unpacked_codes(packed: bytes) -> np.ndarray:
     return np.where(found == 0, np.cumsum(found == 0) - 1, found - 2)
 
 
+def _packed_names(at: np.ndarray, ids: np.ndarray, part: int) -> dict[str, bytes]:
+    return {"at": pack(np.diff(at, prepend=0)), "named": pack(ids - part * PART_IDS)}
+
+
 def _arrow(ddl: str) -> pa.Schema:
     kinds = {"string": pa.string(), "int": pa.int32(), "binary": pa.binary(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
     return pa.schema([(name, kinds[kind]) for name, kind in (field.split() for field in ddl.split(", "))])
@@ -92,15 +96,16 @@ def _word_blocks(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     """Documents -> blocks of one language, and their words by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, count, size = TaskContext.get().partitionId(), 0, 0
+        task, count = TaskContext.get().partitionId(), 0
         held: dict[str, tuple[_Codes, list[np.ndarray]]] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal count, size
-            for lang, (known, runs) in held.items():
-                codes, words = np.concatenate(runs), list(known)[1:]
-                if not words:
-                    continue
+        size: dict[str, int] = {}
+
+        def flush(lang: str) -> Iterator[pa.RecordBatch]:
+            nonlocal count
+            known, runs = held.pop(lang)
+            del size[lang]
+            codes, words = np.concatenate(runs), list(known)[1:]
+            if words:
                 name, times = f"{task}-{count}", np.bincount(codes[codes >= 0], minlength=len(words))
                 count += 1
                 part = np.fromiter((xxhash.xxh3_64_intdigest(w) % parts for w in words), np.int64, len(words))
@@ -114,21 +119,22 @@ def _word_blocks(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                     own = order[starts[p] : starts[p + 1]]
                     rows.append({"block": name, "lang": lang, "part": p, "lefts": zstandard.compress(_END.join([words[i] for i in own.tolist()])), "times": pack(times[own])})
                 yield from _rows(rows, _MADE).to_batches()
-            held.clear()
-            size = 0
             release()
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for words in _slices(text.as_py()):
                     if lang not in held:
-                        held[lang] = (_Codes(), [])
+                        held[lang], size[lang] = (_Codes(), []), 0
                     known, runs = held[lang]
                     runs.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
-                    size += len(words)
-                    if size >= BLOCK_WORDS:
-                        yield from flush()
-        yield from flush()
+                    size[lang] += len(words)
+                    if size[lang] >= BLOCK_WORDS:
+                        yield from flush(lang)
+                    elif sum(size.values()) >= HELD_WORDS:
+                        yield from flush(max(size, key=size.__getitem__))
+        for lang in list(held):
+            yield from flush(lang)
 
     return run
 
@@ -163,7 +169,7 @@ def _word_namer(least: int) -> Callable[[pa.Table], pa.Table]:
         for name, codes in zip(group.column("block").to_pylist(), lists, strict=True):
             at = np.flatnonzero(frequent[codes])
             if len(at):
-                rows.append({"block": name, "part": part, "at": at, "ids": ids[codes[at]]})
+                rows.append({"block": name, "part": part, **_packed_names(at, ids[codes[at]], part)})
         out = _rows(rows, _NAMED)
         rows.clear()
         release()
@@ -199,9 +205,9 @@ def _pairs_of(parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             of = {"block": block.column("block")[0].as_py(), "lang": block.column("lang")[0].as_py()}
             codes, starts = _unpacked_codes(block.column("codes")[0].as_py()), unpack(block.column("lefts")[0].as_py())
             own = np.cumsum(unpack(block.column("rights")[0].as_py()))
-            lists = [names.column(c).combine_chunks() for c in ("at", "ids")]
-            base = np.repeat(starts[names.column("part").to_numpy()], lists[0].value_lengths().to_numpy())
-            place, ids = own[base + lists[0].flatten().to_numpy()], lists[1].flatten().to_numpy()
+            packed = list(zip(*(names.column(c).to_pylist() for c in ("part", "at", "named")), strict=True))
+            place = own[np.concatenate([starts[part] + np.cumsum(unpack(at)) for part, at, _ in packed])]
+            ids = np.concatenate([unpack(ids) + part * PART_IDS for part, _, ids in packed])
             # a frequent code gets its place among the block's names, others -1; the end of a piece, -1, reads the last entry
             among = np.full(max(int(codes.max()), int(place.max())) + 2, -1, np.int64)
             among[place] = np.arange(len(place))
@@ -256,7 +262,7 @@ def _pair_namer(least: int) -> Callable[[pa.Table], pa.Table]:
         for name, start, end in zip(group.column("block").to_pylist(), ends - sizes, ends, strict=True):
             at = np.flatnonzero(ids[start:end] >= 0)
             if len(at):
-                rows.append({"block": name, "part": part, "at": at, "ids": ids[start:end][at]})
+                rows.append({"block": name, "part": part, **_packed_names(at, ids[start:end][at], part)})
         out = _rows(rows, _NAMED)
         rows.clear()
         release()
@@ -282,19 +288,19 @@ def _grams(docs: DataFrame, least: int, longest: int, text: str, lang: str, scra
     words = named.filter("block is null").select("lang", F.explode(F.arrays_zip("ids", "words", "times")).alias("x"))
     levels = [scratch.save(words.select(x["ids"].alias("id"), "lang", none.alias("left"), none.alias("right"), x["times"].alias("f"), x["words"].alias("phrase"), x["words"].alias("last"), F.array(x["times"]).alias("heads"), F.array(x["times"]).alias("tails")))]
     parts = max(parallel, -(-levels[0].agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0] // PART_PAIRS))
-    names = named.filter("block is not null").select("block", "part", "at", "ids")
+    names = named.filter("block is not null").select("block", "part", "at", "named")
     blocks = made.filter("part is null").select("block", "lang", "codes", "lefts", "rights")
     for size in range(2, longest + 1):
         last, steps = steps, Scratch(spark, "phrases-blocks")
         made = steps.save(blocks.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(_pairs_of(parts), _MADE))
-        named = steps.save(made.filter("part is not null").groupBy("part").applyInArrow(_pair_namer(least), _NAMED))
         last.drop()
+        named = steps.save(made.filter("part is not null").groupBy("part").applyInArrow(_pair_namer(least), _NAMED))
         pairs = named.filter("block is null").select(F.explode(F.arrays_zip("ids", "lefts", "rights", "times")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.lefts").alias("left"), F.col("x.rights").alias("right"), F.col("x.times").alias("f"))
         left = levels[-1].select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"), F.col("heads").alias("up"))
         right = levels[-1].select(F.col("id").alias("right"), "last", F.col("tails").alias("down"))
         full = pairs.join(left, "left").join(right, "right")
         levels.append(scratch.save(full.select("id", "lang", "left", "right", "f", F.concat_ws(" ", "head", "last").alias("phrase"), "last", F.concat("up", F.array("f")).alias("heads"), F.concat("down", F.array("f")).alias("tails"))))
-        names = named.filter("block is not null").select("block", "part", "at", "ids")
+        names = named.filter("block is not null").select("block", "part", "at", "named")
         blocks = made.filter("part is null").select("block", "lang", "codes", "lefts", "rights")
     steps.drop()
     return totals, levels

@@ -3,12 +3,15 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sillage.llm import phrases as module
+from sillage.llm import scratch
 from sillage.llm.phrases import phrases, top_phrases
 from sillage.llm.queries import ORACLES, op12_phrases
 
@@ -85,6 +88,35 @@ def test_pairs_with_one_hash_are_kept_apart(monkeypatch):
         assert sum(a != b for a, b in zip(pairs, pairs[1:], strict=False)) == len(set(pairs)) - 1
 
 
+@pytest.mark.parametrize("most", [10_000, 60])
+def test_blocks_are_filled_by_language(monkeypatch, most):
+    """All languages' blocks went together, so each had a share of a block's words, and its own list of words for each part."""
+    monkeypatch.setattr(module, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    monkeypatch.setattr(module, "BLOCK_WORDS", 50)
+    monkeypatch.setattr(module, "HELD_WORDS", most)
+    batch = pa.record_batch({"lang": ["a", "b", "a", "c", "d"] * 40, "text": pa.array([b"x y z"] * 199 + [b". ;"], pa.binary())})
+    made = [r for b in module._word_blocks(2)(iter([batch])) for r in b.to_pylist()]
+    blocks = [(r["lang"], r["n"]) for r in made if r["part"] is None]
+    assert len({r["block"] for r in made}) == len(blocks)
+    assert {lang: sum(n for x, n in blocks if x == lang) for lang in "abcd"} == {"a": 240, "b": 120, "c": 120, "d": 117}
+    assert len(blocks) <= (20 if most > 60 else 40) and max(n for _, n in blocks) < 60
+
+
+def test_names_are_packed():
+    at, ids = np.array([0, 4, 5, 300]), np.array([7, 0, 70_000, 3]) + 9 * module.PART_IDS
+    packed = module._packed_names(at, ids, 9)
+    assert np.cumsum(module.unpack(packed["at"])).tolist() == at.tolist() and (module.unpack(packed["named"]) + 9 * module.PART_IDS).tolist() == ids.tolist()
+
+
+def test_blocks_of_the_length_before_go_before_pairs_are_counted(spark, monkeypatch):
+    """They stayed beside the pairs' lists and their shuffle, where the disk's peak was."""
+    seen, save = [], scratch.Scratch.save
+    monkeypatch.setattr(module.Scratch, "save", lambda self, *a, **b: (seen.append((self._count, sum("/phrases-blocks-" in f for f in scratch._folders))) if "/phrases-blocks-" in self.folder else None, save(self, *a, **b))[1])
+    before = sum("/phrases-blocks-" in f for f in scratch._folders)
+    assert phrases(spark.createDataFrame([("en", "a b c d e f")] * 4, "lang string, text string"), least=3).count() == 2
+    assert len(seen) == 10 and [n - before for count, n in seen if count == 1] == [1] * 5
+
+
 @pytest.mark.parametrize("codes", [[0, 1, 2, -1, 1, 3], [2, 0, -1, -1], [-1], [0], [5, 0, 1, 2, 6, 6, 7]])
 def test_codes_are_packed_and_unpacked(codes):
     assert module._unpacked_codes(module._packed_codes(np.array(codes, np.int64))).tolist() == codes
