@@ -7,8 +7,8 @@ document's score is then at least what was found and at most that plus, for each
 item's terms not yet met in it, the term's residual, the largest impact that it can have
 below.  If by these bounds no document but a few can be among the best, the item is proven
 and its scores are completed in the blocks of those few alone; an item that lacks the proof
-falls through to the next tier, and in the end to all postings of all blocks.  Results are
-exact either way.
+falls through to the next tier, and in the end to all postings of all blocks.  A tier is read
+once: what a pass takes from it is kept for the steps below.  Results are exact either way.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ TIERS = (0.25, 0.0625)
 BUCKETS, PART_BYTES = 32, 16_000_000
 #: Query items of a pass, whose terms are held by every task; documents that a block reports for an item before it is proven.
 ITEMS_A_PASS, REPORTED = 500, 16
+#: Cells that a task reads, about.  They lie in many small files, of which a scan gives few to a task; its start then costs more than its work.
+CELLS_A_TASK = 64
 #: Weight of a document's length in per cent, and the pace at which repeats stop counting, in thousandths.
 LENGTH_SHARE, SATURATION = 75, 8
 #: No posting has a larger share of its term's weight than this.
@@ -253,6 +255,10 @@ def item_terms(items: DataFrame, *, key: str = "item_id", text: str = "text") ->
 _REPORT = "item int, block string, doc_id long, low long, high long"
 
 
+#: A cell's postings of a pass's terms.
+_PICKED = "block string, numbers binary, counts binary, docs binary, impacts binary"
+
+
 def _picked(wanted: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Cells -> the postings of the terms ``wanted``: their places in it, how many each has, documents and impacts."""
 
@@ -286,26 +292,25 @@ def _scorer(queries: list[tuple[np.ndarray, np.ndarray, np.ndarray]], residual:
         name = block.column("block")[0].as_py() if block.num_rows else None
         if block.num_rows:
             ids, todo = (block.column(c).combine_chunks()[0].values.to_numpy() for c in ("ids", "items"))
-            column = np.full(len(residual), -1, np.int64)
-            column[todo] = np.arange(len(todo))
-            low = np.zeros((len(ids), len(todo)), np.int64)
+            line = dict(zip(todo.tolist(), range(len(todo)), strict=True))
+            low = np.zeros((len(todo), len(ids)), np.int64)
             met = None if last else np.zeros_like(low)
             for row in zip(*(entries.column(c).to_pylist() for c in ("numbers", "counts", "docs", "impacts")), strict=True):
                 numbers, counts, docs, impacts = map(unpack, row)
                 ends = np.cumsum(counts)
                 for term, start, end in zip(numbers.tolist(), (ends - counts).tolist(), ends.tolist(), strict=True):
-                    items, times, left = queries[term]
-                    asked = column[items] >= 0
-                    if not asked.any():
-                        continue
-                    at = np.ix_(docs[start:end], column[items[asked]])
-                    low[at] += impacts[start:end, None] * times[asked][None, :]
-                    if met is not None:
-                        met[at] += left[asked][None, :]
-            high = low if met is None else low + residual[todo][None, :] - met
+                    # a term's documents differ; an item's line lies together in memory
+                    at, shares = docs[start:end], impacts[start:end]
+                    for item, times, left in zip(*map(np.ndarray.tolist, queries[term]), strict=True):
+                        if item not in line:
+                            continue
+                        low[line[item]][at] += shares * times
+                        if met is not None:
+                            met[line[item]][at] += left
+            high = low if met is None else low + residual[todo][:, None] - met
             keep = k if last else max(REPORTED, k)
             for j, item in enumerate(todo.tolist()):
-                bound = high[:, j]
+                bound = high[j]
                 edge = np.partition(bound, -keep)[-keep] if len(bound) > keep else 0
                 some = np.flatnonzero((bound >= edge) & (bound > 0))
                 # documents stand in the order of their ids, so a stable sort keeps it among equals
@@ -313,7 +318,7 @@ def _scorer(queries: list[tuple[np.ndarray, np.ndarray, np.ndarray]], residual:
                 some = ranked[:keep]
                 out["item"] += [item] * len(some)
                 out["doc_id"] += ids[some].tolist()
-                out["low"] += low[some, j].tolist()
+                out["low"] += low[j, some].tolist()
                 out["high"] += bound[some].tolist()
                 if not last:
                     out["item"].append(item)
@@ -336,25 +341,34 @@ def _search_pass(index: Index, asked: DataFrame, k: int) -> DataFrame:
     weights = weight_of(held["df"].to_numpy(np.int64), index.documents)
     by_term = held.groupby("term").indices
     buckets = sorted({_place(t.encode(), BUCKETS) for t in by_term})
-    wanted = index.cells.filter(F.col("bucket").isin(buckets))
+    wanted, blocks_made = index.cells.filter(F.col("bucket").isin(buckets)), index.blocks.count()
 
-    def scored(depth: int, cells: DataFrame, blocks: DataFrame) -> DataFrame:
-        """Bounds of the items that ``blocks`` lists, from the tiers down to ``depth``."""
+    def picked(reached: int, depth: int, among: DataFrame | None = None) -> DataFrame:
+        """The pass's postings in the tiers below ``reached``, down to ``depth``, of all blocks or those ``among`` them."""
+        tasks = max(spark.sparkContext.defaultParallelism, -(-blocks_made * len(buckets) * (depth - reached) // CELLS_A_TASK))
+        cells = wanted.filter((F.col("tier") > reached) & (F.col("tier") <= depth)).coalesce(tasks)
+        cells = cells if among is None else cells.join(among, "block", "left_semi")
+        return cells.select("block", "terms", "weights", "counts", "docs", "shares").mapInArrow(tidy(_picked(list(by_term))), _PICKED)
+
+    def scored(depth: int, entries: DataFrame, blocks: DataFrame) -> DataFrame:
+        """Bounds of the items that ``blocks`` lists, by the postings of the tiers down to ``depth``."""
         # what a posting further down can have: less than the edge, and no more than its term's weight allows
         below = np.zeros_like(weights) if depth == depths else np.minimum(weights * LARGEST, index.edges[depth - 1]) * times
         residual = np.zeros(len(names), np.int64)
         np.add.at(residual, place, below)
         queries = [(place[at], times[at], below[at]) for at in by_term.values()]
-        entries = cells.select("block", "terms", "weights", "counts", "docs", "shares").mapInArrow(tidy(_picked(list(by_term))), "block string, numbers binary, counts binary, docs binary, impacts binary")
         run = _scorer(queries, residual, k, depth == depths)
         return entries.groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(run, _REPORT)
 
     unproven, candidates = list(range(len(names))), None
+    entries, reached = None, 0
     for depth in range(1, depths):
         if not unproven:
             break
         blocks = index.blocks.withColumn("items", F.array(*map(F.lit, unproven)).cast("array<int>"))
-        found = scratch.save(scored(depth, wanted.filter(F.col("tier") <= depth), blocks))
+        tier, reached = scratch.save(picked(reached, depth)), depth
+        entries = tier if entries is None else entries.unionByName(tier)
+        found = scratch.save(scored(depth, entries, blocks))
         order = Window.partitionBy("item").orderBy(F.col("low").desc(), "doc_id")
         tenth = found.filter("doc_id is not null and low > 0").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).groupBy("item").agg(F.min("low").alias("least"), F.count("*").alias("n"))
         others = found.filter("doc_id is null").groupBy("item").agg(F.max("high").alias("others"))
@@ -368,10 +382,12 @@ def _search_pass(index: Index, asked: DataFrame, k: int) -> DataFrame:
     if candidates is not None:
         listed = scratch.save(candidates.groupBy("block").agg(F.collect_set("item").alias("more")))
         blocks = blocks.join(listed, "block", "left").withColumn("items", F.concat("items", F.coalesce("more", F.array().cast("array<int>")))).drop("more")
-        if not unproven:
-            wanted = wanted.join(small(listed.select("block")), "block", "left_semi")
+    few = None if unproven or candidates is None else small(listed.select("block"))
+    rest = picked(reached, depths, few)
+    if entries is not None:
+        rest = rest.unionByName(entries if few is None else entries.join(few, "block", "left_semi"))
     blocks = blocks.filter(F.size("items") > 0)
-    exact = scored(depths, wanted, blocks)
+    exact = scored(depths, rest, blocks)
     order = Window.partitionBy("item").orderBy(F.col("low").desc(), "doc_id")
     best = exact.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     back = spark.createDataFrame(list(enumerate(names)), f"item int, item_id {dict(asked.dtypes)['item']}")

@@ -99,6 +99,40 @@ def test_items_are_proven_by_the_first_tier_or_fall_through(spark, monkeypatch):
     assert [last for _, last in depths] == [False, False, True]
 
 
+def test_each_cell_is_read_once_by_few_tasks(spark, monkeypatch):
+    draw = random.Random(5)
+    docs, words = corpus(draw, 300)
+    items = [(i, " ".join(draw.choice(words) for _ in range(60))) for i in range(5)]
+    index = build_index(spark.createDataFrame(docs, "doc_id long, text string").repartition(8))
+    assert {r["tier"] for r in index.cells.select("tier").collect()} == {1, 2, 3}
+    rows, tasks, real = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), module._picked
+
+    def counting(wanted):
+        run = real(wanted)
+
+        def counted(batches):
+            tasks.add(1)
+            for batch in batches:
+                rows.add(batch.num_rows)
+                yield from run(iter([batch]))
+
+        return counted
+
+    monkeypatch.setattr(module, "_picked", counting)
+    monkeypatch.setattr(module, "CELLS_A_TASK", 10_000, raising=False)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")  # a task for each file
+    try:
+        assert found(search(index, spark.createDataFrame(items, "item_id int, text string"))) == brute(docs, items)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    held = {t for _, text in docs for t in terms(text)}
+    buckets = {module._place(t.encode(), module.BUCKETS) for _, text in items for t in terms(text) if t in held}
+    # no item is proven by the upper tiers, so all of its terms' buckets are read
+    assert rows.value == sum(r["bucket"] in buckets for r in index.cells.select("bucket").collect())
+    assert tasks.value <= 3 * spark.sparkContext.defaultParallelism
+
+
 def test_blocks_without_upper_postings_keep_items_unproven(spark):
     # ten short documents lead by the first tier alone; the better ones have nothing but common words, in a block of their own
     common = [(100 + i, "c1 c2 c3 c4 c5 c6 " * 2) for i in range(12)]
